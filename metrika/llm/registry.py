@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import language, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
+    "op9_language_id": language.query,
+    "op10_secret_scans": secret_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
