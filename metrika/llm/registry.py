@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, quality, secret_scan, toxicity
+from . import language, packing, quality, secret_scan, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
     "op9_language_id": language.query,
