@@ -77,3 +77,16 @@ def crc_mod(column: str, n: int):
 
 def crc_text(i) -> int:
     return zlib.crc32(str(i).encode())
+
+
+def open_folder(uri: str):
+    """(pyarrow file system, path) of a folder that the driver and the executors share."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+    return system, path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/metrika/{name}-{uuid.uuid4().hex}"

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality, secret_scan, toxicity
+from . import language, packing, quality, secret_scan, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
+    "op5_token_files": token_files.query,
+    "op6_warc": warc.query,
     "op9_language_id": language.query,
     "op10_secret_scans": secret_scan.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
+}
