@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality, secret_scan, token_files, toxicity, warc
+from . import decontaminate, language, packing, quality, secret_scan, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op5_token_files": token_files.query,
     "op6_warc": warc.query,
+    "op7_decontamination": decontaminate.query,
     "op9_language_id": language.query,
     "op10_secret_scans": secret_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
 }
