@@ -104,10 +104,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') w from documents),
-d as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) s from w where len(w) > 0),
-v as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') w from benchmark),
-i as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) s from v where len(w) > 0),
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+d as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) s from w where len(w) > 0),
+v as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark),
+i as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ')] end) s from v where len(w) > 0),
 n as (select item_id, count(*) n_item from i group by 1)
 select doc_id, item_id, count(*)::bigint shared, any_value(n_item)::bigint n_item
 from d join i using (s) join n using (item_id) group by doc_id, item_id having count(*) * 100 >= any_value(n_item) * 80

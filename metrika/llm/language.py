@@ -185,8 +185,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     """A network fitted to a bounded sample of documents with a language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
     languages = sorted(r[0] for r in known.select(lang).distinct().collect())
-    key = [F.xxhash64("doc_id"), "doc_id", text]
-    rows = [r for name in languages for r in known.where(F.col(lang) == name).select(lang, text, "doc_id").orderBy(*key).limit(per_language).collect()]
+    key = [F.xxhash64("doc_id"), "doc_id"]
+    picked = [known.where((F.col(lang) == name) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).orderBy(*key).limit(per_language) for name in languages]
+    if not picked:
+        return Network([])
+    ids = picked[0]
+    for more in picked[1:]:
+        ids = ids.unionByName(more)
+    # per_language ids of each language at most, so the texts that reach the driver are bounded
+    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__id")).select(lang, text, "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
     pieces, labels = [], []
     for r in rows:
         own = pieces_of(r[1])
