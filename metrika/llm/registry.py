@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, secret_scan, token_files, toxicity, warc
+from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.query,
     "op6_warc": warc.query,
     "op7_decontamination": decontaminate.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_language_id": language.query,
     "op10_secret_scans": secret_scan.query,
 }
