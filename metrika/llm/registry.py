@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, token_files, toxicity, warc
+from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
+    "op4_substring_dedup": substrings.query,
     "op5_token_files": token_files.query,
     "op6_warc": warc.query,
     "op7_decontamination": decontaminate.query,
