@@ -1,4 +1,386 @@
-"""Named queries of the phonetic engine and their SQL equivalents."""
+"""Named queries of the phonetic engine, each over whole tables, and their SQL equivalents.
 
-QUERIES = {}
-ORACLE_SQL = {}
+`documents` (verse_id = doc_id) feeds what is linear in the text; `benchmark` (verse_id =
+item_id) feeds the scanner. Word pairs come from the seed lexicon.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from metrika.functions import phonology as P
+from metrika.functions import tables as T
+from metrika.operators import audit, components, g2p, kernel, plan, scan, tokenize
+from metrika.plans import oracle as O
+from metrika.sources import lexicon, verses
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Words of a span in the scanner's queries.
+SPAN = 2
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verses.documents(spark, sf_dir).select(F.explode(tokenize.words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("word")).distinct()
+
+
+def _pron(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g2p.pronounce(_words(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pron(spark, sf_dir).select("word", "source", "cost", F.posexplode("prons").alias("variant_idx", "s"))
+
+
+def _scan(spark: SparkSession, sf_dir: str, max_span_words: int = SPAN) -> scan.VerseScan:
+    return scan.scan_verse(verses.benchmark(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark), max_span_words=max_span_words)
+
+
+_ALL_WORDS = f"with recursive {O.words_of('documents')}, {O.LEXICON}, {O.CHAIN}"
+_SYL = f"{_ALL_WORDS}, {O.syllables('pron', 'word, source, cost, variant_idx')}"
+_LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
+_TOKENS = f"""li as (select verse_id, unnest(l) raw, unnest(range(len(l))) line from (select verse_id, case when text is null or text = '' then []::varchar[] when l[len(l)] = '' then l[:len(l) - 1] else l end l from (select @id verse_id, text, {_LINES} l from @table))),
+    tk as (select verse_id, line, unnest(w) word, unnest(range(len(w))) word_idx from (select verse_id, line, regexp_extract_all(raw, '[a-zA-Z'']+') w from li))"""
+
+
+def _tokens(name: str, key: str) -> str:
+    return _TOKENS.replace("@id", key).replace("@table", name)
+
+
+@query(f"with {_tokens('documents', 'doc_id')} select verse_id, line::int line, word_idx::int word_idx, word from tk")
+def tokenize_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.tokenize_verse(verses.documents(spark, sf_dir))
+
+
+@query(f"with {_tokens('documents', 'doc_id')} select verse_id, line::int line, unnest(c) as text, unnest(range(len(c)))::int cell_idx, regexp_matches(unnest(c), '^[a-zA-Z'']') is_word from (select verse_id, line, regexp_extract_all(raw, '[a-zA-Z'']+|[^a-zA-Z'']+') c from li)")
+def verse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.verse_cells(verses.documents(spark, sf_dir))
+
+
+@query(f"{_ALL_WORDS} select word, array_to_string(phones, ' ') phones from lts")
+def g2p_letter_to_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _words(spark, sf_dir).withColumn("phones", F.array_join(g2p.letter_to_sound(F.col("word")), " "))
+    return out.where("phones is not null").select("word", "phones")
+
+
+def _link(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    made = g2p.chain(_words(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
+    return made.select("word", F.posexplode(name).alias("variant_idx", "p")).select("word", "variant_idx", F.array_join("p", " ").alias("phones"))
+
+
+def _link_sql(name: str) -> str:
+    return f"{_ALL_WORDS} select word, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from {name}"
+
+
+@query(_link_sql("slg"))
+def g2p_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link(spark, sf_dir, "slang")
+
+
+@query(f"{_ALL_WORDS} select word, source, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from (select * from ing union all select * from stem)")
+def g2p_g_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _link(spark, sf_dir, "g_drop").withColumn("source", F.lit("g-drop")).unionByName(_link(spark, sf_dir, "stem").withColumn("source", F.lit("stem+-in'")))
+    return rows.select("word", "source", "variant_idx", "phones")
+
+
+@query(_link_sql("ers"))
+def g2p_a_for_er(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _link(spark, sf_dir, "a_for_er")
+
+
+@query(f"{_SYL} select word, source, cost, variant_idx::int variant_idx, array_to_string({O.SYLLABLE_TEXT}, ' . ') phones from sy3")
+def pronounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).select("word", "source", "cost", "variant_idx", P.syllables_text(F.col("s")).alias("phones"))
+
+
+@query(f"{_SYL} select word, variant_idx::int variant_idx, unnest(range(len(s)))::int syl_idx, array_to_string(unnest(s).o, ' ') onset, unnest(s).n nucleus, array_to_string(unnest(s).c, ' ') coda, unnest(s).st stress, array_to_string(list_concat([unnest(s).n], unnest(s).c), ' ') rime from sy3")
+def syllabify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _variants(spark, sf_dir).select("word", "variant_idx", F.posexplode("s").alias("syl_idx", "x"))
+    return rows.select("word", "variant_idx", "syl_idx", F.array_join("x.onset", " ").alias("onset"), F.col("x.nucleus").alias("nucleus"), F.array_join("x.coda", " ").alias("coda"), F.col("x.stress").alias("stress"), F.array_join(P.rime(F.col("x")), " ").alias("rime"))
+
+
+@query(f"{_SYL} select word, variant_idx::int variant_idx, array_to_string(list_transform(s, lambda x: x.n), ' ') skeleton, array_to_string(list_transform(s, lambda x: x.st), ' ') stresses from sy3")
+def vowel_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).select("word", "variant_idx", F.array_join(P.vowel_skeleton(F.col("s")), " ").alias("skeleton"), F.array_join(F.transform(P.stresses(F.col("s")), lambda x: x.cast("string")), " ").alias("stresses"))
+
+
+@query(f"{_SYL} select word, variant_idx::int variant_idx, array_to_string(({O.SYLLABLE_TEXT})[{O.TAIL}:len(s)], ' . ') tail from sy3")
+def rhyme_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).select("word", "variant_idx", P.syllables_text(P.rhyme_tail(F.col("s"))).alias("tail"))
+
+
+_TOP = f"""{_SYL}, n as (select lower(w) word, count(*) c from (select unnest(regexp_extract_all(text, '[a-zA-Z'']+')) w from documents) group by 1),
+    t as (select array_to_string(list_transform(s[{O.TAIL}:len(s)], lambda x: array_to_string(list_concat([x.n], x.c), ' ')), ' . ') tail, sum(c)::bigint tokens, count(*)::bigint words from sy3 join n using (word) where variant_idx = 0 group by 1)
+    select * from t order by tokens desc, tail limit 50"""
+
+
+@query(_TOP)
+def top_rhyme_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 commonest rhyme tails (rimes only) by tokens; each distinct word is pronounced once."""
+    counts = verses.documents(spark, sf_dir).select(F.explode(tokenize.words_of(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("c"))
+    pron = g2p.pronounce(counts.select("word"), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark)).where(F.size("prons") > 0)
+    tail = F.array_join(F.transform(P.rhyme_tail(F.get("prons", F.lit(0))), lambda x: F.array_join(P.rime(x), " ")), " . ")
+    rows = pron.select("word", tail.alias("tail")).join(counts, "word").groupBy("tail").agg(F.sum("c").alias("tokens"), F.count("*").alias("words"))
+    return rows.orderBy(F.col("tokens").desc(), "tail").limit(50)
+
+
+@query(f"""{_ALL_WORDS}, {_tokens('documents', 'doc_id')},
+    f as (select verse_id, lower(word) key, min((line, word_idx, word)) m from tk group by 1, 2),
+    s as (select distinct word, source from pron)
+    select verse_id, m[3] word, coalesce(source, 'oov') source, m[1]::int line, m[2]::int word_idx from f left join s on s.word = f.key where coalesce(source, 'oov') <> 'dictionary'""")
+def word_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = tokenize.tokenize_verse(verses.documents(spark, sf_dir))
+    return g2p.word_provenance(tokens, _pron(spark, sf_dir))
+
+
+_CLUSTERS = f"""with ph(a) as (select unnest([{O.quoted(T.CONSONANTS)}])), cl as (select []::varchar[] c union all select [a] from ph union all select [x.a, y.a] from ph x, ph y union all select [x.a, y.a, z.a] from ph x, ph y, ph z),
+    k as (select c, {O._onset_length('c')} k from cl)
+    select array_to_string(c, ' ') as cluster, k = len(c) legal, array_to_string(c[1:len(c) - k], ' ') coda, array_to_string(c[len(c) - k + 1:len(c)], ' ') onset from k"""
+
+
+@query(_CLUSTERS)
+def split_consonants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster of up to three consonants: whether it is a legal onset, and how it is split between vowels."""
+    one = spark.createDataFrame([(c,) for c in T.CONSONANTS], "a string")
+    x, y, z = (F.broadcast(one.withColumnRenamed("a", n)) for n in "xyz")  # 24 rows
+    key = F.lit(1)
+    pair = x.withColumn("k", key).join(y.withColumn("k", key), "k")
+    triple = pair.join(z.withColumn("k", key), "k")
+    rows = spark.createDataFrame([([],)], "c array<string>").unionByName(one.select(F.array("a").alias("c"))).unionByName(pair.select(F.array("x", "y").alias("c"))).unionByName(triple.select(F.array("x", "y", "z").alias("c")))
+    s = P.split_consonants(F.col("c"))
+    return rows.select(F.array_join("c", " ").alias("cluster"), P.is_legal_onset(F.col("c")).alias("legal"), F.array_join(s["coda"], " ").alias("coda"), F.array_join(s["onset"], " ").alias("onset"))
+
+
+@query(f"with {O.VOWEL_D} select a, b, round(d, 9) distance, round(1 - d, 9) similarity from vd")
+def vowel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.distance_table(spark, T.VOWELS, T.VOWEL_DISTANCES).select("a", "b")
+    return rows.select("a", "b", F.round(P.vowel_distance(F.col("a"), F.col("b")), 9).alias("distance"), F.round(P.vowel_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+@query(f"with {O.CONSONANT_D} select a, b, round(d, 9) distance, round(1 - d, 9) similarity from cd")
+def consonant_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.distance_table(spark, T.CONSONANTS, T.CONSONANT_DISTANCES).select("a", "b")
+    return rows.select("a", "b", F.round(P.consonant_distance(F.col("a"), F.col("b")), 9).alias("distance"), F.round(P.consonant_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
+
+
+_MATRIX = f"""sym(s, i) as ({O.values([(s, i) for i, s in enumerate(T.VOWELS)])}),
+    rw(i, line) as ({O.values(list(enumerate(audit.VOWEL_LOG_ODDS.strip().splitlines())))}),
+    up as (select i, unnest(v)::DOUBLE x, i + unnest(range(len(v))) j from (select i, string_split(line, ' ') v from rw)),
+    lo as (select a.s a, b.s b, x, up.i, up.j from up join sym a on a.i = up.i join sym b on b.i = up.j)"""
+_AUDIT = f"""with {O.VOWEL_D}, {_MATRIX}, p as (select lo.a, lo.b, row_number() over (order by i, j) - 1 pair_idx, 1 - d ours, x corpus from lo join vd on vd.a = lo.a and vd.b = lo.b where i < j),
+    r as (select *, rank() over (order by ours desc) + (count(*) over (partition by ours) - 1) / 2.0 ro, rank() over (order by corpus desc) + (count(*) over (partition by corpus) - 1) / 2.0 rc from p)"""
+
+
+@query(f"with {_MATRIX} select a, b, x log_odds from lo union all select b, a, x from lo where a <> b")
+def parse_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.parse_matrix(spark, T.VOWELS, audit.VOWEL_LOG_ODDS)
+
+
+@query(f"{_AUDIT} select pair_idx::int pair_idx, a, b, round(ours, 6) ours, corpus, ro::DOUBLE rank_ours, rc::DOUBLE rank_corpus from r")
+def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = audit.ranks(audit.ranks(audit.vowel_audit(spark), "ours", "rank_ours"), "corpus", "rank_corpus")
+    return both.withColumn("ours", F.round("ours", 6))
+
+
+@query(f"{_AUDIT} select count(*)::bigint n, round(corr(ro, rc), 6) rho from r")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.spearman(audit.vowel_audit(spark), "ours", "corpus").withColumn("rho", F.round("rho", 6))
+
+
+@query(f"{_AUDIT} select pair_idx::int pair_idx, a, b, round(ours, 6) ours, corpus, ro::DOUBLE rank_ours, rc::DOUBLE rank_corpus, abs(ro - rc)::DOUBLE gap from r order by gap desc, pair_idx limit 10")
+def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rank_report(audit.vowel_audit(spark), "ours", "corpus").withColumn("ours", F.round("ours", 6))
+
+
+_MEANS = " , ".join(f"(select avg(1 - d) from cd where (a, b) in ({', '.join(str(p) for p in pairs)})) {name}" for name, pairs in (("nasal", audit.NASALS), ("oral", audit.ORALS)))
+
+
+@query(f"with {O.CONSONANT_D}, m as (select {_MEANS}) select round(nasal, 6) nasal, round(oral, 6) oral, nasal > oral + 0.05 captured from m")
+def group_mean_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.group_mean_check(spark).withColumn("nasal", F.round("nasal", 6)).withColumn("oral", F.round("oral", 6))
+
+
+def _seed_words(spark: SparkSession) -> DataFrame:
+    return g2p.by_word(lexicon.seed_lexicon(spark)).select("word", F.transform("variants", P.syllabify).alias("variants"))
+
+
+def _seed_tails(spark: SparkSession) -> DataFrame:
+    tail = P.rhyme_tail(P.syllabify(F.col("phones")))
+    return lexicon.seed_lexicon(spark).select("word", "variant_idx", kernel.coded(tail).alias("t"))
+
+
+_PAIRS = f"with recursive {O.SEED_TAILS}, pairs as (select a.id va, b.id vb from var a, var b where a.word < b.word), {O.ALIGN}"
+
+
+@query(f"{_PAIRS} select a.word w1, a.variant_idx::int i1, b.word w2, b.variant_idx::int i2, score, cols::int n_cols, gaps::int n_gaps, path from best join var a on a.id = va join var b on b.id = vb")
+def align_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of all pairs of variants of different seed words; path: d both, a or b alone."""
+    t = _seed_tails(spark)
+    a, b = t.select(F.col("word").alias("w1"), F.col("variant_idx").alias("i1"), F.col("t").alias("a")), t.select(F.col("word").alias("w2"), F.col("variant_idx").alias("i2"), F.col("t").alias("b"))
+    pairs = a.join(F.broadcast(b), F.col("w1") < F.col("w2"))  # the seed lexicon: 107 rows
+    out = kernel.score_tails(pairs, "a", "b")
+    return out.select("w1", "i1", "w2", "i2", F.round("score", 6).alias("score"), F.col("alignment.columns").alias("n_cols"), F.col("alignment.gaps").alias("n_gaps"), F.col("alignment.path").alias("path"))
+
+
+def _word_pairs(spark: SparkSession) -> DataFrame:
+    w = _seed_words(spark).select("word")
+    return w.select(F.col("word").alias("w1")).join(F.broadcast(w.select(F.col("word").alias("w2"))), F.col("w1") < F.col("w2"))
+
+
+@query(f"{_PAIRS} select a.word w1, b.word w2, max(score) score, max(score) >= 0.75 is_rhyme from best join var a on a.id = va join var b on b.id = vb group by 1, 2")
+def best_rhyme_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kernel.best_scores(_word_pairs(spark), _seed_words(spark))
+    return out.select("w1", "w2", F.round("score", 6).alias("score"), (F.col("score") >= kernel.THRESHOLD).alias("is_rhyme"))
+
+
+@query(f"{_PAIRS} select a.word w1, b.word w2, score from best join var a on a.id = va join var b on b.id = vb where a.variant_idx = 0 and b.variant_idx = 0 and score >= 0.75")
+def rhyme_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First variants of seed words that rhyme."""
+    t = _seed_tails(spark).where("variant_idx = 0")
+    a, b = t.select(F.col("word").alias("w1"), F.col("t").alias("a")), t.select(F.col("word").alias("w2"), F.col("t").alias("b"))
+    out = kernel.score_tails(a.join(F.broadcast(b), F.col("w1") < F.col("w2")), "a", "b").where(F.col("score") >= kernel.THRESHOLD)
+    return out.select("w1", "w2", F.round("score", 6).alias("score"))
+
+
+_GROUPS = f"""{_PAIRS}, ed as (select a.word x, b.word y from best join var a on a.id = va join var b on b.id = vb group by 1, 2 having max(score) >= @cut),
+    both as (select x, y from ed union select y, x from ed), nd as (select distinct word from var),
+    reach as (select word, word r from nd union select reach.word, both.y from reach join both on both.x = reach.r)
+    select word, min(r) component from reach group by word"""
+
+
+def _grouped(spark: SparkSession, threshold: float) -> DataFrame:
+    w = _seed_words(spark).withColumn("idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("word")))  # the seed lexicon: 90 rows
+    found = components.group_rhymes(w, threshold)
+    names = w.select(F.col("idx").alias("component"), F.col("word").alias("first"))
+    return found.join(names, "component").select("word", F.col("first").alias("component"))
+
+
+@query(_GROUPS.replace("@cut", "0.75"))
+def group_rhymes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, 0.75)
+
+
+@query(_GROUPS.replace("@cut", "0.92"))
+def group_rhymes_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, 0.92)
+
+
+@query(f"""with recursive {O.LEXICON}, {O.syllables('lex', 'word, variant_idx')},
+    x as (select a.word || ' ' || b.word span, list_concat(a.s, b.s) s, row_number() over (partition by a.word, b.word order by a.variant_idx, b.variant_idx) - 1 variant_idx from sy3 a, sy3 b where a.word < b.word)
+    select span, variant_idx::int variant_idx, span || ': ' || array_to_string({O.SYLLABLE_TEXT}, ' . ') pronunciation from x""")
+def pronunciations_for_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All combinations of variants for each pair of seed words."""
+    spans = _word_pairs(spark).select(F.concat_ws(" ", "w1", "w2").alias("span_id"), F.array("w1", "w2").alias("words"))
+    out = g2p.pronunciations_for_span(spans, lexicon.seed_lexicon(spark))
+    return out.select(F.col("span_id").alias("span"), "variant_idx", P.pronunciation_text(F.col("pronunciation")).alias("pronunciation"))
+
+
+@query(f"""with {_tokens('benchmark', 'item_id')}, g as (select verse_id, line, list(word order by word_idx) w from tk group by 1, 2)
+    select verse_id, line::int line, (s - 1)::int start, k::int n_words, array_to_string(w[s:s + k - 1], ' ') words from g, range(1, 100000) r(s), range(1, 5) q(k) where s + k - 1 <= len(w)""")
+def span_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan.span_ngrams(tokenize.tokenize_verse(verses.benchmark(spark, sf_dir)))
+    return out.select("verse_id", "line", "start", "n_words", F.array_join(F.transform("span", lambda w: w["word"]), " ").alias("words"))
+
+
+_CANDIDATES = f"""with recursive {O.words_of('benchmark')}, {O.LEXICON}, {O.CHAIN}, {O.syllables('pron', 'word, source, cost, variant_idx')}, {_tokens('benchmark', 'item_id')},
+    pr as (select t.verse_id, t.line, t.word_idx, t.word, p.cost, p.variant_idx v, p.s from tk t join sy3 p on p.word = lower(t.word)),
+    one as (select verse_id, line, word_idx start, 1 n_words, word words, word first, cost, s, len(s) k from pr),
+    two as (select a.verse_id, a.line, a.word_idx start, 2 n_words, a.word || ' ' || b.word words, a.word first, a.cost + b.cost as cost, list_concat(a.s, b.s) s, len(a.s) k from pr a join pr b on b.verse_id = a.verse_id and b.line = a.line and b.word_idx = a.word_idx + 1),
+    rd as (select * from one union all select * from two),
+    an as (select *, unnest(range(1, k + 1)) x from rd where lower(first) not in ({O.quoted(scan.NEVER_ANCHOR)})),
+    cn as (select verse_id, line, start, n_words, x - 1 anchor, words, case when s[x].st = 0 or lower(first) in ({O.quoted(scan.FUNCTION_WORDS)}) then 0.15::DOUBLE else 0::DOUBLE end + cost as cost from an where not (s[x].st = 0 and s[x].n = 'AH')),
+    ca as (select verse_id, line::int line, start::int start, n_words::int n_words, anchor::int anchor, words, count(*)::bigint n_readings, round(min(cost), 9) min_cost from cn group by all)"""
+
+
+@query(f"{_CANDIDATES} select * from ca")
+def enumerate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).candidates
+
+
+@query(f"""{_CANDIDATES} select a.verse_id, count(*)::bigint pairs from ca a join ca b on a.verse_id = b.verse_id and b.line between a.line and a.line + 2 and (b.line > a.line or b.start >= a.start + a.n_words) group by 1""")
+def are_pairable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scan(spark, sf_dir).candidates.select(*scan.KEY)
+    return scan.near(found, found).groupBy("verse_id").agg(F.count("*").alias("pairs"))
+
+
+@query()
+def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).matches.withColumn("score", F.round("score", 6))
+
+
+@query()
+def select_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).selected.withColumn("score", F.round("score", 6))
+
+
+@query()
+def scan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir).groups
+
+
+@query()
+def chain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.compound_text(_scan(spark, sf_dir).compounds)
+
+
+@query()
+def scan_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a scan's stages by verse."""
+    s = _scan(spark, sf_dir)
+    out = s.verses.select("verse_id")
+    for name, df in (("candidates", s.candidates), ("matches", s.matches), ("selected", s.selected), ("classes", s.groups.select("verse_id", "class_idx").distinct()), ("provenance", s.provenance)):
+        out = out.join(df.groupBy("verse_id").agg(F.count("*").alias(name)), "verse_id", "left")
+    return out.fillna(0)
+
+
+@query()
+def candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.candidate_best(_scan(spark, sf_dir).selected).withColumn("score", F.round("score", 6))
+
+
+@query()
+def word_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scan(spark, sf_dir)
+    return plan.word_covering(s.groups, plan.candidate_best(s.selected)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def word_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scan(spark, sf_dir)
+    return plan.word_fill(plan.word_covering(s.groups, plan.candidate_best(s.selected))).withColumn("ticks", F.array_join(F.transform("ticks", lambda t: t.cast("string")), ","))
+
+
+@query()
+def slot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.slot_assignment(_scan(spark, sf_dir).groups)
+
+
+@query()
+def legend_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.legend_preview(_scan(spark, sf_dir).groups)
+
+
+@query()
+def compound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.compound_rules(_scan(spark, sf_dir).selected)
+
+
+@query()
+def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.render_html(_scan(spark, sf_dir))
+
+
+@query()
+def render_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.render_terminal(_scan(spark, sf_dir))
