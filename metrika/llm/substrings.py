@@ -36,7 +36,7 @@ from .suffix_array import suffix_array
 
 SPAN = 100
 GRAM = 28
-MOST = 400  # different segments of an anchor that are sorted in one block
+MOST = 4000  # different segments of an anchor that are sorted in one block
 BLOCK = 1 << 16  # bytes of a suffix array
 PART = 1 << 22  # strings of a document that are looked at together
 BROADCAST_BYTES = 32 << 20
