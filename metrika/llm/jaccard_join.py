@@ -43,7 +43,7 @@ from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
-CROWD = 32  # members up to which a region's pairs are compared
+CROWD = 128  # members up to which a region's pairs are compared
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,12 +112,42 @@ def window(n, percent: int = PERCENT):
     return n - -(-n * percent // 100) + 1
 
 
-def signatures(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null: empty) and its window of pivots."""
+def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the global order of pivots: by hash, but frequent ones behind all others."""
+    if not len(frequent) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    late = frequent[at] == s
+    return np.concatenate([s[~late], s[late]]) if late.any() else s
+
+
+def frequent_shingles(docs: DataFrame, text: str = "text", crowd: int = CROWD, part: int = 8, most: int = 1_000_000) -> np.ndarray:
+    """Shingles that are likely to crowd a region, counted in one of `part` documents, sorted.
+
+    They only set the order of pivots, and the join is exact in any order; so a sample does,
+    and if there are more than `most` of them they are left to the recursion.
+    """
+    own = docs.where(F.crc32(F.col("doc_id").cast("string")) % part == 0)
+
+    def run(batches):
+        shingles = Shingler()
+        for batch in batches:
+            found = [shingles(t) for t in batch.column(0).to_pylist()]
+            c, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["c", "n"])
+
+    counts = own.select(F.col(f"`{text}`").cast("string").alias("t")).dropDuplicates(["t"]).mapInArrow(run, "c long, n long")
+    counts = counts.groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, crowd // (2 * part))).select("c")
+    rows = counts.limit(most + 1).toArrow().column(0).to_numpy()
+    return np.sort(rows.view(np.uint64)) if 0 < len(rows) <= most else np.empty(0, np.uint64)
+
+
+def signatures(docs: DataFrame, text: str = "text", percent: int = PERCENT, frequent=None) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null: empty) and its window of pivots. frequent: a broadcast of frequent_shingles()."""
     fields = [("n_shingles", "bigint"), ("digest", "binary"), ("pivots", "array<bigint>")]
 
     def make():
-        shingles = Shingler()
+        shingles, late = Shingler(), frequent.value if frequent is not None else np.empty(0, np.uint64)
 
         def run(texts):
             n, digest, pivots = [], [], []
@@ -125,7 +155,7 @@ def signatures(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> D
                 s = shingles(t)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                pivots.append(s[: window(len(s), percent)].view(np.int64) if len(s) else np.empty(0, np.int64))
+                pivots.append(in_order(s, late)[: window(len(s), percent)].view(np.int64) if len(s) else np.empty(0, np.int64))
             offsets = np.cumsum([0] + [len(p) for p in pivots])
             flat = np.concatenate(pivots) if pivots else np.empty(0, np.int64)
             return [n, digest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
@@ -164,8 +194,20 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double, linked boolean")
 
 
-def further(docs: DataFrame, crowded: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(c, id, n): the pivots that enter a document's window when its crowded ones (id, held) leave it."""
+def widened(n: int, free: np.ndarray, percent: int = PERCENT) -> int:
+    """How far a window goes if only the elements marked free count: 1, 2, 4, ... times a size, until enough are free."""
+    k = window(n, percent)
+    m = 2 * k + 32
+    while m < n and int(free[:m].sum()) < k:
+        m *= 2
+    return min(m, n)
+
+
+def further(docs: DataFrame, crowded: DataFrame, frequent, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(c, id, n): the pivots that enter a document's window when its crowded ones (id, held) leave it.
+
+    A window grows by more than it needs, in few steps, so that most documents grow once.
+    """
     own = docs.select(F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("__t")).join(crowded, "id")
 
     def run(batches):
@@ -173,11 +215,13 @@ def further(docs: DataFrame, crowded: DataFrame, text: str = "text", percent: in
         for batch in batches:
             c, ids, n = [], [], []
             for i, text_, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                s = shingles(text_)
+                s = in_order(shingles(text_), frequent.value)
                 k = window(len(s), percent)
-                free = s[~np.isin(s.view(np.int64), np.asarray(held, np.int64))]
-                first = s[k - 1] if len(s) else np.uint64(0)
-                new = free[:k][free[:k] > first].view(np.int64)
+                free = ~np.isin(s.view(np.int64), np.asarray(held, np.int64))
+                if int(free[:k].sum()) == k:
+                    continue
+                m = widened(len(s), free, percent)
+                new = s[k:m][free[k:m]].view(np.int64)
                 c.append(new)
                 ids.append(np.full(len(new), i))
                 n.append(np.full(len(new), len(s)))
@@ -192,7 +236,8 @@ class Join:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, crowd: int = CROWD):
         self.spark, self.docs, self.text, self.percent, self.crowd = spark, docs, text, percent, crowd
-        self.signed = stored(spark, signatures(docs, text, percent), "signatures")
+        self.frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, crowd))
+        self.signed = stored(spark, signatures(docs, text, percent, self.frequent), "signatures")
         self.classes = stored(spark, self.signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
         self.edges: list[DataFrame] = []
         self.known, self.known_edges = None, 0
@@ -262,7 +307,7 @@ class Join:
         """(all rows by which the documents' windows grew, held): crowded pivots that a window reaches are held too."""
         while True:
             lists = held.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("c").alias("held"))  # a set's shingles at most
-            new = self.keep(further(self.docs, lists, self.text, self.percent), "further")
+            new = self.keep(further(self.docs, lists, self.frequent, self.text, self.percent), "further")
             reached = new.join(held.select("c").distinct(), "c", "left_semi").join(held.select("c", "id"), ["c", "id"], "left_anti")
             reached = self.keep(reached, "reached")
             if not reached.limit(1).count():
@@ -310,15 +355,17 @@ class Join:
         at most twice the link distance; the pivots themselves are done, as all is measured to them.
         """
         k = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        stuck = held.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("n") - F.col("k") < k).select("id")
-        rows = self.keep(held.join(stuck, "id", "left_semi"), "stuck")
+        listed = held.groupBy("id", "n").agg(F.array_sort(F.collect_list("c")).alias("all"))  # a set's shingles at most
+        # what a window of the final order (free ones first, then held ones by hash) still reaches
+        reach = k - (F.col("n") - F.size("all"))
+        rows = listed.where(reach > 0).select(F.explode(F.slice("all", F.lit(1), reach.cast("int"))).alias("c"), "id", "n")
+        rows = self.keep(rows, "stuck")
         gap, turn = 2 * (100 - self.percent) / 100 + 1e-9, 0
         while rows.limit(1).count():
-            own = self.unsettled(rows).drop("comp", "members", "low", "high")
-            own = self.keep(self.star(self.keep(own, "stuck"), f"near{turn}"), "stuck")
-            own = self.keep(self.unsettled(own), "stuck")
-            self.cross(own.where(F.col("members") <= self.crowd), f"stuck{turn}")
-            own = own.where(F.col("members") > self.crowd)
+            own = self.keep(self.unsettled(rows), "stuck")
+            own = self.keep(self.star(own, f"near{turn}"), "stuck")
+            self.cross(own.where(F.col("members") <= 2 * self.crowd), f"stuck{turn}")
+            own = own.where(F.col("members") > 2 * self.crowd)
             far = own.groupBy("c").agg(F.max(F.struct(F.col("low").alias("l"), F.xxhash64("id").alias("h"), F.col("id").alias("q"), F.col("n").alias("qn"))).alias("s"))
             own = self.keep(self.to_pivot(own.join(far.select("c", "s.q", "s.qn"), "c"), f"far{turn}", "q", "qn", ("qlow", "qhigh")), "cells")
             own = own.where("id <> p and id <> q")
