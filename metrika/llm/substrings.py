@@ -9,8 +9,8 @@ doc_id, or before it in its document; the input decides, not what is left.
    Each task takes equal segments of its documents together: all but the first repeat.
 2. Rows meet by the anchor's hash. Lone anchors go. Of equal segments all but the first
    repeat whole. Anchors with several different segments go on, each segment's first place.
-3. Those segments' bytes are fetched from their documents, dealt out by anchor and sorted in
-   bounded blocks by suffix_array(); in its order, suffixes that share `span` bytes stand
+3. Those segments' bytes are fetched from their documents, dealt out by anchor, cut to what
+   can agree with another one and sorted in bounded blocks by suffix_array(); in its order, suffixes that share `span` bytes stand
    together, and all but each class's first place repeat.
    Anchors with over MOST different segments don't fit a block: their strings are compared
    one by one through 128-bit hashes instead, grouped by string.
@@ -39,7 +39,7 @@ GRAM = 28
 MOST = 4000  # different segments of an anchor that are sorted in one block
 BLOCK = 1 << 16  # bytes of a suffix array
 PART = 1 << 22  # strings of a document that are looked at together
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 class Prints:
@@ -218,9 +218,9 @@ def by_document(spark: SparkSession, rows: DataFrame, columns: list[str]) -> Dat
 
 
 def segments(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """f, hot, rid, start, bytes of the segments' rows."""
-    rows = rows.select("f", F.col("seg").alias("hot"), "rid", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    wanted = by_document(spark, rows.select("rid", F.struct("f", "hot", "start", "end").alias("s")), ["s"])
+    """f, hot, rid, start, left (bytes before the anchor) and bytes (body) of the segments' rows."""
+    rows = rows.select("f", F.col("seg").alias("hot"), "rid", "left", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    wanted = by_document(spark, rows.select("rid", F.struct("f", "hot", "start", "end", "left").alias("s")), ["s"])
     own = docs.select("rid", "text").dropDuplicates(["rid"]) if "rid" not in docs.columns else docs.select("rid", "text")
     joined = own.join(wanted, F.col("rid") == F.col("__rid")).select("rid", "text", F.col("l_s").alias("s"))
 
@@ -229,11 +229,11 @@ def segments(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame
             for i in range(batch.num_rows):
                 rid, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
                 flat = batch.column(2).slice(i, 1).flatten()
-                f, hot, start, end = (flat.field(k) for k in range(4))
+                f, hot, start, end, left = (flat.field(k) for k in range(5))
                 body = [raw[a:b] for a, b in zip(start.to_pylist(), end.to_pylist())]
-                yield pa.RecordBatch.from_arrays([f, hot, pa.array([rid] * len(body), pa.int64()), start, pa.array(body, pa.binary())], names=["f", "hot", "rid", "start", "body"])
+                yield pa.RecordBatch.from_arrays([f, hot, pa.array([rid] * len(body), pa.int64()), start, left, pa.array(body, pa.binary())], names=["f", "hot", "rid", "start", "left", "body"])
 
-    return joined.mapInArrow(run, "f long, hot long, rid long, start long, body binary")
+    return joined.mapInArrow(run, "f long, hot long, rid long, start long, left long, body binary")
 
 
 def repeats_in(block: list[tuple], span: int = SPAN) -> list[tuple[int, int, int]]:
@@ -260,35 +260,60 @@ def repeats_in(block: list[tuple], span: int = SPAN) -> list[tuple[int, int, int
     return out
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def _most_common(parts: list[bytes]) -> list[int]:
+    """For each part its longest common prefix with another one: neighbours in sorted order have it."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(group: list[tuple], span: int = SPAN) -> list[tuple]:
+    """(rid, start, bytes) of an anchor's segments (rid, start, bytes, left), cut to what can match another one.
+
+    Equal strings of one anchor agree from the anchor on and before it; what agrees with no other
+    segment on either side is in no string that occurs twice here.
+    """
+    after = _most_common([body[left:] for _, _, body, left in group])
+    before = _most_common([body[:left][::-1] for _, _, body, left in group])
+    return [(rid, start + left - x, body[left - x : left + y]) for (rid, start, body, left), x, y in zip(group, before, after) if x + y >= span]
+
+
 def sort_segments(rows: DataFrame, span: int = SPAN) -> DataFrame:
     """rid, start, end: repeats among the segments of each anchor, whole anchors in blocks of about BLOCK bytes."""
     dealt = rows.repartition("f").sortWithinPartitions("f", "rid", "start")
 
     def run(batches):
-        block, size, last = [], 0, None
-        out: list = []
-
-        def flush():
-            nonlocal block, size
-            found = repeats_in(block, span)
-            block, size = [], 0
-            return found
-
+        block, size, last, group, out = [], 0, None, [], []
         for batch in batches:
-            for f, rid, start, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if f != last and size >= BLOCK:
-                    out += flush()
-                if len(out) > 50_000:
-                    yield _rows(out)
-                    out = []
-                block.append((rid, start, body))
-                size += len(body)
+            for f, rid, start, body, left in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if f != last and group:
+                    own, group = trimmed(group, span), []
+                    block += own
+                    size += sum(len(x[2]) for x in own)
+                    if size >= BLOCK:
+                        out += repeats_in(block, span)
+                        block, size = [], 0
+                    if len(out) > 50_000:
+                        yield _rows(out)
+                        out = []
+                group.append((rid, start, body, left))
                 last = f
-        out += flush()
+        out += repeats_in(block + trimmed(group, span), span)
         if out:
             yield _rows(out)
 
-    return dealt.select("f", "rid", "start", "body").mapInArrow(run, "rid long, start long, end long")
+    return dealt.select("f", "rid", "start", "body", "left").mapInArrow(run, "rid long, start long, end long")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
