@@ -23,14 +23,18 @@ def no_syllables() -> Column:
     return F.array().cast(f"array<{SYLLABLE}>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside lambdas every mention of an expression is computed anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def base_phoneme(p: Column) -> Column:
-    return F.regexp_replace(p, r"\d$", "")
+    return F.translate(p, "0123456789", "")
 
 
 def stress_digit(p: Column) -> Column:
     """The trailing digit, or null."""
-    digit = F.regexp_extract(p, r"(\d)$", 1)
-    return F.when(digit != "", digit.cast("int"))
+    return F.right(p, F.lit(1)).try_cast("int")
 
 
 def is_vowel(p: Column) -> Column:
@@ -58,27 +62,27 @@ def split_consonants(cluster: Column) -> Column:
 
 def syllabify(phones: Column) -> Column:
     """Syllables of an array of phones: one a vowel; none without a vowel."""
-    n = F.size(phones)
-    at = F.filter(F.transform(phones, lambda p, i: F.when(is_vowel(p), i)), lambda i: i.isNotNull())
-
-    def gap(k):
-        """Consonants between vowels k and k + 1."""
-        a, b = F.get(at, k), F.get(at, k + 1)
-        return F.slice(phones, a + 2, b - a - 1)
-
-    def one(v, k):
-        onset = F.when(k == 0, F.slice(phones, 1, v)).otherwise(split_consonants(gap(F.greatest(k - 1, F.lit(0))))["onset"])
-        last = k == F.size(at) - 1
-        coda = F.when(last, F.slice(phones, v + 2, n)).otherwise(split_consonants(gap(F.least(k, F.size(at) - 2)))["coda"])
-        p = F.get(phones, v)
-        return F.struct(onset.alias("onset"), base_phoneme(p).alias("nucleus"), coda.alias("coda"), F.coalesce(stress_digit(p), F.lit(0)).alias("stress"))
-
-    several = F.transform(at, one)
-    # with one vowel there is no gap to look at
-    v = F.get(at, F.lit(0))
-    p = F.get(phones, v)
-    alone = F.array(F.struct(F.slice(phones, 1, v).alias("onset"), base_phoneme(p).alias("nucleus"), F.slice(phones, v + 2, n).alias("coda"), F.coalesce(stress_digit(p), F.lit(0)).alias("stress")))
-    return F.when(F.size(at) == 0, no_syllables()).when(F.size(at) == 1, alone).otherwise(several)
+
+    def whole(ph, at):
+        """ph: phones; at: places of the vowels."""
+        # consonants before each vowel that are its onset: all before the first, else as many as are legal
+        gap = lambda k: F.slice(ph, F.get(at, k - 1) + 2, F.get(at, k) - F.get(at, k - 1) - 1)
+        onsets = F.transform(at, lambda v, k: F.when(k == 0, v).otherwise(let(gap(F.greatest(k, F.lit(1))), onset_length)))
+        return let(onsets, lambda own: F.transform(at, lambda v, k: one(ph, at, own, v, k)))
+
+    def one(ph, at, own, v, k):
+        end = F.when(k == F.size(at) - 1, F.size(ph)).otherwise(F.get(at, k + 1) - F.get(own, k + 1))
+        p = F.get(ph, v)
+        return F.struct(
+            F.slice(ph, v - F.get(own, k) + 1, F.get(own, k)).alias("onset"),
+            base_phoneme(p).alias("nucleus"),
+            F.slice(ph, v + 2, end - v - 1).alias("coda"),
+            F.coalesce(stress_digit(p), F.lit(0)).alias("stress"),
+        )
+
+    places = lambda ph: F.filter(F.transform(ph, lambda p, i: F.when(is_vowel(p), i)), lambda i: i.isNotNull())
+    found = let(phones, lambda ph: let(places(ph), lambda at: F.when(F.size(at) == 0, no_syllables()).otherwise(whole(ph, at))))
+    return F.when(phones.isNotNull(), found)
 
 
 def rime(syllable: Column) -> Column:

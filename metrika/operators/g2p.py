@@ -29,33 +29,35 @@ def cleaned(word: Column) -> Column:
     s = F.replace(F.lower(word), F.lit("'"), F.lit(""))
     s = F.regexp_replace(s, r"(.)\1{2,}", "$1")
     s = F.regexp_replace(s, r"([^aeiou])\1", "$1")
-    n = F.length(s)
-    before = F.substring(s, -2, 1)
-    silent = s.endswith("e") & ~before.isin(*"aeiouy")
-    return F.when((n > 2) & (s.endswith("ie") | silent), F.substring(s, F.lit(1), n - 1)).otherwise(s)
+    # of three letters or more: "ie" loses its e, and so does an e after a consonant
+    return F.regexp_replace(s, r"^(.+[^aeouy])e$", "$1")
 
 
 def letter_to_sound(word: Column) -> Column:
     """Phones guessed from a spelling; null without a vowel or with anything but letters and apostrophes."""
-    parts = F.regexp_extract_all(cleaned(word), F.lit(f"({PATTERN}|.)"), 1)
     table = F.create_map(*[x for k, v in SOUNDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
-    def sound(t, i):
-        last = i == F.size(parts) - 1
-        soft = F.coalesce(F.substring(F.get(parts, i + 1), 1, 1).isin("e", "i", "y"), F.lit(False))
-        by_place = (
-            F.when(t == "c", F.when(soft, F.array(F.lit("S"))).otherwise(F.array(F.lit("K"))))
-            .when(t == "y", F.when(i == 0, F.array(F.lit("Y"))).when(last, F.array(F.lit("IY"))).otherwise(F.array(F.lit("IH"))))
-            .when((t == "i") & last, F.array(F.lit("IY")))
-        )
-        return F.coalesce(by_place, F.element_at(table, t), P.no_strings())
-
-    phones = F.flatten(F.transform(parts, sound))
-    vowel_places = F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), i))
-    first = F.array_min(vowel_places)
-    stressed = F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), F.concat(p, F.when(i == first, "1").otherwise("0"))).otherwise(p))
+    def phones_of(parts):
+        def sound(t, i):
+            last = i == F.size(parts) - 1
+            soft = F.coalesce(F.substring(F.get(parts, i + 1), 1, 1).isin("e", "i", "y"), F.lit(False))
+            by_place = (
+                F.when(t == "c", F.when(soft, F.array(F.lit("S"))).otherwise(F.array(F.lit("K"))))
+                .when(t == "y", F.when(i == 0, F.array(F.lit("Y"))).when(last, F.array(F.lit("IY"))).otherwise(F.array(F.lit("IH"))))
+                .when((t == "i") & last, F.array(F.lit("IY")))
+            )
+            return F.coalesce(by_place, F.element_at(table, t), P.no_strings())
+
+        return F.flatten(F.transform(parts, sound))
+
+    def stressed(phones):
+        first = F.array_min(F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), i)))
+        digits = lambda k: F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), F.concat(p, F.when(i == k, "1").otherwise("0"))).otherwise(p))
+        return P.let(first, lambda k: F.when(k.isNotNull(), digits(k)))
+
+    parts = F.regexp_extract_all(cleaned(word), F.lit(f"({PATTERN}|.)"), 1)
     letters = F.replace(F.lower(word), F.lit("'"), F.lit("")).rlike(r"^\p{L}+$")
-    return F.when(letters & first.isNotNull(), stressed)
+    return F.when(letters, P.let(P.let(parts, phones_of), stressed))
 
 
 def by_word(lexicon: DataFrame) -> DataFrame:
@@ -102,12 +104,7 @@ def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
     )
 
 
-def mint(variants: Column) -> Column:
-    """Syllables of each variant that has any; null stays null."""
-    return F.filter(F.transform(variants, P.syllabify), lambda s: F.size(s) > 0)
-
-
-SOURCES = [("g_drop", "g-drop"), ("stem", "stem+-in'"), ("a_for_er", "-a-for-er"), ("letters", "letter-to-sound")]
+SOURCES = [("dictionary", "dictionary"), ("slang", "lexicon"), ("g_drop", "g-drop"), ("stem", "stem+-in'"), ("a_for_er", "-a-for-er"), ("letters", "letter-to-sound")]
 
 
 def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
@@ -118,16 +115,18 @@ def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFra
     """
     distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
     made = chain(distinct, lexicon, slang)
-    for name in ("dictionary", "slang", *[s for s, _ in SOURCES]):
-        made = made.withColumn(name, mint(F.col(name)))
-    source, prons = F.lit("oov"), F.array().cast(f"array<array<{P.SYLLABLE}>>")
-    for name, label in reversed(SOURCES):
-        has = F.coalesce(F.size(name) > 0, F.lit(False)) & F.col(name).isNotNull()
-        source, prons = F.when(has, F.lit(label)).otherwise(source), F.when(has, F.col(name)).otherwise(prons)
-    for name, label in (("slang", "lexicon"), ("dictionary", "dictionary")):
-        source, prons = F.when(F.col(name).isNotNull(), F.lit(label)).otherwise(source), F.when(F.col(name).isNotNull(), F.col(name)).otherwise(prons)
-    out = made.select("word", source.alias("source"), prons.alias("prons"))
-    return out.withColumn("cost", F.when(F.col("source") == "letter-to-sound", GUESS_COST).otherwise(0.0)).select("word", "source", "cost", "prons")
+    links = []
+    for name, label in SOURCES:
+        link = F.struct(F.lit(label).alias("source"), F.col(name).alias("variants"))
+        has = F.col(name).isNotNull()
+        if name in ("g_drop", "stem", "a_for_er"):
+            has = has & F.exists(name, lambda v: F.exists(v, P.is_vowel))
+        links.append(F.when(has, link))
+    out = made.select("word", F.coalesce(*links).alias("found"))
+    out = out.select("word", F.coalesce("found.source", F.lit("oov")).alias("source"), F.col("found.variants").alias("variants"))
+    prons = F.filter(F.transform("variants", P.syllabify), lambda s: F.size(s) > 0)
+    cost = F.when(F.col("source") == "letter-to-sound", GUESS_COST).otherwise(0.0)
+    return out.select("word", "source", cost.alias("cost"), F.coalesce(prons, F.array().cast(f"array<array<{P.SYLLABLE}>>")).alias("prons"))
 
 
 def word_provenance(tokens: DataFrame, pron: DataFrame) -> DataFrame:

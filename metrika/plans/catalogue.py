@@ -254,8 +254,8 @@ def rhyme_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GROUPS = f"""{_PAIRS}, ed as (select a.word x, b.word y from best join var a on a.id = va join var b on b.id = vb group by 1, 2 having max(score) >= @cut),
-    both as (select x, y from ed union select y, x from ed), nd as (select distinct word from var),
-    reach as (select word, word r from nd union select reach.word, both.y from reach join both on both.x = reach.r)
+    sym as (select x, y from ed union select y, x from ed), nd as (select distinct word from var),
+    reach as (select word, word r from nd union select reach.word, sym.y from reach join sym on sym.x = reach.r)
     select word, min(r) component from reach group by word"""
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REFERENCE = r"(\S+(?: \S+)*?)@(\d+)\.(\d+)(?:-(\d+))?"
+REFERENCE = r"([^@\s][^@]*?)@(\d+)\.(\d+)(?:-(\d+))?(?=\s|$)"
 
 
 def parse_annotations(df: DataFrame) -> DataFrame:
