@@ -36,6 +36,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are stored; it does so when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list:
     return column.to_pylist()
 

@@ -25,7 +25,7 @@ for the shingles (equal shingles always have equal hashes).
 
 Defined cases: without words or text a set is empty and links with nothing; a null doc_id
 belongs to the class of its text's set; repeated rows belong to one class; texts are used
-whole; an empty table gives no rows.
+whole; a doc_id with several texts takes part with one of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, table
+from .common import map_texts, release, stored, table
 from .decontaminate import small
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
+PAIRS, PIVOT_BYTES = 300_000, 16 << 20  # what may be broadcast, by count
 CROWD = 128  # members up to which a region's pairs are compared
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -165,7 +166,7 @@ def signatures(docs: DataFrame, text: str = "text", percent: int = PERCENT, freq
     return map_texts(docs, ["doc_id"], text, fields, make)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text", unique: bool = False) -> DataFrame:
     """(id, set): the sorted shingles, as bytes, of the documents whose id is in ids (a column, id)."""
     own = docs.select(F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("__t")).join(small(ids), "id", "left_semi")
 
@@ -173,12 +174,24 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
         shingles = Shingler()
         return lambda texts: [[shingles(t).tobytes() for t in texts]]
 
-    return map_texts(own, ["id"], "__t", [("set", "binary")], make).dropDuplicates(["id"])
+    out = map_texts(own, ["id"], "__t", [("set", "binary")], make)
+    return out if unique else out.dropDuplicates(["id"])
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, d and linked for the distinct pairs (a, b)."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    """a, b, d and linked for the distinct pairs (a, b).
+
+    Few pairs go to the sets, not the sets to the pairs, and so do the sets of few second
+    members (pivots): then no set is shuffled.
+    """
+    x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    if pairs.limit(PAIRS + 1).count() <= PAIRS:
+        y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        size = y.agg(F.sum(F.length("y") + 64)).first()[0] or 0
+        both = x.join(F.broadcast(pairs), "a").join(F.broadcast(y) if size <= PIVOT_BYTES else y, "b")
+    else:
+        both = pairs.join(x, "a").join(y, "b")
 
     def run(batches):
         for batch in batches:
@@ -239,6 +252,8 @@ class Join:
         self.frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, crowd))
         self.signed = stored(spark, signatures(docs, text, percent, self.frequent), "signatures")
         self.classes = stored(spark, self.signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+        ids = self.signed.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+        self.unique = ids["n"] == ids["d"]
         self.edges: list[DataFrame] = []
         self.known, self.known_edges = None, 0
 
@@ -261,7 +276,8 @@ class Join:
         return self.known
 
     def measure(self, pairs: DataFrame, name: str) -> DataFrame:
-        found = self.keep(distances(pairs, self.sets, self.percent), name)
+        found = self.keep(distances(self.keep(pairs, "pairs"), self.sets, self.percent), name)
+        release(self.spark)
         linked = found.where("linked").select("a", "b")
         if linked.limit(1).count():
             self.edges.append(linked)
@@ -319,7 +335,7 @@ class Join:
         base = self.windows()
         shared = base.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
         rows = self.keep(base.join(shared, "c"), "regions")
-        self.sets = self.keep(sets_of(self.docs, rows.select("id").distinct(), self.text), "sets")
+        self.sets = self.keep(sets_of(self.docs, rows.select("id").distinct(), self.text, self.unique), "sets")
         held = grown = None
         turn = 0
         while True:
@@ -346,7 +362,7 @@ class Join:
     def more_sets(self, rows: DataFrame) -> None:
         ids = self.keep(rows.select("id").distinct().join(self.sets.select("id"), "id", "left_anti"), "ids")
         if ids.limit(1).count():
-            self.sets = self.sets.unionByName(self.keep(sets_of(self.docs, ids, self.text), "sets"))
+            self.sets = self.sets.unionByName(self.keep(sets_of(self.docs, ids, self.text, self.unique), "sets"))
 
     def settle(self, held: DataFrame) -> None:
         """Regions of crowded pivots, for the documents whose windows still reach those: split by two document pivots each.
