@@ -38,11 +38,6 @@ def shingles(of: Column, size: int = SHINGLE) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(of, " "))).otherwise(several)
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: inside lambdas every mention of an expression is computed anew."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -50,7 +45,8 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def item_shingles(items: DataFrame, text: str = "text") -> DataFrame:
     """item, n (distinct shingles), shingle: a row for each distinct shingle of each distinct item text."""
-    own = items.select(F.col("item_id").alias("item"), F.array_distinct(let(words(F.col(f"`{text}`")), shingles)).alias("all"))
+    # the words are a column of their own, so that lambdas don't split the text anew for each shingle
+    own = items.select(F.col("item_id").alias("item"), words(F.col(f"`{text}`")).alias("w")).select("item", F.array_distinct(shingles(F.col("w"))).alias("all"))
     return own.where(F.size("all") > 0).distinct().select("item", F.size("all").cast("long").alias("n"), F.explode("all").alias("shingle"))
 
 
@@ -90,7 +86,7 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str
     found = stored(spark, search(docs, sketches(rows, percent), text, percent), "found")
     keys = small(found.select("key").distinct())
     kept = keyed(docs, text).join(keys, "key", "left_semi")
-    own = kept.select("doc_id", "key", F.explode(F.array_distinct(let(words(F.col("text")), shingles))).alias("shingle"))
+    own = kept.select("doc_id", "key", words(F.col("text")).alias("w")).select("doc_id", "key", F.explode(F.array_distinct(shingles(F.col("w")))).alias("shingle"))
     pairs = own.join(small(rows), "shingle").join(found, ["key", "item"], "left_semi")
     counted = pairs.groupBy("doc_id", "key", "item", "n").agg(F.countDistinct("shingle").alias("shared"))
     return counted.where(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id", "key", "item", "shared", "n")

@@ -352,10 +352,10 @@ def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(6)
     body = [prose(rng, 80) for _ in range(60)]
     item = prose(rng, 20)
-    body += [body[0], body[1] + " again", body[2] + " " + item, body[3] + " token=abcdefgh12", "tiny", None]
+    body += [body[0], body[1] + " again", body[2] + " " + item, prose(rng, 40) + " token=abcdefgh12", "tiny", None]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(body)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(64)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = []
@@ -372,5 +372,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept[1]) == want - {60, 61}
     # 62 holds the item and 2 doesn't
     assert set(kept[2]) == want - {60, 61, 62}
-    assert kept[3][63] == body[3] + " [SECRET]" and kept[3][5] == body[5]
+    assert kept[3][63] == body[63].replace("token=abcdefgh12", "[SECRET]") and kept[3][5] == body[5]
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} == set(kept[3])
