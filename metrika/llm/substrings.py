@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, table
+from .common import release, stored, table
 from .jaccard_join import _BYTES, _MULT, _mix, _powers
 from .suffix_array import suffix_array
 
@@ -348,9 +348,11 @@ def compare_strings(spark: SparkSession, rows: DataFrame, span: int = SPAN) -> D
 def find(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """rid, start, end: what repeats; docs from identified()."""
     met = stored(spark, meet(prints(docs, span, gram)), "met")
+    release(spark)  # the anchors' shuffle files
     out = met.where("right < 0").select("rid", F.col("place").alias("start"), F.col("left").alias("end"))
     several = met.where("right >= 0")
     parts = stored(spark, segments(spark, docs, several), "segments")
+    release(spark)
     out = out.unionByName(sort_segments(parts.where("hot = 0"), span))
     if several.where("seg = 1").limit(1).count():
         out = out.unionByName(compare_strings(spark, parts.where("hot = 1"), span))
