@@ -31,6 +31,7 @@ from .common import new_folder, open_folder, table
 
 RANGE = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/1."
 LEAST = 1000
 _CHUNK = 1 << 16
 
@@ -106,8 +107,22 @@ def _inflate(stream, at: int, size: int, first: bytes):
     unpacker, out, data, place = zlib.decompressobj(31), [], first, at
     try:
         head = unpacker.decompress(data, 1 << 12)
-        if not head.startswith(b"WARC/1."):
-            return None
+        while True:
+            # `first` may end inside the member's header: what there is of the version line is judged
+            if head[: len(VERSION)] != VERSION[: len(head)]:
+                return None
+            if len(head) >= len(VERSION):
+                break
+            if unpacker.eof:
+                return None
+            rest = unpacker.unconsumed_tail
+            if not rest:
+                place += len(data)
+                stream.seek(place)
+                data = rest = stream.read(_CHUNK)
+                if not rest:
+                    return None
+            head += unpacker.decompress(rest, 1 << 12)
         out.append(head)
         while not unpacker.eof:
             rest = unpacker.unconsumed_tail
