@@ -17,8 +17,8 @@ from metrika.sources import lexicon, verses
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Words of a span in the scanner's queries.
-SPAN = 2
+#: Words of a span in the two queries whose SQL states one and two words; all others take the scanner's default.
+SQL_SPAN = 2
 
 
 def query(sql: str | None = None):
@@ -43,7 +43,7 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pron(spark, sf_dir).select("word", "source", "cost", F.posexplode("prons").alias("variant_idx", "s"))
 
 
-def _scan(spark: SparkSession, sf_dir: str, max_span_words: int = SPAN) -> scan.VerseScan:
+def _scan(spark: SparkSession, sf_dir: str, max_span_words: int = scan.MAX_SPAN_WORDS) -> scan.VerseScan:
     return scan.scan_verse(verses.benchmark(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark), max_span_words=max_span_words)
 
 
@@ -305,12 +305,12 @@ _CANDIDATES = f"""with recursive {O.words_of('benchmark')}, {O.LEXICON}, {O.CHAI
 
 @query(f"{_CANDIDATES} select * from ca")
 def enumerate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, sf_dir).candidates
+    return _scan(spark, sf_dir, SQL_SPAN).candidates
 
 
 @query(f"""{_CANDIDATES} select a.verse_id, count(*)::bigint pairs from ca a join ca b on a.verse_id = b.verse_id and b.line between a.line and a.line + 2 and (b.line > a.line or b.start >= a.start + a.n_words) group by 1""")
 def are_pairable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _scan(spark, sf_dir).candidates.select(*scan.KEY)
+    found = _scan(spark, sf_dir, SQL_SPAN).candidates.select(*scan.KEY)
     return scan.near(found, found).groupBy("verse_id").agg(F.count("*").alias("pairs"))
 
 
