@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base counts are made for every whole text; from them come rule scores (higher is worse).
-For each stratum (language) and rule, labelled documents form a holdout. A cutoff is
-admissible if the exact (Clopper-Pearson) upper bound on the share of good documents it
-rejects is at most `risk`, at confidence 1 - delta corrected (Bonferroni) over all strata,
-rules and cutoffs that are tried. Among admissible cutoffs the one with the best balance of
-rejected bad and good documents is used, so every choice keeps its guarantee. A stratum
-without an admissible useful cutoff has no rule beyond the base.
+For each stratum (language) and rule, labelled documents form a holdout. Each cutoff gets the
+exact (Clopper-Pearson) upper bound on the share of good documents it rejects, at confidence
+1 - delta corrected (Bonferroni) over all strata, rules and cutoffs that are tried. A stratum's
+cutoffs are taken by the best balance of rejected bad and good documents, at most one a rule,
+as long as their bounds add up to at most `risk`: the guarantee holds for the joint verdict,
+the union of the rules. A stratum without an admissible useful cutoff has no rule beyond the base.
 
 Defined cases: null text counts as no words (base fails); a null or unseen stratum has no
 rules; documents without a label never calibrate; several labels of a doc_id count as one
@@ -133,18 +133,29 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def choose(counts: dict, risk: float, delta: float, good_weight: float) -> dict:
-    """{(stratum, rule): index of its cutoff} from {(stratum, rule): (good by bin, bad by bin)}; bin b: over b cutoffs."""
+    """{(stratum, rule): index of its cutoff} from {(stratum, rule): (good by bin, bad by bin)}; bin b: over b cutoffs.
+
+    All bounds hold at once, so the bounds of a stratum's chosen cutoffs may be added: their sum,
+    a bound for the union of its rules, is at most `risk`, however they are chosen.
+    """
     tests = sum(len(RULES[r]) for _, r in counts) or 1
-    out = {}
+    tried: dict = {}
     for (stratum, rule), (good, bad) in counts.items():
         over_good, over_bad = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-        n_good, n_bad, best = int(good.sum()), int(bad.sum()), 0.0
+        n_good, n_bad = int(good.sum()), int(bad.sum())
         for j in range(len(RULES[rule])):
             g, b = int(over_good[j + 1]), int(over_bad[j + 1])
             gain = b / max(1, n_bad) - good_weight * g / max(1, n_good)
-            # >= : of equally good cutoffs the highest, which rejects least
-            if b and gain >= best and upper_bound(g, n_good, delta / tests) <= risk:
-                best, out[stratum, rule] = gain, j
+            if b and gain >= 0 and (bound := upper_bound(g, n_good, delta / tests)) <= risk:
+                tried.setdefault(stratum, []).append((gain, j, rule, bound))
+    out = {}
+    for stratum, all_ in tried.items():
+        left = risk
+        # the rule of most gain first; of equally good cutoffs the highest, which rejects least
+        for _, j, rule, bound in sorted(all_, key=lambda x: (-x[0], -x[1], x[2])):
+            if (stratum, rule) not in out and bound <= left:
+                out[stratum, rule] = j
+                left -= bound
     return out
 
 
