@@ -6,6 +6,11 @@ segmented by dynamic programming into dictionary words, dates, repeats, keyboard
 brute-force spans, and the cheapest segmentation's log10 of guesses decides. Base spans
 always stay; an added span never overlaps one.
 
+The dictionary is the list of common passwords and, behind it, the corpus's own words by
+document frequency, counted over all documents but not in values of a credential context. A
+word is kept from LEAST_DOCS documents on and from a WORD_BOUND-th of all (document, word)
+pairs on, so there are at most WORD_BOUND of them however large the corpus is.
+
 Defined cases: null or empty text has no spans; texts are scanned whole; spans are in code
 points, end exclusive; several spans at one start are in the order of KINDS. Values of any
 length work: a segment's cost is bounded by its characters, so time is linear in the length.
@@ -16,11 +21,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: What the query's contract states.
@@ -29,10 +36,9 @@ ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?(?:\x20*[:=]\x20*|\x20+(?i:is)\x20+)["']?([^\s"'<>,;]{6,})""",
-    re.ASCII,
-)
+_CREDENTIAL = r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?"""
+#: Names may be glued (PGPASSWORD=, dbpwd:); in prose ("... is ...") the credential must be a word of its own.
+CONTEXT = re.compile(rf"""(?:{_CREDENTIAL}\x20*[:=]\x20*|(?<![A-Za-z0-9]){_CREDENTIAL}\x20+(?i:is)\x20+)["']?([^\s"'<>,;]{{6,}})""", re.ASCII)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 
 #: Common passwords and their parts, commonest first; the rank is a word's number of guesses.
@@ -48,8 +54,11 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 JOIN = math.log10(5)
 GUESS_LIMIT = 10.0
 
+#: Documents that hold a word of the corpus's dictionary, at least; how many words it has, at most; their letters.
+LEAST_DOCS, WORD_BOUND, LETTERS = 5, 200_000, range(3, 25)
+_EDGES = ".,;:!?()[]{}\"'`*_-"
+
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4310$5!7", "aaeiossit")
 _NEXT: dict[str, set] = {}
 for _row in WALKS:
@@ -66,15 +75,15 @@ def _alphabet(c: str) -> float:
     return math.log10(33)
 
 
-def segments(value: str) -> list[tuple[int, int, float]]:
+def segments(value: str, ranks: dict = _RANK) -> list[tuple[int, int, float]]:
     """Every (start, end, log10 guesses) that a pattern finds; brute force isn't listed."""
     out, n, low = [], len(value), value.lower()
     plain = low.translate(_LEET) if len(low) == n else value
     if len(low) != n:
         low = value
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or (_RANK.get(plain[i:j], 0) * 4)
+        for j in range(i + 3, min(n, i + LETTERS[-1]) + 1):
+            rank = ranks.get(low[i:j]) or (ranks.get(plain[i:j], 0) * 4)
             if rank:
                 cased = 0.0 if value[i:j] == low[i:j] else math.log10(2 if value[i:j] in (low[i:j].title(), low[i:j].upper()) else 2 ** min(20, j - i))
                 out.append((i, j, math.log10(rank) + cased))
@@ -108,17 +117,17 @@ def repeats(value: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict = _RANK) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
     n = len(value)
     if not n:
         return 0.0
     at: dict[int, list] = {}
-    for s, e, c in segments(value):
+    for s, e, c in segments(value, ranks):
         at.setdefault(e, []).append((s, c))
     for s, e, unit in repeats(value):
         whole = sum(_alphabet(c) for c in value[s : s + unit])
-        known = min((c for a, b, c in segments(value[s : s + unit]) if (a, b) == (0, unit)), default=whole)
+        known = min((c for a, b, c in segments(value[s : s + unit], ranks) if (a, b) == (0, unit)), default=whole)
         at.setdefault(e, []).append((s, min(whole, known) + math.log10((e - s) / unit)))
     # brute[i]: cheapest with a brute-force span that ends at i; best[i]: cheapest of any kind
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
@@ -129,7 +138,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def scan(text: str | None, limit: float = GUESS_LIMIT) -> list[tuple[int, int, str]]:
+def scan(text: str | None, limit: float = GUESS_LIMIT, ranks: dict = _RANK) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind."""
     if not text:
         return []
@@ -145,7 +154,7 @@ def scan(text: str | None, limit: float = GUESS_LIMIT) -> list[tuple[int, int, s
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?")
             s, e = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < e and s < b for a, b, _ in base) and guess_cost(value) >= limit:
+            if len(value) >= 6 and not any(a < e and s < b for a, b, _ in base) and guess_cost(value, ranks) >= limit:
                 out.append((s, e, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -157,25 +166,53 @@ def as_text(spans) -> str:
 FIELDS = [("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"), ("n_guess", "bigint")]
 
 
-def digest(text: str | None) -> tuple:
-    spans = scan(text)
+def digest(text: str | None, ranks: dict = _RANK) -> tuple:
+    spans = scan(text, ranks=ranks)
     n = {k: sum(x[2] == k for x in spans) for k in KINDS}
     base = as_text(x for x in spans if x[2] != "guess")
     return n["assign"], n["access"], n["hex"], hashlib.sha256(base.encode()).hexdigest(), as_text(spans), n["guess"]
 
 
+def words_of(text: str | None) -> set:
+    """Distinct words in lower case, without what follows a credential word."""
+    low = (text or "").lower()
+    if any(h in low for h in CONTEXT_HINTS):
+        low = CONTEXT.sub(" ", low)
+    return {w for w in (x if x.isalpha() else x.strip(_EDGES) for x in set(low.split())) if len(w) in LETTERS and w.isalpha()}
+
+
+def word_ranks(docs: DataFrame, text: str = "text") -> dict:
+    """Ranks of common passwords, then of the words of docs by document frequency."""
+
+    def run(batches):
+        for batch in batches:
+            n = Counter()
+            for t in batch.column(0).to_pylist():
+                n.update(words_of(t))
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    made = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "word string, n long")
+    counts = stored(docs.sparkSession, made.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # words that are in t documents or more are at most (all pairs) / t
+    pairs = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= max(LEAST_DOCS, -(-pairs // WORD_BOUND))).collect()
+    own = [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0])) if w not in _RANK]
+    return _RANK | {w: len(_RANK) + i + 1 for i, w in enumerate(own)}
+
+
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Kept columns and what digest() gives for each text."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
     def make():
-        return lambda texts: list(zip(*map(digest, texts))) if texts else [[] for _ in FIELDS]
+        return lambda texts: list(zip(*(digest(t, ranks.value) for t in texts))) if texts else [[] for _ in FIELDS]
 
     return map_texts(docs, keep, text, FIELDS, make)
 
 
-def masked(text: str | None, mark: str = "[SECRET]") -> str | None:
+def masked(text: str | None, mark: str = "[SECRET]", ranks: dict = _RANK) -> str | None:
     """text with every span replaced; spans that touch or overlap become one mark."""
-    spans = scan(text)
+    spans = scan(text, ranks=ranks)
     if not spans:
         return text
     parts, end, cut = [], 0, -1
@@ -188,9 +225,10 @@ def masked(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with secrets masked; the columns stay, and the length column follows the text if there is one."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
 
     def make():
-        return lambda texts: [[masked(t) for t in texts]]
+        return lambda texts: [[masked(t, ranks=ranks.value) for t in texts]]
 
     out = map_texts(docs, docs.columns, text, [("__masked", "string")], make)
     columns = []
