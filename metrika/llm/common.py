@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,18 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space; what is between words. bytes.split() splits at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="metrika-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,6 +33,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove the folders of stored() tables that nothing will read again."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are stored; it does so when the driver collects garbage."""
     import gc
@@ -44,10 +49,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def texts_of(column: pa.ChunkedArray | pa.Array) -> list:
-    return column.to_pylist()
-
-
 def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Append columns made from a text column, in one pass without a shuffle.
 
@@ -83,10 +84,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def crc_text(i) -> int:
-    return zlib.crc32(str(i).encode())
-
-
 def open_folder(uri: str):
     """(pyarrow file system, path) of a folder that the driver and the executors share."""
     from pyarrow import fs

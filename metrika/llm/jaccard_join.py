@@ -1,31 +1,35 @@
-"""Jaccard metric-space join: pivots, Voronoi regions and triangle-inequality windows.
+"""Jaccard metric-space join: document pivots, regions with triangle-inequality windows, exact recursion.
 
 The Jaccard distance d = 1 - |x and y| / |x or y| is a metric on sets; documents link at
-d <= 0.2 (similarity 0.8). The join is exact and works in two kinds of regions:
-
-1. Coarse pivots are the one-shingle sets {s}, in one global order. A document's nearest
-   pivots are its own shingles (any other is at distance 1), ties going by the order, and its
-   window holds its first |x| - ceil(0.8 |x|) + 1 of them: a linked pair's first common pivot is
-   in both windows, as each has at most |x| - ceil(0.8 |x|) shingles that the other lacks.
-   Documents are replicated to the regions of their windows.
-2. Within a region, a document is the pivot. All members' exact distances to it are found.
-   Members within 0.2 of it join its component. Two members whose distances to the pivot
-   differ by more than 0.2 can't link (triangle inequality); only pairs inside that window and
-   in different components are still compared.
-
-Regions recurse. A crowded region that its pivot doesn't settle is taken out of the order:
-its pivot goes behind all others and its members' windows grow by the following shingles,
-which makes new regions. Members that have no further shingle (sets that consist almost
-wholly of crowded pivots) stay, and further document pivots, each the farthest member from
-the last one, split their region until its pairs are few.
-
-Equal sets are one class from the start, by a 128-bit digest; only a class's smallest doc_id
-takes part. Shingles are 64-bit hashes of the bytes of the lower-cased words, which stand
-for the shingles (equal shingles always have equal hashes).
+d <= 0.2 (similarity 0.8).
+
+1. Pivots and regions. Nearly all documents are at distance 1 from nearly all others, where
+   nearest pivots say nothing: a boundary window of twice the link distance would replicate each
+   document to every region. So a document's regions are those of the pivots that it can share
+   a linked partner with: of its shingles in one global order (often seen ones last), the first
+   |x| - ceil(0.8 |x|) + 1 are its window, and linked documents have a shingle of both windows in
+   common. Among the documents of near sizes that have a shingle in their windows, the one of
+   smallest digest is the pivot; all others are replicated to its region. Linked documents
+   therefore meet in a region.
+2. Distances to the pivots. Counts of a set's shingles by ranges of the hash are a contractive
+   map: their L1 distance is at most the symmetric difference, so it bounds d from below and
+   rules out pairs exactly. Other members' sets are brought to their pivot's (a crowded region
+   is dealt out by salt, with a copy of the pivot's set for each part) and d is found exactly.
+   Members within 0.2 of the pivot join its component.
+3. Windows. Only members of different components can still matter to each other; two whose
+   distances to the pivot differ by more than 0.2 can't link. Of the others the L1 bound leaves
+   few; their sets come to the region, which is joined recursively: a new pivot, exact
+   distances to it, then the two overlapping halves inside and outside of its median distance.
+   Regions of over BLOCK such members are joined in pairs of blocks, without a cap.
+
+Equal sets are one class from the start, by a 128-bit digest that is the class's key; rows of a
+doc_id with several texts are in their own classes. Shingles are 64-bit hashes of the bytes of
+the lower-cased words, which stand for the shingles.
 
 Defined cases: without words or text a set is empty and links with nothing; a null doc_id
-belongs to the class of its text's set; repeated rows belong to one class; texts are used
-whole; a doc_id with several texts takes part with one of them; an empty table gives no rows.
+belongs to the class of its text's set; repeated rows belong to one class; a doc_id with
+several texts takes part with each, and each row gets its own text's component; texts are used
+whole; an empty table gives no rows; columns other than doc_id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, stored, table
-from .decontaminate import small
+from .common import dropped, map_texts, release, stored, table
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
-PAIRS, PIVOT_BYTES = 300_000, 16 << 20  # what may be broadcast, by count
-CROWD = 128  # members up to which a region's pairs are compared
-
+OFTEN = 64  # classes from which on a shingle counts as often seen
+LISTED = 1 << 20  # often seen shingles that are broadcast: the most frequent ones by powers of two
+HOT = 1 << 18  # classes from which on a shingle's documents are not gathered in one task
+PART = 16 << 20  # bytes of shingles or windows that a task takes together
+SALT = 256  # members of a region for each copy of its pivot's set
+BLOCK = 1000  # members that are compared in one task
+BROADCAST = 16 << 20  # bytes
+
+U8, I4, U = np.dtype("<u8"), np.dtype("<u4"), np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -108,305 +117,492 @@ class Shingler:
         return np.unique(_mix(out + np.uint64(wide)))
 
 
+def key_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def window(n, percent: int = PERCENT):
     """How many of n shingles a linked set may lack, and one."""
     return n - -(-n * percent // 100) + 1
 
 
-def in_order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Sorted shingles in the global order of pivots: by hash, but frequent ones behind all others."""
-    if not len(frequent) or not len(s):
+def in_order(s: np.ndarray, often: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Sorted shingles in the global order: by how often they are seen (0: not listed), then by hash."""
+    if not len(often) or not len(s):
         return s
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    late = frequent[at] == s
-    return np.concatenate([s[~late], s[late]]) if late.any() else s
+    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+    rank = np.where(often[at] == s, level[at], 0)
+    return s[np.argsort(rank, kind="stable")] if rank.any() else s
 
 
-def frequent_shingles(docs: DataFrame, text: str = "text", crowd: int = CROWD, part: int = 8, most: int = 1_000_000) -> np.ndarray:
-    """Shingles that are likely to crowd a region, counted in one of `part` documents, sorted.
+def counts_by_range(s: np.ndarray) -> np.ndarray:
+    """How many of the shingles are in each of 2 ** k equal ranges of the hash, up to 255; about 8 a range."""
+    bits = max(4, int(np.ceil(np.log2(max(1, len(s)) / 8))))
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
-    They only set the order of pivots, and the join is exact in any order; so a sample does,
-    and if there are more than `most` of them they are left to the recursion.
-    """
-    own = docs.where(F.crc32(F.col("doc_id").cast("string")) % part == 0)
 
-    def run(batches):
-        shingles = Shingler()
-        for batch in batches:
-            found = [shingles(t) for t in batch.column(0).to_pylist()]
-            c, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["c", "n"])
+def folded(v: np.ndarray, n: int) -> np.ndarray:
+    """Counts by n ranges from counts by more; the ranges are along the last axis."""
+    while v.shape[-1] > n:
+        v = np.minimum(v[..., 0::2].astype(np.uint16) + v[..., 1::2], 255).astype(np.uint8)
+    return v
 
-    counts = own.select(F.col(f"`{text}`").cast("string").alias("t")).dropDuplicates(["t"]).mapInArrow(run, "c long, n long")
-    counts = counts.groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, crowd // (2 * part))).select("c")
-    rows = counts.limit(most + 1).toArrow().column(0).to_numpy()
-    return np.sort(rows.view(np.uint64)) if 0 < len(rows) <= most else np.empty(0, np.uint64)
 
+def may_link(n: np.ndarray, gap: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of n shingles together whose symmetric difference is at least `gap` can link."""
+    return 100 * (n - gap) >= percent * (n + gap)
 
-def signatures(docs: DataFrame, text: str = "text", percent: int = PERCENT, frequent=None) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null: empty) and its window of pivots. frequent: a broadcast of frequent_shingles()."""
-    fields = [("n_shingles", "bigint"), ("digest", "binary"), ("pivots", "array<bigint>")]
 
-    def make():
-        shingles, late = Shingler(), frequent.value if frequent is not None else np.empty(0, np.uint64)
+class Seen:
+    """Keys that a task has met, so that copies are handed on once a task; drops all when full."""
 
-        def run(texts):
-            n, digest, pivots = [], [], []
-            for t in texts:
-                s = shingles(t)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                pivots.append(in_order(s, late)[: window(len(s), percent)].view(np.int64) if len(s) else np.empty(0, np.int64))
-            offsets = np.cumsum([0] + [len(p) for p in pivots])
-            flat = np.concatenate(pivots) if pivots else np.empty(0, np.int64)
-            return [n, digest, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+    def __init__(self, most: int = 200_000):
+        self.keys, self.most = set(), most
 
-        return run
+    def new(self, key: bytes) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= self.most:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
 
-    return map_texts(docs, ["doc_id"], text, fields, make)
 
+def sets(batches):
+    """Lists of (key, sorted shingles) of a batch's texts (first column), without empty sets and copies that the task has met."""
+    shingles, seen = Shingler(), Seen()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            out = []
+            for t in batch.column(0).slice(at, 500).to_pylist():
+                s = shingles(t)
+                if len(s) and seen.new(key := key_of(s)):
+                    out.append((key, s))
+            if out:
+                yield out
+
+
+def binary(data: np.ndarray, width: int = 16) -> pa.Array:
+    """An array of binary values of one width."""
+    n = data.nbytes // width
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def dealt_blobs(c: np.ndarray, parts: int, columns: list[np.ndarray]):
+    """A record batch (part, body) of sorted c and its columns: a row for each part of the hash's range."""
+    bounds = np.searchsorted((c >> U(32)) * U(parts) >> U(32), np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(bounds))
+    body = [b"".join(v[bounds[i] : bounds[i + 1]].tobytes() for v in (c, *columns)) for i in full]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(body, pa.binary())], names=["part", "body"])
+
+
+def groups(batches, keys: int):
+    """(key, columns as lists) of whole groups of rows with equal first `keys` columns, which lie together."""
+    last, held = None, None
+    for batch in batches:
+        rows = [c.to_pylist() for c in batch.columns]
+        ids = list(zip(*rows[:keys]))
+        at = 0
+        while at < len(ids):
+            end = at + 1
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            if ids[at] != last:
+                if held is not None:
+                    yield last, held
+                last, held = ids[at], [[] for _ in rows]
+            for h, r in zip(held, rows):
+                h += r[at:end]
+            at = end
+    if held is not None:
+        yield last, held
+
+
+def whole(df: DataFrame, parts: int, *keys: str, then: str = "") -> DataFrame:
+    """df with the rows of equal keys side by side in one task."""
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *([then] if then else []))
+
+
+def fits(df: DataFrame, size) -> DataFrame:
+    """df (stored), marked for broadcast if its bytes, by the expression, are at most BROADCAST."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST else df
+
+
+class Regions:
+    """A region's members and the links between them that are known, for the recursive join."""
+
+    def __init__(self, members: list[np.ndarray], comps: list, percent: int = PERCENT):
+        self.sets, self.n, self.percent = members, np.array([len(s) for s in members]), percent
+        index: dict = {}
+        self.parent = [index.setdefault(c, i) for i, c in enumerate(comps)]
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, own: list[int]) -> None:
+        """Find links until members of `own` that link are in one component."""
+        work = [own]
+        while work:
+            own = work.pop()
+            if len(own) < 2 or len({self.find(i) for i in own}) < 2:
+                continue
+            q, rest = own[0], np.array(own[1:])
+            flat = np.concatenate([self.sets[i] for i in rest])
+            at = np.minimum(np.searchsorted(self.sets[q], flat), self.n[q] - 1)
+            ends = np.cumsum(self.n[rest])
+            hits = np.concatenate([[0], np.cumsum(self.sets[q][at] == flat)])
+            common = hits[ends] - hits[ends - self.n[rest]]
+            union = self.n[rest] + self.n[q] - common
+            for i in rest[100 * common >= self.percent * union].tolist():
+                if (a := self.find(q)) != (b := self.find(i)):
+                    self.parent[b] = a
+                    self.links.append((q, i))
+            d, gap = 1 - common / union, (100 - self.percent) / 100 + 1e-9
+            middle = float(np.median(d))
+            inner, outer = rest[d <= middle].tolist(), rest[d > middle - gap].tolist()
+            work += [inner, outer] if len(outer) < len(rest) else [rest.tolist()]
 
-def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text", unique: bool = False) -> DataFrame:
-    """(id, set): the sorted shingles, as bytes, of the documents whose id is in ids (a column, id)."""
-    own = docs.select(F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("__t")).join(small(ids), "id", "left_semi")
 
-    def make():
-        shingles = Shingler()
-        return lambda texts: [[shingles(t).tobytes() for t in texts]]
+class Join:
+    """The state of one join; every step's table is written to the shared folder and removed when the next has read it."""
 
-    out = map_texts(own, ["id"], "__t", [("set", "binary")], make)
-    return out if unique else out.dropDuplicates(["id"])
+    def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, often: int = OFTEN, hot: int = HOT, block: int = BLOCK):
+        self.spark, self.percent, self.often, self.hot, self.block = spark, percent, often, hot, block
+        self.docs = docs.select(F.col("doc_id"), F.col(f"`{text}`").cast("string").alias("__text"))
+        self.texts = self.docs.select("__text").where("__text is not null")
+        self.signed = self.keep(self.signatures(), "signatures")
+        self.shingles = self.signed.agg(F.sum("n_shingles")).first()[0] or 0
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(self.spark, df, name)
+        release(self.spark)
+        return out
 
-def distances(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, d and linked for the distinct pairs (a, b).
+    def parts(self, size: float) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART))
 
-    Few pairs go to the sets, not the sets to the pairs, and so do the sets of few second
-    members (pivots): then no set is shuffled.
-    """
-    x = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    if pairs.limit(PAIRS + 1).count() <= PAIRS:
-        y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-        size = y.agg(F.sum(F.length("y") + 64)).first()[0] or 0
-        both = x.join(F.broadcast(pairs), "a").join(F.broadcast(y) if size <= PIVOT_BYTES else y, "b")
-    else:
-        both = pairs.join(x, "a").join(y, "b")
-
-    def run(batches):
-        for batch in batches:
-            d, linked = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - common
-                d.append(1.0 - common / union if union else 1.0)
-                linked.append(bool(union) and 100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double, linked boolean")
-
-
-def widened(n: int, free: np.ndarray, percent: int = PERCENT) -> int:
-    """How far a window goes if only the elements marked free count: 1, 2, 4, ... times a size, until enough are free."""
-    k = window(n, percent)
-    m = 2 * k + 32
-    while m < n and int(free[:m].sum()) < k:
-        m *= 2
-    return min(m, n)
-
-
-def further(docs: DataFrame, crowded: DataFrame, frequent, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(c, id, n): the pivots that enter a document's window when its crowded ones (id, held) leave it.
-
-    A window grows by more than it needs, in few steps, so that most documents grow once.
-    """
-    own = docs.select(F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("__t")).join(crowded, "id")
-
-    def run(batches):
-        shingles = Shingler()
-        for batch in batches:
-            c, ids, n = [], [], []
-            for i, text_, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                s = in_order(shingles(text_), frequent.value)
-                k = window(len(s), percent)
-                free = ~np.isin(s.view(np.int64), np.asarray(held, np.int64))
-                if int(free[:k].sum()) == k:
-                    continue
-                m = widened(len(s), free, percent)
-                new = s[k:m][free[k:m]].view(np.int64)
-                c.append(new)
-                ids.append(np.full(len(new), i))
-                n.append(np.full(len(new), len(s)))
-            if c:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (c, ids, n)], names=["c", "id", "n"])
+    def signatures(self) -> DataFrame:
+        """doc_id, n_shingles and key of the set (null: empty)."""
 
-    return own.select("id", "__t", "held").mapInArrow(run, "c long, id long, n long").distinct()
+        def make():
+            shingles = Shingler()
 
+            def run(texts):
+                found = [shingles(t) for t in texts]
+                return [[len(s) for s in found], [key_of(s) if len(s) else None for s in found]]
 
-class Join:
-    """The state of one join; every step's table is written to the shared folder."""
-
-    def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, crowd: int = CROWD):
-        self.spark, self.docs, self.text, self.percent, self.crowd = spark, docs, text, percent, crowd
-        self.frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, crowd))
-        self.signed = stored(spark, signatures(docs, text, percent, self.frequent), "signatures")
-        self.classes = stored(spark, self.signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-        ids = self.signed.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-        self.unique = ids["n"] == ids["d"]
-        self.edges: list[DataFrame] = []
-        self.known, self.known_edges = None, 0
+            return run
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return stored(self.spark, df, name)
-
-    def windows(self) -> DataFrame:
-        """(c, id, n): the windows of the classes' documents."""
-        first = self.classes.where("id is not null").select(F.col("digest").alias("__d"), "id")
-        own = self.signed.join(first, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("id")))
-        return own.select("id", F.col("n_shingles").alias("n"), F.explode("pivots").alias("c")).select("c", "id", "n")
-
-    def labels(self) -> DataFrame | None:
-        """(node, label) of the links so far."""
-        if self.known_edges != len(self.edges):
-            out = self.edges[0]
-            for e in self.edges[1:]:
-                out = out.unionByName(e)
-            self.known, self.known_edges = components(self.spark, out), len(self.edges)
-        return self.known
-
-    def measure(self, pairs: DataFrame, name: str) -> DataFrame:
-        found = self.keep(distances(self.keep(pairs, "pairs"), self.sets, self.percent), name)
-        release(self.spark)
-        linked = found.where("linked").select("a", "b")
-        if linked.limit(1).count():
-            self.edges.append(linked)
-        return found
-
-    def near_sizes(self, x: str, y: str):
-        return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
-
-    def to_pivot(self, own: DataFrame, name: str, p: str = "p", pn: str = "pn", out: tuple = ("low", "high")) -> DataFrame:
-        """own with bounds of each member's distance to its pivot p; the bounds are equal where it was measured."""
-        pairs = own.where(F.col("id") != F.col(p)).where(self.near_sizes("n", pn)).select(F.col("id").alias("a"), F.col(p).alias("b")).distinct()
-        found = self.measure(pairs, name).select(F.col("a").alias("id"), F.col("b").alias(p), "d")
-        is_pivot = F.col("id") == F.col(p)
-        # sizes that can't link weren't measured, but bound the distance from below
-        low = F.when(is_pivot, 0.0).otherwise(F.coalesce("d", 1 - F.least("n", pn) / F.greatest("n", pn)))
-        high = F.when(is_pivot, 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-        return own.join(found, ["id", p], "left").withColumn(out[0], low).withColumn(out[1], high).drop("d")
-
-    def star(self, rows: DataFrame, name: str) -> DataFrame:
-        """Regions' members with their number and their distance to the pivot p, the member of smallest hash."""
-        pivot = rows.groupBy("c").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("p"), F.col("n").alias("pn"))).alias("s"), F.count("*").alias("members"))
-        return self.to_pivot(rows.join(pivot.select("c", "s.p", "s.pn", "members"), "c"), name)
-
-    def unsettled(self, rows: DataFrame) -> DataFrame:
-        """Members of the regions that have more than one component, with their component."""
-        rows, labels = rows.drop("comp"), self.labels()
+        return map_texts(self.docs, ["doc_id"], "__text", [("n_shingles", "bigint"), ("key", "binary")], make)
+
+    def often_seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Often seen shingles, sorted, their levels (1, 2, ... by powers of two) and those that are hot.
+
+        All shingles of all documents are counted (copies that one task holds count once). They
+        only set the order of windows; the join is exact in any order.
+        """
+        parts = self.parts(12 * self.shingles)
+
+        def count(batches):
+            held, size = [], 0
+
+            def flush():
+                c, n = np.unique(np.concatenate(held), return_counts=True)
+                return dealt_blobs(c, parts, [n.astype(I4)])
+
+            for found in sets(batches):
+                held += [s for _, s in found]
+                size += sum(len(s) for _, s in found)
+                if size > 1 << 20:
+                    yield flush()
+                    held, size = [], 0
+            if held:
+                yield flush()
+
+        often = self.often
+
+        def add(batches):
+            for _, (_, bodies) in groups(batches, 1):
+                c = np.concatenate([np.frombuffer(b, U8, len(b) // 12) for b in bodies])
+                n = np.concatenate([np.frombuffer(b, I4, offset=len(b) // 12 * 8) for b in bodies])
+                order = np.argsort(c, kind="stable")
+                c, n = c[order], n[order].astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+                c, n = c[first], np.add.reduceat(n, first)
+                c, n = c[n > often], n[n > often]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["c", "n"])
+
+        rows = whole(self.texts.mapInArrow(count, "part int, body binary"), parts, "part").mapInArrow(add, "c long, n long")
+        rows = self.keep(rows.withColumn("level", (F.floor(F.log2(F.col("n") / often)) + 1).cast("int")), "often")
+        left, least = LISTED, 1 << 30
+        for r in rows.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # a row a power of two
+            left -= r["k"]
+            if left < 0:
+                break
+            least = r["level"]
+        found = rows.where(F.col("level") >= least).toArrow()  # LISTED rows at most
+        c, n, level = (found.column(i).to_numpy() for i in range(3))
+        order = np.argsort(c.view(np.uint64))
+        c, n, level = c.view(np.uint64)[order], n[order], level[order].astype(np.uint8)
+        dropped(self.spark, rows)
+        return c, level, c[n > self.hot]
+
+    def stars(self) -> DataFrame:
+        """(p, x, pn, xn): members of the regions with their pivots and the sizes of both."""
+        often, level, hot = self.often_seen()
+        listed, percent = self.spark.sparkContext.broadcast((often, level, hot)), self.percent
+        parts = self.parts(28 * self.shingles * (100 - percent) / 100 * 1.2)
+
+        def windows(only_hot):
+            def run(batches):
+                often, level, hot = listed.value
+                held, size = [], 0
+
+                def flush():
+                    c = np.concatenate([h[1] for h in held])
+                    sizes = [len(h[1]) for h in held]
+                    keys = np.repeat(np.frombuffer(b"".join(h[0] for h in held), "V16"), sizes)
+                    n = np.repeat(np.array([h[2] for h in held], I4), sizes)
+                    is_hot = np.isin(c, hot) if len(hot) else np.zeros(len(c), bool)
+                    pick = np.flatnonzero(is_hot == only_hot)
+                    order = pick[np.argsort(c[pick], kind="stable")]
+                    c, keys, n = c[order], keys[order], n[order]
+                    if only_hot:
+                        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), binary(keys), pa.array(n.astype(np.int64))], names=["c", "x", "xn"])
+                    return dealt_blobs(c, parts, [keys, n])
+
+                for found in sets(batches):
+                    for key, s in found:
+                        held.append((key, in_order(s, often, level)[: window(len(s), percent)], len(s)))
+                        size += len(held[-1][1])
+                    if size > 1 << 19:
+                        yield flush()
+                        held, size = [], 0
+                if held:
+                    yield flush()
+
+            return run
+
+        def meet(batches):
+            for _, (_, bodies) in groups(batches, 1):
+                m = [len(b) // 28 for b in bodies]
+                c = np.concatenate([np.frombuffer(b, U8, k) for b, k in zip(bodies, m)])
+                keys = np.concatenate([np.frombuffer(b, U8, 2 * k, 8 * k) for b, k in zip(bodies, m)]).reshape(-1, 2)
+                n = np.concatenate([np.frombuffer(b, I4, k, 24 * k) for b, k in zip(bodies, m)]).astype(np.int64)
+                high, low = keys[:, 0], keys[:, 1]
+                order = np.lexsort((low, high, n, c))
+                c, high, low, n = c[order], high[order], low[order], n[order]
+                new = np.ones(len(c), bool)
+                new[1:] = (c[1:] != c[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                c, high, low, n = c[new], high[new], low[new], n[new]
+                edge = np.ones(len(c), bool)
+                edge[1:] = (c[1:] != c[:-1]) | (100 * n[:-1] < percent * n[1:])
+                run = np.cumsum(edge) - 1
+                several = np.bincount(run)[run] > 1
+                run, high, low, n = run[several], high[several], low[several], n[several]
+                if not len(run):
+                    continue
+                order = np.lexsort((low, high, run))
+                run, high, low, n = run[order], high[order], low[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                p = np.repeat(first, np.diff(np.append(first, len(run))))
+                x = np.flatnonzero(p != np.arange(len(p)))
+                p = p[x]
+                order = np.lexsort((low[x], high[x], low[p], high[p]))
+                x, p = x[order], p[order]
+                new = np.zeros(len(x), bool)
+                new[:1] = True
+                for v in (high[x], low[x], high[p], low[p]):
+                    new[1:] |= v[1:] != v[:-1]
+                x, p = x[new], p[new]
+                for i in range(0, len(x), 50_000):
+                    a, b = p[i : i + 50_000], x[i : i + 50_000]
+                    pairs = [binary(np.stack([high[k], low[k]], axis=1)) for k in (a, b)]
+                    yield pa.RecordBatch.from_arrays([*pairs, pa.array(n[a]), pa.array(n[b])], names=["p", "x", "pn", "xn"])
+
+        schema = "p binary, x binary, pn long, xn long"
+        out = whole(self.texts.mapInArrow(windows(False), "part int, body binary"), parts, "part").mapInArrow(meet, schema)
+        if len(hot):
+            rows = self.keep(self.texts.mapInArrow(windows(True), "c long, x binary, xn long"), "hot").distinct()
+            pivots = rows.groupBy("c").agg(F.min(F.struct("x", "xn")).alias("m")).select("c", F.col("m.x").alias("p"), F.col("m.xn").alias("pn"))
+            out = out.unionByName(rows.join(pivots, "c").where("x <> p").select("p", "x", "pn", "xn"))
+        return self.keep(out.distinct(), "stars")
+
+    def brought(self, wanted: DataFrame, values: str, make) -> DataFrame:
+        """`wanted` (key and other columns, one row a key) with make(set) of each key's set, as binary column `values`."""
+
+        def run(batches):
+            for found in sets(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([make(s).tobytes() for _, s in found], pa.binary())], names=["__key", values])
+
+        return self.texts.mapInArrow(run, f"__key binary, `{values}` binary").join(wanted, F.col("__key") == F.col("key")).drop("__key")
+
+    def bounds(self, stars: DataFrame, vectors: DataFrame) -> DataFrame:
+        """stars with `near`, whether the L1 bound lets the pair link, and `low`, the least distance by it."""
+        percent = self.percent
+        side = lambda k: vectors.select(F.col("key").alias(k), F.col("vector").alias(f"{k}_vector"))
+
+        def run(batches):
+            for batch in batches:
+                gaps = []
+                for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                    k = min(len(a), len(b))
+                    gaps.append(int(np.abs(folded(a, k).astype(np.int16) - folded(b, k)).sum()))
+                both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                gap = np.maximum(np.array(gaps), np.abs(batch.column(2).to_numpy() - batch.column(3).to_numpy()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(may_link(both, gap, percent)), pa.array(2.0 * gap / (both + gap))], names=["p", "x", "pn", "xn", "near", "low"])
+
+        joined = stars.join(side("x"), "x").join(side("p"), "p")
+        return joined.select("p", "x", "pn", "xn", "p_vector", "x_vector").mapInArrow(run, "p binary, x binary, pn long, xn long, near boolean, low double")
+
+    def measured(self, near: DataFrame) -> DataFrame:
+        """(p, x, d, linked) of the pairs (p, x), exactly: sets meet their pivot's, crowded regions in several parts."""
+        percent = self.percent
+        salts = near.groupBy("p").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+        members = near.join(salts, "p").select(F.col("x").alias("key"), F.struct("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("at"))
+        pivots = salts.select(F.col("p").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("key", F.struct(F.col("key").alias("p"), "salt", F.lit(0).alias("role")).alias("at"))
+        wanted = self.keep(members.unionByName(pivots).groupBy("key").agg(F.collect_list("at").alias("all")), "wanted")  # a set's regions: a window's shingles at most
+        rows = self.brought(fits(wanted, 48 + 64 * F.size("all")), "set", lambda s: s).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.salt", "at.role", "key", "set")
+
+        def run(batches):
+            pivot, key = None, None
+            for batch in batches:
+                out: list = []
+                for p, salt, role, x, s in zip(*(c.to_pylist() for c in batch.columns)):
+                    if role == 0:
+                        pivot, key = np.frombuffer(s, U8), (p, salt)
+                        continue
+                    if key != (p, salt):
+                        raise ValueError("a region's pivot is missing")
+                    if out and out[-1][:2] == (p, x):
+                        continue  # a copy that another task handed on too
+                    s = np.frombuffer(s, U8)
+                    common = int((pivot[np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)] == s).sum())
+                    union = len(s) + len(pivot) - common
+                    out.append((p, x, 1.0 - common / union, 100 * common >= percent * union))
+                if out:
+                    kinds = (pa.binary(), pa.binary(), pa.float64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["p", "x", "d", "linked"])
+
+        parts = self.parts(8 * self.shingles)
+        dealt = rows.repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role", "key")
+        return dealt.mapInArrow(run, "p binary, x binary, d double, linked boolean").distinct()
+
+    def cross(self, stars: DataFrame, found: DataFrame, labels: DataFrame | None, vectors: DataFrame) -> DataFrame | None:
+        """(a, b): links between members of a region that are in different components, inside the window of its pivot."""
+        percent, block = self.percent, self.block
+        gap = (100 - percent) / 100 + 1e-9
+        rows = stars.join(found, ["p", "x"], "left").select("p", "x", F.col("xn").alias("n"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
         if labels is None:
-            own = rows.withColumn("comp", F.col("id"))
+            rows = rows.withColumn("comp", F.col("x"))
         else:
-            own = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        several = own.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("c")
-        return own.join(several, "c")
-
-    def cross(self, rows: DataFrame, name: str) -> None:
-        """Compare a region's members that are in different components and inside the window of its pivot."""
-        gap = (100 - self.percent) / 100 + 1e-9
-        side = lambda k: rows.select("c", *[F.col(x).alias(f"{k}_{x}") for x in ("id", "n", "low", "high", "comp")])
-        pairs = side("a").join(side("b"), "c").where("a_id < b_id and a_comp <> b_comp").where(self.near_sizes("a_n", "b_n"))
-        pairs = pairs.where((F.col("a_low") - F.col("b_high") <= gap) & (F.col("b_low") - F.col("a_high") <= gap))
-        self.measure(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), name)
-
-    def extend(self, ids: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(all rows by which the documents' windows grew, held): crowded pivots that a window reaches are held too."""
-        while True:
-            lists = held.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("c").alias("held"))  # a set's shingles at most
-            new = self.keep(further(self.docs, lists, self.frequent, self.text, self.percent), "further")
-            reached = new.join(held.select("c").distinct(), "c", "left_semi").join(held.select("c", "id"), ["c", "id"], "left_anti")
-            reached = self.keep(reached, "reached")
-            if not reached.limit(1).count():
-                return new.join(held.select("c").distinct(), "c", "left_anti"), held
-            held = self.keep(held.unionByName(reached).distinct(), "held")
+            rows = rows.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("comp", F.coalesce("label", "x")).drop("label")
+        rows = self.keep(rows, "members")
+        open_ = rows.groupBy("p").agg(F.count("*").alias("m"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("p", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+        # a block meets each block; a region of one block is one task's
+        own = rows.join(open_, "p").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        own = own.select("p", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "x", "n", "low", "high", "comp")
+        own = own.join(vectors.select(F.col("key").alias("x"), "vector"), "x").select("p", "i", "j", "x", "n", "low", "high", "comp", "vector")
+
+        def sift(batches):
+            for (p, i, j), (_, _, _, x, n, low, high, comp, vector) in groups(batches, 3):
+                n, low, high = np.array(n), np.array(low), np.array(high)
+                order = np.argsort(n, kind="stable")
+                ids: dict = {}
+                comps = np.array([ids.setdefault(c, len(ids)) for c in comp])[order]
+                n, low, high = n[order], low[order], high[order]
+                vectors_ = [np.frombuffer(vector[k], np.uint8) for k in order]
+                width = np.array([len(v) for v in vectors_])
+                stacked = {w: np.stack([folded(vectors_[k], w) for k in np.flatnonzero((width == w) | (width == 2 * w))]) for w in np.unique(width).tolist()}
+                begin = {w: int(np.searchsorted(width, w)) for w in stacked}
+                involved = np.zeros(len(n), bool)
+                until = np.searchsorted(percent * n, 100 * n, "right")  # sizes are sorted: near ones are next
+                for k in range(len(n)):
+                    w = int(width[k])
+                    at = np.arange(k + 1, min(int(until[k]), begin[w] + len(stacked[w])))
+                    at = at[(comps[at] != comps[k]) & (low[at] - high[k] <= gap) & (low[k] - high[at] <= gap)]
+                    if len(at):
+                        own_ = stacked[w]
+                        away = np.abs(own_[at - begin[w]].astype(np.int16) - own_[k - begin[w]]).sum(axis=1)
+                        at = at[may_link(n[at] + n[k], away, percent)]
+                        if len(at):
+                            involved[at] = involved[k] = True
+                if involved.any():
+                    pick = order[np.flatnonzero(involved)]
+                    m = len(pick)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p] * m, pa.binary()), pa.array([i] * m, pa.int32()), pa.array([j] * m, pa.int32()), pa.array([x[k] for k in pick], pa.binary()), pa.array([comp[k] for k in pick], pa.binary())],
+                        names=["p", "i", "j", "key", "comp"],
+                    )
+
+        parts = self.parts(8 * self.shingles)
+        wanted = whole(own, parts, "p", "i", "j").mapInArrow(sift, "p binary, i int, j int, key binary, comp binary")
+        wanted = self.keep(wanted.groupBy("key").agg(F.collect_list(F.struct("p", "i", "j", "comp")).alias("all")), "sifted")  # a set's regions
+        if wanted.limit(1).count() == 0:
+            return None
+        rows = self.brought(fits(wanted, 48 + 80 * F.size("all")), "set", lambda s: s).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.i", "at.j", "key", "at.comp", "set")
+
+        def settle(batches):
+            for _, (_, _, _, key, comp, set_) in groups(batches, 3):
+                once = {k: (c, np.frombuffer(s, U8)) for k, c, s in zip(key, comp, set_)}
+                keys = list(once)
+                region = Regions([once[k][1] for k in keys], [once[k][0] for k in keys], percent)
+                region.join(list(range(len(keys))))
+                if region.links:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[e[s]] for e in region.links], pa.binary()) for s in (0, 1)], names=["a", "b"])
+
+        return whole(rows, parts, "p", "i", "j").mapInArrow(settle, "a binary, b binary")
 
     def solve(self) -> DataFrame | None:
-        """(node, label) of all linked classes' documents; other documents are alone."""
-        base = self.windows()
-        shared = base.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-        rows = self.keep(base.join(shared, "c"), "regions")
-        self.sets = self.keep(sets_of(self.docs, rows.select("id").distinct(), self.text, self.unique), "sets")
-        held = grown = None
-        turn = 0
-        while True:
-            measured = self.keep(self.star(rows, f"star{turn}"), "members")
-            left = self.keep(self.unsettled(measured), "left")
-            self.cross(left.where(F.col("members") <= self.crowd), f"cross{turn}")
-            crowded = left.where(F.col("members") > self.crowd).select("c", "id", "n")
-            if not crowded.limit(1).count():
-                break
-            held = self.keep(crowded if held is None else held.unionByName(crowded).distinct(), "held")
-            new, held = self.extend(crowded.select("id").distinct(), held)
-            old = grown
-            grown = self.keep(new if old is None else old.unionByName(new).distinct(), "grown")
-            fresh = (new if old is None else new.join(old, ["c", "id"], "left_anti")).select("c").distinct()
-            fresh = fresh.join(held.select("c").distinct(), "c", "left_anti")
-            rows = base.unionByName(grown).join(fresh, "c").distinct()
-            rows = self.keep(rows.join(rows.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c"), "c"), "regions")
-            self.more_sets(rows)
-            turn += 1
-        if held is not None:
-            self.settle(held)
-        return self.labels()
-
-    def more_sets(self, rows: DataFrame) -> None:
-        ids = self.keep(rows.select("id").distinct().join(self.sets.select("id"), "id", "left_anti"), "ids")
-        if ids.limit(1).count():
-            self.sets = self.sets.unionByName(self.keep(sets_of(self.docs, ids, self.text, self.unique), "sets"))
-
-    def settle(self, held: DataFrame) -> None:
-        """Regions of crowded pivots, for the documents whose windows still reach those: split by two document pivots each.
-
-        A member goes to the cell of the nearer pivot, and to the other's too if the difference is
-        at most twice the link distance; the pivots themselves are done, as all is measured to them.
-        """
-        k = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        listed = held.groupBy("id", "n").agg(F.array_sort(F.collect_list("c")).alias("all"))  # a set's shingles at most
-        # what a window of the final order (free ones first, then held ones by hash) still reaches
-        reach = k - (F.col("n") - F.size("all"))
-        rows = listed.where(reach > 0).select(F.explode(F.slice("all", F.lit(1), reach.cast("int"))).alias("c"), "id", "n")
-        rows = self.keep(rows, "stuck")
-        gap, turn = 2 * (100 - self.percent) / 100 + 1e-9, 0
-        while rows.limit(1).count():
-            own = self.keep(self.unsettled(rows), "stuck")
-            own = self.keep(self.star(own, f"near{turn}"), "stuck")
-            self.cross(own.where(F.col("members") <= 2 * self.crowd), f"stuck{turn}")
-            own = own.where(F.col("members") > 2 * self.crowd)
-            far = own.groupBy("c").agg(F.max(F.struct(F.col("low").alias("l"), F.xxhash64("id").alias("h"), F.col("id").alias("q"), F.col("n").alias("qn"))).alias("s"))
-            own = self.keep(self.to_pivot(own.join(far.select("c", "s.q", "s.qn"), "c"), f"far{turn}", "q", "qn", ("qlow", "qhigh")), "cells")
-            own = own.where("id <> p and id <> q")
-            cells = F.filter(F.array(F.when(F.col("low") - F.col("qhigh") <= gap, F.lit(0)), F.when(F.col("qlow") - F.col("high") <= gap, F.lit(1))), lambda x: x.isNotNull())
-            rows = self.keep(own.select(F.explode(cells).alias("cell"), "c", "id", "n").select(F.xxhash64("c", "cell").alias("c"), "id", "n"), "stuck")
-            turn += 1
-
-
-def join(spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
+        """(node, label) of all linked classes, by key; other classes are alone."""
+        stars = self.stars()
+        needed = stars.select(F.col("x").alias("key")).unionByName(stars.select(F.col("p").alias("key"))).distinct()
+        needed = self.keep(needed, "needed")
+        vectors = self.keep(self.brought(fits(needed, F.lit(48)), "vector", counts_by_range).dropDuplicates(["key"]), "vectors")
+        bounded = self.keep(self.bounds(stars, vectors), "bounds")
+        found = self.keep(self.measured(bounded.where("near").select("p", "x")), "distances")
+        edges = found.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        labels = components(self.spark, edges) if edges.limit(1).count() else None
+        more = self.cross(bounded, found.select("p", "x", "d"), labels, vectors)
+        if more is not None:
+            more = self.keep(more, "links")
+            if more.limit(1).count():
+                labels = components(self.spark, edges.unionByName(more))
+        return labels
+
+
+def join(spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, **knobs) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    state = Join(spark, docs, text, percent, crowd)
+    state = Join(spark, docs, text, percent, **knobs)
     labels = state.solve()
-    classes = state.classes
-    if labels is None:
-        classes = classes.withColumn("component", F.col("id"))
-    else:
-        classes = classes.join(labels, F.col("id") == F.col("node"), "left").select("digest", "id", F.coalesce("label", "id").alias("component"))
-    several = state.signed.select("doc_id", "n_shingles", "digest").join(classes.select(F.col("digest").alias("__d"), "component"), F.col("digest") == F.col("__d"), "left")
-    return several.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def filter_documents(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each group stays, the one of smallest doc_id; the columns stay."""
-    found = stored(spark, join(spark, docs, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    return docs.join(small(found), F.col("doc_id") == F.col("__gone"), "left_anti")
+    classes = state.signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("component"))
+    if labels is not None:
+        own = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        least = own.groupBy("label").agg(F.min("component").alias("least"))
+        classes = own.join(least, "label").select("key", F.col("least").alias("component"))
+    out = state.signed.join(classes, "key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def filter_documents(spark: SparkSession, docs: DataFrame, text: str = "text", **knobs) -> DataFrame:
+    """One document of each group stays, the one of smallest doc_id; the columns stay.
+
+    Where doc_ids repeat or are null, rows are numbered and one row of a group stays all the same.
+    """
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    name = "doc_id"
+    if ids["n"] != ids["d"]:
+        name = "__row"
+        docs = stored(spark, docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    own = docs.select(F.col(name).alias("doc_id"), F.col(f"`{text}`").alias("__t"))
+    gone = stored(spark, join(spark, own, "__t", **knobs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "copies")
+    kept = docs.join(fits(gone, F.lit(16)), F.col(name) == F.col("__gone"), "left_anti")
+    return kept.drop("__row") if name == "__row" else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,21 +71,48 @@ def brute_components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("crowd", [128, 2])
-def test_jaccard_join(spark, texts, crowd, monkeypatch):
-    if crowd == 2:  # no help from frequent shingles: every crowded region must recurse
-        monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a, **k: np.empty(0, np.uint64))
-    rows = jaccard_join.join(spark, table(spark, texts, True), crowd=crowd).collect()
+@pytest.mark.parametrize("knobs", [{}, {"often": 1, "hot": 2, "block": 3}, {"often": 10**9, "block": 2}])
+def test_jaccard_join(spark, texts, knobs, monkeypatch):
+    if knobs:  # several copies of a pivot's set, several parts, set listings that don't hold all
+        monkeypatch.setattr(jaccard_join, "SALT", 2)
+        monkeypatch.setattr(jaccard_join, "PART", 2000)
+        monkeypatch.setattr(jaccard_join, "LISTED", 50)
+        monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
+    rows = jaccard_join.join(spark, table(spark, texts, True).repartition(3), **knobs).collect()
     sets = shingle_sets(texts)
     want = brute_components(sets)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows) == [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, want))]
 
 
+def test_jaccard_near_copies_that_miss_the_pivot(spark):
+    """Chains and clusters whose links are between members, not to the pivot, also in a very long text."""
+    rng = random.Random(3)
+    texts, base = [], prose(rng, 200).split()
+    for start in range(0, 100, 4):  # a window that slides: neighbours link, the ends don't
+        texts.append(" ".join(base[start : start + 100]))
+    long = prose(rng, 30_000).split()
+    texts += [" ".join(long), " ".join(long[:-2000]), prose(rng, 50)]
+    sets = shingle_sets(texts)
+    want = brute_components(sets)
+    for knobs in ({}, {"often": 2, "block": 4}):
+        rows = jaccard_join.join(spark, table(spark, texts), **knobs).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in rows) == list(enumerate(want))
+
+
 def test_jaccard_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.join(spark, empty).collect() == []
+    assert jaccard_join.filter_documents(spark, empty).collect() == []
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.join(spark, twice).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1)]
+    assert sorted(str(r["text"]) for r in jaccard_join.filter_documents(spark, twice).collect()) == ["None", "a b c d e f"]
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    a, b = ("%s " * 30 % tuple(word(random.Random(k + i)) for i in range(30)) for k in (0, 100))
+    rows = spark.createDataFrame([(1, a, 5), (1, b, 6), (2, a + "x", 7), (3, b + "x", 8)], "doc_id long, text string, Component_ID int")
+    assert sorted(r["component_id"] for r in jaccard_join.join(spark, rows).collect()) == [1, 1, 1, 1]
+    assert sorted(r["Component_ID"] for r in jaccard_join.filter_documents(spark, rows).collect()) == [5, 6]
 
 
 def brute_removal(texts):
