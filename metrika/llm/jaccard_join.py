@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, map_texts, release, stored, table
+from .common import dropped, release, stored, table
 from .graph import components
 
 SHINGLE = 5
@@ -106,15 +106,59 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = self.words(text) if text else np.empty(0, np.uint64)
+        return np.unique(self.hashes(words, min(len(words), self.size))) if len(words) else words
+
+    def hashes(self, words: np.ndarray, wide: int) -> np.ndarray:
+        """Of all runs of `wide` words."""
         n = len(words)
-        if not n:
-            return words
-        wide = min(n, self.size)
         out = np.zeros(n - wide + 1, np.uint64)
         for i in range(wide):
             out = (out ^ words[i : n - wide + 1 + i]) * np.uint64(_MULT)
             out ^= out >> np.uint64(29)
-        return np.unique(_mix(out + np.uint64(wide)))
+        return _mix(out + np.uint64(wide))
+
+    def several(self, texts: list) -> list[np.ndarray]:
+        """Of each of some texts (UTF-8 bytes or None), in one pass over their bytes."""
+        ends = np.cumsum([len(t or b"") + 1 for t in texts])
+        joined = b" ".join([t or b"" for t in texts])
+        data = _LOWER[np.frombuffer(joined, np.uint8)]
+        if len(data) >= self.n:
+            self._grow(2 * len(data))
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[data]
+        edges = np.diff(inside)
+        begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.up[: len(data)], out=total[1:])
+        words = _mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        stop = np.searchsorted(begin, ends).tolist()
+        every = self.hashes(words, self.size) if len(words) >= self.size else None
+        out, at = [], 0
+        for to in stop:
+            n = to - at
+            if n < self.size:
+                s = np.unique(self.hashes(words[at:to], n)) if n else np.empty(0, np.uint64)
+            else:
+                s = np.sort(every[at : to - self.size + 1])
+                new = s[1:] != s[:-1]
+                if not new.all():
+                    s = np.concatenate([s[:1], s[1:][new]])
+            out.append(s)
+            at = to
+        return out
+
+
+def texts_by_size(column, most: int = 1 << 18):
+    """(first row, UTF-8 bytes of each text) of slices of a string column, of about `most` bytes each."""
+    held, size, at = [], 0, 0
+    for t in column.cast(pa.binary()).to_pylist():
+        held.append(t)
+        size += len(t or b"")
+        if size >= most:
+            yield at, held
+            at, held, size = at + len(held), [], 0
+    if held:
+        yield at, held
 
 
 def key_of(s: np.ndarray) -> bytes:
@@ -172,12 +216,8 @@ def sets(batches):
     """Lists of (key, sorted shingles) of a batch's texts (first column), without empty sets and copies that the task has met."""
     shingles, seen = Shingler(), Seen()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            out = []
-            for t in batch.column(0).slice(at, 500).to_pylist():
-                s = shingles(t)
-                if len(s) and seen.new(key := key_of(s)):
-                    out.append((key, s))
+        for _, texts in texts_by_size(batch.column(0)):
+            out = [(key, s) for s in shingles.several(texts) if len(s) and seen.new(key := key_of(s))]
             if out:
                 yield out
 
@@ -286,18 +326,19 @@ class Join:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART))
 
     def signatures(self) -> DataFrame:
-        """doc_id, n_shingles and key of the set (null: empty)."""
+        """doc_id, n_shingles, key of the set (null: empty) and vector, its counts by ranges."""
 
-        def make():
+        def run(batches):
             shingles = Shingler()
+            for batch in batches:
+                for at, texts in texts_by_size(batch.column(1)):
+                    found = shingles.several(texts)
+                    keys = pa.array([key_of(s) if len(s) else None for s in found], pa.binary())
+                    vectors = pa.array([counts_by_range(s).tobytes() if len(s) else None for s in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in found], pa.int64()), keys, vectors], names=["doc_id", "n_shingles", "key", "vector"])
 
-            def run(texts):
-                found = [shingles(t) for t in texts]
-                return [[len(s) for s in found], [key_of(s) if len(s) else None for s in found]]
-
-            return run
-
-        return map_texts(self.docs, ["doc_id"], "__text", [("n_shingles", "bigint"), ("key", "binary")], make)
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        return self.docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, vector binary")
 
     def often_seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Often seen shingles, sorted, their levels (1, 2, ... by powers of two) and those that are hot.
@@ -432,14 +473,14 @@ class Join:
             out = out.unionByName(rows.join(pivots, "c").where("x <> p").select("p", "x", "pn", "xn"))
         return self.keep(out.distinct(), "stars")
 
-    def brought(self, wanted: DataFrame, values: str, make) -> DataFrame:
-        """`wanted` (key and other columns, one row a key) with make(set) of each key's set, as binary column `values`."""
+    def brought(self, wanted: DataFrame) -> DataFrame:
+        """`wanted` (key and other columns, one row a key) with each key's set, as bytes."""
 
         def run(batches):
             for found in sets(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([make(s).tobytes() for _, s in found], pa.binary())], names=["__key", values])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["__key", "set"])
 
-        return self.texts.mapInArrow(run, f"__key binary, `{values}` binary").join(wanted, F.col("__key") == F.col("key")).drop("__key")
+        return self.texts.mapInArrow(run, "__key binary, set binary").join(wanted, F.col("__key") == F.col("key")).drop("__key")
 
     def bounds(self, stars: DataFrame, vectors: DataFrame) -> DataFrame:
         """stars with `near`, whether the L1 bound lets the pair link, and `low`, the least distance by it."""
@@ -467,7 +508,7 @@ class Join:
         members = near.join(salts, "p").select(F.col("x").alias("key"), F.struct("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("at"))
         pivots = salts.select(F.col("p").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("key", F.struct(F.col("key").alias("p"), "salt", F.lit(0).alias("role")).alias("at"))
         wanted = self.keep(members.unionByName(pivots).groupBy("key").agg(F.collect_list("at").alias("all")), "wanted")  # a set's regions: a window's shingles at most
-        rows = self.brought(fits(wanted, 48 + 64 * F.size("all")), "set", lambda s: s).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.salt", "at.role", "key", "set")
+        rows = self.brought(fits(wanted, 48 + 64 * F.size("all"))).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.salt", "at.role", "key", "set")
 
         def run(batches):
             pivot, key = None, None
@@ -545,7 +586,7 @@ class Join:
         wanted = self.keep(wanted.groupBy("key").agg(F.collect_list(F.struct("p", "i", "j", "comp")).alias("all")), "sifted")  # a set's regions
         if wanted.limit(1).count() == 0:
             return None
-        rows = self.brought(fits(wanted, 48 + 80 * F.size("all")), "set", lambda s: s).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.i", "at.j", "key", "at.comp", "set")
+        rows = self.brought(fits(wanted, 48 + 80 * F.size("all"))).select("key", "set", F.explode("all").alias("at")).select("at.p", "at.i", "at.j", "key", "at.comp", "set")
 
         def settle(batches):
             for _, (_, _, _, key, comp, set_) in groups(batches, 3):
@@ -563,7 +604,8 @@ class Join:
         stars = self.stars()
         needed = stars.select(F.col("x").alias("key")).unionByName(stars.select(F.col("p").alias("key"))).distinct()
         needed = self.keep(needed, "needed")
-        vectors = self.keep(self.brought(fits(needed, F.lit(48)), "vector", counts_by_range).dropDuplicates(["key"]), "vectors")
+        vectors = self.signed.where("key is not null").join(fits(needed, F.lit(48)), "key", "left_semi")
+        vectors = self.keep(vectors.select("key", "vector").groupBy("key").agg(F.first("vector").alias("vector")), "vectors")
         bounded = self.keep(self.bounds(stars, vectors), "bounds")
         found = self.keep(self.measured(bounded.where("near").select("p", "x")), "distances")
         edges = found.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
