@@ -49,16 +49,16 @@ def syllable_similarity(a: Column, b: Column, nucleus_weight: float = NUCLEUS_WE
     return (F.lit(nucleus_weight) * vowel + F.lit(coda_weight) * coda_similarity(a["c"], b["c"])) / (nucleus_weight + coda_weight)
 
 
-def align(a: Column, b: Column, nucleus_weight: float = NUCLEUS_WEIGHT, coda_weight: float = CODA_WEIGHT, gap: float = GAP) -> Column:
+def align(a: Column, b: Column, nucleus_weight: float = NUCLEUS_WEIGHT, coda_weight: float = CODA_WEIGHT, gap: float = GAP, path: bool = True) -> Column:
     """struct<cost, total, columns, gaps, informative, path> of the best alignment of two coded tails.
 
     Ties (within TIE) go to the diagonal, then to skipping in a, then to skipping in b. path:
-    a letter a column, d, a (only a has a syllable) or b.
+    a letter a column, d, a (only a has a syllable) or b; empty if not asked for.
     """
     distances = F.array(*map(F.lit, T.VOWEL_DISTANCES))
 
-    def cell(cost, total, columns, gaps, informative, path):
-        return F.struct(cost.alias("cost"), total.alias("total"), columns.alias("columns"), gaps.alias("gaps"), informative.alias("informative"), path.alias("path"))
+    def cell(cost, total, columns, gaps, informative, taken):
+        return F.struct(cost.alias("cost"), total.alias("total"), columns.alias("columns"), gaps.alias("gaps"), informative.alias("informative"), (taken if path else F.lit("")).alias("path"))
 
     def skip(c, letter):
         return cell(c["cost"] + F.lit(gap), c["total"], c["columns"] + 1, c["gaps"] + 1, c["informative"], F.concat(c["path"], F.lit(letter)))

@@ -104,14 +104,17 @@ def find_matches(readings: DataFrame, threshold: float = kernel.THRESHOLD, seed_
     opened = rows.join(gate, "nucleus").withColumn("own", F.col("nucleus")).drop("nucleus").withColumnRenamed("partner", "nucleus")
     pairs = near(opened, rows.withColumn("own", F.col("nucleus")), max_line_gap, "nucleus")
     same_seed = (F.col("a_own") == F.col("b_own")) & (F.col("a_onset") == F.col("b_onset")) & (F.col("a_coda") == F.col("b_coda"))
-    pairs = pairs.where(~same_seed)
-    tails = kernel.score_tails(pairs.select("a_code", "b_code").distinct(), "a_code", "b_code")
+    # a column scores at most 1 and there are as many as the longer tail has: the shares of tails that are
+    # too different in length, or cost too much, can't reach the threshold and aren't aligned
+    most = F.least(F.size("a_code"), F.size("b_code")) / F.greatest(F.size("a_code"), F.size("b_code"))
+    pairs = pairs.where(~same_seed).where(most - F.col("a_cost") - F.col("b_cost") >= threshold - 1e-9)
+    tails = kernel.score_tails(pairs.select("a_code", "b_code").distinct(), "a_code", "b_code", path=False)
     # a cost only lowers a score, so what is below the threshold without it is out
-    tails = tails.where(F.col("score") >= threshold).select("a_code", "b_code", F.col("score").alias("plain"), "alignment")
+    tails = tails.where(F.col("score") >= threshold).select("a_code", "b_code", F.col("score").alias("plain"), F.col("alignment.columns").alias("columns"), F.col("alignment.informative").alias("informative"))
     scored = pairs.join(tails, ["a_code", "b_code"]).withColumn("score", F.round(F.col("plain") - F.col("a_cost") - F.col("b_cost"), 9))
     scored = scored.where(F.col("score") >= threshold)
     own = ["verse_id", *[f"{s}_{c}" for s in "ab" for c in (*KEY[1:], "words")]]
-    best = F.max(F.struct("score", (-F.col("a_reading_idx")).alias("i"), (-F.col("b_reading_idx")).alias("j"), F.col("alignment.columns").alias("length"), F.col("alignment.informative").alias("informative"))).alias("m")
+    best = F.max(F.struct("score", (-F.col("a_reading_idx")).alias("i"), (-F.col("b_reading_idx")).alias("j"), F.col("columns").alias("length"), "informative")).alias("m")
     return scored.groupBy(*own).agg(best).select(*own, F.col("m.score").alias("score"), F.col("m.length").alias("length"), F.col("m.informative").alias("informative_length"))
 
 
@@ -219,15 +222,24 @@ def compound_text(chained: DataFrame) -> DataFrame:
 
 
 class VerseScan:
-    """What a scan of a table of verses (verse_id, text) finds, as lazy tables."""
+    """What a scan of a table of verses (verse_id, text) finds, as lazy tables.
+
+    What several tables are made from is kept once it is made, until close(); a lost executor's
+    part is made again.
+    """
 
     def __init__(self, verses: DataFrame, lexicon: DataFrame, slang: DataFrame, max_span_words: int = MAX_SPAN_WORDS, threshold: float = kernel.THRESHOLD, seed_threshold: float = SEED, max_line_gap: int = MAX_LINE_GAP):
         self.verses = verses
         self.tokens = tokenize.tokenize_verse(verses)
-        self.pron = g2p.pronounce(self.tokens.select("word"), lexicon, slang)
+        self.pron = g2p.pronounce(self.tokens.select("word"), lexicon, slang).persist()
         self.readings = anchored_readings(self.tokens, self.pron, max_span_words)
-        self.matches = find_matches(self.readings, threshold, seed_threshold, max_line_gap)
-        self.selected = select_matches(self.matches)
+        self.matches = find_matches(self.readings, threshold, seed_threshold, max_line_gap).persist()
+        self.selected = select_matches(self.matches).persist()
+
+    def close(self) -> None:
+        self.selected.unpersist()
+        self.matches.unpersist()
+        self.pron.unpersist()
 
     @property
     def candidates(self) -> DataFrame:

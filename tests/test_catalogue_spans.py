@@ -16,7 +16,7 @@ def test_matches_of_all_spans(spark, tmp_path):
     assert spans == {(i, a, n) for i, x in enumerate(LINES) for a in range(len(x.split())) for n in range(1, 5) if a + n <= len(x.split())}
 
     # every pair of readings, without the join's keys
-    r = s.readings.withColumn("code", kernel.coded(F.col("tail"))).withColumn("seed", F.get("tail", F.lit(0))).localCheckpoint()
+    r = s.readings.withColumn("code", kernel.coded(F.col("tail"))).withColumn("seed", F.get("tail", F.lit(0))).persist()
     pairs = scan.sided(r, "a").crossJoin(scan.sided(r, "b").drop("verse_id"))
     scores = kernel.score_tails(pairs.select("a_code", "b_code").distinct(), "a_code", "b_code").select("a_code", "b_code", "score")
     n, want = len(T.VOWELS), {}
