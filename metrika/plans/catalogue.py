@@ -13,12 +13,11 @@ from metrika.functions import phonology as P
 from metrika.functions import tables as T
 from metrika.operators import audit, components, g2p, kernel, plan, scan, tokenize
 from metrika.plans import oracle as O
-from metrika.sources import lexicon, verses
+from metrika.plans import scanner_sql as S
+from metrika.sources import annotation, lexicon, verses
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Words of a span in the two queries whose SQL states one and two words; all others take the scanner's default.
-SQL_SPAN = 2
 
 
 def query(sql: str | None = None):
@@ -43,8 +42,8 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pron(spark, sf_dir).select("word", "source", "cost", F.posexplode("prons").alias("variant_idx", "s"))
 
 
-def _scan(spark: SparkSession, sf_dir: str, max_span_words: int = scan.MAX_SPAN_WORDS) -> scan.VerseScan:
-    return scan.scan_verse(verses.benchmark(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark), max_span_words=max_span_words)
+def _scan(spark: SparkSession, sf_dir: str) -> scan.VerseScan:
+    return scan.scan_verse(verses.benchmark(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
 
 
 _ALL_WORDS = f"with recursive {O.words_of('documents')}, {O.LEXICON}, {O.CHAIN}"
@@ -74,13 +73,19 @@ def g2p_letter_to_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("phones is not null").select("word", "phones")
 
 
+#: Words that the rare links of the chain know, as the documents' words may not reach them.
+PROBES = sorted({r[0] for r in lexicon.SLANG_ROWS} | {w[:-2] + "a" for w, *_ in lexicon.SEED_ROWS if w.endswith("er")} | {w[:-1] + end for w, *_ in lexicon.SEED_ROWS if w.endswith("ing") for end in ("", "'")} | {"brrr", "coogi", "wakin'", "statin", "ba"})
+_PROBED = _ALL_WORDS.replace("words as (", f"words as (select * from (values {', '.join('(' + O.quoted([w]) + ')' for w in PROBES)}) probe(word) union ", 1)
+
+
 def _link(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    made = g2p.chain(_words(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
+    words = _words(spark, sf_dir).unionByName(spark.createDataFrame([(w,) for w in PROBES], "word string")).distinct()
+    made = g2p.chain(words, lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
     return made.select("word", F.posexplode(name).alias("variant_idx", "p")).select("word", "variant_idx", F.array_join("p", " ").alias("phones"))
 
 
 def _link_sql(name: str) -> str:
-    return f"{_ALL_WORDS} select word, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from {name}"
+    return f"{_PROBED} select word, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from {name}"
 
 
 @query(_link_sql("slg"))
@@ -88,7 +93,7 @@ def g2p_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _link(spark, sf_dir, "slang")
 
 
-@query(f"{_ALL_WORDS} select word, source, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from (select * from ing union all select * from stem)")
+@query(f"{_PROBED} select word, source, variant_idx::int variant_idx, array_to_string(phones, ' ') phones from (select * from ing union all select * from stem)")
 def g2p_g_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _link(spark, sf_dir, "g_drop").withColumn("source", F.lit("g-drop")).unionByName(_link(spark, sf_dir, "stem").withColumn("source", F.lit("stem+-in'")))
     return rows.select("word", "source", "variant_idx", "phones")
@@ -293,48 +298,45 @@ def span_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("verse_id", "line", "start", "n_words", F.array_join(F.transform("span", lambda w: w["word"]), " ").alias("words"))
 
 
-_CANDIDATES = f"""with recursive {O.words_of('benchmark')}, {O.LEXICON}, {O.CHAIN}, {O.syllables('pron', 'word, source, cost, variant_idx')}, {_tokens('benchmark', 'item_id')},
-    pr as (select t.verse_id, t.line, t.word_idx, t.word, p.cost, p.variant_idx v, p.s from tk t join sy3 p on p.word = lower(t.word)),
-    one as (select verse_id, line, word_idx start, 1 n_words, word words, word first, cost, s, len(s) k from pr),
-    two as (select a.verse_id, a.line, a.word_idx start, 2 n_words, a.word || ' ' || b.word words, a.word first, a.cost + b.cost as cost, list_concat(a.s, b.s) s, len(a.s) k from pr a join pr b on b.verse_id = a.verse_id and b.line = a.line and b.word_idx = a.word_idx + 1),
-    rd as (select * from one union all select * from two),
-    an as (select *, unnest(range(1, k + 1)) x from rd where lower(first) not in ({O.quoted(scan.NEVER_ANCHOR)})),
-    cn as (select verse_id, line, start, n_words, x - 1 anchor, words, case when s[x].st = 0 or lower(first) in ({O.quoted(scan.FUNCTION_WORDS)}) then 0.15::DOUBLE else 0::DOUBLE end + cost as cost from an where not (s[x].st = 0 and s[x].n = 'AH')),
-    ca as (select verse_id, line::int line, start::int start, n_words::int n_words, anchor::int anchor, words, count(*)::bigint n_readings, round(min(cost), 9) min_cost from cn group by all)"""
+_CANDIDATES = f"with recursive {S.readings(_tokens('benchmark', 'item_id'))}"
+_SELECTED = f"{_CANDIDATES}, {S.MATCHES}, {S.SELECTED}"
+_SCANNED = f"{_SELECTED}, {S.GROUPS}"
+_COVERED = f"{_SCANNED}, {S.BEST}, {S.COVERING}"
 
 
 @query(f"{_CANDIDATES} select * from ca")
 def enumerate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scan(spark, sf_dir, SQL_SPAN).candidates
+    return _scan(spark, sf_dir).candidates
 
 
 @query(f"""{_CANDIDATES} select a.verse_id, count(*)::bigint pairs from ca a join ca b on a.verse_id = b.verse_id and b.line between a.line and a.line + 2 and (b.line > a.line or b.start >= a.start + a.n_words) group by 1""")
 def are_pairable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _scan(spark, sf_dir, SQL_SPAN).candidates.select(*scan.KEY)
+    found = _scan(spark, sf_dir).candidates.select(*scan.KEY)
     return scan.near(found, found).groupBy("verse_id").agg(F.count("*").alias("pairs"))
 
 
-@query()
+@query(f"{_CANDIDATES}, {S.MATCHES} select * replace (round(score, 6) as score) from ma")
 def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).matches.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"{_SELECTED} select * replace (round(score, 6) as score) from se")
 def select_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).selected.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"{_SCANNED} select * from grp")
 def scan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).groups
 
 
-@query()
+@query(f"{_SELECTED}, {S.CHAINS} select verse_id, compound_idx, count(*)::int beats, '[' || string_agg(a_words, ' ' order by beat_idx) || '] ~ [' || string_agg(b_words, ' ' order by beat_idx) || '] (' || count(*) || case when count(*) = 1 then ' beat)' else ' beats)' end as text from chn group by 1, 2")
 def chain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.compound_text(_scan(spark, sf_dir).compounds)
 
 
-@query()
+@query(f"""{_SCANNED}, pv as (select verse_id, count(*) n from (select distinct verse_id, lower(tk.word) w, source from tk left join (select distinct word, source from pron) p on p.word = lower(tk.word) where coalesce(source, 'oov') <> 'dictionary') group by 1)
+    select item_id verse_id, {", ".join(f"coalesce((select {c} from {t} x where x.verse_id = item_id), 0)::bigint {n}" for n, c, t in (("candidates", "count(*)", "ca"), ("matches", "count(*)", "ma"), ("selected", "count(*)", "se"), ("classes", "count(distinct class_idx)", "grp"), ("provenance", "max(n)", "pv")))} from benchmark""")
 def scan_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a scan's stages by verse."""
     s = _scan(spark, sf_dir)
@@ -344,38 +346,140 @@ def scan_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.fillna(0)
 
 
-@query()
+@query(f"{_SELECTED}, {S.BEST} select * replace (round(score, 6) as score) from cb")
 def candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.candidate_best(_scan(spark, sf_dir).selected).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"{_COVERED} select * replace (round(score, 6) as score) from cov")
 def word_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scan(spark, sf_dir)
     return plan.word_covering(s.groups, plan.candidate_best(s.selected)).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""{_COVERED}, wf as (select verse_id, line, word_idx, min_by(class_idx, "rank") fill, list(distinct class_idx) a from cov group by 1, 2, 3)
+    select verse_id, line, word_idx, fill, array_to_string(list_sort(list_filter(a, lambda c: c <> fill)), ',') ticks from wf""")
 def word_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scan(spark, sf_dir)
     return plan.word_fill(plan.word_covering(s.groups, plan.candidate_best(s.selected))).withColumn("ticks", F.array_join(F.transform("ticks", lambda t: t.cast("string")), ","))
 
 
-@query()
+@query(f"{_SCANNED}, {S.SLOTS} select * from sl")
 def slot_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.slot_assignment(_scan(spark, sf_dir).groups)
 
 
-@query()
+@query(f"{_SCANNED}, {S.LEGEND} select * from le")
 def legend_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.legend_preview(_scan(spark, sf_dir).groups)
 
 
-@query()
+@query(f"{_SELECTED}, {S.CHAINS}, {S.RULES} select * from ru")
 def compound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.compound_rules(_scan(spark, sf_dir).selected)
 
 
+#: Verses with matches that describe the same event, so that selecting has to decide.
+PROBE_VERSES = [(1, "wake up, take a cake and shake the state up\nfeeling great, no debate"), (2, "see me\nyou to\nplane man\nsane man"), (3, "spaghetti sofa the a and\n\nCoogi groovy brrr")]
+_PROBE_TABLE = "benchmark_(item_id, text) as (values " + ", ".join(f"({i}::bigint, {O.quoted([t])})" for i, t in PROBE_VERSES) + ")"
+
+
+def _of_probes(sql: str) -> str:
+    return sql.replace("from benchmark", "from benchmark_").replace("with recursive ", f"with recursive {_PROBE_TABLE}, ", 1)
+
+
+def _probe_scan(spark: SparkSession) -> scan.VerseScan:
+    return scan.scan_verse(spark.createDataFrame(PROBE_VERSES, "verse_id long, text string"), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
+
+
+@query(_of_probes(f"{_CANDIDATES}, {S.MATCHES} select * replace (round(score, 6) as score) from ma"))
+def find_matches_in_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe_scan(spark).matches.withColumn("score", F.round("score", 6))
+
+
+@query(_of_probes(f"{_SELECTED} select * replace (round(score, 6) as score) from se"))
+def select_matches_in_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe_scan(spark).selected.withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_CANDIDATES} select {S._AT}, words, idx::int reading_idx, round(cost, 6) as cost, array_to_string(list_transform(t, lambda x, i: array_to_string(list_concat(list_concat(x.o, [x.n || case when i = 1 then '1' else '0' end]), x.c), ' ')), ' . ') tail from cn""")
+def anchored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings from their anchor on as they are performed: the anchor stressed, what follows not."""
+    out = _scan(spark, sf_dir).readings
+    return out.select(*scan.KEY, "words", "reading_idx", F.round("cost", 6).alias("cost"), P.syllables_text(F.col("tail")).alias("tail"))
+
+
+@query(f"{_CANDIDATES}, {S.MATCHES}, {S.SELECTED}, {S.GROUPS}, gt as (select verse_id, class_idx, count(*) n, 'group: ' || string_agg(words || '@' || (line + 1) || '.' || (start + 1) || case when n_words > 1 then '-' || (start + n_words) else '' end, ' ' order by member_idx) g from grp group by 1, 2) select item_id verse_id, 'verse:' || chr(10) || text || chr(10) || chr(10) || coalesce((select string_agg(g, chr(10) order by class_idx) from gt where verse_id = item_id and n > 1), '') annotation from benchmark")
+def write_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rhyme classes of each verse as an annotation."""
+    s = _scan(spark, sf_dir)
+    refs = s.groups.select("verse_id", F.lit("group").alias("kind"), F.col("class_idx").alias("gid"), F.col("member_idx").alias("ref_idx"), F.col("words").alias("text"), "line", F.col("start").alias("w1"), (F.col("start") + F.col("n_words") - 1).alias("w2"))
+    return annotation.write_annotations(s.verses, refs)
+
+
+@query(f"{_CANDIDATES}, {S.MATCHES}, {S.SELECTED}, {S.GROUPS}, g as (select *, count(*) over (partition by verse_id, class_idx) n from grp) select verse_id, 'group' kind, (dense_rank() over (partition by verse_id order by class_idx) - 1)::int group_idx, member_idx ref_idx, words as text, line, start w1, (start + n_words - 1)::int w2 from g where n > 1")
+def parse_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What write_annotations() wrote, read again; groups by their order in the text."""
+    found = annotation.parse_annotations(write_annotations(spark, sf_dir))
+    order = Window.partitionBy("verse_id").orderBy("gid")
+    return found.select("verse_id", "kind", (F.dense_rank().over(order) - 1).alias("group_idx"), "ref_idx", "text", "line", "w1", "w2")
+
+
+_DICTIONARY = f"with recursive {O.words_of('documents')}, {O.LEXICON}, {O.syllables('lex', 'word, variant_idx')}"
+
+
+def _spelt(found: DataFrame, *keys: str) -> DataFrame:
+    return found.select(*keys, P.pronunciation_text(F.col("pronunciation")).alias("pronunciation"))
+
+
+@query(f"{_DICTIONARY} select word, variant_idx::int variant_idx, word || ': ' || array_to_string({O.SYLLABLE_TEXT}, ' . ') pronunciation from sy3 semi join words using (word)")
+def pronunciations_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelt(g2p.pronunciations_for(_words(spark, sf_dir), lexicon.seed_lexicon(spark)), "word", "variant_idx")
+
+
+@query(f"{_DICTIONARY} select w.word, w.word || ': ' || array_to_string({O.SYLLABLE_TEXT}, ' . ') pronunciation from words w left join sy3 on sy3.word = w.word and variant_idx = 0")
+def pronunciation_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelt(g2p.pronunciation_for(_words(spark, sf_dir), lexicon.seed_lexicon(spark)), "word")
+
+
+@query(f"""with recursive {O.LEXICON}, {O.syllables('lex', 'word, variant_idx')},
+    x as (select a.word || ' ' || b.word span, list_concat(a.s, b.s) s from sy3 a, sy3 b where a.word < b.word and a.variant_idx = 0 and b.variant_idx = 0)
+    select span, span || ': ' || array_to_string({O.SYLLABLE_TEXT}, ' . ') pronunciation from x""")
+def pronunciation_for_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first variants of each pair of seed words, joined."""
+    spans = _word_pairs(spark).select(F.concat_ws(" ", "w1", "w2").alias("span_id"), F.array("w1", "w2").alias("words"))
+    return _spelt(g2p.pronunciations_for_span(spans, lexicon.seed_lexicon(spark), only_first=True), "span_id").withColumnRenamed("span_id", "span")
+
+
+@query(f"{_SYL} select word, variant_idx::int variant_idx, len(s)::int syllables, array_to_string({O.SYLLABLE_TEXT}, ' . ') phones from sy3")
+def parse_arpabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's pronunciation written, read by parse_arpabet() and written again."""
+    rows = _variants(spark, sf_dir).select("word", "variant_idx", P.parse_arpabet(P.syllables_text(F.col("s"))).alias("s"))
+    return rows.select("word", "variant_idx", F.size("s").alias("syllables"), P.syllables_text(F.col("s")).alias("phones"))
+
+
+@query(f"""{_DICTIONARY}, j as (select word, list(list_transform(s, lambda x: {{'o': x.o, 'n': x.n, 's': x.st::int, 'c': x.c}}) order by variant_idx) v from sy3 group by 1) select word, to_json(v)::varchar "json" from j semi join words using (word)""")
+def lexicon_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.lexicon_json(lexicon.seed_lexicon(spark), _words(spark, sf_dir))[0]
+
+
+_CUTS = (0.7, 0.8, 0.95)
+
+
+@query(f"""{_PAIRS}, wp as (select a.word x, b.word y, max(score) score from best join var a on a.id = va join var b on b.id = vb group by 1, 2), ct(scope) as (values {", ".join(f"({c}::DOUBLE)" for c in _CUTS)}),
+    ed as (select scope, x, y from wp, ct where score >= scope), sym as (select * from ed union select scope, y, x from ed),
+    reach as (select scope, word, word r from (select distinct word from var), ct union select reach.scope, reach.word, sym.y from reach join sym on sym.scope = reach.scope and sym.x = reach.r)
+    select scope threshold, word, min(r) component from reach group by 1, 2""")
+def group_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rhyme groups of the seed words at several thresholds at once, a scope each."""
+    scores = kernel.best_scores(_word_pairs(spark), _seed_words(spark)).select(F.col("w1").alias("a"), F.col("w2").alias("b"), "score")
+    cuts = spark.createDataFrame([(c,) for c in _CUTS], "scope double")
+    own = scores.join(F.broadcast(cuts), F.round("score", 6) >= F.col("scope"))  # three thresholds
+    nodes = _seed_words(spark).select(F.col("word").alias("node")).join(F.broadcast(cuts))
+    found = components.group_by_threshold(nodes, own, 0.0)
+    return found.select(F.col("scope").alias("threshold"), F.col("node").alias("word"), "component")
+
+
 @query()
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.render_html(_scan(spark, sf_dir))
