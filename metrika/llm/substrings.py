@@ -5,9 +5,11 @@ doc_id, or before it in its document; the input decides, not what is left.
 
 1. Fingerprints: in each string of `span` bytes the leftmost gram of GRAM bytes with the
    smallest hash is its anchor, so equal strings have equal anchors. The strings of one
-   anchor lie side by side; their bytes are the anchor's segment. Rows carry hashes, not bytes.
-   Each task takes equal segments of its documents together: all but the first repeat.
-2. Rows meet by the anchor's hash. Lone anchors go. Of equal segments all but the first
+   anchor lie side by side; their bytes are the anchor's segment. Rows carry hashes, not bytes,
+   and are packed: a task sends one body of rows to each range of the anchor's hash. It takes
+   equal segments of its documents together: all but the first repeat. Segments count as equal
+   if the 64-bit hashes of both the anchor and the segment are (128 bits in all).
+2. Rows meet by the range of the anchor's hash. Lone anchors go. Of equal segments all but the first
    repeat whole. Anchors with several different segments go on, each segment's first place.
 3. Those segments' bytes are fetched from their documents, dealt out by anchor, cut to what
    can agree with another one and sorted in bounded blocks by suffix_array(); in its order, suffixes that share `span` bytes stand
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import release, stored, table
-from .jaccard_join import _BYTES, _MULT, _mix, _powers
+from .jaccard_join import _BYTES, _MULT, _mix, _powers, groups, whole
 from .suffix_array import suffix_array
 
 SPAN = 100
@@ -40,6 +42,8 @@ MOST = 4000  # different segments of an anchor that are sorted in one block
 BLOCK = 1 << 16  # bytes of a suffix array
 PART = 1 << 22  # strings of a document that are looked at together
 BROADCAST_BYTES = 8 << 20
+TOGETHER = 4 << 20  # bytes of texts that a task looks at together
+PACK = 8 << 20  # bytes of packed rows that a task takes together
 
 
 class Prints:
@@ -115,69 +119,98 @@ def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
 
 
 _PRINT = ["f", "seg", "rid", "place", "left", "right"]
+_ROW = np.dtype([("f", "<u8"), ("seg", "<u8"), ("rid", "<i8"), ("place", "<u4"), ("left", "u1"), ("right", "u1")])  # of a body: column after column
 
 
-def prints(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Segments' rows; right = -1 marks a repeat: [place, left) of rid goes."""
+def prints(docs: DataFrame, parts: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """part, body: segments' rows, packed by ranges of the anchor's hash. part < 0: what already repeats, as packed runs."""
 
     def run(batches):
         make = Prints(span, gram)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows = [(*p, rid) for rid, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for p in make(t.encode())]
-                if not rows:
-                    continue
-                sizes = [len(r[0]) for r in rows]
-                f, seg, place, left, right = (np.concatenate([r[i] for r in rows]) for i in range(5))
-                rid = np.repeat(np.array([r[5] for r in rows], np.int64), sizes)
-                order = np.lexsort((place, rid, seg, f))
-                f, seg, place, left, right, rid = (v[order] for v in (f, seg, place, left, right, rid))
-                again = np.zeros(len(f), bool)
-                again[1:] = (f[1:] == f[:-1]) & (seg[1:] == seg[:-1])
-                # a repeated row's place is no repeat of itself
-                twin = np.zeros(len(f), bool)
-                twin[1:] = again[1:] & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1])
-                keep = ~again
-                yield _batch([f[keep].view(np.int64), seg[keep].view(np.int64), rid[keep], place[keep], left[keep].astype(np.int64), right[keep].astype(np.int64)], _PRINT)
-                gone = again & ~twin
-                if gone.any():
-                    yield _spans(rid[gone], (place - left)[gone], (place + right)[gone])
-
-    return docs.select("rid", "text").mapInArrow(run, "f long, seg long, rid long, place long, left long, right long")
+            held, size, at = [], 0, 0
+            ids = batch.column(0).to_pylist()
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                held += [(*p, ids[i]) for p in make(t.encode())]
+                size += len(t)
+                if size >= TOGETHER or i == len(ids) - 1:
+                    if held:
+                        yield from packed(held)
+                    held, size = [], 0
+
+    def packed(rows):
+        sizes = [len(r[0]) for r in rows]
+        f, seg, place, left, right = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        rid = np.repeat(np.array([r[5] for r in rows], np.int64), sizes)
+        order = np.lexsort((place, rid, seg, f))
+        f, seg, place, left, right, rid = (v[order] for v in (f, seg, place, left, right, rid))
+        again = np.zeros(len(f), bool)
+        again[1:] = (f[1:] == f[:-1]) & (seg[1:] == seg[:-1])
+        # a repeated row's place is no repeat of itself
+        twin = np.zeros(len(f), bool)
+        twin[1:] = again[1:] & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1])
+        keep, gone = ~again, again & ~twin
+        bodies, at = [], []
+        if gone.any():
+            runs = _runs(rid[gone], (place - left)[gone], (place + right)[gone])
+            bodies.append(b"".join(v.astype("<i8").tobytes() for v in runs))
+            at.append(-1 - int(f[0] % np.uint64(parts)))  # any task may hand them on
+        columns = [v[keep].astype(_ROW[n]) for n, v in zip(_ROW.names, (f, seg, rid, place, left, right))]
+        bounds = np.searchsorted((columns[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+        for i in np.flatnonzero(np.diff(bounds)).tolist():
+            bodies.append(b"".join(v[bounds[i] : bounds[i + 1]].tobytes() for v in columns))
+            at.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "body"])
+
+    return docs.select("rid", "text").mapInArrow(run, "part int, body binary")
+
+
+def _runs(rid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rid, start, end) of the maximal runs of each document."""
+    order = np.lexsort((starts, rid))
+    rid, starts, ends = rid[order], starts[order], ends[order]
+    # a document's ends are moved beyond those of the ones before, so that one running maximum does for all
+    new = np.ones(len(rid), bool)
+    new[1:] = rid[1:] != rid[:-1]
+    shift = (np.cumsum(new) - 1) * (int(ends.max()) + 1)
+    s, e = merge(starts + shift, ends + shift)
+    at = np.searchsorted(starts + shift, s)
+    return rid[at], starts[at], e - shift[at]
 
 
 def _spans(rid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Runs of each document as rows of prints(), dealt out by document."""
-    order = np.argsort(rid, kind="stable")
-    rid, starts, ends = rid[order], starts[order], ends[order]
-    edge = np.flatnonzero(rid[1:] != rid[:-1]) + 1
-    out = [(rid[a], *merge(starts[a:b], ends[a:b])) for a, b in zip(np.append(0, edge), np.append(edge, len(rid)))]
-    ids = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
-    s, e = np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])
-    f = _mix(ids.view(np.uint64) + np.uint64(_MULT)).view(np.int64)
-    return _batch([f, np.zeros(len(ids), np.int64), ids, s, e, np.full(len(ids), -1)], _PRINT)
+    """Runs of each document as rows that meet() gives: right = -1 marks a repeat, [place, left) of rid goes."""
+    rid, s, e = _runs(rid, starts, ends)
+    none = np.zeros(len(rid), np.int64)
+    return _batch([none, none, rid, s, e, none - 1], _PRINT)
 
 
-def meet(rows: DataFrame) -> DataFrame:
+def meet(rows: DataFrame, parts: int) -> DataFrame:
     """prints()'s rows by anchor: repeats (right = -1) and first places of segments whose anchor has others; seg: 1 if the anchor has over MOST."""
-    dealt = rows.repartition("f").sortWithinPartitions("f", "seg", "rid", "place")
 
-    def groups(f, seg, rid, place, left, right):
+    def unpacked(bodies):
+        at, out = 0, []
+        for name in _ROW.names:
+            kind = _ROW[name]
+            out.append(np.concatenate([np.frombuffer(b, kind, (n := len(b) // _ROW.itemsize), n * at) for b in bodies]))
+            at += kind.itemsize
+        return [v if v.dtype == np.uint64 else v.astype(np.int64) for v in out]
+
+    def together(bodies):
         """Batches of whole anchors."""
-        span = right < 0
-        if span.any():
-            yield _batch([f[span], seg[span], rid[span], place[span], left[span], right[span]], _PRINT)
-            f, seg, rid, place, left, right = (v[~span] for v in (f, seg, rid, place, left, right))
-        if len(f) < 2:
-            return
+        f, seg, rid, place, left, right = unpacked(bodies)
+        order = np.argsort(f, kind="stable")
+        f = f[order]
         same = f[1:] == f[:-1]
-        lone = np.ones(len(f), bool)
-        lone[1:] &= ~same
-        lone[:-1] &= ~same
-        f, seg, rid, place, left, right = (v[~lone] for v in (f, seg, rid, place, left, right))
+        company = np.zeros(len(f), bool)
+        company[1:] |= same
+        company[:-1] |= same
+        order, f = order[company], f[company]
         if not len(f):
             return
+        seg, rid, place, left, right = (v[order] for v in (seg, rid, place, left, right))
+        order = np.lexsort((place, rid, seg, f))
+        f, seg, rid, place, left, right = (v[order] for v in (f, seg, rid, place, left, right))
         again = np.zeros(len(f), bool)
         again[1:] = (f[1:] == f[:-1]) & (seg[1:] == seg[:-1])
         twin = np.zeros(len(f), bool)
@@ -190,24 +223,18 @@ def meet(rows: DataFrame) -> DataFrame:
         size = np.repeat(np.diff(np.append(begin, len(f))), np.diff(np.append(begin, len(f))))
         several = size > 1
         if several.any():
-            yield _batch([f[several], (size > MOST)[several].astype(np.int64), rid[several], place[several], left[several], right[several]], _PRINT)
+            yield _batch([f[several].view(np.int64), (size > MOST)[several].astype(np.int64), rid[several], place[several], left[several], right[several]], _PRINT)
 
     def run(batches):
-        held: list = []
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if not len(columns[0]):
-                continue
-            if held:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
-            whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last anchor may go on
-            held = [c[whole:] for c in columns]
-            if whole:
-                yield from groups(*(c[:whole] for c in columns))
-        if held:
-            yield from groups(*held)
+        for (part,), (_, bodies) in groups(batches, 1):
+            if part < 0:
+                for body in bodies:
+                    three = np.frombuffer(body, "<i8").reshape(3, -1)
+                    yield _spans(*three)
+            else:
+                yield from together(bodies)
 
-    return dealt.mapInArrow(run, "f long, seg long, rid long, place long, left long, right long")
+    return whole(rows, parts, "part").mapInArrow(run, "f long, seg long, rid long, place long, left long, right long")
 
 
 def by_document(spark: SparkSession, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -318,12 +345,7 @@ def sort_segments(rows: DataFrame, span: int = SPAN) -> DataFrame:
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     rid, start, end = (np.array(c, np.int64) for c in zip(*found))
-    order = np.argsort(rid, kind="stable")
-    rid, start, end = rid[order], start[order], end[order]
-    edge = np.flatnonzero(rid[1:] != rid[:-1]) + 1
-    parts = [(rid[a], *merge(start[a:b], end[a:b])) for a, b in zip(np.append(0, edge), np.append(edge, len(rid)))]
-    ids = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-    return _batch([ids, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])], ["rid", "start", "end"])
+    return _batch(list(_runs(rid, start, end)), ["rid", "start", "end"])
 
 
 def compare_strings(spark: SparkSession, rows: DataFrame, span: int = SPAN) -> DataFrame:
@@ -347,7 +369,10 @@ def compare_strings(spark: SparkSession, rows: DataFrame, span: int = SPAN) -> D
 
 def find(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """rid, start, end: what repeats; docs from identified()."""
-    met = stored(spark, meet(prints(docs, span, gram)), "met")
+    # about one anchor in 36 bytes
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * _ROW.itemsize // 36 // PACK))
+    met = stored(spark, meet(prints(docs, parts, span, gram), parts), "met")
     release(spark)  # the anchors' shuffle files
     out = met.where("right < 0").select("rid", F.col("place").alias("start"), F.col("left").alias("end"))
     several = met.where("right >= 0")
