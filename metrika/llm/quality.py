@@ -17,13 +17,12 @@ gathered as counts on a fixed grid, so what reaches the driver doesn't grow with
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, stored, table
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -38,7 +37,7 @@ RULES = {
     "same_next_word_share": np.linspace(0.025, 1.0, 40),
     "long_word_mean": np.linspace(6.0, 25.5, 40),
 }
-_WS = re.compile(rb"[\x20\x09-\x0D]")
+PRIVATE = "__quality_"  # begins the names of working columns, so that columns of the table can't clash
 
 
 def repeated_words(ids: np.ndarray, window: int = 8) -> int:
@@ -92,8 +91,8 @@ def base_counts(text: str | None) -> tuple:
 
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' kept columns, the base counts and for each of RULES the level of its score (rule_...)."""
-    fields = [(b, "bigint") for b in BASE] + [(f"rule_{r}", "bigint") for r in RULES]
+    """docs' kept columns, the base counts and for each of RULES the level of its score, all under names of their own (PRIVATE)."""
+    fields = [(PRIVATE + n, "bigint") for n in (*BASE, *RULES)]
 
     def make():
         grids = list(RULES.values())
@@ -110,8 +109,8 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def base_failed():
-    n = F.col("n_words")
-    return (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
+    n = F.col(PRIVATE + "n_words")
+    return (n < 20) | (100 * F.col(PRIVATE + "n_repeat_words") > 30 * n)
 
 
 def upper_bound(k: int, n: int, level: float) -> float:
@@ -159,17 +158,16 @@ def choose(counts: dict, risk: float, delta: float, good_weight: float) -> dict:
     return out
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = 0.02, delta: float = 0.05, good_weight: float = 20.0) -> dict:
-    """Indices of cutoffs by (stratum, rule) from all labelled documents."""
+def calibrate(scores: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05, good_weight: float = 20.0) -> dict:
+    """Indices of cutoffs by (stratum, rule) from all labelled documents; scores: counted() with doc_id and the stratum."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__good"))
-    scores = counted(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(f"`{stratum}`").alias("__stratum"), F.col(f"`{text}`").alias("__t")), ["doc_id", "__stratum"], "__t")
-    scores = scores.where(~base_failed() & F.col("__stratum").isNotNull())
-    bins = [F.struct(F.lit(r).alias("rule"), F.col(f"rule_{r}").alias("bin")) for r in RULES]
+    scores = scores.where(~base_failed() & F.col(stratum).isNotNull() & F.col("doc_id").isNotNull())
+    bins = [F.struct(F.lit(r).alias("rule"), F.col(PRIVATE + r).alias("bin")) for r in RULES]
     rows = (
-        scores.select("doc_id", "__stratum", F.array(*bins).alias("bins"))
+        scores.select("doc_id", F.col(stratum).alias("__s"), F.array(*bins).alias("bins"))
         .join(known, F.col("doc_id") == F.col("__id"))
-        .select("__stratum", "__good", F.explode("bins").alias("b"))
-        .groupBy("__stratum", "b.rule", "b.bin", "__good").count().collect()
+        .select("__s", "__good", F.explode("bins").alias("b"))
+        .groupBy("__s", "b.rule", "b.bin", "__good").count().collect()
     )
     counts: dict = {}
     for s, rule, b, good, n in rows:
@@ -182,23 +180,31 @@ def rejected(cutoffs: dict, stratum: str):
     """Whether a rule of the row's stratum rejects it."""
     out = F.lit(False)
     for (s, rule), cut in sorted(cutoffs.items()):
-        out = out | ((F.col(f"`{stratum}`") == s) & (F.col(f"rule_{rule}") > F.lit(int(cut))))
+        out = out | ((F.col(stratum) == s) & (F.col(PRIVATE + rule) > F.lit(int(cut))))
     return F.coalesce(out, F.lit(False))
 
 
-def judge(docs: DataFrame, cutoffs: dict, keep: list[str], stratum: str = "lang", text: str = "text") -> DataFrame:
-    """Kept columns, base counts, base_failed and kept."""
-    out = counted(docs.withColumn("__stratum", F.col(f"`{stratum}`")), [*keep, "__stratum"], text)
-    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs, "__stratum"))
-    return out.drop("__stratum", *[f"rule_{r}" for r in RULES])
+def scored(spark: SparkSession, docs: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
+    """counted() with doc_id and the stratum (__quality_stratum), stored: texts are read once for calibrating and judging."""
+    own = docs.select("doc_id", F.col(f"`{stratum}`").alias(PRIVATE + "stratum"), F.col(f"`{text}`").alias(PRIVATE + "text"))
+    return stored(spark, counted(own, ["doc_id", PRIVATE + "stratum"], PRIVATE + "text"), "quality")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, **knobs) -> DataFrame:
-    """docs without what the rules reject; the columns stay."""
-    cutoffs = calibrate(docs, labels, **knobs)
-    return judge(docs, cutoffs, docs.columns).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", **knobs) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every document."""
+    scores = scored(spark, docs, stratum, text)
+    cutoffs = calibrate(scores, labels, PRIVATE + "stratum", **knobs)
+    kept = ~base_failed() & ~rejected(cutoffs, PRIVATE + "stratum")
+    return scores.select("doc_id", *[F.col(PRIVATE + b).alias(b) for b in BASE], base_failed().alias("base_failed"), kept.alias("kept"))
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", **knobs) -> DataFrame:
+    """docs without what the rules reject; the columns stay, whatever their names."""
+    cutoffs = calibrate(scored(docs.sparkSession, docs, stratum, text), labels, PRIVATE + "stratum", **knobs)
+    own = docs.withColumn(PRIVATE + "stratum", F.col(f"`{stratum}`")).withColumn(PRIVATE + "text", F.col(f"`{text}`"))
+    out = counted(own, [*docs.columns, PRIVATE + "stratum"], PRIVATE + "text")
+    return out.where(~base_failed() & ~rejected(cutoffs, PRIVATE + "stratum")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, calibrate(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
