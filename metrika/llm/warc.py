@@ -33,6 +33,7 @@ RANGE = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 LEAST = 1000
+MOST_TASKS = 50_000  # that read ranges; a task may have several
 _CHUNK = 1 << 16
 
 
@@ -182,12 +183,15 @@ def scan_range(stream, size: int, start: int, end: int):
 
 def read(spark: SparkSession, folder: str, files: list, span: int = RANGE) -> DataFrame:
     """page_id, payload_bytes, payload_digest (bare lower-case hex), record_type and refers_to of every record."""
-    rows = [(r["name"], r["size"], s, min(r["size"], s + span)) for r in files for s in range(0, r["size"], span)]
-    ranges = spark.createDataFrame(rows, "name string, size long, start long, stop long").repartition(max(1, len(rows)))
+    rows = [(r["name"], r["size"]) for r in files if r["size"]]
+    n = sum(-(-size // span) for _, size in rows)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long")))
+    ranges = spark.createDataFrame(rows, "name string, size long").select("name", "size", starts.alias("start"))
+    ranges = ranges.select("name", "size", "start", F.least("size", F.col("start") + span).alias("stop")).repartition(min(max(1, n), MOST_TASKS))
 
     def number(value: str | None):
-        digits = re.sub(r"\D", "", value or "")
-        return int(digits) if digits else None
+        found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+        return int(found[1]) if found else None
 
     def run(batches):
         system, path = open_folder(folder)
