@@ -10,9 +10,12 @@ for. To find sketches inside long documents without hashing all their shingles,
 shingle is looked up by its longest word, then compared in full. What is found is verified
 by counting exact shingles in the found documents alone.
 
-The sketch table and the found documents' keys are broadcast if counting shows them to be
-within BROADCAST_ROWS, else joined by shuffle. Defined cases: null or empty text and items
-without words are never contained; repeated rows each count; null ids are kept as null.
+The sketch table and the found documents' keys are broadcast if their bytes are counted to be
+within BROADCAST, else joined by shuffle. Defined cases: null or empty text and items
+without words are never contained; an item of fewer than five words is one shingle, which
+only documents of just those words have; the texts of a repeated item_id are one item with
+the shingles of all, while each text without an id is an item of its own; repeated documents
+each count; null ids are kept as null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-BROADCAST_ROWS = 500_000
+BROADCAST = 32 << 20  # bytes
 SHINGLE = 5
 PERCENT = 80
 
@@ -38,23 +41,27 @@ def shingles(of: Column, size: int = SHINGLE) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(of, " "))).otherwise(several)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """df, marked for broadcast if its rows have at most `limit` bytes."""
+    sizes = [F.coalesce(F.length(c), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(16) for c, kind in df.dtypes]
+    return F.broadcast(df) if (df.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0) <= limit else df
 
 
 def item_shingles(items: DataFrame, text: str = "text") -> DataFrame:
-    """item, n (distinct shingles), shingle: a row for each distinct shingle of each distinct item text."""
+    """no, item, n (distinct shingles), shingle: a row for each distinct shingle of an item; no: its key."""
     # the words are a column of their own, so that lambdas don't split the text anew for each shingle
-    own = items.select(F.col("item_id").alias("item"), words(F.col(f"`{text}`")).alias("w")).select("item", F.array_distinct(shingles(F.col("w"))).alias("all"))
-    return own.where(F.size("all") > 0).distinct().select("item", F.size("all").cast("long").alias("n"), F.explode("all").alias("shingle"))
+    own = items.select(F.col("item_id").alias("item"), words(F.col(f"`{text}`")).alias("w"))
+    no = F.when(F.col("item").isNotNull(), F.concat(F.lit("id "), F.col("item").cast("string"))).otherwise(F.concat(F.lit("text "), F.sha2(F.array_join("w", " "), 256)))
+    rows = own.select(no.alias("no"), "item", F.explode(F.array_distinct(shingles(F.col("w")))).alias("shingle")).distinct()
+    sizes = rows.groupBy("no").agg(F.count("*").alias("n"))
+    return rows.join(sizes, "no").select("no", "item", "n", "shingle")
 
 
 def sketches(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """item, n, part (size partition), shingle, width (its words), anchor (its longest word) and where that is."""
-    by_item = rows.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("shingle").alias("h"), "shingle"))).alias("all"))
+    """no, n, part (size partition), shingle, width (its words), anchor (its longest word) and where that is."""
+    by_item = rows.groupBy("no", "n").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("shingle").alias("h"), "shingle"))).alias("all"))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    own = by_item.select("item", "n", F.explode(F.slice("all", 1, size.cast("int"))).alias("s")).select("item", "n", F.col("s.shingle").alias("shingle"))
+    own = by_item.select("no", "n", F.explode(F.slice("all", 1, size.cast("int"))).alias("s")).select("no", "n", F.col("s.shingle").alias("shingle"))
     parts = F.split("shingle", " ")
     at = F.array_max(F.transform(parts, lambda w, i: F.struct(F.length(w).alias("l"), -i.cast("int"))))
     own = own.withColumn("width", F.size(parts)).withColumn("at", -at["col2"]).withColumn("part", F.floor(F.log2("n")).cast("int"))
@@ -68,16 +75,16 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def search(docs: DataFrame, sketch: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, item): texts that have a shingle of an item's sketch and are long enough for its partition."""
+    """(key, no): texts that have a shingle of an item's sketch and are long enough for its partition."""
     own = keyed(docs, text).select("key", words(F.col("text")).alias("w"))
     # a document of m words has at most m shingles, so items of partitions from 2^p > m / 0.8 on can't be in it
     probes = own.select("key", "w", F.posexplode("w").alias("pos", "word")).select("key", "w", "pos", F.xxhash64("word").alias("h"))
-    side = small(sketch.select("item", "part", "shingle", "width", "at", "anchor"))
+    side = small(sketch.select("no", "part", "shingle", "width", "at", "anchor"))
     found = probes.join(side, F.col("h") == F.col("anchor"))
     found = found.where(F.size("w") * 100 >= F.pow(F.lit(2), F.col("part")) * percent)
     begin = F.col("pos") - F.col("at") + 1
     same = F.when(begin >= 1, F.array_join(F.slice("w", F.greatest(begin, F.lit(1)), F.col("width")), " ") == F.col("shingle"))
-    return found.where(same).select("key", "item").distinct()
+    return found.where(same).select("key", "no").distinct()
 
 
 def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -87,16 +94,18 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str
     keys = small(found.select("key").distinct())
     kept = keyed(docs, text).join(keys, "key", "left_semi")
     own = kept.select("doc_id", "key", words(F.col("text")).alias("w")).select("doc_id", "key", F.explode(F.array_distinct(shingles(F.col("w")))).alias("shingle"))
-    pairs = own.join(small(rows), "shingle").join(found, ["key", "item"], "left_semi")
-    counted = pairs.groupBy("doc_id", "key", "item", "n").agg(F.countDistinct("shingle").alias("shared"))
+    pairs = own.join(small(rows), "shingle").join(found, ["key", "no"], "left_semi")
+    counted = pairs.groupBy("doc_id", "key", "no", "item", "n").agg(F.countDistinct("shingle").alias("shared"))
     return counted.where(F.col("shared") * 100 >= F.col("n") * percent).select("doc_id", "key", "item", "shared", "n")
 
 
 def filter_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that contain an item; the columns stay."""
-    bad = stored(spark, contained(spark, docs, items, text).select(F.col("key").alias("__bad")).distinct(), "contaminated")
+    """docs without those that contain an item, by doc_id and text; the columns stay."""
+    bad = contained(spark, docs, items, text).select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad")).distinct()
+    bad = stored(spark, bad, "contaminated")
     own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.withColumn("__key", F.xxhash64(own, F.length(own))).join(small(bad), F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    same = (F.col("__key") == F.col("__bad")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.withColumn("__key", F.xxhash64(own, F.length(own))).join(small(bad), same, "left_anti").drop("__key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
