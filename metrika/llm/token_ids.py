@@ -13,7 +13,8 @@ import re
 
 import numpy as np
 
-STORE = 250_000
+STORE = 400_000
+_MARKS = frozenset(",.;:!?)")
 #: Any white space but a space or newline; texts with it are encoded whole.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
@@ -42,6 +43,28 @@ class _Parts(dict):
         return out
 
 
+class _Pieces(dict):
+    """Piece -> its ids, made when first asked for."""
+
+    def __init__(self, encoder):
+        self.encoder, self.plain, self.spaced = encoder, encoder._plain, encoder.spaced
+        self.tokenize, self.ids = encoder.parts.tokenize, encoder.parts.ids
+        self.space, self.parts = encoder.letters[32], encoder.parts
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # one pre-token
+            ids = self.ids
+            out = b"".join([ids[t.id] for t in self.tokenize(self.space + piece if self.spaced else piece.lower())])
+        elif piece[-1:] in _MARKS and piece[:-1].isascii() and piece[:-1].isalpha():  # two
+            out = self[piece[:-1]] + self.parts[piece[-1]]
+        else:
+            out = self.plain(piece) if piece else b""
+            if out is None:
+                out = self.encoder._encode([piece if not self.spaced or piece[0] == "\n" else " " + piece])[0]
+        self[piece] = out
+        return out
+
+
 class Encoder:
     """ids(texts) gives for each text (None: empty) its ids as little-endian unsigned 32-bit numbers.
 
@@ -53,9 +76,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.store: dict[str, bytes] = {}
         self.letters = byte_letters()
         self.parts = _Parts(self.tokenizer)
+        self.store = _Pieces(self)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -107,20 +130,11 @@ class Encoder:
         for (i, _), v in zip(whole, self._encode([texts[i] for i, _ in whole])):
             out[i] = v
         if len(self.store) > STORE:
-            self.store = {}
+            self.store.clear()
         if len(self.parts) > STORE:
             self.parts.clear()
-        store, first = self.store, []
-        missing = set()
-        for _, pieces in split:
-            missing.update(pieces[1:] if self.spaced else pieces)
-            if self.spaced:
-                first.append(pieces[0])
-        fresh = [p for p in missing if p not in store]
-        store.update((p, self._plain(p)) for p in fresh)
-        rest = [p for p in fresh if store[p] is None]
-        given = rest if not self.spaced else [p if p[0] == "\n" else " " + p for p in rest]
-        store.update(zip(rest, self._encode(given)))
+        store = self.store
+        first = [pieces[0] for _, pieces in split] if self.spaced else []
         heads = self._encode(first)
         for k, (i, pieces) in enumerate(split):
             if self.spaced:
