@@ -41,7 +41,6 @@ GRAM = 28
 MOST = 4000  # different segments of an anchor that are sorted in one block
 BLOCK = 1 << 16  # bytes of a suffix array
 PART = 1 << 22  # strings of a document that are looked at together
-BROADCAST_BYTES = 8 << 20
 TOGETHER = 4 << 20  # bytes of texts that a task looks at together
 PACK = 8 << 20  # bytes of packed rows that a task takes together
 
@@ -237,17 +236,15 @@ def meet(rows: DataFrame, parts: int) -> DataFrame:
     return whole(rows, parts, "part").mapInArrow(run, "f long, seg long, rid long, place long, left long, right long")
 
 
-def by_document(spark: SparkSession, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rid and arrays of its rows' columns: a document's own rows, bounded by its length. Marked for broadcast if counting shows few."""
-    out = stored(spark, rows.groupBy(F.col("rid").alias("__rid")).agg(*[F.collect_list(c).alias("l_" + c) for c in columns]), "by-document")
-    n = out.agg(F.sum(16 + len(columns) * 8 * F.size("l_" + columns[0])).alias("n")).first()["n"] or 0
-    return F.broadcast(out) if n <= BROADCAST_BYTES else out
+def by_document(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rid and arrays of its rows' columns: a document's own rows, bounded by its length."""
+    return rows.groupBy(F.col("rid").alias("__rid")).agg(*[F.collect_list(c).alias("l_" + c) for c in columns])
 
 
 def segments(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """f, hot, rid, start, left (bytes before the anchor) and bytes (body) of the segments' rows."""
     rows = rows.select("f", F.col("seg").alias("hot"), "rid", "left", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    wanted = by_document(spark, rows.select("rid", F.struct("f", "hot", "start", "end", "left").alias("s")), ["s"])
+    wanted = by_document(rows.select("rid", F.struct("f", "hot", "start", "end", "left").alias("s")), ["s"])
     own = docs.select("rid", "text").dropDuplicates(["rid"]) if "rid" not in docs.columns else docs.select("rid", "text")
     joined = own.join(wanted, F.col("rid") == F.col("__rid")).select("rid", "text", F.col("l_s").alias("s"))
 
@@ -401,7 +398,7 @@ def cut(text: str | None, starts, ends) -> tuple[int, int, int, bytes]:
 def remove(spark: SparkSession, docs: DataFrame, text: str = "text", span: int = SPAN, with_rest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row and, if asked for, the bytes that are left (rest)."""
     own = identified(spark, docs, text)
-    spans = by_document(spark, find(spark, own, span), ["start", "end"])
+    spans = by_document(find(spark, own, span), ["start", "end"])
     joined = own.join(spans, F.col("rid") == F.col("__rid"), "left").select("doc_id", "text", "l_start", "l_end")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if with_rest else "")
 
