@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,12 +46,25 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are stored; it does so when the driver collects garbage."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back when its task ends, as Python workers live on from task to task."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return own
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Append columns made from a text column, in one pass without a shuffle.
 
@@ -76,7 +92,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[tuple[str,
             columns += [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names + [n for n, _ in fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def crc_mod(column: str, n: int):

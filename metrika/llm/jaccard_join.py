@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, release, stored, table
+from .common import dropped, lean, release, stored, table
 from .graph import components
 
 SHINGLE = 5
@@ -49,7 +49,7 @@ PERCENT = 80
 OFTEN = 64  # classes from which on a shingle counts as often seen
 LISTED = 1 << 20  # often seen shingles that are broadcast: the most frequent ones by powers of two
 HOT = 1 << 18  # classes from which on a shingle's documents are not gathered in one task
-PART = 16 << 20  # bytes of shingles or windows that a task takes together
+PART = 8 << 20  # bytes of shingles or windows that a task takes together
 SALT = 256  # members of a region for each copy of its pivot's set
 BLOCK = 1000  # members that are compared in one task
 BROADCAST = 16 << 20  # bytes
@@ -338,7 +338,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in found], pa.int64()), keys, vectors], names=["doc_id", "n_shingles", "key", "vector"])
 
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        return self.docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, vector binary")
+        return self.docs.mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, key binary, vector binary")
 
     def often_seen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Often seen shingles, sorted, their levels (1, 2, ... by powers of two) and those that are hot.
@@ -358,7 +358,7 @@ class Join:
             for found in sets(batches):
                 held += [s for _, s in found]
                 size += sum(len(s) for _, s in found)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield flush()
                     held, size = [], 0
             if held:
@@ -377,7 +377,7 @@ class Join:
                 c, n = c[n > often], n[n > often]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["c", "n"])
 
-        rows = whole(self.texts.mapInArrow(count, "part int, body binary"), parts, "part").mapInArrow(add, "c long, n long")
+        rows = whole(self.texts.mapInArrow(lean(count), "part int, body binary"), parts, "part").mapInArrow(lean(add), "c long, n long")
         rows = self.keep(rows.withColumn("level", (F.floor(F.log2(F.col("n") / often)) + 1).cast("int")), "often")
         left, least = LISTED, 1 << 30
         for r in rows.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # a row a power of two
@@ -466,9 +466,9 @@ class Join:
                     yield pa.RecordBatch.from_arrays([*pairs, pa.array(n[a]), pa.array(n[b])], names=["p", "x", "pn", "xn"])
 
         schema = "p binary, x binary, pn long, xn long"
-        out = whole(self.texts.mapInArrow(windows(False), "part int, body binary"), parts, "part").mapInArrow(meet, schema)
+        out = whole(self.texts.mapInArrow(lean(windows(False)), "part int, body binary"), parts, "part").mapInArrow(lean(meet), schema)
         if len(hot):
-            rows = self.keep(self.texts.mapInArrow(windows(True), "c long, x binary, xn long"), "hot").distinct()
+            rows = self.keep(self.texts.mapInArrow(lean(windows(True)), "c long, x binary, xn long"), "hot").distinct()
             pivots = rows.groupBy("c").agg(F.min(F.struct("x", "xn")).alias("m")).select("c", F.col("m.x").alias("p"), F.col("m.xn").alias("pn"))
             out = out.unionByName(rows.join(pivots, "c").where("x <> p").select("p", "x", "pn", "xn"))
         return self.keep(out.distinct(), "stars")
@@ -480,7 +480,7 @@ class Join:
             for found in sets(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["__key", "set"])
 
-        return self.texts.mapInArrow(run, "__key binary, set binary").join(wanted, F.col("__key") == F.col("key")).drop("__key")
+        return self.texts.mapInArrow(lean(run), "__key binary, set binary").join(wanted, F.col("__key") == F.col("key")).drop("__key")
 
     def bounds(self, stars: DataFrame, vectors: DataFrame) -> DataFrame:
         """stars with `near`, whether the L1 bound lets the pair link, and `low`, the least distance by it."""
@@ -499,7 +499,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(may_link(both, gap, percent)), pa.array(2.0 * gap / (both + gap))], names=["p", "x", "pn", "xn", "near", "low"])
 
         joined = stars.join(side("x"), "x").join(side("p"), "p")
-        return joined.select("p", "x", "pn", "xn", "p_vector", "x_vector").mapInArrow(run, "p binary, x binary, pn long, xn long, near boolean, low double")
+        return joined.select("p", "x", "pn", "xn", "p_vector", "x_vector").mapInArrow(lean(run), "p binary, x binary, pn long, xn long, near boolean, low double")
 
     def measured(self, near: DataFrame) -> DataFrame:
         """(p, x, d, linked) of the pairs (p, x), exactly: sets meet their pivot's, crowded regions in several parts."""
@@ -532,7 +532,7 @@ class Join:
 
         parts = self.parts(8 * self.shingles)
         dealt = rows.repartition(parts, "p", "salt").sortWithinPartitions("p", "salt", "role", "key")
-        return dealt.mapInArrow(run, "p binary, x binary, d double, linked boolean").distinct()
+        return dealt.mapInArrow(lean(run), "p binary, x binary, d double, linked boolean").distinct()
 
     def cross(self, stars: DataFrame, found: DataFrame, labels: DataFrame | None, vectors: DataFrame) -> DataFrame | None:
         """(a, b): links between members of a region that are in different components, inside the window of its pivot."""
@@ -582,7 +582,7 @@ class Join:
                     )
 
         parts = self.parts(8 * self.shingles)
-        wanted = whole(own, parts, "p", "i", "j").mapInArrow(sift, "p binary, i int, j int, key binary, comp binary")
+        wanted = whole(own, parts, "p", "i", "j").mapInArrow(lean(sift), "p binary, i int, j int, key binary, comp binary")
         wanted = self.keep(wanted.groupBy("key").agg(F.collect_list(F.struct("p", "i", "j", "comp")).alias("all")), "sifted")  # a set's regions
         if wanted.limit(1).count() == 0:
             return None
@@ -597,7 +597,7 @@ class Join:
                 if region.links:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[e[s]] for e in region.links], pa.binary()) for s in (0, 1)], names=["a", "b"])
 
-        return whole(rows, parts, "p", "i", "j").mapInArrow(settle, "a binary, b binary")
+        return whole(rows, parts, "p", "i", "j").mapInArrow(lean(settle), "a binary, b binary")
 
     def solve(self) -> DataFrame | None:
         """(node, label) of all linked classes, by key; other classes are alone."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 from .token_ids import Encoder
 
 LENGTH = 2048
@@ -227,7 +227,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH,
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index))] + made, names=names)
 
     source = docs.select("doc_id", F.col(f"`{text}`").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"doc_id {kind}, {fields}")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, {fields}")
 
 
 def place(found: DataFrame, length: int = LENGTH, groups: int = GROUPS) -> DataFrame:
@@ -259,7 +259,7 @@ def place(found: DataFrame, length: int = LENGTH, groups: int = GROUPS) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(sequence), pa.array(offset)], names=keep + ["sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name in keep)
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), schema + ", sequence_id long, offset long")
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", length: int = LENGTH, groups: int = GROUPS, spaced: bool = False, with_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, table
+from .common import lean, map_texts, stored, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: What the query's contract states.
@@ -191,7 +191,7 @@ def word_ranks(docs: DataFrame, text: str = "text") -> dict:
                 n.update(words_of(t))
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
-    made = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "word string, n long")
+    made = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(lean(run), "word string, n long")
     counts = stored(docs.sparkSession, made.groupBy("word").agg(F.sum("n").alias("n")), "words")
     # words that are in t documents or more are at most (all pairs) / t
     pairs = counts.agg(F.sum("n")).first()[0] or 0

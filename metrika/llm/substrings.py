@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table
+from .common import lean, release, stored, table
 from .jaccard_join import _BYTES, _MULT, _mix, _powers, groups, whole
 from .suffix_array import suffix_array
 
@@ -161,7 +161,7 @@ def prints(docs: DataFrame, parts: int, span: int = SPAN, gram: int = GRAM) -> D
             at.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bodies, pa.binary())], names=["part", "body"])
 
-    return docs.select("rid", "text").mapInArrow(run, "part int, body binary")
+    return docs.select("rid", "text").mapInArrow(lean(run), "part int, body binary")
 
 
 def _runs(rid: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +233,7 @@ def meet(rows: DataFrame, parts: int) -> DataFrame:
             else:
                 yield from together(bodies)
 
-    return whole(rows, parts, "part").mapInArrow(run, "f long, seg long, rid long, place long, left long, right long")
+    return whole(rows, parts, "part").mapInArrow(lean(run), "f long, seg long, rid long, place long, left long, right long")
 
 
 def by_document(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -257,7 +257,7 @@ def segments(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame
                 body = [raw[a:b] for a, b in zip(start.to_pylist(), end.to_pylist())]
                 yield pa.RecordBatch.from_arrays([f, hot, pa.array([rid] * len(body), pa.int64()), start, left, pa.array(body, pa.binary())], names=["f", "hot", "rid", "start", "left", "body"])
 
-    return joined.mapInArrow(run, "f long, hot long, rid long, start long, left long, body binary")
+    return joined.mapInArrow(lean(run), "f long, hot long, rid long, start long, left long, body binary")
 
 
 def repeats_in(block: list[tuple], span: int = SPAN) -> list[tuple[int, int, int]]:
@@ -337,7 +337,7 @@ def sort_segments(rows: DataFrame, span: int = SPAN) -> DataFrame:
         if out:
             yield _rows(out)
 
-    return dealt.select("f", "rid", "start", "body", "left").mapInArrow(run, "rid long, start long, end long")
+    return dealt.select("f", "rid", "start", "body", "left").mapInArrow(lean(run), "rid long, start long, end long")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -358,7 +358,7 @@ def compare_strings(spark: SparkSession, rows: DataFrame, span: int = SPAN) -> D
                     starts.append(start + i)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())], names=["h", "rid", "start"])
 
-    strings = stored(spark, rows.select("rid", "start", "body").mapInArrow(run, "h binary, rid long, start long"), "strings")
+    strings = stored(spark, rows.select("rid", "start", "body").mapInArrow(lean(run), "h binary, rid long, start long"), "strings")
     first = strings.groupBy("h").agg(F.min(F.struct("rid", "start")).alias("m"), F.count("*").alias("n")).where("n > 1")
     again = strings.join(first.select("h", F.col("m.rid").alias("r0"), F.col("m.start").alias("s0")), "h").where("rid <> r0 or start <> s0")
     return again.select("rid", "start", (F.col("start") + span).alias("end"))
@@ -412,7 +412,7 @@ def remove(spark: SparkSession, docs: DataFrame, text: str = "text", span: int =
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["rest"] * with_rest
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

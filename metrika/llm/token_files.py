@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_folder, table
+from .common import lean, new_folder, open_folder, table
 from .id_codec import FileWriter, read_file
 from .token_ids import Encoder
 
@@ -50,7 +50,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, tex
     source = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = source.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return sorted(ranged.mapInArrow(run, "part int, name string, n_ids long, n_docs long").collect())
+    return sorted(ranged.mapInArrow(lean(run), "part int, name string, n_ids long, n_docs long").collect())
 
 
 def read(spark: SparkSession, folder: str, parts: list) -> DataFrame:
@@ -77,7 +77,7 @@ def read(spark: SparkSession, folder: str, parts: list) -> DataFrame:
                     if out:
                         yield _batch(out)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-STORE = 400_000
+STORE = 200_000
 _MARKS = frozenset(",.;:!?)")
 #: Any white space but a space or newline; texts with it are encoded whole.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, open_folder, table
+from .common import lean, new_folder, open_folder, table
 
 RANGE = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -100,7 +100,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> list:
         system.move(trial, f"{path}/{name}")
         yield pa.RecordBatch.from_pydict({"name": [name], "size": [size]})
 
-    return sorted(responses(pages, least).mapInArrow(run, "name string, size long").collect())
+    return sorted(responses(pages, least).mapInArrow(lean(run), "name string, size long").collect())
 
 
 def _inflate(stream, at: int, size: int, first: bytes):
@@ -211,7 +211,7 @@ def read(spark: SparkSession, folder: str, files: list, span: int = RANGE) -> Da
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return ranges.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ranges.mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
