@@ -8,8 +8,13 @@ import math
 VOWELS = ["AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW"]
 CONSONANTS = ["P", "B", "T", "D", "K", "G", "CH", "JH", "F", "V", "TH", "DH", "S", "Z", "SH", "ZH", "HH", "M", "N", "NG", "L", "R", "W", "Y"]
 ILLEGAL_ONSETS = ["NG"]
-ONSETS_2 = "S P,S T,S K,S M,S N,S L,S W,S F,P L,P R,P Y,T R,T W,T Y,K L,K R,K W,K Y,B L,B R,B Y,D R,D W,D Y,G L,G R,G W,F L,F R,F Y,TH R,TH W,SH R,HH Y,HH W,V Y,M Y,N Y".split(",")
-ONSETS_3 = "S P L,S P R,S P Y,S T R,S T Y,S K R,S K W,S K Y,S K L".split(",")
+ONSETS_2 = [
+    "S P", "S T", "S K", "S M", "S N", "S L", "S W", "S F", "P L", "P R", "P Y", "T R", "T W", "T Y", "K L", "K R", "K W", "K Y", "B L", "B R", "B Y",
+    "D R", "D W", "D Y", "G L", "G R", "G W", "F L", "F R", "F Y", "TH R", "TH W", "SH R", "HH Y", "HH W", "V Y", "M Y", "N Y",
+]
+ONSETS_3 = [
+    "S P L", "S P R", "S P Y", "S T R", "S T Y", "S K R", "S K W", "S K Y", "S K L",
+]
 
 # Vowel -> (backness, height, rounding) where it begins and, if it glides, where it ends.
 VOWEL_POINTS = {
@@ -33,31 +38,34 @@ RHOTIC = {"ER"}
 ROUND_WEIGHT, RHOTIC_WEIGHT, VOICE_WEIGHT = 0.3, 0.5, 0.2
 PLACES = {"bilabial": 0.00, "labiovelar": 0.10, "labiodental": 0.15, "dental": 0.25, "alveolar": 0.40, "postalveolar": 0.55, "palatal": 0.70, "velar": 0.85, "glottal": 1.00}
 MANNERS = {"stop": 0.00, "affricate": 0.15, "fricative": 0.30, "nasal": 0.55, "liquid": 0.75, "glide": 0.90}
-# Place, manner and the consonants there, voiceless / voiced.
-CONSONANT_CHART = """
-bilabial stop P/B
-alveolar stop T/D
-velar stop K/G
-postalveolar affricate CH/JH
-labiodental fricative F/V
-dental fricative TH/DH
-alveolar fricative S/Z
-postalveolar fricative SH/ZH
-glottal fricative HH/
-bilabial nasal /M
-alveolar nasal /N
-velar nasal /NG
-alveolar liquid /L
-postalveolar liquid /R
-labiovelar glide /W
-palatal glide /Y
-"""
-CONSONANT_POINTS = {
-    symbol: (PLACES[place], MANNERS[manner], voiced)
-    for place, manner, pair in (line.split() for line in CONSONANT_CHART.split("\n") if line)
-    for voiced, symbol in enumerate(pair.split("/"))
-    if symbol
+# Consonant -> place, manner, voiced.
+CONSONANT_FEATURES = {
+    "P": ("bilabial", "stop", False),
+    "B": ("bilabial", "stop", True),
+    "T": ("alveolar", "stop", False),
+    "D": ("alveolar", "stop", True),
+    "K": ("velar", "stop", False),
+    "G": ("velar", "stop", True),
+    "CH": ("postalveolar", "affricate", False),
+    "JH": ("postalveolar", "affricate", True),
+    "F": ("labiodental", "fricative", False),
+    "V": ("labiodental", "fricative", True),
+    "TH": ("dental", "fricative", False),
+    "DH": ("dental", "fricative", True),
+    "S": ("alveolar", "fricative", False),
+    "Z": ("alveolar", "fricative", True),
+    "SH": ("postalveolar", "fricative", False),
+    "ZH": ("postalveolar", "fricative", True),
+    "HH": ("glottal", "fricative", False),
+    "M": ("bilabial", "nasal", True),
+    "N": ("alveolar", "nasal", True),
+    "NG": ("velar", "nasal", True),
+    "L": ("alveolar", "liquid", True),
+    "R": ("postalveolar", "liquid", True),
+    "W": ("labiovelar", "glide", True),
+    "Y": ("palatal", "glide", True),
 }
+CONSONANT_POINTS = {c: (PLACES[place], MANNERS[manner], voiced) for c, (place, manner, voiced) in CONSONANT_FEATURES.items()}
 
 
 def _ends(v: str) -> tuple:

@@ -17,11 +17,19 @@ GUESS_COST = 0.1
 BROADCAST_ROWS = 500_000
 
 # Letter groups and their sounds; the first that fits wins, so the order counts.
-GROUPS = "aow AW,igh AY,tch CH,ch CH,sh SH,th TH,ph F,wh W,ck K,ng NG,qu K W,ee IY,ea IY,oo UW,ou AW,ow AW,oa OW,ai EY,ay EY,oi OY,oy OY,au AO,aw AO,ar AA R,or AO R,er ER,ir ER,ur ER".split(",")
+GROUPS = {
+    "aow": ["AW"], "igh": ["AY"], "tch": ["CH"], "ch": ["CH"], "sh": ["SH"], "th": ["TH"], "ph": ["F"], "wh": ["W"], "ck": ["K"], "ng": ["NG"],
+    "qu": ["K", "W"], "ee": ["IY"], "ea": ["IY"], "oo": ["UW"], "ou": ["AW"], "ow": ["AW"], "oa": ["OW"], "ai": ["EY"], "ay": ["EY"], "oi": ["OY"],
+    "oy": ["OY"], "au": ["AO"], "aw": ["AO"], "ar": ["AA", "R"], "or": ["AO", "R"], "er": ["ER"], "ir": ["ER"], "ur": ["ER"],
+}
 # Single letters; c, y and a final i depend on their place.
-LETTERS = "a AE,b B,d D,e EH,f F,g G,h HH,i IH,j JH,k K,l L,m M,n N,o AA,p P,r R,s S,t T,u AH,v V,w W,x K S,z Z".split(",")
-SOUNDS = {k: v.split() for k, v in (x.split(" ", 1) for x in GROUPS + LETTERS)}
-PATTERN = "|".join(x.split(" ", 1)[0] for x in GROUPS)
+LETTERS = {
+    "a": ["AE"], "b": ["B"], "d": ["D"], "e": ["EH"], "f": ["F"], "g": ["G"], "h": ["HH"], "i": ["IH"], "j": ["JH"], "k": ["K"], "l": ["L"],
+    "m": ["M"], "n": ["N"], "o": ["AA"], "p": ["P"], "r": ["R"], "s": ["S"], "t": ["T"], "u": ["AH"], "v": ["V"], "w": ["W"], "x": ["K", "S"],
+    "z": ["Z"],
+}
+SOUNDS = GROUPS | LETTERS
+PATTERN = "|".join(GROUPS)
 
 
 def cleaned(word: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,10 +13,10 @@ from metrika.operators import tokenize
 from metrika.operators.scan import VerseScan, chain_matches
 
 # Colours of the classes, as thin marks and as fills, on light and on dark ground.
-ACCENT_LIGHT = "#2a78d6 #1baf7a #eda100 #008300 #4a3aa7 #e34948 #e87ba4 #eb6834".split()
-ACCENT_DARK = "#3987e5 #199e70 #c98500 #2ec02e #9085e9 #e66767 #d55181 #d95926".split()
-FILL_LIGHT = "#a8c7ec #a2ddc7 #f6d897 #97cc97 #b5aed9 #f2b4b3 #f4c8d8 #f5c1ab".split()
-FILL_DARK = "#2d5e97 #196c4f #865c0a #268126 #635c9a #984a49 #8e3c59 #904121".split()
+ACCENT_LIGHT = ["#2a78d6", "#1baf7a", "#eda100", "#008300", "#4a3aa7", "#e34948", "#e87ba4", "#eb6834"]
+ACCENT_DARK = ["#3987e5", "#199e70", "#c98500", "#2ec02e", "#9085e9", "#e66767", "#d55181", "#d95926"]
+FILL_LIGHT = ["#a8c7ec", "#a2ddc7", "#f6d897", "#97cc97", "#b5aed9", "#f2b4b3", "#f4c8d8", "#f5c1ab"]
+FILL_DARK = ["#2d5e97", "#196c4f", "#865c0a", "#268126", "#635c9a", "#984a49", "#8e3c59", "#904121"]
 NEUTRAL_FILL, NEUTRAL_ACCENT = ("#e7e6e1", "#383835"), ("#898781", "#898781")
 INK, SURFACE, QUIET = ("#0b0b0b", "#ffffff"), ("#fcfcfb", "#1a1a19"), "#898781"
 SLOTS = len(ACCENT_LIGHT)
@@ -119,28 +120,28 @@ def slot_class(prefix: str, slot) -> str:
 
 
 def css() -> str:
-    """The fragment's own style sheet, with both colour schemes."""
+    """The page's style: each class colour is a custom property, which the dark scheme sets anew."""
 
-    def colours(k: int) -> str:
+    def properties(k: int) -> str:
         fills, accents = ((FILL_LIGHT, ACCENT_LIGHT), (FILL_DARK, ACCENT_DARK))[k]
-        both = [("f", fills, NEUTRAL_FILL[k]), ("a", accents, NEUTRAL_ACCENT[k])]
-        return "\n".join(f".rhyme-scheme .{p}{i} {{ background: {c}; }}" for p, values, rest in both for i, c in [*enumerate(values), ("x", rest)])
-
-    rules = {
-        ".rhyme-scheme": f"font-family: sans-serif; line-height: 2; padding: 1.5em; color: {INK[0]}; background: {SURFACE[0]};",
-        ".rhyme-scheme .vline": "margin: 0; white-space: pre-wrap;",
-        ".rhyme-scheme .w": "display: inline-block; vertical-align: top; line-height: 1.4;",
-        ".rhyme-scheme .t": "display: block; padding: 0 3px; border-radius: 3px;",
-        ".rhyme-scheme .ticks i": "display: block; height: 3px; margin-top: 2px;",
-        ".rhyme-scheme .cmp": f"border-bottom: 2px solid {QUIET}; padding-bottom: 2px;",
-        ".rhyme-scheme .oov": f"text-decoration: underline dotted {QUIET} 2px;",
-        ".rhyme-scheme .gsd .t": f"text-decoration: underline dashed {QUIET} 1.5px;",
-        ".rhyme-scheme .legend": f"margin-top: 1.2em; font-size: 0.85em; color: {QUIET};",
-        ".rhyme-scheme .sw": "display: inline-block; width: 0.9em; height: 0.9em; margin-right: 0.4em;",
-    }
-    light = "\n".join(f"{k} {{ {v} }}" for k, v in rules.items()) + "\n" + colours(0)
-    dark = f".rhyme-scheme {{ color: {INK[1]}; background: {SURFACE[1]}; }}\n" + colours(1)
-    return f"{light}\n@media (prefers-color-scheme: dark) {{\n{dark}\n}}"
+        colours = {f"fill-{i}": c for i, c in enumerate(fills)} | {f"mark-{i}": c for i, c in enumerate(accents)}
+        colours |= {"fill-x": NEUTRAL_FILL[k], "mark-x": NEUTRAL_ACCENT[k], "ink": INK[k], "ground": SURFACE[k], "faint": QUIET}
+        return " ".join(f"--{name}: {c};" for name, c in colours.items())
+
+    slots = [*map(str, range(SLOTS)), "x"]
+    painted = "\n".join(f".verses .fill-{i} {{ background-color: var(--fill-{i}) }}\n.verses .mark-{i} {{ background-color: var(--mark-{i}) }}" for i in slots)
+    return f"""article.verses {{ {properties(0)} color: var(--ink); background-color: var(--ground); padding: 20px; font: 17px/1.9 Georgia, serif; }}
+@media (prefers-color-scheme: dark) {{ article.verses {{ {properties(1)} }} }}
+.verses > div {{ white-space: break-spaces; min-height: 1.9em; }}
+.verses .word {{ display: inline-flex; flex-direction: column; line-height: 1.25; }}
+.verses .word > b {{ font-weight: inherit; padding-inline: 2px; }}
+.verses .word > s {{ height: 2px; margin-block-start: 1px; }}
+.verses .joined {{ box-shadow: inset 0 -2px var(--faint); }}
+.verses .unknown {{ border-bottom: 2px dotted var(--faint); }}
+.verses .guess > b {{ text-decoration: underline dashed var(--faint); }}
+.verses footer {{ color: var(--faint); font-size: 14px; padding-top: 16px; }}
+.verses footer i {{ display: inline-block; width: 12px; height: 12px; margin-right: 5px; }}
+{painted}"""
 
 
 def tooltip(cell) -> str:
@@ -156,12 +157,12 @@ def html_word(cell, slots: dict) -> str:
     text = html.escape(cell["text"])
     title = html.escape(tooltip(cell)).replace("\n", "&#10;")
     if cell["oov"]:
-        return f'<span class="w oov" title="{title}">{text}</span>'
+        return f'<span class="word unknown" title="{title}">{text}</span>'
     if cell["fill"] is None and not cell["guessed"]:
         return text
-    inner = f'<span class="t{"" if cell["fill"] is None else " " + slot_class("f", slots[cell["fill"]])}">{text}</span>'
-    marks = "".join(f'<i class="{slot_class("a", slots[k])}"></i>' for k in (cell["ticks"] if cell["ticks"] is not None else []))
-    return f'<span class="w{" gsd" if cell["guessed"] else ""}" title="{title}">{inner}{f"""<span class="ticks">{marks}</span>""" if marks else ""}</span>'
+    paint = "" if cell["fill"] is None else f' class="{slot_class("fill-", slots[cell["fill"]])}"'
+    marks = "".join(f'<s class="{slot_class("mark-", slots[k])}"></s>' for k in (cell["ticks"] if cell["ticks"] is not None else []))
+    return f'<span class="word{" guess" if cell["guessed"] else ""}" title="{title}"><b{paint}>{text}</b>{marks}</span>'
 
 
 def html_of(lines: list, legend: list, sources: list) -> str:
@@ -169,17 +170,15 @@ def html_of(lines: list, legend: list, sources: list) -> str:
     slots = {k: s for k, s, _ in legend}
     body = []
     for cells in lines:
-        parts, under = [], None
-        for cell in cells:
-            if cell["under"] != under:
-                parts += ["</span>"] * (under is not None) + ['<span class="cmp">'] * (cell["under"] is not None)
-                under = cell["under"]
-            parts.append(html_word(cell, slots) if cell["is_word"] else html.escape(cell["text"]))
-        parts += ["</span>"] * (under is not None)
-        body.append(f'<p class="vline">{"".join(parts) or "&nbsp;"}</p>')
-    rows = [f'<div><span class="sw {slot_class("f", s)}"></span>class {k}: {html.escape(p)}</div>' for k, s, p in legend]
-    rows += [f"<div>{html.escape(n)}</div>" for n in notes(sources)]
-    return "\n".join([f"<style>{css()}</style>", '<div class="rhyme-scheme">', *body, '<div class="legend">', *rows, "</div>", "</div>"])
+        # cells that one compound runs below are wrapped together
+        parts = []
+        for under, group in itertools.groupby(cells, key=lambda c: c["under"]):
+            inner = "".join(html_word(c, slots) if c["is_word"] else html.escape(c["text"]) for c in group)
+            parts.append(inner if under is None else f'<span class="joined">{inner}</span>')
+        body.append(f"<div>{''.join(parts) or '&nbsp;'}</div>")
+    rows = [f'<p><i class="{slot_class("fill-", s)}"></i>class {k}: {html.escape(p)}</p>' for k, s, p in legend]
+    rows += [f"<p>{html.escape(n)}</p>" for n in notes(sources)]
+    return "\n".join([f"<style>{css()}</style>", '<article class="verses">', *body, "<footer>", *rows, "</footer>", "</article>"])
 
 
 def notes(sources: list) -> list[str]:

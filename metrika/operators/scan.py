@@ -16,10 +16,15 @@ from metrika.operators import g2p, kernel, tokenize
 
 MAX_SPAN_WORDS, MAX_LINE_GAP, SEED, COERCION = 4, 2, 0.8, 0.15
 # Weak words by default, and those of them that can't carry a rhyme at all.
-FUNCTION_WORDS = """a an the and but or nor so if as than then of to in on at by for with from up down out off over
-i you he she it we they me him her us them my your his its our their this that these those
-is am are was were be been do does did have has had will would can could shall should may might must not no""".split()
-NEVER_ANCHOR = "a an the and but or nor".split()
+FUNCTION_WORDS = [
+    "a", "an", "the", "and", "but", "or", "nor", "so", "if", "as", "than", "then", "of", "to", "in", "on", "at", "by", "for", "with", "from", "up",
+    "down", "out", "off", "over", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our",
+    "their", "this", "that", "these", "those", "is", "am", "are", "was", "were", "be", "been", "do", "does", "did", "have", "has", "had", "will",
+    "would", "can", "could", "shall", "should", "may", "might", "must", "not", "no",
+]
+NEVER_ANCHOR = [
+    "a", "an", "the", "and", "but", "or", "nor",
+]
 KEY = ["verse_id", "line", "start", "n_words", "anchor"]
 
 
