@@ -1,45 +1,59 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Training: a bounded sample of labelled documents gives, for n-grams of lower-cased UTF-8
-bytes, the log ratio r of their smoothed document counts under the two labels. N-grams
-whose shares differ clearly (two-proportion z) are kept, and numpy fits a logistic
-regression to the features 1{present} * r, as an NB-SVM does; the intercept is corrected
-from the sample's share of toxic documents to that of all learnt labels.
-
-Bound of the sample: `per_class` documents of each label (smallest hash of their ids, texts
-of up to `max_chars`). The shares of labels are counted over all rows; scoring reads every
-whole text. Defined cases: null and empty texts have no n-gram, so the prior is their
-score; without both labels nothing is learnt and every score is the (smoothed) prior; of
-several labels of a doc_id the highest counts; documents with a null id aren't learnt from.
+Training: a bounded sample of labelled documents gives, for n-grams of 2 to 6 lower-cased
+characters (code points), the log ratio r of their smoothed document counts under the two
+labels. N-grams whose shares differ clearly (`min_z` of the two-proportion test, the `most`
+clearest) are kept, and numpy fits a logistic regression to the features 1{present} * r, as an
+NB-SVM does; the intercept is corrected from the sample's share of toxic documents to that of
+all learnt labels. An n-gram is known by a 64-bit hash of its code points.
+
+Bound of the sample: `per_class` documents of each label (smallest hash of their ids; of a
+repeated id up to four texts on average), whole up to `max_chars` characters, of longer ones as
+many characters in slices from all over the text. The shares of labels are counted over all
+rows; scoring reads every whole text. Defined cases: null and empty texts have no n-gram, so
+the prior is their score; without both labels nothing is learnt and every score is the
+(smoothed) prior; of several labels of a doc_id the highest counts; documents with a null id
+aren't learnt from, are scored like any other and have a null held_out; a score of exactly 0.5
+is predicted 1; repeated rows each count; an empty table gives no rows; a kept column of the
+name of a result is replaced by it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, map_texts, table
 
-GRAMS = (4, 5, 6)
+GRAMS = (2, 3, 4, 5, 6)
 TABLE_BITS = 20
+SLICES = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams_of(text: str | None) -> list[np.ndarray]:
+    """For each of GRAMS the hashes of all n-grams of the text's characters, in order."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    out, state = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, max(GRAMS) + 1):
+        if len(codes) < n:
+            break
+        state = (state[: len(codes) - n + 1] ^ (codes[n - 1 :] + np.uint64(n << 32))) * _ODD
+        state ^= state >> np.uint64(31)
+        if n in GRAMS:
+            out.append(state)
+    return out
 
 
 def packed(text: str | None) -> np.ndarray:
-    """Distinct n-grams of the text as numbers; n is in the top byte, so each is exact."""
-    data = np.frombuffer((text or "").lower().encode(), np.uint8).astype(np.uint64)
-    out = []
-    for n in GRAMS:
-        if len(data) >= n:
-            value = np.zeros(len(data) - n + 1, np.uint64)
-            for i in range(n):
-                value = (value << np.uint64(8)) | data[i : len(data) - n + 1 + i]
-            out.append(value | np.uint64(n << 56))
+    """Distinct n-grams of the text."""
+    out = grams_of(text)
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+    return (grams * _ODD) >> np.uint64(64 - TABLE_BITS)
 
 
 class Model:
@@ -56,19 +70,9 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """Probability of the toxic label. The table of slots only spares look-ups; each n-gram is compared in full."""
-        data = np.frombuffer((text or "").lower().encode(), np.uint8)
         total = self.bias
         if len(self.grams):
-            hits, prefix = [], np.zeros(len(data), np.uint64)
-            wide = data.astype(np.uint64)
-            for n in range(1, max(GRAMS) + 1):
-                size = len(data) - n + 1
-                if size <= 0:
-                    break
-                prefix = (prefix[:size] << np.uint64(8)) | wide[n - 1 :]
-                if n in GRAMS:
-                    value = prefix | np.uint64(n << 56)
-                    hits.append(value[self.maybe[_slots(value)]])
+            hits = [g[self.maybe[_slots(g)]] for g in grams_of(text)]
             if hits:
                 found = np.unique(np.concatenate(hits))
                 at = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
@@ -111,6 +115,13 @@ def fit(texts: list, labels: list, prior: float, min_z: float = 5.0, most: int =
     return Model(every[kept], w[:-1] * r, float(w[-1] - sample_bias + bias))
 
 
+def sliced(text: Column, most: int) -> Column:
+    """The text, or of a longer one as many characters in SLICES slices from its beginning to its end."""
+    size, n = most // SLICES, F.length(text)
+    slices = [F.substring(text, F.floor((n - size) * i / (SLICES - 1)).cast("int") + 1, F.lit(size)) for i in range(SLICES)]
+    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *slices))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int = 800, max_chars: int = 20_000, **knobs) -> Model:
     """Fit on a bounded sample of the labelled documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -122,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", per_class: int
     rows = (
         docs.select(F.col("doc_id").alias("__doc"), F.col(f"`{text}`").alias("__text"))
         .join(F.broadcast(picked), F.col("__doc") == F.col("__id"))  # 2 * per_class rows at most
-        .where(F.length("__text") <= max_chars)
-        .select("__id", "__toxic", "__text")
+        .where("__text is not null").select("__id", "__toxic", sliced(F.col("__text"), max_chars).alias("__text"))
         .orderBy("__id", "__text").limit(4 * per_class).collect()
     )
     return fit([r["__text"] for r in rows], [r["__toxic"] for r in rows], prior, **knobs)
