@@ -1,27 +1,33 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-A text is cut at ASCII white space into words, and words of over `WIDTH` bytes into pieces;
-the two recurrences start anew at each piece, so equal pieces have equal outputs and a task
-runs the network once for each distinct piece that it holds in its bounded store. Every
-byte position gets probabilities of the languages; a document's are the mean over all its
-positions. The network is trained in numpy by backpropagation through time.
+The two recurrences run over the running bytes of a text, white space included, and every
+position gets probabilities of the languages from both states; a document's are their mean over all
+its positions. A text is cut into chunks of CORE bytes that are run side by side; each
+recurrence begins LEAD bytes outside of its chunk, so that it has a state when it gets there
+(a text of up to CORE bytes is one chunk, from its first byte to its last). The network is
+trained in numpy by backpropagation through time on windows of running bytes.
 
 Bound of the training sample: `per_language` documents of each language (smallest hash of
-their ids, texts of up to `max_chars`). Prediction reads every whole text. Defined cases:
-`und` with score 0 if the text is null or has no letter, or nothing was learnt.
+their ids) and of each `per_document` windows of SAMPLE bytes, from anywhere in texts of any
+length. Prediction reads every whole text. Defined cases: `und` with score 0 if the text is
+null or has no letter, or nothing was learnt; a document with a null id or language isn't
+learnt from (and is predicted like any other; held_out is null for a null id); repeated rows
+each count; among equal probabilities the first language by name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, table
+from .common import crc_mod, lean, map_texts, table
 
-WIDTH = 24
-HIDDEN = 12
-STORE = 200_000  # distinct pieces that a task keeps
+HIDDEN = 8
+CORE, LEAD = 448, 32
+SAMPLE = 64
+LANES = 1024
 
 
 def _sigmoid(x):
@@ -65,22 +71,58 @@ class Network:
             states[t] = state = following
         return states
 
-    def positions(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probabilities [position, piece, language]."""
-        both = np.concatenate([self.walk(data, lengths, "f"), self.walk(data, lengths, "b")], axis=2)
-        logits = both @ self.p["v"] + self.p["c"]
-        logits = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return logits / logits.sum(axis=2, keepdims=True)
-
-    def sums(self, pieces: list[bytes], block: int = 2048) -> np.ndarray:
-        """For each piece the sum of its positions' probabilities; pieces of like length run together."""
-        out = np.zeros((len(pieces), len(self.languages)), np.float32)
-        order = np.argsort(np.fromiter(map(len, pieces), np.int64, len(pieces)), kind="stable")
-        for i in range(0, len(pieces), block):
-            at = order[i : i + block]
-            data, lengths = padded([pieces[j] for j in at])
-            live = np.arange(data.shape[1])[:, None] < lengths[None, :]
-            out[at] = (self.positions(data, lengths) * live[:, :, None]).sum(axis=0)
+    def prepare(self) -> None:
+        """Parameters of both directions side by side, gates scaled so that one tanh does for a sigmoid."""
+        h = self.hidden
+        scale = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        self.x2 = [np.ascontiguousarray(self.p["x" + d] * scale) for d in "fb"]
+        self.u2 = np.stack([self.p["u" + d] * scale for d in "fb"])
+        self.v2 = np.stack([self.p["v"][:h], self.p["v"][h:]])
+
+    def both_ways(self, data: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """[direction, step, lane, language]: what the states add to the logits; data and back: [lane, step] bytes in reading order."""
+        lanes, steps = data.shape
+        h = self.hidden
+        columns = np.ascontiguousarray(data.T), np.ascontiguousarray(back.T)
+        out = np.empty((2, steps, lanes, self.p["v"].shape[1]), np.float32)
+        state, a, b = np.zeros((2, lanes, h), np.float32), np.empty((2, lanes, 3 * h), np.float32), np.empty((2, lanes, 3 * h), np.float32)
+        for t in range(steps):
+            for k in (0, 1):
+                np.take(self.x2[k], columns[k][t], axis=0, out=a[k], mode="clip")
+            np.matmul(state, self.u2, out=b)
+            gates = a[:, :, : 2 * h]
+            gates += b[:, :, : 2 * h]
+            gates = np.tanh(gates)
+            gates *= 0.5
+            gates += 0.5
+            new = b[:, :, 2 * h :]
+            new *= gates[:, :, h:]
+            new += a[:, :, 2 * h :]
+            new = np.tanh(new)
+            state -= new
+            state *= gates[:, :, :h]
+            state += new
+            np.matmul(state, self.v2, out=out[:, t])
+        return out
+
+    def sums(self, chunks: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """For each (bytes, first, end) the sum of the probabilities of its positions first to end; chunks of like length run together."""
+        out = np.zeros((len(chunks), len(self.languages)), np.float64)
+        sizes = np.fromiter((len(c[0]) for c in chunks), np.int64, len(chunks))
+        order = np.argsort(sizes, kind="stable")
+        for i in range(0, len(chunks), LANES):
+            at = order[i : i + LANES]
+            data, lengths = padded([chunks[j][0] for j in at])
+            steps = np.arange(data.shape[1])[None, :]
+            turned = np.maximum(lengths[:, None] - 1 - steps, 0)  # the step at which a position is read backwards, and the reverse
+            both = self.both_ways(data, np.take_along_axis(data, turned, axis=1))
+            logits = both[0] + np.take_along_axis(both[1], turned.T[:, :, None], axis=0) + self.p["c"]
+            logits -= logits.max(axis=2, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(axis=2, keepdims=True)
+            first, end = (np.array([chunks[j][k] for j in at]) for k in (1, 2))
+            logits *= ((steps >= first[:, None]) & (steps < end[:, None])).T[:, :, None]
+            out[at] = logits.sum(axis=0, dtype=np.float64)
         return out
 
     def gradients(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[dict, float]:
@@ -117,14 +159,12 @@ class Network:
                 carry = np.where(on, dh * z + db @ u.T, whole)
         return g, loss
 
-    def train(self, pieces: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 384, rate: float = 0.02, seed: int = 2) -> None:
+    def train(self, pieces: list[bytes], labels: np.ndarray, steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
-        order = np.argsort(np.fromiter(map(len, pieces), np.int64, len(pieces)), kind="stable")
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for i in range(1, steps + 1):
-            start = int(rng.integers(0, max(1, len(pieces) - 4 * batch)))
-            at = order[rng.choice(np.arange(start, min(len(pieces), start + 4 * batch)), min(batch, len(pieces)), replace=False)]
+            at = rng.choice(len(pieces), min(batch, len(pieces)), replace=False)
             data, lengths = padded([pieces[j] for j in at])
             g, _ = self.gradients(data, lengths, labels[at])
             step = rate * (1 - 0.9 * i / steps)
@@ -134,76 +174,95 @@ class Network:
                 self.p[k] -= (step * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
 
 
-def pieces_of(text: str) -> list[bytes]:
-    out = text.encode().split()
-    if len(max(out, key=len, default=b"")) > WIDTH:
-        out = [w[i : i + WIDTH] for w in out for i in range(0, len(w), WIDTH)]
+def chunks_of(raw: bytes) -> list[tuple[bytes, int, int]]:
+    """(bytes, first, end): chunks with what leads to them on both sides; first to end are the chunk's own."""
+    out = []
+    for at in range(0, len(raw), CORE):
+        begin, end = max(0, at - LEAD), min(len(raw), at + CORE)
+        out.append((raw[begin : end + LEAD], at - begin, end - begin))
     return out
 
 
+def windows_of(raw: bytes, n: int, seed: int) -> list[bytes]:
+    """Up to n windows of SAMPLE bytes from anywhere in the text; of a short text the whole."""
+    if len(raw) <= SAMPLE:
+        return [raw] if raw else []
+    starts = np.random.default_rng(seed).integers(0, len(raw) - SAMPLE + 1, min(n, -(-len(raw) // SAMPLE)))
+    return [raw[i : i + SAMPLE] for i in starts.tolist()]
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
 class Labeller:
-    """Document probabilities, with a bounded store of pieces' sums."""
+    """Languages and probabilities of documents."""
 
     def __init__(self, net: Network):
-        self.net, self.index, self.rows = net, {}, np.zeros((0, len(net.languages)), np.float32)
+        self.net = net
+        net.prepare()
 
     def __call__(self, texts: list) -> list:
-        out_lang, out_score = [], []
-        for i in range(0, len(texts), 256):
-            lang, score = self.block(texts[i : i + 256])
-            out_lang += lang
-            out_score += score
-        return [out_lang, out_score]
-
-    def block(self, texts: list) -> tuple[list, list]:
-        split = [pieces_of(t) if has_letter(t) else [] for t in texts]
-        if len(self.index) > STORE:
-            self.index, self.rows = {}, self.rows[:0]
-        index, known = self.index, len(self.index)
-        ids = [[index.setdefault(w, len(index)) for w in words] for words in split]
-        if len(index) > known:
-            fresh = list(index)[known:]
-            self.rows = np.concatenate([self.rows, self.net.sums(fresh)])
-        langs, scores = [], []
-        for text, words, at in zip(texts, split, ids):
-            if not words or not self.net.languages:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            mean = self.rows[at].sum(axis=0, dtype=np.float64) / sum(map(len, words))
-            best = int(mean.argmax())
-            langs.append(self.net.languages[best])
-            scores.append(float(min(1.0, mean[best])))
-        return langs, scores
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 150, max_chars: int = 20_000, max_pieces: int = 60_000, steps: int = 500) -> Network:
+        langs, scores, held, size = [], [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= 4 * LANES * CORE:  # so that lanes are full
+                self.add(held, langs, scores)
+                held, size = [], 0
+        self.add(held, langs, scores)
+        return [langs, scores]
+
+    def add(self, texts: list, langs: list, scores: list) -> None:
+        raw = [t.encode() if has_letter(t) and self.net.languages else b"" for t in texts]
+        chunks, owner = [], []
+        for i, r in enumerate(raw):
+            own = chunks_of(r)
+            chunks += own
+            owner += [i] * len(own)
+        total = np.zeros((len(raw), max(1, len(self.net.languages))))
+        if chunks:
+            np.add.at(total, owner, self.net.sums(chunks))
+        for r, t in zip(raw, total):
+            best = int(t.argmax())
+            langs.append(self.net.languages[best] if r else "und")
+            scores.append(float(min(1.0, t[best] / len(r))) if r else 0.0)
+
+
+def sample(docs: DataFrame, text: str, lang: str, per_language: int, per_document: int) -> list:
+    """Rows (language, windows) of the sampled documents."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row a language
+    if not sizes:
+        return []
+    # about twice as many as are wanted pass by their hash, of which the smallest are taken
+    place, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1 << 40
+    limit = F.coalesce(*[F.when(F.col(lang) == F.lit(k), F.lit(min(span, span * (2 * per_language + 50) // n))) for k, n in sizes.items()])
+    few = known.where(place < limit).select(F.col(lang).alias("__lang"), F.col("doc_id").alias("__id"), place.alias("__place"))
+    by: dict = {}
+    for name, i, at in few.distinct().collect():  # some 2 * per_language ids a language
+        by.setdefault(name, []).append((at, i))
+    ids = [(i,) for own in by.values() for _, i in sorted(own)[:per_language]]
+    wanted = docs.sparkSession.createDataFrame(ids, f"__id {docs.schema['doc_id'].dataType.simpleString()}")
+
+    def run(batches):
+        for batch in batches:
+            kept = [(k, i, windows_of(t.encode(), per_document, abs(hash(i)) if isinstance(i, int) else 0)) for k, t, i in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.string()), pa.array([str(i) for _, i, _ in kept], pa.string()), pa.array([w for _, _, w in kept], pa.list_(pa.binary()))], names=["lang", "id", "windows"])
+
+    texts = known.join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))
+    rows = texts.select(F.col(lang).cast("string"), F.col(text).cast("string"), "doc_id").mapInArrow(lean(run), "lang string, id string, windows array<binary>").collect()
+    return sorted((r["lang"], r["id"], [bytes(w) for w in r["windows"]]) for r in rows)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 150, per_document: int = 40, steps: int = 400) -> Network:
     """A network fitted to a bounded sample of documents with a language."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    languages = sorted(r[0] for r in known.select(lang).distinct().collect())
-    key = [F.xxhash64("doc_id"), "doc_id"]
-    picked = [known.where((F.col(lang) == name) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).orderBy(*key).limit(per_language) for name in languages]
-    if not picked:
-        return Network([])
-    ids = picked[0]
-    for more in picked[1:]:
-        ids = ids.unionByName(more)
-    # per_language ids of each language at most, so the texts that reach the driver are bounded
-    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__id")).select(lang, text, "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
-    pieces, labels = [], []
-    for r in rows:
-        own = pieces_of(r[1])
-        pieces += own
-        labels += [languages.index(r[0])] * len(own)
+    rows = sample(docs, text, lang, per_language, per_document)
+    languages = sorted({r[0] for r in rows})
     net = Network(languages)
-    if pieces:
-        pick = np.random.default_rng(3).permutation(len(pieces))[:max_pieces]
-        net.train([pieces[i] for i in pick], np.asarray(labels)[pick], steps=steps)
+    windows = [w for r in rows for w in r[2]]
+    if windows:
+        net.train(windows, np.repeat([languages.index(r[0]) for r in rows], [len(r[2]) for r in rows]), steps=steps)
     return net
 
 
