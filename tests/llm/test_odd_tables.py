@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metrika.llm import decontaminate, packing, quality, secret_scan, substrings, token_files, toxicity, warc
+from metrika.llm import decontaminate, language, packing, quality, secret_scan, substrings, token_files, toxicity, warc
 
 from .test_operators import brute_removal, prose, word
 
@@ -131,3 +133,74 @@ def test_toxicity_odd_tables(spark, none):
     got = toxicity.score_documents(docs, model, ["doc_id", "kept"]).collect()
     assert len(got) == 4 and len({r["score"] for r in got}) == 1 and all(r["kept"] == 8 for r in got)
     assert toxicity.score_documents(none, model, ["doc_id"]).collect() == []
+
+
+SPEECH = {"x": "the and of ing tion with".split(), "y": "der und sch ung keit mit".split()}
+
+
+def speech(rng, lang, n):
+    return " ".join("".join(rng.choice(SPEECH[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def test_language_chunks():
+    """A text of one chunk has exactly the whole recurrence's probabilities; of longer ones the chunks are each position's once."""
+    net = language.Network(["a", "b", "c"])
+    net.prepare()
+    rng = random.Random(1)
+    texts = [speech(rng, "x", n).encode()[: language.CORE] for n in (1, 3, 40, 200)]
+    for raw in texts:
+        data, lengths = language.padded([raw])
+        both = np.concatenate([net.walk(data, lengths, d) for d in "fb"], axis=2)
+        logits = both @ net.p["v"] + net.p["c"]
+        want = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+        assert np.allclose(net.sums(language.chunks_of(raw))[0], want.sum(axis=(0, 1)), atol=1e-3)
+    together = net.sums([c for t in texts for c in language.chunks_of(t)])
+    assert np.allclose(together, [net.sums(language.chunks_of(t))[0] for t in texts], atol=1e-3)
+    raw = speech(rng, "y", 900).encode()
+    chunks = language.chunks_of(raw)
+    assert b"".join(b[first:end] for b, first, end in chunks) == raw and abs(net.sums(chunks).sum() - len(raw)) < 0.1
+
+
+def test_language_query(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, speech(rng, "xy"[i % 2], 5000 if i % 50 == 0 else 40), "xy"[i % 2], "s") for i in range(400)]
+    rows += [(-1, None, "x", "s"), (-2, "12 34 !", "y", "s"), (None, speech(rng, "x", 30), "y", "s"), (7, rows[7][1], "y", "s"), (500, speech(rng, "y", 30), None, "s")]
+    rows += [(k, "zu zo zi ze " * 8000, "z", "s") for k in range(600, 640)]  # only in long texts
+    clashing(spark.createDataFrame(rows, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert by[-1][0]["lang_pred"] == by[-2][0]["lang_pred"] == "und" and by[None][0]["held_out"] is None and len(by[7]) == 2
+    held = [r for r in got if r["doc_id"] is not None and 0 <= r["doc_id"] < 400 and r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert np.mean([r["lang_pred"] == "xy"[r["doc_id"] % 2] for r in held]) > 0.98
+    assert {r["lang_pred"] for k in range(600, 640) for r in by[k]} == {"z"} and all(0 <= r["score"] <= 1 for r in got)
+    (tmp_path / "e").mkdir()
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert language.query(spark, f"{tmp_path}/e").collect() == []
+
+
+def test_toxicity_query(spark, tmp_path):
+    """Held-out accuracy; labels of held-out rows and columns other than the text change nothing."""
+    rng = random.Random(3)
+    texts = [prose(rng, 30) + (" ärgerlich rotten " if i % 3 == 0 else " ") + prose(rng, 3000 if i % 40 == 0 else 30) for i in range(500)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(500)]
+    found = []
+    for k, spoilt in enumerate((False, True)):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame([(i, t, "ab"[i % 2 if not spoilt else i % 3 == 0], "s") for i, t in enumerate(texts)], DOCS).write.parquet(f"{folder}/documents.parquet")
+        marks = [(i, 1, int(i % 3 == 0) if not (spoilt and held[i]) else int(i % 3 != 0)) for i in range(500)]
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found.append({r["doc_id"]: r for r in toxicity.query(spark, folder).collect()})
+    a, b = found
+    assert [a[i]["held_out"] for i in range(500)] == held
+    assert all(abs(a[i]["score"] - b[i]["score"]) < 1e-9 for i in range(500))
+    assert np.mean([a[i]["predicted"] == int(i % 3 == 0) for i in range(500) if held[i]]) > 0.97
+    assert all(r["predicted"] == int(r["score"] >= 0.5) for r in a.values())
+
+
+def test_characters_not_bytes():
+    assert len(toxicity.packed("éü")) == 1 and len(toxicity.packed("é")) == 0
+    assert np.array_equal(toxicity.packed("ÉA"), toxicity.packed("éa"))
