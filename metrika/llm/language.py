@@ -72,37 +72,36 @@ class Network:
         return states
 
     def prepare(self) -> None:
-        """Parameters of both directions side by side, gates scaled so that one tanh does for a sigmoid."""
+        """Parameters of both directions side by side, lanes last; gates are scaled so that one tanh does for a sigmoid."""
         h = self.hidden
         scale = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
-        self.x2 = [np.ascontiguousarray(self.p["x" + d] * scale) for d in "fb"]
-        self.u2 = np.stack([self.p["u" + d] * scale for d in "fb"])
-        self.v2 = np.stack([self.p["v"][:h], self.p["v"][h:]])
+        self.x2 = [np.ascontiguousarray((self.p["x" + d] * scale).T) for d in "fb"]
+        self.u2 = np.stack([(self.p["u" + d] * scale).T for d in "fb"])
+        self.v2 = np.stack([self.p["v"][:h].T, self.p["v"][h:].T])
 
     def both_ways(self, data: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """[direction, step, lane, language]: what the states add to the logits; data and back: [lane, step] bytes in reading order."""
+        """[direction, step, language, lane]: what the states add to the logits; data and back: [lane, step] bytes in reading order."""
         lanes, steps = data.shape
         h = self.hidden
-        columns = np.ascontiguousarray(data.T), np.ascontiguousarray(back.T)
-        out = np.empty((2, steps, lanes, self.p["v"].shape[1]), np.float32)
-        state, a, b = np.zeros((2, lanes, h), np.float32), np.empty((2, lanes, 3 * h), np.float32), np.empty((2, lanes, 3 * h), np.float32)
+        columns = np.ascontiguousarray(data.T).astype(np.intp), np.ascontiguousarray(back.T).astype(np.intp)
+        out = np.empty((2, steps, self.p["v"].shape[1], lanes), np.float32)
+        state, a, b = np.zeros((2, h, lanes), np.float32), np.empty((2, 3 * h, lanes), np.float32), np.empty((2, 3 * h, lanes), np.float32)
+        gates, new, r, z = a[:, : 2 * h], b[:, 2 * h :], a[:, h : 2 * h], a[:, :h]
         for t in range(steps):
             for k in (0, 1):
-                np.take(self.x2[k], columns[k][t], axis=0, out=a[k], mode="clip")
-            np.matmul(state, self.u2, out=b)
-            gates = a[:, :, : 2 * h]
-            gates += b[:, :, : 2 * h]
-            gates = np.tanh(gates)
+                np.take(self.x2[k], columns[k][t], axis=1, out=a[k], mode="clip")
+            np.matmul(self.u2, state, out=b)
+            gates += b[:, : 2 * h]
+            np.tanh(gates, out=gates)
             gates *= 0.5
             gates += 0.5
-            new = b[:, :, 2 * h :]
-            new *= gates[:, :, h:]
-            new += a[:, :, 2 * h :]
-            new = np.tanh(new)
+            new *= r
+            new += a[:, 2 * h :]
+            np.tanh(new, out=new)
             state -= new
-            state *= gates[:, :, :h]
+            state *= z
             state += new
-            np.matmul(state, self.v2, out=out[:, t])
+            np.matmul(self.v2, state, out=out[:, t])
         return out
 
     def sums(self, chunks: list[tuple[bytes, int, int]]) -> np.ndarray:
@@ -116,13 +115,13 @@ class Network:
             steps = np.arange(data.shape[1])[None, :]
             turned = np.maximum(lengths[:, None] - 1 - steps, 0)  # the step at which a position is read backwards, and the reverse
             both = self.both_ways(data, np.take_along_axis(data, turned, axis=1))
-            logits = both[0] + np.take_along_axis(both[1], turned.T[:, :, None], axis=0) + self.p["c"]
-            logits -= logits.max(axis=2, keepdims=True)
+            logits = both[0] + np.take_along_axis(both[1], turned.T[:, None, :], axis=0) + self.p["c"][:, None]
+            logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
-            logits /= logits.sum(axis=2, keepdims=True)
+            logits /= logits.sum(axis=1, keepdims=True)
             first, end = (np.array([chunks[j][k] for j in at]) for k in (1, 2))
-            logits *= ((steps >= first[:, None]) & (steps < end[:, None])).T[:, :, None]
-            out[at] = logits.sum(axis=0, dtype=np.float64)
+            logits *= ((steps >= first[:, None]) & (steps < end[:, None])).T[:, None, :]
+            out[at] = logits.sum(axis=0, dtype=np.float64).T
         return out
 
     def gradients(self, data: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[dict, float]:
