@@ -29,6 +29,7 @@ from .common import crc_mod, map_texts, table
 GRAMS = (2, 3, 4, 5, 6)
 TABLE_BITS = 20
 SLICES = 20
+PARTS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,30 +90,34 @@ def fit(texts: list, labels: list, prior: float, min_z: float = 5.0, most: int =
     if not n_pos or not n_neg:
         return nothing
     sets = [packed(t) for t in texts]
-    every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    pos = np.bincount(inverse, np.repeat(y, [len(s) for s in sets]), len(every))
-    neg = np.bincount(inverse, minlength=len(every)) - pos
-    share = (pos + neg) / len(y)
-    z = (pos / n_pos - neg / n_neg) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_pos + 1 / n_neg))
-    kept = np.flatnonzero(np.abs(z) >= min_z)
-    kept = kept[np.argsort(-np.abs(z[kept]), kind="stable")[:most]]
-    if not len(kept):
+    found = []
+    for k in range(PARTS):  # by ranges of the hash, so that not all n-grams are counted at once
+        bounds = np.array([k, k + 1], np.uint64) << np.uint64(64 - PARTS.bit_length() + 1)
+        own = [s[slice(*np.searchsorted(s, bounds))] if k + 1 < PARTS else s[np.searchsorted(s, bounds[0]) :] for s in sets]
+        every, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        pos = np.bincount(inverse, np.repeat(y, [len(s) for s in own]), len(every))
+        neg = np.bincount(inverse, minlength=len(every)) - pos
+        share = (pos + neg) / len(y)
+        z = np.abs((pos / n_pos - neg / n_neg) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_pos + 1 / n_neg)))
+        kept = z >= min_z
+        found.append((every[kept], pos[kept], neg[kept], z[kept]))
+    every, pos, neg, z = (np.concatenate(c) for c in zip(*found))
+    kept = np.sort(np.argsort(-z, kind="stable")[:most])
+    every, pos, neg = every[kept], pos[kept], neg[kept]
+    if not len(every):
         return nothing
-    r = np.log((pos[kept] + 1) / (n_pos + 1)) - np.log((neg[kept] + 1) / (n_neg + 1))
-    column = np.full(len(every), -1)
-    column[kept] = np.arange(len(kept))
-    cols = column[inverse]
-    rows = np.repeat(np.arange(len(y)), [len(s) for s in sets])[cols >= 0]
-    cols = cols[cols >= 0]
+    r = np.log((pos + 1) / (n_pos + 1)) - np.log((neg + 1) / (n_neg + 1))
+    hits = [np.flatnonzero(np.isin(every, s, assume_unique=True)) for s in sets]
+    rows, cols = np.repeat(np.arange(len(y)), [len(h) for h in hits]), np.concatenate(hits)
     sample_bias = np.log(n_pos / n_neg)
-    w, m, s = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)  # last: the intercept
+    w, m, s = np.zeros(len(every) + 1), np.zeros(len(every) + 1), np.zeros(len(every) + 1)  # last: the intercept
     for i in range(1, rounds + 1):  # Adam on the whole sample
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols] * r[cols], len(y)) + w[-1], -40, 40)))
         error = (p - y) / len(y)
-        g = np.append(np.bincount(cols, error[rows] * r[cols], len(kept)) + l2 * w[:-1], error.sum())
+        g = np.append(np.bincount(cols, error[rows] * r[cols], len(every)) + l2 * w[:-1], error.sum())
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= 0.05 * (1 - 0.9 * i / rounds) * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-10)
-    return Model(every[kept], w[:-1] * r, float(w[-1] - sample_bias + bias))
+    return Model(every, w[:-1] * r, float(w[-1] - sample_bias + bias))
 
 
 def sliced(text: Column, most: int) -> Column:
