@@ -1,17 +1,21 @@
 """Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
 
 A block of up to BLOCK ids starts from nothing. For each id three models predict: order 2 and
-order 1 each name the id that followed the last two ids or the last id, with a confidence;
-order 0 is the distribution of the block's ids so far, renewed when the block has REBUILD
-ids. Adaptive weights, one set for each pair of confidences, mix them: the range goes to the
-order-2 id, then the order-1 id, then the order-0 distribution, whose escape leaves 16 plain
-bits. A carryless 64-bit range coder writes 32-bit words.
+order 1 each put all their probability on the id that followed the last two ids, or the last
+one; order 0 is the distribution of the block's ids so far, renewed when the block has REBUILD
+ids, with a share for ids that it lacks. The three distributions are mixed: an id's interval
+is its order-0 share times that model's weight, widened by the weights of the other models that
+name it, wherever it stands in the order. A weight, one for each pair of confidences of the two
+naming models, moves towards the model's part in the probability of the id that came. An id that
+no model has costs the order-0 model's escape and 16 plain bits. A carryless 64-bit range
+coder writes 32-bit words.
 
 Blocks don't depend on each other, so numpy codes many at once, one lane each, with the same
-model code in both directions. Ids must be below 65,536.
+model code in both directions, all in integers. Ids must be below 65,536.
 
 File: MAGIC; blocks (n ids, bytes, crc32 of the bytes, crc32 of the ids; then the bytes); the
-document table (zlib: doc_id, number of ids); a trailer (table's offset, bytes, crc32, MAGIC).
+tables (zlib: documents' ids and numbers of ids; blocks' numbers of ids and bytes); a trailer
+(tables' offset, bytes, crc32, MAGIC). The tables let a reader begin at any block.
 """
 
 from __future__ import annotations
@@ -21,11 +25,12 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"MIDC1\n"
+MAGIC = b"MIDC2\n"
 BLOCK = 8192
 LANES = 512
-REBUILD = (128, 512, 1536, 4096)
-_SLOTS = 4096  # of order-0 frequencies
+REBUILD = (16, 64, 160, 384, 896, 2048, 4096, 6144)
+_SLOTS = 4096  # of order-0 frequencies, and of the weights
+_BITS = 24  # of an interval
 _CONTEXTS = 4096  # of ids that order 1 and order 2 keep, by hash
 _HEAD = struct.Struct("<IIII")
 _TAIL = struct.Struct("<QII6s")
@@ -35,36 +40,85 @@ U = np.uint64
 class Model:
     """Predictions and weights of all lanes."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * _CONTEXTS
-        self.one = np.zeros(lanes * _CONTEXTS, np.int64)  # id + confidence << 16
-        self.two = np.zeros(lanes * _CONTEXTS, np.int64)
-        self.p_two = np.full(lanes * 16, 1 << 12, np.int64)  # weights out of 65,536
+    def __init__(self, lanes: int, width: int):
+        self.lane, self.width = np.arange(lanes), width
+        self.base, self.row = self.lane * _CONTEXTS, self.lane * width
+        self.one = np.zeros(lanes * _CONTEXTS, np.int32)  # id + confidence << 16
+        self.two = np.zeros(lanes * _CONTEXTS, np.int32)
+        self.p_two = np.full(lanes * 16, 1 << 12, np.int64)  # weights out of 65,536; of order 1: out of what order 2 leaves
         self.p_one = np.full(lanes * 16, 1 << 12, np.int64)
         self.a = np.zeros(lanes, np.int64)  # the last id and the one before
         self.b = np.zeros(lanes, np.int64)
+        self.table = np.zeros(lanes * width, np.uint32)  # order 0: first slot << 16 | slots, by lane and id
+        self.escape = np.zeros(lanes, np.int64)  # first slot of the escape
+        self.touched: np.ndarray | None = None
+
+    def renew(self, ids: np.ndarray) -> Zero:
+        """Order 0 from the block so far."""
+        if self.touched is not None:
+            self.table[self.touched] = 0
+        zero = Zero(ids)
+        self.touched = zero.lane * self.width + zero.id
+        self.table[self.touched] = (zero.first << 16 | zero.slots).astype(np.uint32)
+        self.escape = zero.escape
+        return zero
 
     def predict(self) -> None:
         self.k1 = self.base + ((self.a * 40503 >> 4) & (_CONTEXTS - 1))
         self.k2 = self.base + ((self.a * 40503 + self.b * 60493 >> 5) & (_CONTEXTS - 1))
-        e1, e2 = self.one[self.k1], self.two[self.k2]
+        e1, e2 = self.one[self.k1].astype(np.int64), self.two[self.k2].astype(np.int64)
         self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
         self.c1, self.c2 = e1 >> 16, e2 >> 16
         self.context = (self.lane << 4) + (self.c2 << 2) + self.c1
-        self.f2 = self.p_two[self.context]
-        self.f1 = (65536 - self.f2) * self.p_one[self.context] >> 16
-
-    def learn(self, ids: np.ndarray) -> None:
+        self.f2 = self.p_two[self.context] >> 4
+        self.f1 = (_SLOTS - self.f2) * self.p_one[self.context] >> 16
+        self.rest = _SLOTS - self.f2 - self.f1
+        self.at1, self.at2 = self.places(self.id1)[0], self.places(self.id2)[0]
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first slot, slots) of an id of each lane in order 0; an unknown one has none, at the escape."""
+        entry = self.table[self.row + np.minimum(ids, self.width - 1)].astype(np.int64)
+        slots = np.where(ids < self.width, entry & 0xFFFF, 0)
+        return np.where(slots > 0, entry >> 16, self.escape), slots
+
+    def interval(self, ids: np.ndarray, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, escaped) of each lane's id, mixed: what stands before it, and all that the models give it."""
+        self.hit2, self.hit1 = ids == self.id2, ids == self.id1
+        escaped = (slots == 0) & ~self.hit2 & ~self.hit1
+        two, one = self.f2 << 12, self.f1 << 12
+        before2 = ~self.hit2 & (self.at2 <= at)
+        before1 = ~self.hit1 & ((self.at1 < at) | (self.at1 == at) & ~self.hit2)
+        begin = at * self.rest + two * before2 + one * before1
+        size = np.where(escaped, _SLOTS - self.escape, slots) * self.rest + two * self.hit2 + one * self.hit1
+        return begin, size, escaped
+
+    def find(self, v: np.ndarray, slots: np.ndarray, zero: Zero | None) -> tuple[np.ndarray, np.ndarray]:
+        """(id, escaped) of the lane whose interval holds v; slots: zero.by_slot()."""
+        swap = self.at1 < self.at2
+        at_a, at_b = np.minimum(self.at1, self.at2) * self.rest, np.maximum(self.at1, self.at2) * self.rest
+        wide_a, wide_b = np.where(swap, self.f1, self.f2) << 12, np.where(swap, self.f2, self.f1) << 12
+        in_a = (v >= at_a) & (v < at_a + wide_a)
+        w = np.where(v >= at_a + wide_a, v - wide_a, v)
+        in_b = ~in_a & (w >= at_b) & (w < at_b + wide_b)
+        w = np.where(~in_a & (w >= at_b + wide_b), w - wide_b, w)
+        slot = np.minimum(w // self.rest, _SLOTS - 1)
+        if zero is None:
+            run, found = np.full(len(v), -1), np.zeros(len(v), np.int64)
+        else:
+            run = slots[self.lane * _SLOTS + slot]
+            found = zero.id[run]
+        ids = np.where(in_a, np.where(swap, self.id1, self.id2), np.where(in_b, np.where(swap, self.id2, self.id1), found))
+        return ids, ~in_a & ~in_b & (run < 0)
+
+    def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """size: of the interval that came; the models' parts in it move the weights."""
+        part2, part1 = (self.f2 << 28) // size * self.hit2, (self.f1 << 28) // size * self.hit1
+        p, q = self.p_two[self.context], self.p_one[self.context]
+        self.p_two[self.context] = np.clip(p + ((part2 - p) >> 4), 64, 60000)
+        self.p_one[self.context] = np.clip(q + ((part1 - (((65536 - part2) * q) >> 16)) >> 4), 64, 60000)
         hit2, hit1 = ids == self.id2, ids == self.id1
-        p = self.f2
-        self.p_two[self.context] = np.clip(p + (((hit2.astype(np.int64) << 16) - p) >> 4), 64, 60000)
-        q = self.p_one[self.context]
-        step = ((hit1.astype(np.int64) << 16) - q) >> 4
-        step[hit2] = 0
-        self.p_one[self.context] = np.clip(q + step, 64, 60000)
-        self.two[self.k2] = np.where(hit2, ids + (np.minimum(self.c2 + 1, 3) << 16), ids)
-        self.one[self.k1] = np.where(hit1, ids + (np.minimum(self.c1 + 1, 3) << 16), ids)
+        self.two[self.k2] = ids + np.where(hit2, np.minimum(self.c2 + 1, 3) << 16, 0)
+        self.one[self.k1] = ids + np.where(hit1, np.minimum(self.c1 + 1, 3) << 16, 0)
         self.b, self.a = self.a, ids
 
 
@@ -136,7 +190,7 @@ def _settle(low: np.ndarray, rng: np.ndarray, due: np.ndarray) -> np.ndarray:
     """Lanes of `due` whose upper word is settled, or is made so by cutting a range that became too small."""
     l, r = low[due], rng[due]
     open_ = (l >> U(32)) != ((l + r - U(1)) >> U(32))
-    small = open_ & (r < U(1 << 24))
+    small = open_ & (r < U(1 << 28))
     if small.any():
         rng[due[small]] = U(1 << 32) - (l[small] & U(0xFFFFFFFF))
     return due[~open_ | small]
@@ -183,73 +237,44 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((lanes, steps), np.uint16)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    width = int(ids.max()) + 1
-    model, out = Model(lanes), Writer(lanes, steps)
-    table = np.zeros(lanes * width, np.uint32)  # first slot << 16 | slots, by lane and id
-    zero, touched = None, None
+    model, out = Model(lanes, int(ids.max()) + 1), Writer(lanes, 2 * steps)
+    columns = np.ascontiguousarray(ids.T).astype(np.int64)
     for t in range(steps):
         if t in REBUILD:
-            if touched is not None:
-                table[touched] = 0
-            zero = Zero(ids[:, :t])
-            touched = zero.lane * width + zero.id
-            table[touched] = (zero.first << 16 | zero.slots).astype(np.uint32)
-        now = ids[:, t].astype(np.int64)
+            model.renew(ids[:, :t])
+        now = columns[t]
         model.predict()
-        hit2 = now == model.id2
-        hit1 = ~hit2 & (now == model.id1)
-        both = model.f2 + model.f1
-        first = np.where(hit2, 0, np.where(hit1, model.f2, both))
-        size = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both))
-        out.put(_ALL, first, size, 16)
-        rest = np.flatnonzero(~(hit2 | hit1))
+        begin, size, escaped = model.interval(now, *model.places(now))
+        out.put(_ALL, begin, size, _BITS)
+        rest = np.flatnonzero(escaped)
         if len(rest):
-            if zero is not None:
-                entry = table[rest * width + now[rest]].astype(np.int64)
-                known = entry > 0
-                begin = np.where(known, entry >> 16, zero.escape[rest])
-                out.put(rest, begin, np.where(known, entry & 0xFFFF, _SLOTS - begin), 12)
-                rest = rest[~known]
-            if len(rest):
-                out.put(rest, now[rest], np.ones(len(rest), np.int64), 16)
-        model.learn(now)
+            out.put(rest, now[rest], np.ones(len(rest), np.int64), 16)
+        model.learn(now, size)
     return out.finish()
 
 
-def decode(parts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode(parts: list[bytes], sizes: list[int], width: int = 1 << 16) -> list[np.ndarray]:
     """The blocks of encode()."""
     lanes, steps = len(parts), max(sizes)
     ids = np.zeros((lanes, steps), np.uint16)
-    model, source = Model(lanes), Reader(parts)
-    zero = slots = None
+    model, source = Model(lanes, width), Reader(parts)
+    zero, slots = None, np.empty(0, np.int32)
     for t in range(steps):
         if t in REBUILD:
-            zero = Zero(ids[:, :t])
+            zero = model.renew(ids[:, :t])
             slots = zero.by_slot()
         model.predict()
-        both = model.f2 + model.f1
-        v = source.value(_ALL, 16)
-        hit2 = v < model.f2
-        hit1 = ~hit2 & (v < both)
-        first = np.where(hit2, 0, np.where(hit1, model.f2, both))
-        size = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both))
-        source.take(_ALL, first, size, 16)
-        now = np.where(hit2, model.id2, model.id1)
-        rest = np.flatnonzero(~(hit2 | hit1))
+        now, escaped = model.find(source.value(_ALL, _BITS), slots, zero)
+        now[escaped] = 1 << 20  # no model's id
+        begin, size, _ = model.interval(now, *model.places(now))
+        source.take(_ALL, begin, size, _BITS)
+        rest = np.flatnonzero(escaped)
         if len(rest):
-            if zero is not None:
-                run = slots[rest * _SLOTS + source.value(rest, 12)]
-                known = run >= 0
-                begin = np.where(known, zero.first[run], zero.escape[rest])
-                source.take(rest, begin, np.where(known, zero.slots[run], _SLOTS - begin), 12)
-                now[rest[known]] = zero.id[run[known]]
-                rest = rest[~known]
-            if len(rest):
-                v = source.value(rest, 16)
-                source.take(rest, v, np.ones(len(rest), np.int64), 16)
-                now[rest] = v
+            v = source.value(rest, 16)
+            source.take(rest, v, np.ones(len(rest), np.int64), 16)
+            now[rest] = v
         ids[:, t] = now
-        model.learn(now)
+        model.learn(now, size)
     return [ids[i, :n] for i, n in enumerate(sizes)]
 
 
@@ -257,7 +282,7 @@ class FileWriter:
     """Documents' ids into an open binary stream."""
 
     def __init__(self, stream):
-        self.stream, self.docs, self.waiting, self.held = stream, [], [], 0
+        self.stream, self.docs, self.blocks, self.waiting, self.held = stream, [], [], [], 0
         self.at = stream.write(MAGIC) or len(MAGIC)
         self.n_ids = 0
 
@@ -277,6 +302,7 @@ class FileWriter:
             part, flat = flat[: LANES * BLOCK], flat[LANES * BLOCK :]
             blocks = [part[i : i + BLOCK] for i in range(0, len(part), BLOCK)]
             for ids, body in zip(blocks, encode(blocks)):
+                self.blocks.append((len(ids), len(body)))
                 self._write(_HEAD.pack(len(ids), len(body), zlib.crc32(body), zlib.crc32(ids.astype("<u2").tobytes())) + body)
         self.waiting, self.held = [flat], len(flat)
 
@@ -288,15 +314,19 @@ class FileWriter:
         """Write the rest and the trailer; the file's length."""
         self._flush(1)
         nulls = b"".join(b"\1" if d is None else b"\0" for d, _ in self.docs)
-        table = zlib.compress(struct.pack("<Q", len(self.docs)) + nulls + np.array([d or 0 for d, _ in self.docs], "<i8").tobytes() + np.array([n for _, n in self.docs], "<u4").tobytes(), 1)
+        columns = [np.array([d or 0 for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<u4"), np.array(self.blocks, "<u4")]
+        table = zlib.compress(struct.pack("<QQ", len(self.docs), len(self.blocks)) + nulls + b"".join(c.tobytes() for c in columns), 1)
         start = self.at
         self._write(table)
         self._write(_TAIL.pack(start, len(table), zlib.crc32(table), MAGIC))
         return self.at
 
 
-def read_file(stream):
-    """Yield (doc_id, ids as little-endian unsigned 32-bit numbers) from a seekable stream; ValueError if a checksum fails."""
+def index(stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a document's id is null, ids, numbers of ids; blocks as rows of ids and bytes) of a seekable stream; ValueError if damaged."""
+    stream.seek(0)
+    if stream.read(len(MAGIC)) != MAGIC:
+        raise ValueError("not a token-id file")
     stream.seek(0, 2)
     end = stream.tell()
     stream.seek(end - _TAIL.size)
@@ -304,39 +334,55 @@ def read_file(stream):
     stream.seek(start)
     table = stream.read(size)
     if magic != MAGIC or zlib.crc32(table) != crc:
-        raise ValueError("the document table is damaged")
+        raise ValueError("the tables are damaged")
     table = zlib.decompress(table)
-    n = struct.unpack_from("<Q", table)[0]
-    nulls, ids = table[8 : 8 + n], np.frombuffer(table, "<i8", n, 8 + n)
-    sizes = np.frombuffer(table, "<u4", n, 8 + 9 * n)
-    stream.seek(0)
-    if stream.read(len(MAGIC)) != MAGIC:
-        raise ValueError("not a token-id file")
-
-    def groups():
-        at, heads, bodies = len(MAGIC), [], []
-        while at < start:
-            head = _HEAD.unpack(stream.read(_HEAD.size))
-            body = stream.read(head[1])
-            if zlib.crc32(body) != head[2]:
-                raise ValueError(f"the block at {at} is damaged")
-            heads.append(head)
-            bodies.append(body)
-            at += _HEAD.size + head[1]
-            if len(heads) == LANES or at >= start:
-                for h, block in zip(heads, decode(bodies, [h[0] for h in heads])):
-                    if zlib.crc32(block.astype("<u2").tobytes()) != h[3]:
-                        raise ValueError("a block's ids are damaged")
-                    yield block
-                heads, bodies = [], []
-
-    blocks, buffer = groups(), np.empty(0, np.uint16)
-    for i in range(n):
-        need, parts = int(sizes[i]), []
+    n, m = struct.unpack_from("<QQ", table)
+    nulls, ids = np.frombuffer(table, np.uint8, n, 16), np.frombuffer(table, "<i8", n, 16 + n)
+    return nulls, ids, np.frombuffer(table, "<u4", n, 16 + 9 * n).astype(np.int64), np.frombuffer(table, "<u4", 2 * m, 16 + 13 * n).reshape(-1, 2).astype(np.int64)
+
+
+def read_file(stream, first: int = 0, end: int | None = None):
+    """Yield (doc_id, place of its first id in the file, ids as little-endian unsigned 32-bit numbers) of the documents that start in blocks first to end.
+
+    ValueError if a checksum fails. What a document has in later blocks is read too.
+    """
+    nulls, names, sizes, blocks = index(stream)
+    places = np.concatenate([[0], np.cumsum(blocks[:, 0])])  # of the blocks' first ids
+    offsets = len(MAGIC) + np.concatenate([[0], np.cumsum(blocks[:, 1] + _HEAD.size)])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    end = len(blocks) if end is None else min(end, len(blocks))
+    lo = int(np.searchsorted(starts[:-1], places[first]))
+    hi = len(sizes) if end == len(blocks) else int(np.searchsorted(starts[:-1], places[end]))
+    if lo == hi:
+        return
+    last = int(np.searchsorted(places, starts[hi]))  # the block before this one holds the last id
+
+    def run():
+        for at in range(first, last, LANES):
+            bodies, heads = [], []
+            stream.seek(int(offsets[at]))
+            for _ in range(at, min(last, at + LANES)):
+                head = _HEAD.unpack(stream.read(_HEAD.size))
+                body = stream.read(head[1])
+                if zlib.crc32(body) != head[2]:
+                    raise ValueError("a block is damaged")
+                heads.append(head)
+                bodies.append(body)
+            for h, block in zip(heads, decode(bodies, [h[0] for h in heads])):
+                if zlib.crc32(block.astype("<u2").tobytes()) != h[3]:
+                    raise ValueError("a block's ids are damaged")
+                yield block
+
+    found, buffer = run(), np.empty(0, np.uint16)
+    skip = int(starts[lo] - places[first])
+    for i in range(lo, hi):
+        need, parts = skip + int(sizes[i]), []
         while need > len(buffer):
             parts.append(buffer)
             need -= len(buffer)
-            buffer = next(blocks)
+            buffer = next(found)
         parts.append(buffer[:need])
         buffer = buffer[need:]
-        yield (None if nulls[i] else int(ids[i])), np.concatenate(parts).astype("<u4").tobytes()
+        own = np.concatenate(parts)[skip:]
+        skip = 0
+        yield (None if nulls[i] else int(names[i])), int(starts[i]), own.astype("<u4").tobytes()

@@ -2,7 +2,8 @@
 
 Documents are dealt into ranges of doc_id; each task sorts its range and writes one file under
 a temporary name, which it then renames, so a repeated task replaces its file. Reading takes
-the files' list and counts (a row a file) and gives every document from the files.
+the files' list and counts (a row a file), cuts each file into ranges of blocks, a task each,
+and gives every document from them; a range has the documents that start in it.
 
 Defined cases: null text has the end id alone; null doc_ids come first; repeated doc_ids are
 kept, in the order of their texts; an empty table gives no rows and no document in any file.
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, new_folder, open_folder, table
-from .id_codec import FileWriter, read_file
+from .id_codec import BLOCK, LANES, FileWriter, read_file
 from .token_ids import Encoder
 
+MOST_TASKS = 50_000  # that read ranges; a task may have several
+FILE = 64 << 20  # characters of the texts of a file, about
 END = b"\0\0\0\0"
 
 
@@ -48,36 +51,35 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, tex
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_ids": [out.n_ids], "n_docs": [docs_seen]})
 
     source = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string").alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
     ranged = source.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     return sorted(ranged.mapInArrow(lean(run), "part int, name string, n_ids long, n_docs long").collect())
 
 
 def read(spark: SparkSession, folder: str, parts: list) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the files, a file a task."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
     rows, start = [], 0
     for r in parts:
-        if r["n_docs"]:
-            rows.append((r["name"], start))
+        rows += [(r["name"], start, at) for at in range(0, -(-r["n_ids"] // BLOCK), LANES)] if r["n_docs"] else []
         start += r["n_ids"]
-    files = spark.createDataFrame(rows, "name string, start long").repartition(max(1, len(rows)))
+    ranges = spark.createDataFrame(rows, "name string, start long, first int").repartition(min(max(1, len(rows)), MOST_TASKS))
 
     def run(batches):
         system, path = open_folder(folder)
         for batch in batches:
-            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, start, first in zip(*(c.to_pylist() for c in batch.columns)):
                 with system.open_input_file(f"{path}/{name}") as stream:
                     out: list = []
-                    for doc_id, ids in read_file(stream):
-                        out.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
-                        at += len(ids) // 4
+                    for doc_id, at, ids in read_file(stream, first, first + LANES):
+                        out.append((doc_id, start + at, len(ids) // 4, zlib.crc32(ids)))
                         if len(out) == 10_000:
                             yield _batch(out)
                             out = []
                     if out:
                         yield _batch(out)
 
-    return files.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return ranges.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list) -> pa.RecordBatch:

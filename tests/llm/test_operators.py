@@ -219,7 +219,10 @@ def test_codec_round_trip_and_damage():
     for i, d in enumerate(docs):
         writer.add(i if i else None, d)
     writer.close()
-    assert [(i, x) for i, x in id_codec.read_file(out)] == [(i if i else None, d.tobytes()) for i, d in enumerate(docs)]
+    starts = np.cumsum([0] + [len(d) for d in docs])
+    want = [(i if i else None, int(starts[i]), d.tobytes()) for i, d in enumerate(docs)]
+    assert list(id_codec.read_file(out)) == want
+    assert [x for k in range(3) for x in id_codec.read_file(out, k, k + 1)] == want  # block by block
     data = bytearray(out.getvalue())
     data[40] ^= 1
     with pytest.raises(ValueError):
