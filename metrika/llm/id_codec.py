@@ -106,7 +106,7 @@ class Model:
             run, found = np.full(len(v), -1), np.zeros(len(v), np.int64)
         else:
             run = slots[self.lane * _SLOTS + slot]
-            found = zero.id[run]
+            found = np.append(zero.id, 0)[run]  # of the escape, -1, none
         ids = np.where(in_a, np.where(swap, self.id1, self.id2), np.where(in_b, np.where(swap, self.id2, self.id1), found))
         return ids, ~in_a & ~in_b & (run < 0)
 
@@ -123,7 +123,12 @@ class Model:
 
 
 class Zero:
-    """Order-0 runs of all lanes: ids, first slots and slots; what is over in a lane is its escape."""
+    """Order-0 runs of all lanes: ids, first slots and slots; what is over in a lane is its escape.
+
+    A lane with more than MANY ids keeps those that it has met twice, so that slots suffice.
+    """
+
+    MANY = 2560
 
     def __init__(self, ids: np.ndarray):
         """ids: [lane, position], the block so far."""
@@ -134,16 +139,18 @@ class Zero:
         new[::n] = True
         starts = np.flatnonzero(new)
         count = np.diff(np.append(starts, len(ordered)))
-        self.lane, self.id = starts // n, ordered[starts].astype(np.int64)
+        lane = starts // n
+        single = np.bincount(lane, count == 1, lanes).astype(np.int64)
+        keep = (count > 1) | (np.bincount(lane, minlength=lanes) <= self.MANY)[lane]
+        self.lane, self.id, count = lane[keep], ordered[starts[keep]].astype(np.int64), count[keep]
         distinct = np.bincount(self.lane, minlength=lanes)
-        single = np.bincount(self.lane, count == 1, lanes).astype(np.int64)
-        escape = np.clip(_SLOTS * single // n, 64, 1536)
+        # distinct is at most MANY or n / 2, so some slots are left over for both
+        escape = np.minimum(np.clip(_SLOTS * single // n, 64, 1536), (_SLOTS - distinct) // 2)
         self.slots = 1 + count * (_SLOTS - escape - distinct)[self.lane] // n
-        total = np.cumsum(self.slots)
-        first_run = np.cumsum(distinct) - distinct
-        self.first = total - self.slots
-        self.first -= self.first[first_run][self.lane]
-        self.escape = np.bincount(self.lane, self.slots, lanes).astype(np.int64)  # first slot of the escape
+        total = np.concatenate([[0], np.cumsum(self.slots)])
+        begin = np.concatenate([[0], np.cumsum(distinct)])  # of the lanes' runs
+        self.first = total[:-1] - total[begin[:-1]][self.lane]
+        self.escape = total[begin[1:]] - total[begin[:-1]]  # first slot of the escape
 
     def by_slot(self) -> np.ndarray:
         """[lane * _SLOTS + slot] -> run, or -1 for the escape."""

@@ -231,6 +231,18 @@ def test_codec_round_trip_and_damage():
         writer.add(1, np.array([70000]))
 
 
+def test_codec_extremes():
+    """Blocks of all different ids, of one id, of ids met twice, of mixes and of every short length."""
+    rng = np.random.default_rng(5)
+    n = id_codec.BLOCK
+    pairs = rng.permutation(np.repeat(rng.permutation(1 << 16)[: n // 2], 2))
+    blocks = [rng.permutation(1 << 16)[:n], np.zeros(n), np.full(n, 65535), pairs, rng.zipf(1.2, n) % 65536, np.tile(rng.integers(0, 65536, 700), 12)[:n], rng.integers(0, 3000, n), rng.integers(0, 5000, n)]
+    blocks += [np.concatenate([rng.permutation(1 << 16)[: n // 2], np.zeros(n // 2)]), np.concatenate([np.zeros(n // 2), rng.permutation(1 << 16)[: n // 2]])]
+    blocks = [b.astype(np.uint16) for b in blocks] + [rng.integers(0, 50, k).astype(np.uint16) for k in range(1, 40)]
+    for group in (blocks, blocks[:1], blocks[1:2], blocks[3:5]):
+        assert all(np.array_equal(a, b) for a, b in zip(group, id_codec.decode(id_codec.encode(group), [len(b) for b in group]), strict=True))
+
+
 def test_token_files(spark, texts, tmp_path):
     path = tokenizer_file("byte_bpe_50k.json")
     folder = f"file://{tmp_path}/ids"
