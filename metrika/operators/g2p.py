@@ -121,7 +121,9 @@ def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFra
     A dictionary or slang word keeps its source even if no variant has a vowel; a rule whose
     variants have none gives way to the next.
     """
-    distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
+    # words are few bytes but much work: a fixed number of partitions, which adaptive execution doesn't take together
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct().repartition(parts, "word")
     made = chain(distinct, lexicon, slang)
     links = []
     for name, label in SOURCES:

@@ -39,7 +39,8 @@ def _pron(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pron(spark, sf_dir).select("word", "source", "cost", F.posexplode("prons").alias("variant_idx", "s"))
+    # an outer explode, as for an inner one a filter is inferred that would make every pronunciation twice
+    return _pron(spark, sf_dir).select("word", "source", "cost", F.posexplode_outer("prons").alias("variant_idx", "s")).where("s is not null")
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> scan.VerseScan:
@@ -134,10 +135,11 @@ _TOP = f"""{_SYL}, n as (select lower(w) word, count(*) c from (select unnest(re
 def top_rhyme_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 commonest rhyme tails (rimes only) by tokens; each distinct word is pronounced once."""
     counts = verses.documents(spark, sf_dir).select(F.explode(tokenize.words_of(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("c"))
-    pron = g2p.pronounce(counts.select("word"), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark)).where(F.size("prons") > 0)
+    pron = g2p.pronounce(counts.select("word"), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
     tail = F.array_join(F.transform(P.rhyme_tail(F.get("prons", F.lit(0))), lambda x: F.array_join(P.rime(x), " ")), " . ")
-    rows = pron.select("word", tail.alias("tail")).join(counts, "word").groupBy("tail").agg(F.sum("c").alias("tokens"), F.count("*").alias("words"))
-    return rows.orderBy(F.col("tokens").desc(), "tail").limit(50)
+    rows = pron.select("word", tail.alias("tail")).join(counts, "word").groupBy("tail").agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.max(F.col("tail").isNotNull()).alias("known"))
+    # words without a pronunciation are one group; a filter before it would make every pronunciation twice
+    return rows.where("known").drop("known").orderBy(F.col("tokens").desc(), "tail").limit(50)
 
 
 @query(f"""{_ALL_WORDS}, {_tokens('documents', 'doc_id')},
