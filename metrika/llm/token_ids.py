@@ -8,6 +8,7 @@ which that isn't certain are encoded whole. The store is bounded and drops all w
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -30,12 +31,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str):
+    """(tokenizer, each id as bytes); a Python worker keeps them for its next task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+
 class _Parts(dict):
     """Pre-token -> its ids, made by the vocabulary's merges when first asked for."""
 
-    def __init__(self, tokenizer):
-        self.tokenize = tokenizer.model.tokenize
-        self.ids = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    def __init__(self, tokenizer, ids: list):
+        self.tokenize, self.ids = tokenizer.model.tokenize, ids
 
     def __missing__(self, part: str) -> bytes:
         ids = self.ids
@@ -72,12 +82,10 @@ class Encoder:
     """
 
     def __init__(self, path: str, spaced: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, ids = loaded(path)
+        self.spaced = spaced
         self.letters = byte_letters()
-        self.parts = _Parts(self.tokenizer)
+        self.parts = _Parts(self.tokenizer, ids)
         self.store = _Pieces(self)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
