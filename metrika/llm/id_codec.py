@@ -71,7 +71,8 @@ class Model:
         self.c1, self.c2 = e1 >> 16, e2 >> 16
         self.context = (self.lane << 4) + (self.c2 << 2) + self.c1
         self.f2 = self.p_two[self.context] >> 4
-        self.f1 = (_SLOTS - self.f2) * self.p_one[self.context] >> 16
+        # a model that names an id gives it something, as the others may lack it
+        self.f1 = np.maximum((_SLOTS - self.f2) * self.p_one[self.context] >> 16, 1)
         self.rest = _SLOTS - self.f2 - self.f1
         self.at1, self.at2 = self.places(self.id1)[0], self.places(self.id2)[0]
 
