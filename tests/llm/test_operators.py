@@ -238,7 +238,7 @@ def test_codec_extremes():
     pairs = rng.permutation(np.repeat(rng.permutation(1 << 16)[: n // 2], 2))
     blocks = [rng.permutation(1 << 16)[:n], np.zeros(n), np.full(n, 65535), pairs, rng.zipf(1.2, n) % 65536, np.tile(rng.integers(0, 65536, 700), 12)[:n], rng.integers(0, 3000, n), rng.integers(0, 5000, n)]
     blocks += [np.concatenate([rng.permutation(1 << 16)[: n // 2], np.zeros(n // 2)]), np.concatenate([np.zeros(n // 2), rng.permutation(1 << 16)[: n // 2]])]
-    # order 2 is trusted fully, order 1 not at all, and then order 1 alone knows the id
+    # a long run that order 2 foretells, then ids that order 0 hasn't met
     blocks += [np.append(np.tile([1, 2, 3], (n - 5) // 3 + 1)[: n - 5], [9, 60000, 7, 9, 60000])]
     blocks = [b.astype(np.uint16) for b in blocks] + [rng.integers(0, 50, k).astype(np.uint16) for k in range(1, 40)]
     for group in (blocks, blocks[:1], blocks[1:2], blocks[3:5]):
