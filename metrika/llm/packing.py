@@ -209,8 +209,8 @@ def pieces(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH,
 
         encoder, task, seen = Encoder(path, spaced), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 rows: list[tuple] = []
                 index = []
                 for i, ids in enumerate(encoder.ids(part.column(1).to_pylist())):

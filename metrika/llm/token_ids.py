@@ -4,6 +4,8 @@ Both vocabularies split a text into pre-tokens that never cross certain white sp
 text is cut there, distinct pieces are encoded once and their ids are joined. The cuts are
 those for which the result equals the whole text's encoding (tests compare them); texts for
 which that isn't certain are encoded whole. The store is bounded and drops all when full.
+The vocabulary without white space lower-cases, so a text of plain characters is cut right
+into its lower-case pre-tokens, of which there are far fewer than pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 STORE = 200_000
 _MARKS = frozenset(",.;:!?)")
@@ -23,6 +27,11 @@ _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 #: the letters are those that normalization leaves alone but for their case.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
 
+#: Texts that normalization leaves alone but for case and white space, and the pre-tokens of their lower-case form.
+_PLAIN_TEXT = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PRE_TOKENS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+LONG = 64  # characters; longer pre-tokens aren't kept
+
 
 def byte_letters() -> list[str]:
     """The printable character by which byte-level vocabularies write each byte."""
@@ -53,6 +62,26 @@ class _Parts(dict):
         return out
 
 
+class _Words(dict):
+    """Lower-case word between white space -> its ids; pre-tokens are kept, made by the vocabulary's merges when first asked for."""
+
+    def __init__(self, tokenizer, ids: list, letters: list[str]):
+        self.tokenize, self.ids = tokenizer.model.tokenize, ids
+        self.letters = dict(enumerate(letters))
+
+    def __missing__(self, word: str) -> bytes:
+        if not word.isalpha():
+            parts = _PRE_TOKENS(word)
+            if len(parts) != 1:
+                return b"".join(map(self.__getitem__, parts))
+        ids = self.ids
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        out = b"".join([ids[t.id] for t in self.tokenize(shown)])
+        if len(word) <= LONG:
+            self[word] = out
+        return out
+
+
 class _Pieces(dict):
     """Piece -> its ids, made when first asked for."""
 
@@ -87,6 +116,7 @@ class Encoder:
         self.letters = byte_letters()
         self.parts = _Parts(self.tokenizer, ids)
         self.store = _Pieces(self)
+        self.words = _Words(self.tokenizer, ids, self.letters)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -128,13 +158,33 @@ class Encoder:
         # an empty piece or a lone newline: white space meets white space
         return None if "" in pieces or "\n" in pieces else pieces
 
+    def _plain_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts: each distinct word of theirs is looked up once, the rest is done on Arrow's buffers."""
+        if not texts:
+            return []
+        if len(self.words) > STORE:
+            self.words.clear()
+        words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        made = pa.array(list(map(self.words.__getitem__, coded.dictionary.to_pylist())), pa.large_binary()).take(coded.indices)
+        _, offsets, data = made.buffers()
+        at = np.frombuffer(offsets, "<i8", len(made) + 1, 8 * made.offset)[words.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+
     def ids(self, texts: list) -> list[bytes]:
         out: list = [b""] * len(texts)
-        split, whole = [], []
+        split, whole, plain = [], [], []
         for i, t in enumerate(texts):
-            if t:
+            if not t:
+                continue
+            if not self.spaced and "<|" not in t and _PLAIN_TEXT.fullmatch(t):
+                plain.append(i)
+            else:
                 pieces = self._pieces(t)
                 (whole if pieces is None else split).append((i, pieces))
+        for i, v in zip(plain, self._plain_texts([texts[i] for i in plain])):
+            out[i] = v
         for (i, _), v in zip(whole, self._encode([texts[i] for i, _ in whole])):
             out[i] = v
         if len(self.store) > STORE:
