@@ -2,34 +2,49 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the checkpoint folder: short lineage that survives lost executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="metrika-")
+        spark.sparkContext.setCheckpointDir(path)
+    # a checkpoint alone would compute df twice
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint()
+    kept.unpersist()
+    return out
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, node, component): the smallest node that is reached; isolated nodes too.
 
-    nodes: scope, node; edges: scope, a, b, inside one scope (a verse, a threshold). Each round
-    takes the smallest label among neighbours and jumps to that label's label; rounds are
-    checkpointed, so lineage stays short and survives lost executors.
+    nodes: scope, node (any type with an order); edges: scope, a, b, inside one scope (a verse, a
+    threshold). Each round takes the smallest label among neighbours and jumps to that label's
+    label; rounds are checkpointed, so lineage stays short and survives lost executors.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        # local mode only: on a cluster spark.checkpoint.dir names the shared folder
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="metrika-"))
     both = edges.select("scope", F.col("a").alias("node"), F.col("b").alias("other")).where("node <> other")
-    both = both.unionByName(both.select("scope", F.col("other").alias("node"), F.col("node").alias("other"))).distinct().checkpoint()
-    labels = nodes.select("scope", "node").distinct().withColumn("component", F.col("node")).checkpoint()
+    both = settled(both.unionByName(both.select("scope", F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = settled(nodes.select("scope", "node").distinct().withColumn("component", F.col("node")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), ["scope", "other"]).groupBy("scope", "node").agg(F.min("component").alias("m"))
-        best = labels.join(near, ["scope", "node"], "left").select("scope", "node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("component")).checkpoint()
+        near = both.join(labels.select("scope", F.col("node").alias("other"), "component"), ["scope", "other"]).groupBy("scope", "node").agg(F.min("component").alias("m"))
+        best = labels.select("scope", "node", F.col("component").alias("was")).join(near, ["scope", "node"], "left").select("scope", "node", "was", F.least("was", F.coalesce("m", "was")).alias("component"))
         jump = best.select("scope", F.col("node").alias("component"), F.col("component").alias("next"))
-        new = best.join(jump, ["scope", "component"]).select("scope", "node", F.least("component", "next").alias("component")).checkpoint()
-        if not best.where("was <> component").limit(1).count():
+        new = settled(best.join(jump, ["scope", "component"]).select("scope", "node", "was", F.least("component", "next").alias("component")))
+        if new.where("was <> component").isEmpty():
             return labels
-        labels = new
+        labels = new.drop("was")
 
 
 def group_by_threshold(nodes: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrika.operators import tokenize
-from metrika.operators.scan import VerseScan, chain_matches
+from metrika.operators.components import settled
+from metrika.operators.scan import VerseScan, first_at_all
 
 # Colours of the classes, as thin marks and as fills, on light and on dark ground.
 ACCENT_LIGHT = ["#2a78d6", "#1baf7a", "#eda100", "#008300", "#4a3aa7", "#e34948", "#e87ba4", "#eb6834"]
@@ -60,27 +61,26 @@ def legend_preview(groups: DataFrame) -> DataFrame:
     return out.select("verse_id", "class_idx", F.array_join(F.when(F.size("u") <= PREVIEW, F.col("u")).otherwise(F.concat(F.slice("u", 1, PREVIEW), F.array(more))), " · ").alias("preview"))
 
 
-def compound_rules(selected: DataFrame) -> DataFrame:
-    """verse_id, line, word_idx, rule: words under a compound of two beats or more; a compound claims all its words or none, longest first."""
-    kind = selected.schema["verse_id"].dataType.simpleString()
+def compound_rules(chained: DataFrame) -> DataFrame:
+    """verse_id, line, word_idx, rule: words under a compound of two beats or more; a compound claims all its words or none, longest first.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        several = []
-        for _, beats in pdf.groupby("compound_idx"):
-            beats = beats.sort_values("beat_idx")
-            if len(beats) > 1:
-                first, last = beats.iloc[0], beats.iloc[-1]
-                sides = [(first[f"{s}_line"], range(first[f"{s}_start"], last[f"{s}_start"] + last[f"{s}_n_words"])) for s in "ab"]
-                several.append(((-len(beats), first.a_line, first.a_start, first.compound_idx), sides))
-        claimed: dict = {}
-        for rule, (_, sides) in enumerate(sorted(several, key=lambda x: x[0])):
-            places = [(line, w) for line, words in sides for w in words]
-            if not any(p in claimed for p in places):
-                claimed |= dict.fromkeys(places, rule)
-        rows = [(pdf["verse_id"].iloc[0], *p, rule) for p, rule in claimed.items()]
-        return pd.DataFrame(rows, columns=["verse_id", "line", "word_idx", "rule"])
+    chained: chain_matches()'s rows. Rules are numbered by verse, also those that get no words.
+    """
+    first = F.min(F.struct("beat_idx", *[f"{s}_{c}" for s in "ab" for c in ("line", "start")])).alias("x")
+    last = F.max(F.struct("beat_idx", *[f"{s}_{c}" for s in "ab" for c in ("start", "n_words")])).alias("y")
+    several = chained.groupBy("verse_id", "compound_idx").agg(F.count("*").alias("n"), first, last).where("n > 1")
+    order = Window.partitionBy("verse_id").orderBy(F.desc("n"), "x.a_line", "x.a_start", "compound_idx")
 
-    return chain_matches(selected).groupBy("verse_id").applyInPandas(one, f"verse_id {kind}, line int, word_idx int, rule int")
+    def words(s: str):
+        begin, end = F.col(f"x.{s}_start"), F.col(f"y.{s}_start") + F.col(f"y.{s}_n_words")
+        places = F.transform(F.sequence(begin, F.greatest(begin, end - 1)), lambda w: F.struct(F.col(f"x.{s}_line").alias("line"), w.alias("word_idx")))
+        return F.when(end > begin, places).otherwise(F.slice(places, 1, 0))
+
+    ranked = several.withColumn("__p", F.row_number().over(order))
+    cells = ranked.select("verse_id", "__p", F.explode(F.array_union(words("a"), words("b"))).alias("w"))
+    cells = settled(cells.select("verse_id", "__p", F.col("w.line").alias("line"), F.col("w.word_idx").alias("word_idx")))
+    taken = first_at_all(cells, "line", "word_idx")
+    return cells.join(taken, ["verse_id", "__p"], "left_semi").select("verse_id", "line", "word_idx", (F.col("__p") - 1).alias("rule"))
 
 
 def tooltips(covering: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def plan_verse(scan: VerseScan) -> DataFrame:
     cells = cells.withColumn("word_idx", F.when(F.col("is_word"), F.sum(F.col("is_word").cast("int")).over(seen) - 1))
     at = ["verse_id", "line", "word_idx"]
     source = scan.provenance.select("verse_id", F.lower("word").alias("key"), "source")
-    out = cells.join(word_fill(covering), at, "left").join(compound_rules(scan.selected), at, "left").join(tooltips(covering), at, "left")
+    out = cells.join(word_fill(covering), at, "left").join(compound_rules(scan.compounds), at, "left").join(tooltips(covering), at, "left")
     out = out.withColumn("key", F.when(F.col("is_word"), F.lower("text"))).join(source, ["verse_id", "key"], "left")
     oov = F.coalesce(F.col("source") == "oov", F.lit(False))
     return out.select("verse_id", "line", "cell_idx", "text", "is_word", "word_idx", "fill", "ticks", "rule", oov.alias("oov"), F.when(~oov, F.col("source")).alias("guessed"), "receipts")

@@ -1,18 +1,20 @@
 """The scanner: candidates, the proximity join, gated scores, selection, classes and compounds.
 
 Every table is keyed by verse_id. A candidate is (verse_id, line, start, n_words, anchor);
-"before" is that order. Sequential work (greedy selection, chaining) runs inside one verse.
+"before" is that order. Greedy selection, classes and chains are made in checkpointed rounds
+over all verses at once, when their tables are first asked for.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metrika.functions import phonology as P
 from metrika.functions import tables as T
-from metrika.operators import g2p, kernel, tokenize
+from metrika.operators import components, g2p, kernel, tokenize
 
 MAX_SPAN_WORDS, MAX_LINE_GAP, SEED, COERCION = 4, 2, 0.8, 0.15
 # Weak words by default, and those of them that can't carry a rhyme at all.
@@ -126,71 +128,54 @@ def find_matches(readings: DataFrame, threshold: float = kernel.THRESHOLD, seed_
 ORDER = ["a_line", "a_start", "a_n_words", "a_anchor", "b_line", "b_start", "b_n_words", "b_anchor"]
 
 
-def select_matches(matches: DataFrame) -> DataFrame:
-    """The matches of which none better describes the same event, with sel_idx, the order in which they were taken.
+def first_at_all(cells: DataFrame, *place: str) -> DataFrame:
+    """verse_id, __p of the items that a greedy choice in the order of __p takes, if no two may share a place.
 
-    Greedy within a verse, as a fold over its matches in order: best score, most informative,
-    shortest, nearest, first.
+    cells: verse_id, __p and a place that the item has; a row a place. Each round takes the items
+    that are first at all their places and drops those that share a place with one of them.
     """
-    rank = [(-F.col("score")).alias("k0"), (-F.col("informative_length")).alias("k1"), F.col("length").alias("k2"), (F.col("b_line") - F.col("a_line")).alias("k3"), F.col("b_start").alias("k4"), F.col("a_line").alias("k5"), F.col("a_start").alias("k6")]
-    rest = [F.col(c).alias("r_" + c) for c in ORDER]
-    kept = [c for c in matches.columns if c != "verse_id"]
-    row = F.struct(*rank, *rest, F.struct(*kept).alias("m"))
-    whole = matches.groupBy("verse_id").agg(F.array_sort(F.collect_list(row)).alias("all"))  # one verse's matches
-    all_ = F.transform("all", lambda x: x["m"])
-
-    def overlap(x, y, s):
-        return (x[f"{s}_line"] == y[f"{s}_line"]) & (x[f"{s}_start"] < y[f"{s}_start"] + y[f"{s}_n_words"]) & (y[f"{s}_start"] < x[f"{s}_start"] + x[f"{s}_n_words"])
-
-    kind = "array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in matches.schema.fields if f.name != "verse_id") + ">>"
-    chosen = F.aggregate(all_, F.array().cast(kind), lambda acc, m: F.when(F.exists(acc, lambda k: overlap(m, k, "a") & overlap(m, k, "b")), acc).otherwise(F.concat(acc, F.array(m))))
-    return whole.select("verse_id", F.posexplode(chosen).alias("sel_idx", "m")).select("verse_id", "sel_idx", "m.*")
-
-
-def _roots(n: int, edges) -> list[int]:
-    """Smallest member of each node's component."""
-    parent = list(range(n))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [find(x) for x in range(n)]
-
+    by_cell, by_item = Window.partitionBy("verse_id", *place), Window.partitionBy("verse_id", "__p")
+    taken = None
+    while True:
+        state = cells.withColumn("taken", F.min("__p").over(by_cell)).withColumn("taken", F.min("taken").over(by_item) == F.col("__p"))
+        state = state.withColumn("gone", F.max("taken").over(by_cell)).withColumn("gone", F.max("gone").over(by_item))
+        state = components.settled(state.where("taken or not gone"))
+        own = state.where("taken").select("verse_id", "__p").distinct()
+        taken = own if taken is None else taken.unionByName(own)
+        cells = state.where("not gone").select("verse_id", "__p", *place)
+        if cells.isEmpty():
+            return taken
 
-def _ranked(roots: list[int]) -> list[int]:
-    place = {r: i for i, r in enumerate(sorted(set(roots)))}
-    return [place[r] for r in roots]
 
+def select_matches(matches: DataFrame) -> DataFrame:
+    """The matches of which none better describes the same event, with sel_idx, the order in which they were taken.
 
-def _verse_type(df: DataFrame) -> str:
-    return df.schema["verse_id"].dataType.simpleString()
+    Greedy within a verse: best score, most informative, shortest, nearest, first. Two matches
+    describe the same event if they share a pair of word places, one on each side. So a match is
+    taken if it is the best of all that are left at each of its pairs of places, which goes on
+    in rounds for all verses at once; no verse is gathered, and no two matches are compared.
+    """
+    rank = [F.desc("score"), F.desc("informative_length"), F.asc("length"), F.col("b_line") - F.col("a_line"), "b_start", "a_line", "a_start"]
+    placed = components.settled(matches.withColumn("__p", F.row_number().over(Window.partitionBy("verse_id").orderBy(*rank, *ORDER))))
+    covered = [F.sequence(F.col(f"{s}_start"), F.col(f"{s}_start") + F.col(f"{s}_n_words") - 1) for s in "ab"]
+    cells = placed.select("verse_id", "__p", "a_line", "b_line", F.explode(covered[0]).alias("a_at"), covered[1].alias("bs"))
+    cells = cells.select("verse_id", "__p", "a_line", "b_line", "a_at", F.explode("bs").alias("b_at"))
+    chosen = placed.join(first_at_all(cells, "a_line", "b_line", "a_at", "b_at"), ["verse_id", "__p"], "left_semi")
+    rest = [c for c in matches.columns if c != "verse_id"]
+    sel_idx = F.row_number().over(Window.partitionBy("verse_id").orderBy("__p")) - 1
+    return chosen.select("verse_id", sel_idx.alias("sel_idx"), *rest)
 
 
 def scan_groups(selected: DataFrame) -> DataFrame:
     """verse_id, class_idx, member_idx, line, start, n_words, anchor, words: rhyme classes of the matched candidates, in verse order."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        verse, sides = pdf["verse_id"].iloc[0], []
-        for s in "ab":
-            sides.append(list(zip(*[pdf[f"{s}_{c}"] for c in ("line", "start", "n_words", "anchor", "words")])))
-        nodes = sorted(set(sides[0]) | set(sides[1]))
-        index = {c: i for i, c in enumerate(nodes)}
-        classes = _ranked(_roots(len(nodes), [(index[a], index[b]) for a, b in zip(*sides)]))
-        rows, seen = [], {}
-        for c, node in zip(classes, nodes):
-            seen[c] = seen.get(c, -1) + 1
-            rows.append((verse, c, seen[c], *node))
-        return pd.DataFrame(rows, columns=["verse_id", "class_idx", "member_idx", "line", "start", "n_words", "anchor", "words"])
-
-    schema = f"verse_id {_verse_type(selected)}, class_idx int, member_idx int, line int, start int, n_words int, anchor int, words string"
-    return selected.groupBy("verse_id").applyInPandas(one, schema)
+    own = [*KEY[1:], "words"]
+    a, b = (F.struct(*[F.col(f"{s}_{c}").alias(c) for c in own]) for s in "ab")
+    edges = selected.select(F.col("verse_id").alias("scope"), a.alias("a"), b.alias("b"))
+    nodes = edges.select("scope", F.explode(F.array("a", "b")).alias("node"))
+    found = components.connected_components(nodes, edges)
+    class_idx = F.dense_rank().over(Window.partitionBy("scope").orderBy("component")) - 1
+    member_idx = F.row_number().over(Window.partitionBy("scope", "component").orderBy("node")) - 1
+    return found.select(F.col("scope").alias("verse_id"), class_idx.alias("class_idx"), member_idx.alias("member_idx"), *[F.col(f"node.{c}").alias(c) for c in own])
 
 
 def abuts(selected: DataFrame) -> DataFrame:
@@ -202,20 +187,15 @@ def abuts(selected: DataFrame) -> DataFrame:
 
 def chain_matches(selected: DataFrame) -> DataFrame:
     """selected with compound_idx and beat_idx: components of matches that abut, beats by a's place; every match is in one."""
-    kept = [c for c in selected.columns]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_line", "a_start", "sel_idx"], kind="stable").reset_index(drop=True)
-        starts: dict = {}
-        for i, r in enumerate(pdf.itertuples()):
-            starts.setdefault((r.a_line, r.a_start, r.b_line, r.b_start), []).append(i)
-        edges = [(i, j) for i, r in enumerate(pdf.itertuples()) for j in starts.get((r.a_line, r.a_start + r.a_n_words, r.b_line, r.b_start + r.b_n_words), ())]
-        pdf["compound_idx"] = _ranked(_roots(len(pdf), edges))
-        pdf["beat_idx"] = pdf.groupby("compound_idx").cumcount()
-        return pdf[[*kept, "compound_idx", "beat_idx"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in selected.schema.fields) + ", compound_idx int, beat_idx int"
-    return selected.groupBy("verse_id").applyInPandas(one, schema)
+    place = F.row_number().over(Window.partitionBy("verse_id").orderBy("a_line", "a_start", "sel_idx"))
+    placed = components.settled(selected.withColumn("__p", place))
+    edges = abuts(placed.select(*[F.col("__p").alias("sel_idx") if c == "sel_idx" else F.col(c) for c in selected.columns]))
+    nodes = placed.select(F.col("verse_id").alias("scope"), F.col("__p").alias("node"))
+    found = components.connected_components(nodes, edges.select(F.col("verse_id").alias("scope"), F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = placed.join(found.select(F.col("scope").alias("verse_id"), F.col("node").alias("__p"), "component"), ["verse_id", "__p"])
+    compound_idx = F.dense_rank().over(Window.partitionBy("verse_id").orderBy("component")) - 1
+    beat_idx = F.row_number().over(Window.partitionBy("verse_id", "component").orderBy("__p")) - 1
+    return joined.select(*selected.columns, compound_idx.alias("compound_idx"), beat_idx.alias("beat_idx"))
 
 
 def compound_text(chained: DataFrame) -> DataFrame:
@@ -227,7 +207,7 @@ def compound_text(chained: DataFrame) -> DataFrame:
 
 
 class VerseScan:
-    """What a scan of a table of verses (verse_id, text) finds, as lazy tables.
+    """What a scan of a table of verses (verse_id, text) finds; tables are made when asked for.
 
     What several tables are made from is kept once it is made, until close(); a lost executor's
     part is made again.
@@ -239,22 +219,24 @@ class VerseScan:
         self.pron = g2p.pronounce(self.tokens.select("word"), lexicon, slang).persist()
         self.readings = anchored_readings(self.tokens, self.pron, max_span_words)
         self.matches = find_matches(self.readings, threshold, seed_threshold, max_line_gap).persist()
-        self.selected = select_matches(self.matches).persist()
 
     def close(self) -> None:
-        self.selected.unpersist()
         self.matches.unpersist()
         self.pron.unpersist()
 
+    @functools.cached_property
+    def selected(self) -> DataFrame:
+        return components.settled(select_matches(self.matches))
+
     @property
     def candidates(self) -> DataFrame:
         return enumerate_candidates(self.readings)
 
-    @property
+    @functools.cached_property
     def groups(self) -> DataFrame:
         return scan_groups(self.selected)
 
-    @property
+    @functools.cached_property
     def compounds(self) -> DataFrame:
         return chain_matches(self.selected)
 

@@ -378,7 +378,7 @@ def legend_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SELECTED}, {S.CHAINS}, {S.RULES} select * from ru")
 def compound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.compound_rules(_scan(spark, sf_dir).selected)
+    return plan.compound_rules(_scan(spark, sf_dir).compounds)
 
 
 #: Verses with matches that describe the same event, so that selecting has to decide.

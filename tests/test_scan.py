@@ -102,3 +102,64 @@ def test_streaming_stage(spark, tmp_path):
     got = spark.table("tails")
     assert got.where("word = 'Coogi'").select("tail").first()[0] == "K UW1 . G IY0"
     assert got.select(F.countDistinct("verse_id")).first()[0] == 3
+
+
+def test_rounds_against_plain_loops(spark):
+    import random
+
+    r, rows = random.Random(4), {}
+    for _ in range(260):
+        side = [(r.randrange(3), r.randrange(7), r.randint(1, 4), r.randrange(2)) for _ in "ab"]
+        length = r.randint(1, 4)
+        rows[(r.randrange(3), *side)] = (r.choice([0.75, 0.8, 1.0]), length, r.randint(1, length))
+    data = [(v, *a, f"{a}", *b, f"{b}", *m) for (v, a, b), m in rows.items()]
+    side = lambda s: f"{s}_line int, {s}_start int, {s}_n_words int, {s}_anchor int, {s}_words string"
+    kind = f"verse_id int, {side('a')}, {side('b')}, score double, length int, informative_length int"
+    chosen = scan.select_matches(spark.createDataFrame(data, kind)).cache()
+
+    overlap = lambda x, y: x[0] == y[0] and x[1] < y[1] + y[2] and y[1] < x[1] + x[2]
+    want, chains, rules = {}, {}, {}
+    for verse in {k[0] for k in rows}:
+        own = sorted((-m[0], -m[2], m[1], b[0] - a[0], b[1], a[0], a[1], a, b) for (v, a, b), m in rows.items() if v == verse)
+        taken = []
+        for *_, a, b in own:
+            if not any(overlap(a, x) and overlap(b, y) for x, y in taken):
+                taken.append((a, b))
+        want[verse] = taken
+        # chains: smallest place of the component, by repeated passes
+        order = sorted(range(len(taken)), key=lambda i: (taken[i][0][0], taken[i][0][1], i))
+        root = {i: place for place, i in enumerate(order)}
+        ends = [((a[0], a[1] + a[2], b[0], b[1] + b[2]), (a[0], a[1], b[0], b[1])) for a, b in taken]
+        for _ in taken:
+            for i, (end, _) in enumerate(ends):
+                for j, (_, start) in enumerate(ends):
+                    if end == start:
+                        root[i] = root[j] = min(root[i], root[j])
+        ids = sorted(set(root.values()))
+        chains[verse] = [ids.index(root[i]) for i in range(len(taken))]
+        several = []
+        for c in range(len(ids)):
+            beats = [taken[i] for i in order if chains[verse][i] == c]
+            if len(beats) > 1:
+                words = [(beats[0][s][0], w) for s in (0, 1) for w in range(beats[0][s][1], beats[-1][s][1] + beats[-1][s][2])]
+                several.append((-len(beats), beats[0][0][0], beats[0][0][1], c, words))
+        for rule, (*_, words) in enumerate(sorted(several)):
+            if not any((verse, w) in rules for w in words):
+                rules |= {(verse, w): rule for w in words}
+    got = {}
+    for x in chosen.orderBy("verse_id", "sel_idx").collect():
+        got.setdefault(x["verse_id"], []).append(tuple(tuple(x[f"{s}_{c}"] for c in scan.KEY[1:]) for s in "ab"))
+    assert got == want and sum(map(len, want.values())) < len(rows)
+    chained = scan.chain_matches(chosen).cache()
+    found = {}
+    for x in chained.orderBy("verse_id", "sel_idx").collect():
+        found.setdefault(x["verse_id"], []).append(x["compound_idx"])
+    assert found == chains and any(len(set(c)) < len(c) for c in chains.values())
+    assert {(x["verse_id"], (x["line"], x["word_idx"])): x["rule"] for x in plan.compound_rules(chained).collect()} == rules
+
+
+def test_selection_of_nothing(spark, found):
+    none = found.matches.where("false")
+    assert not scan.select_matches(none).collect()
+    empty = scan.select_matches(none)
+    assert not scan.scan_groups(empty).collect() and not scan.chain_matches(empty).collect()
