@@ -33,6 +33,7 @@ RANGE = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 LEAST = 1000
+SALTS = 16  # parts into which the rows of one payload are split in the join
 MOST_TASKS = 50_000  # that read ranges; a task may have several
 _CHUNK = 1 << 16
 
@@ -66,11 +67,12 @@ def responses(pages: DataFrame, least: int = LEAST) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", "html", F.sha1(html).alias("__sha"), F.length(html).alias("__n"))
     named = own.where((F.col("__n") >= least) & F.col("page_id").isNotNull())
-    # by (digest, id) the aggregation's partial step already takes a hot payload's rows together
+    # a hot payload's rows: the aggregation's partial step takes them together, and the join spreads them by salt
     first = named.groupBy(F.col("__sha").alias("__s"), F.col("__n").alias("__l")).agg(F.max("page_id").alias("__first"), F.count("*").alias("__c")).where("__c > 1").drop("__c")
+    first = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     revisits = (
-        named.select(F.col("page_id").alias("__id"), "__sha", "__n")
-        .join(first, (F.col("__sha") == F.col("__s")) & (F.col("__n") == F.col("__l")))
+        named.select(F.col("page_id").alias("__id"), "__sha", "__n", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("__t"))
+        .join(first, (F.col("__sha") == F.col("__s")) & (F.col("__n") == F.col("__l")) & (F.col("__t") == F.col("__salt")))
         .where(F.col("__id") < F.col("__first")).select("__id", "__sha", "__first").distinct()
     )
     revisits = revisits.withColumnRenamed("__sha", "__s")
