@@ -42,14 +42,14 @@ class Model:
 
     def __init__(self, lanes: int, width: int):
         self.lane, self.width = np.arange(lanes), width
-        self.base, self.row = self.lane * _CONTEXTS, self.lane * width
+        self.base, self.row, self.slot0 = self.lane * _CONTEXTS, self.lane * (width + 1), self.lane * _SLOTS
         self.one = np.zeros(lanes * _CONTEXTS, np.int32)  # id + confidence << 16
         self.two = np.zeros(lanes * _CONTEXTS, np.int32)
         self.p_two = np.full(lanes * 16, 1 << 12, np.int64)  # weights out of 65,536; of order 1: out of what order 2 leaves
         self.p_one = np.full(lanes * 16, 1 << 12, np.int64)
         self.a = np.zeros(lanes, np.int64)  # the last id and the one before
         self.b = np.zeros(lanes, np.int64)
-        self.table = np.zeros(lanes * width, np.uint32)  # order 0: first slot << 16 | slots, by lane and id
+        self.table = np.zeros(lanes * (width + 1), np.uint32)  # order 0: first slot << 16 | slots, by lane and id; the id `width` is never known
         self.escape = np.zeros(lanes, np.int64)  # first slot of the escape
         self.touched: np.ndarray | None = None
 
@@ -58,7 +58,7 @@ class Model:
         if self.touched is not None:
             self.table[self.touched] = 0
         zero = Zero(ids)
-        self.touched = zero.lane * self.width + zero.id
+        self.touched = zero.lane * (self.width + 1) + zero.id
         self.table[self.touched] = (zero.first << 16 | zero.slots).astype(np.uint32)
         self.escape = zero.escape
         return zero
@@ -78,8 +78,8 @@ class Model:
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first slot, slots) of an id of each lane in order 0; an unknown one has none, at the escape."""
-        entry = self.table[self.row + np.minimum(ids, self.width - 1)].astype(np.int64)
-        slots = np.where(ids < self.width, entry & 0xFFFF, 0)
+        entry = self.table[self.row + ids].astype(np.int64)
+        slots = entry & 0xFFFF
         return np.where(slots > 0, entry >> 16, self.escape), slots
 
     def interval(self, ids: np.ndarray, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +93,8 @@ class Model:
         size = np.where(escaped, _SLOTS - self.escape, slots) * self.rest + two * self.hit2 + one * self.hit1
         return begin, size, escaped
 
-    def find(self, v: np.ndarray, slots: np.ndarray, zero: Zero | None) -> tuple[np.ndarray, np.ndarray]:
-        """(id, escaped) of the lane whose interval holds v; slots: zero.by_slot()."""
+    def find(self, v: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, escaped) of the lane whose interval holds v; slots: by_slot() of order 0."""
         swap = self.at1 < self.at2
         at_a, at_b = np.minimum(self.at1, self.at2) * self.rest, np.maximum(self.at1, self.at2) * self.rest
         wide_a, wide_b = np.where(swap, self.f1, self.f2) << 12, np.where(swap, self.f2, self.f1) << 12
@@ -103,23 +103,19 @@ class Model:
         in_b = ~in_a & (w >= at_b) & (w < at_b + wide_b)
         w = np.where(~in_a & (w >= at_b + wide_b), w - wide_b, w)
         slot = np.minimum(w // self.rest, _SLOTS - 1)
-        if zero is None:
-            run, found = np.full(len(v), -1), np.zeros(len(v), np.int64)
-        else:
-            run = slots[self.lane * _SLOTS + slot]
-            found = np.append(zero.id, 0)[run]  # of the escape, -1, none
+        found = slots[self.slot0 + slot]
         ids = np.where(in_a, np.where(swap, self.id1, self.id2), np.where(in_b, np.where(swap, self.id2, self.id1), found))
-        return ids, ~in_a & ~in_b & (run < 0)
+        return ids.astype(np.int64), ~in_a & ~in_b & (found < 0)
 
     def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
         """size: of the interval that came; the models' parts in it move the weights."""
         part2, part1 = (self.f2 << 28) // size * self.hit2, (self.f1 << 28) // size * self.hit1
         p, q = self.p_two[self.context], self.p_one[self.context]
-        self.p_two[self.context] = np.clip(p + ((part2 - p) >> 4), 64, 60000)
-        self.p_one[self.context] = np.clip(q + ((part1 - (((65536 - part2) * q) >> 16)) >> 4), 64, 60000)
-        hit2, hit1 = ids == self.id2, ids == self.id1
-        self.two[self.k2] = ids + np.where(hit2, np.minimum(self.c2 + 1, 3) << 16, 0)
-        self.one[self.k1] = ids + np.where(hit1, np.minimum(self.c1 + 1, 3) << 16, 0)
+        self.p_two[self.context] = np.minimum(np.maximum(p + ((part2 - p) >> 4), 64), 60000)
+        self.p_one[self.context] = np.minimum(np.maximum(q + ((part1 - (((65536 - part2) * q) >> 16)) >> 4), 64), 60000)
+        # an escaped id is no model's, so interval()'s hits hold for it too
+        self.two[self.k2] = ids + (np.minimum(self.c2 + 1, 3) << 16) * self.hit2
+        self.one[self.k1] = ids + (np.minimum(self.c1 + 1, 3) << 16) * self.hit1
         self.b, self.a = self.a, ids
 
 
@@ -154,10 +150,10 @@ class Zero:
         self.escape = total[begin[1:]] - total[begin[:-1]]  # first slot of the escape
 
     def by_slot(self) -> np.ndarray:
-        """[lane * _SLOTS + slot] -> run, or -1 for the escape."""
+        """[lane * _SLOTS + slot] -> id, or -1 for the escape."""
         out = np.full(len(self.escape) * _SLOTS, -1, np.int32)
         at = np.repeat(self.lane * _SLOTS + self.first, self.slots) + _ramp(self.slots)
-        out[at] = np.repeat(np.arange(len(self.slots)), self.slots)
+        out[at] = np.repeat(self.id, self.slots)
         return out
 
 
@@ -266,14 +262,13 @@ def decode(parts: list[bytes], sizes: list[int], width: int = 1 << 16) -> list[n
     lanes, steps = len(parts), max(sizes)
     ids = np.zeros((lanes, steps), np.uint16)
     model, source = Model(lanes, width), Reader(parts)
-    zero, slots = None, np.empty(0, np.int32)
+    slots = np.full(lanes * _SLOTS, -1, np.int32)
     for t in range(steps):
         if t in REBUILD:
-            zero = model.renew(ids[:, :t])
-            slots = zero.by_slot()
+            slots = model.renew(ids[:, :t]).by_slot()
         model.predict()
-        now, escaped = model.find(source.value(_ALL, _BITS), slots, zero)
-        now[escaped] = 1 << 20  # no model's id
+        now, escaped = model.find(source.value(_ALL, _BITS), slots)
+        now[escaped] = width  # no model's id
         begin, size, _ = model.interval(now, *model.places(now))
         source.take(_ALL, begin, size, _BITS)
         rest = np.flatnonzero(escaped)
