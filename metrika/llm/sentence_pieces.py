@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 MARK = "▁"
-CHARACTERS = 4_000_000
+CHARACTERS = 16_000_000
+SPLIT = "\x1f"
 #: Words with the white space before them, white space before a newline or at the end, and newlines.
 _WORDS = re.compile(" *[^ \n]+| +|\n").findall
 
@@ -55,32 +56,43 @@ def check_model(processor) -> None:
             raise ValueError("the model changes texts before it segments them")
 
 
+def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words, one after the other, and where each text's begin and the last's end; some may be empty."""
+    marked = [" " + t.replace(MARK, " ") if t else "" for t in texts]
+    # runs of markers stay together, which the plain split can't do
+    odd = {i: _WORDS(t) for i, t in enumerate(marked) if "  " in t or SPLIT in t}
+    plain = ["" if i in odd else t.replace("\n", f"{SPLIT}\n{SPLIT}").replace(" ", f"{SPLIT} ") for i, t in enumerate(marked)]
+    lists = pc.split_pattern(pa.array(plain, pa.large_string()), SPLIT)
+    if not odd:
+        return lists.flatten(), lists.offsets.to_numpy()
+    parts, counts, last = [], np.diff(lists.offsets.to_numpy()), 0
+    for i, words in odd.items():
+        parts += [lists.slice(last, i - last).flatten(), pa.array(words, pa.large_string())]
+        counts[i], last = len(words), i + 1
+    return pa.concat_arrays([*parts, lists.slice(last).flatten()]), np.concatenate([[0], counts.cumsum()])
+
+
 def segment(processor, words: list[str]) -> tuple[pa.Array, pa.Array]:
-    """Ids and decoded text of distinct words; a space is a marker."""
-    marked = [w[0] == " " for w in words]
+    """Ids and decoded text of distinct words; a space is a marker, an empty word has no ids."""
+    marked = [w[:1] == " " for w in words]
     # the library marks a text's beginning: a marked word goes without its first marker; one that
     # has none follows a newline, whose id and the beginning's marker are taken away again
     ids = processor.encode([w[1:] if m else "\n" + w for w, m in zip(words, marked)], num_threads=1)
-    ids = [i if m else i[2:] for i, m in zip(ids, marked)]
-    alone = processor.piece_to_id(MARK)
-    ids = [[alone] if w == " " else i for w, i in zip(words, ids)]
+    alone = [processor.piece_to_id(MARK)]
+    ids = [(i or alone) if m else i[2:] for i, m in zip(ids, marked)]
     texts = processor.decode(ids, num_threads=1)  # which drops a first marker
     return pa.array(ids, pa.list_(pa.int32())), pa.array([" " + t if m else t for t, m in zip(texts, marked)], pa.large_string())
 
 
 def encode_texts(processor, texts: list[str]) -> tuple[pa.Array, pa.Array]:
     """Ids and decoded text of whole texts, from a table of their distinct words."""
-    words, bounds = [], [0]
-    for t in texts:
-        if t:
-            words += _WORDS(" " + t.replace(MARK, " "))
-        bounds.append(len(words))
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    words, bounds = split(texts)
+    coded = words.dictionary_encode()
     ids, decoded = segment(processor, coded.dictionary.to_pylist())
     placed = ids.take(coded.indices)
     offsets = placed.offsets.to_numpy()[bounds] - placed.offsets[0].as_py()
     _, at, characters = decoded.take(coded.indices).buffers()
-    at = np.frombuffer(at, "<i8", len(words) + 1)[bounds] if words else np.zeros(len(bounds), "<i8")
+    at = np.frombuffer(at, "<i8", len(words) + 1)[bounds] if len(words) else np.zeros(len(bounds), "<i8")
     whole = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), characters)
     whole = pc.utf8_slice_codeunits(whole, start=1).cast(pa.string())  # without the beginning's marker
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), placed.flatten()), whole
