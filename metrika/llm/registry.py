@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, substrings, token_files, toxicity, warc
+from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, sentence_pieces, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_language_id": language.query,
     "op10_secret_scans": secret_scan.query,
+    "op11_sentence_pieces": sentence_pieces.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
