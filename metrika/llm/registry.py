@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, packing, quality, secret_scan, sentence_pieces, substrings, token_files, toxicity, warc
+from . import decontaminate, event_patterns, jaccard_join, language, packing, quality, secret_scan, sentence_pieces, substrings, token_files, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_language_id": language.query,
     "op10_secret_scans": secret_scan.query,
     "op11_sentence_pieces": sentence_pieces.query,
+    "op12_event_patterns": event_patterns.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "op12_event_patterns": event_patterns.ORACLE,
 }
