@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, event_patterns, jaccard_join, language, packing, quality, secret_scan, sentence_pieces, substrings, token_files, toxicity, warc
+from . import decontaminate, event_patterns, jaccard_join, language, packing, quality, secret_scan, sentence_pieces, substrings, token_files, toxicity, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scans": secret_scan.query,
     "op11_sentence_pieces": sentence_pieces.query,
     "op12_event_patterns": event_patterns.query,
+    "op13_embedding_whitening": whitening.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
