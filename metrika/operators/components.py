@@ -1,4 +1,4 @@
-"""Connected components of edge tables, by label propagation with pointer jumping."""
+"""Connected components and spanning forests of edge tables, in rounds of joins; rhyme groups of a vocabulary."""
 
 from __future__ import annotations
 
@@ -27,24 +27,82 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: A node that has more than this share of all edges is joined by broadcast; there can be no more than 2 * HUBS of them.
+HUBS = 1000
+
+
+def with_least(rows: DataFrame, key: str, other: str, n: int) -> DataFrame:
+    """rows (scope, key, other; 2 * n at most) with m, the least `other` of a key; a hub's rows stay where they are."""
+    least = rows.groupBy("scope", key).agg(F.min(other).alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") * HUBS > n
+    hubs = F.broadcast(least.where(hub).select("scope", key, F.col("m").alias("hub_m")))  # 2 * HUBS rows at most
+    placed = rows.join(hubs, ["scope", key], "left")
+    rest = placed.where("hub_m is null").drop("hub_m").join(least.where(~hub).drop("n"), ["scope", key])
+    return placed.where("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
+def _star_round(edges: DataFrame, n: int) -> DataFrame:
+    """n edges (scope, hi, lo) with a large star and then a small star made at each node."""
+    both = edges.select("scope", F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select("scope", F.col("lo").alias("u"), F.col("hi").alias("v")))
+    # larger neighbours go to the least node near u, or to u
+    large = with_least(both, "u", "v", n).where("v > u").select("scope", F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
+    large = settled(large.distinct())
+    # smaller neighbours go to the least of them, and the node too
+    small = with_least(large, "hi", "lo", n)
+    moved = small.where("lo <> m").select("scope", F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return settled(moved.unionByName(small.select("scope", "hi", F.col("m").alias("lo"))).distinct())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(scope, node, component): the smallest node that is reached; isolated nodes too.
 
     nodes: scope, node (any type with an order); edges: scope, a, b, inside one scope (a verse, a
-    threshold). Each round takes the smallest label among neighbours and jumps to that label's
-    label; rounds are checkpointed, so lineage stays short and survives lost executors.
+    threshold). Rounds of large and small stars until every node hangs on its component's smallest;
+    there are about as many as the logarithm of the longest path, each checkpointed, so that lineage
+    stays short and survives lost executors. A hub's edges are never dealt out by the hub.
+    rounds: a list that gets the edges of each round.
+    """
+    a, b = F.col("a"), F.col("b")
+    kept = settled(edges.where("a <> b").select("scope", F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("scope", "hi", "lo")), F.sum(F.hash("scope", "hi", "lo").cast("long"))).first())
+    state = mark(kept)
+    while state[0]:
+        new = _star_round(kept, state[0])
+        old, state = state, mark(new)
+        if rounds is not None:
+            rounds.append(state[0])
+        kept = new
+        if state == old:
+            break
+    stars = kept.select("scope", F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return nodes.select("scope", "node").distinct().join(stars, ["scope", "node"], "left").select("scope", "node", F.coalesce("component", "node").alias("component"))
+
+
+def spanning_forest(scores: DataFrame) -> DataFrame:
+    """(scope, a, b, score): a maximum spanning forest of scores (scope, a, b, score), by the rounds of Boruvka.
+
+    At every threshold the forest's edges that reach it link the same nodes as all edges that
+    do, so a cut is a filter. Among equal scores the smaller edge goes first. In each round every
+    tree takes its best edge to another; of parallel edges between two trees only the best stays.
     """
-    both = edges.select("scope", F.col("a").alias("node"), F.col("b").alias("other")).where("node <> other")
-    both = settled(both.unionByName(both.select("scope", F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = settled(nodes.select("scope", "node").distinct().withColumn("component", F.col("node")))
-    while True:
-        near = both.join(labels.select("scope", F.col("node").alias("other"), "component"), ["scope", "other"]).groupBy("scope", "node").agg(F.min("component").alias("m"))
-        best = labels.select("scope", "node", F.col("component").alias("was")).join(near, ["scope", "node"], "left").select("scope", "node", "was", F.least("was", F.coalesce("m", "was")).alias("component"))
-        jump = best.select("scope", F.col("node").alias("component"), F.col("component").alias("next"))
-        new = settled(best.join(jump, ["scope", "component"]).select("scope", "node", "was", F.least("component", "next").alias("component")))
-        if new.where("was <> component").isEmpty():
-            return labels
-        labels = new.drop("was")
+    # a < b; the order of edges is total, so that no ring can close
+    edges = scores.where("a <> b and score is not null").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    edges = edges.groupBy("scope", "a", "b").agg(F.max("score").alias("score"))
+    edges = settled(edges.select("scope", F.col("a").alias("x"), F.col("b").alias("y"), F.struct((-F.col("score")).alias("cost"), "a", "b").alias("e")))
+    forest = None
+    while not edges.isEmpty():
+        ends = edges.select("scope", F.col("x").alias("tree"), "e").unionByName(edges.select("scope", F.col("y").alias("tree"), "e"))
+        best = ends.groupBy("scope", "tree").agg(F.min("e").alias("e"))
+        chosen = settled(best.select("scope", "e").distinct().join(edges, ["scope", "e"]))
+        own = chosen.select("scope", "e.a", "e.b", (-F.col("e.cost")).alias("score"))
+        forest = own if forest is None else forest.unionByName(own)
+        trees = ends.select("scope", F.col("tree").alias("node"))
+        label = settled(connected_components(trees, chosen.select("scope", F.col("x").alias("a"), F.col("y").alias("b"))))
+        to = lambda c: label.select("scope", F.col("node").alias(c), F.col("component").alias(f"{c}2"))
+        moved = edges.join(to("x"), ["scope", "x"]).join(to("y"), ["scope", "y"]).where("x2 <> y2")
+        moved = moved.select("scope", F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y"), "e")
+        edges = settled(moved.groupBy("scope", "x", "y").agg(F.min("e").alias("e")))
+    return scores.select("scope", "a", "b", "score").limit(0) if forest is None else settled(forest)
 
 
 def group_by_threshold(nodes: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
@@ -53,26 +111,21 @@ def group_by_threshold(nodes: DataFrame, scores: DataFrame, threshold: float) ->
 
 
 def group_rhymes(words: DataFrame, threshold: float = 0.75, **weights) -> DataFrame:
-    """(word, component): words that rhyme, over all pairs and the best of their variants; a word without variants is alone.
+    """(word, idx, component): words that rhyme, over all pairs and the best of their variants; a word without variants is alone.
 
-    words: word, idx (its place), variants. Members are compared by distinct tails: a pair of
-    tails is aligned once however many words share it.
+    words: word, idx (its place), variants. Words of one tail are linked in a star; distinct
+    tails are linked by rhymes.tail_links(), which compares no pairs inside a group.
     """
     from metrika.functions import phonology as P
-    from metrika.operators import kernel
+    from metrika.operators import kernel, rhymes
 
     tails = words.select("idx", F.explode("variants").alias("v")).select("idx", kernel.coded(P.rhyme_tail(F.col("v"))).alias("t")).where(F.size("t") > 0)
-    distinct = tails.select("t").distinct().withColumn("h", F.xxhash64("t"))
-    pairs = distinct.select(F.col("t").alias("t1"), F.col("h").alias("h1")).join(distinct.select(F.col("t").alias("t2"), F.col("h").alias("h2")), F.col("h1") <= F.col("h2"))
-    near = kernel.score_tails(pairs, "t1", "t2", **weights).where(F.col("score") >= threshold).select("t1", "t2")
-    near = near.unionByName(near.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).distinct()
-    left = tails.select(F.col("idx").alias("a"), F.col("t").alias("t1"))
-    right = tails.select(F.col("idx").alias("b"), F.col("t").alias("t2"))
-    # equal tails score 1, so their words are linked in a star; different ones through one word each
-    star = tails.groupBy("t").agg(F.min("idx").alias("b"))
-    first = left.join(star.withColumnRenamed("t", "t1"), "t1").select("a", "b")
-    heads = star.select(F.col("b").alias("a"), F.col("t").alias("t1")).join(near, "t1").join(star.select("b", F.col("t").alias("t2")), "t2").select("a", "b")
-    edges = (first.unionByName(heads) if threshold <= 1 else left.join(near, "t1").join(right, "t2").select("a", "b")).where("a <> b").distinct()
+    heads = settled(tails.groupBy("t").agg(F.min("idx").alias("head")).withColumn("id", F.monotonically_increasing_id()))
+    links = rhymes.tail_links(heads.select("id", "t"), threshold, **weights)
+    # equal tails score 1
+    star = tails.join(heads, "t").select(F.col("idx").alias("a"), F.col("head").alias("b")) if threshold <= 1 else tails.limit(0).select(F.col("idx").alias("a"), F.col("idx").alias("b"))
+    end = lambda c: heads.select(F.col("id").alias(c), F.col("head").alias(f"{c}_head"))
+    between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     scope = F.lit(0).alias("scope")
-    found = connected_components(words.select(scope, F.col("idx").alias("node")), edges.select(scope, "a", "b"))
+    found = connected_components(words.select(scope, F.col("idx").alias("node")), star.unionByName(between).select(scope, "a", "b"))
     return words.select("word", "idx").join(found.select(F.col("node").alias("idx"), "component"), "idx").select("word", "idx", "component")
