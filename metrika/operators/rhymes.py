@@ -112,14 +112,15 @@ def coda_table(codas: list[list[int]]) -> np.ndarray:
     return np.where(longer == 0, 1.0, total / np.maximum(longer, 1))
 
 
-def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, codas: np.ndarray, nucleus_weight: float, coda_weight: float, gap: float) -> np.ndarray:
-    """Scores of pairs of tails, a row a pair: nuclei v, places of codas c in their table; as kernel.align() has them."""
+def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, w1: np.ndarray, w2: np.ndarray, codas: np.ndarray, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
+    """Score, columns and informative columns of pairs of tails, a row a pair: nuclei v, places of codas c in their table, bare schwas w; as kernel.align() has them."""
     n = len(T.VOWELS)
     distances = np.array(T.VOWEL_DISTANCES).reshape(n, n)
     rows, width = len(v1), v2.shape[1]
-    before = [(np.full(rows, j * gap), np.zeros(rows), np.full(rows, j)) for j in range(width + 1)]
+    zero = np.zeros(rows, np.int64)
+    before = [(np.full(rows, j * gap), np.zeros(rows), zero + j, zero) for j in range(width + 1)]
     for i in range(v1.shape[1]):
-        row = [(np.full(rows, (i + 1) * gap), np.zeros(rows), np.full(rows, i + 1))]
+        row = [(np.full(rows, (i + 1) * gap), np.zeros(rows), zero + i + 1, zero)]
         for j in range(width):
             corner, up, left = before[j], before[j + 1], row[j]
             d = distances[v1[:, i], v2[:, j]]
@@ -128,42 +129,52 @@ def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, c
             takes_up = up_cost < cost - kernel.TIE
             takes_left = left_cost < np.where(takes_up, up_cost, cost) - kernel.TIE
             pick = lambda a, b, c: np.where(takes_left, c, np.where(takes_up, b, a))
-            row.append((pick(cost, up_cost, left_cost), pick(corner[1] + similarity, up[1], left[1]), pick(corner[2], up[2], left[2]) + 1))
+            row.append((pick(cost, up_cost, left_cost), pick(corner[1] + similarity, up[1], left[1]), pick(corner[2], up[2], left[2]) + 1, pick(corner[3] + ~(w1[:, i] & w2[:, j]), up[3], left[3])))
         before = row
-    return before[-1][1] / np.maximum(before[-1][2], 1)
+    _, total, columns, informative = before[-1]
+    return total / np.maximum(columns, 1), columns, informative
 
 
-def _scores(t1: pa.Array, t2: pa.Array, nucleus_weight: float, coda_weight: float, gap: float) -> np.ndarray:
-    """Scores of two columns of tails."""
+def _scores(t1: pa.Array, t2: pa.Array, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
+    """Scores, columns and informative columns of two columns of tails."""
     n1, n2 = (t.value_lengths().to_numpy() for t in (t1, t2))
     syllables = [t.flatten() for t in (t1, t2)]
     coded: dict = {}
     places = [np.array([coded.setdefault(c, len(coded)) for c in map(tuple, s.field("c").to_pylist())], np.int64) for s in syllables]
     table = coda_table([list(c) for c in coded])
     nuclei = [s.field("v").to_numpy() for s in syllables]
+    bare = [s.field("w").to_numpy(zero_copy_only=False) for s in syllables]
     start = [np.cumsum(n) - n for n in (n1, n2)]
-    out = np.zeros(len(n1))
+    out = np.zeros(len(n1)), np.zeros(len(n1), np.int64), np.zeros(len(n1), np.int64)
     kinds = n1.astype(np.int64) * (int(n2.max(initial=0)) + 1) + n2
     for kind in np.unique(kinds):
         at = np.flatnonzero(kinds == kind)
         m, n = int(n1[at[0]]), int(n2[at[0]])
         if m and n:
             x, y = start[0][at][:, None] + np.arange(m), start[1][at][:, None] + np.arange(n)
-            out[at] = align_many(nuclei[0][x], nuclei[1][y], places[0][x], places[1][y], table, nucleus_weight, coda_weight, gap)
+            made = align_many(nuclei[0][x], nuclei[1][y], places[0][x], places[1][y], bare[0][x], bare[1][y], table, nucleus_weight, coda_weight, gap)
+            for column, values in zip(out, made):
+                column[at] = values
     return out
 
 
-def reaching(pairs: DataFrame, threshold: float, nucleus_weight: float = kernel.NUCLEUS_WEIGHT, coda_weight: float = kernel.CODA_WEIGHT, gap: float = kernel.GAP) -> DataFrame:
-    """The pairs (with tails t1, t2 and any long columns) whose score reaches the threshold: these columns and the score, rounded to 9 digits."""
+def reaching(pairs: DataFrame, threshold: float, nucleus_weight: float = kernel.NUCLEUS_WEIGHT, coda_weight: float = kernel.CODA_WEIGHT, gap: float = kernel.GAP, counts: bool = False) -> DataFrame:
+    """The pairs (with tails t1, t2 and any long columns) whose score reaches the threshold: these columns and the score, rounded to 9 digits.
+
+    counts: the alignment's columns and informative columns too.
+    """
     keep = [c for c in pairs.columns if c not in ("t1", "t2")]
+    more = ["columns", "informative"] if counts else []
 
     def run(batches):
         for batch in batches:
-            score = _scores(batch.column(0), batch.column(1), nucleus_weight, coda_weight, gap)
-            near = pa.array(np.flatnonzero(score >= threshold - 2 * SLACK))
-            yield pa.RecordBatch.from_arrays([batch.column(2 + i).take(near) for i in range(len(keep))] + [pa.array(score).take(near)], names=[*keep, "score"])
+            made = _scores(batch.column(0), batch.column(1), nucleus_weight, coda_weight, gap)
+            near = pa.array(np.flatnonzero(made[0] >= threshold - 2 * SLACK))
+            own = [batch.column(2 + i) for i in range(len(keep))] + [pa.array(made[0])] + [pa.array(m.astype(np.int32)) for m in made[1:]] * counts
+            yield pa.RecordBatch.from_arrays([c.take(near) for c in own], names=[*keep, "score", *more])
 
-    found = pairs.select("t1", "t2", *keep).mapInArrow(run, ", ".join(f"{c} long" for c in keep) + ", score double")
+    kinds = [*[f"{c} long" for c in keep], "score double", *[f"{c} int" for c in more]]
+    found = pairs.select("t1", "t2", *keep).mapInArrow(run, ", ".join(kinds))
     return found.withColumn("score", F.round("score", 9)).where(F.col("score") >= threshold)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from metrika.functions import phonology as P
 from metrika.functions import tables as T
-from metrika.operators import components, g2p, kernel, tokenize
+from metrika.operators import components, g2p, kernel, rhymes, tokenize
 
 MAX_SPAN_WORDS, MAX_LINE_GAP, SEED, COERCION = 4, 2, 0.8, 0.15
 # Weak words by default, and those of them that can't carry a rhyme at all.
@@ -28,6 +28,7 @@ NEVER_ANCHOR = [
     "a", "an", "the", "and", "but", "or", "nor",
 ]
 KEY = ["verse_id", "line", "start", "n_words", "anchor"]
+BLOCK = 256
 
 
 def is_function_word(word: Column) -> Column:
@@ -37,11 +38,13 @@ def is_function_word(word: Column) -> Column:
 def span_ngrams(tokens: DataFrame, max_span_words: int = MAX_SPAN_WORDS) -> DataFrame:
     """verse_id, line, start, n_words, span (array of the line's word structs): all windows of 1 to max_span_words words."""
     extra = [c for c in tokens.columns if c not in ("verse_id", "line", "word_idx")]
-    lines = tokens.groupBy("verse_id", "line").agg(F.array_sort(F.collect_list(F.struct("word_idx", *extra))).alias("ws"))  # a line's words
-    starts = lines.select("verse_id", "line", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 1)).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max_span_words), F.size("ws") - F.col("start")))
-    spans = starts.select("verse_id", "line", "ws", "start", F.explode(lengths).alias("n_words"))
-    return spans.select("verse_id", "line", "start", "n_words", F.slice("ws", F.col("start") + 1, F.col("n_words")).alias("span"))
+    line = Window.partitionBy("verse_id", "line").orderBy("word_idx")
+    word = F.struct("word_idx", *extra)
+    # each word with those after it, so that a long line is never carried whole
+    ahead = F.array(*[F.lead(word, k).over(line) if k else word for k in range(max_span_words)])
+    starts = tokens.select("verse_id", "line", F.col("word_idx").alias("start"), F.filter(ahead, lambda w: w.isNotNull()).alias("ahead"))
+    spans = starts.select("verse_id", "line", "start", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n_words"))
+    return spans.select("verse_id", "line", "start", "n_words", F.slice("ahead", 1, F.col("n_words")).alias("span"))
 
 
 def anchored_readings(tokens: DataFrame, pron: DataFrame, max_span_words: int = MAX_SPAN_WORDS) -> DataFrame:
@@ -80,12 +83,21 @@ def sided(df: DataFrame, side: str) -> DataFrame:
 
 
 def near(a: DataFrame, b: DataFrame, max_line_gap: int = MAX_LINE_GAP, *more: str) -> DataFrame:
-    """Pairs of rows of a (a_*) and b (b_*) that are pairable, by equality: b is repeated for each line from which it is near. more: columns, without side, that must be equal."""
+    """Pairs of rows of a (a_*) and b (b_*) that are pairable, by equality. more: columns, without side, that must be equal.
+
+    b is repeated for each line from which it is near, and there for each block of BLOCK words in
+    which a may start: a key has a block's rows of a, however long the line.
+    """
+    block = F.floor(F.col("a_start") / BLOCK).cast("int")
+    left = sided(a, "a").withColumn("bucket", F.col("a_line")).withColumn("block", block)
     reach = sided(b, "b").withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("b_line") - max_line_gap, F.lit(0)), F.col("b_line"))))
-    left = sided(a, "a").withColumn("bucket", F.col("a_line"))
+    lines = left.groupBy("verse_id", "bucket").agg(F.max("block").alias("last"))
+    own = F.floor(F.col("b_start") / BLOCK).cast("int")
+    upto = F.when(F.col("bucket") == F.col("b_line"), F.least("last", own)).otherwise(F.col("last"))
+    reach = reach.join(lines, ["verse_id", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), upto))).drop("last")
     for m in more:
         left, reach = left.withColumnRenamed(f"a_{m}", m), reach.withColumnRenamed(f"b_{m}", m)
-    return left.join(reach, ["verse_id", "bucket", *more]).where(same_line_or_after(max_line_gap)).drop("bucket")
+    return left.join(reach, ["verse_id", "bucket", "block", *more]).where(same_line_or_after(max_line_gap)).drop("bucket", "block")
 
 
 def compatible(seed: float = SEED) -> list[tuple[str, str]]:
@@ -107,18 +119,23 @@ def find_matches(readings: DataFrame, threshold: float = kernel.THRESHOLD, seed_
     rows = rows.withColumn("onset", F.array_join("seed.onset", " ")).withColumn("coda", F.array_join("seed.coda", " ")).withColumn("nucleus", F.col("seed.nucleus"))
     rows = rows.withColumn("code", kernel.coded(F.col("tail"))).withColumn("cost", F.round("cost", 9))
     rows = rows.groupBy(*KEY, "words", "onset", "nucleus", "coda", "code", "cost").agg(F.min("reading_idx").alias("reading_idx"))
+    rows = components.settled(rows)
+    # pairs carry numbers of tails, not tails
+    tails = components.settled(rows.select("code").distinct().select(F.monotonically_increasing_id().alias("id"), F.col("code").alias("t")))
+    rows = rows.join(tails.select(F.col("id").alias("tail_id"), F.col("t").alias("code")), "code").withColumn("size", F.size("code")).drop("code")
     gate = F.broadcast(spark.createDataFrame(compatible(seed_threshold), "nucleus string, partner string"))  # 225 rows at most
     opened = rows.join(gate, "nucleus").withColumn("own", F.col("nucleus")).drop("nucleus").withColumnRenamed("partner", "nucleus")
     pairs = near(opened, rows.withColumn("own", F.col("nucleus")), max_line_gap, "nucleus")
     same_seed = (F.col("a_own") == F.col("b_own")) & (F.col("a_onset") == F.col("b_onset")) & (F.col("a_coda") == F.col("b_coda"))
-    # a column scores at most 1 and there are as many as the longer tail has: the shares of tails that are
-    # too different in length, or cost too much, can't reach the threshold and aren't aligned
-    most = F.least(F.size("a_code"), F.size("b_code")) / F.greatest(F.size("a_code"), F.size("b_code"))
+    # a column scores at most 1 and there are as many as the longer tail has: the shares of tails that
+    # are too different in length, or cost too much, can't reach the threshold and aren't aligned
+    most = F.least("a_size", "b_size") / F.greatest("a_size", "b_size")
     pairs = pairs.where(~same_seed).where(most - F.col("a_cost") - F.col("b_cost") >= threshold - 1e-9)
-    tails = kernel.score_tails(pairs.select("a_code", "b_code").distinct(), "a_code", "b_code", path=False)
     # a cost only lowers a score, so what is below the threshold without it is out
-    tails = tails.where(F.col("score") >= threshold).select("a_code", "b_code", F.col("score").alias("plain"), F.col("alignment.columns").alias("columns"), F.col("alignment.informative").alias("informative"))
-    scored = pairs.join(tails, ["a_code", "b_code"]).withColumn("score", F.round(F.col("plain") - F.col("a_cost") - F.col("b_cost"), 9))
+    asked = pairs.select(F.col("a_tail_id").alias("a"), F.col("b_tail_id").alias("b")).distinct()
+    scores = rhymes.reaching(rhymes.with_tails(asked, tails), threshold, counts=True)
+    scores = scores.select(F.col("a").alias("a_tail_id"), F.col("b").alias("b_tail_id"), F.col("score").alias("plain"), "columns", "informative")
+    scored = pairs.join(scores, ["a_tail_id", "b_tail_id"]).withColumn("score", F.round(F.col("plain") - F.col("a_cost") - F.col("b_cost"), 9))
     scored = scored.where(F.col("score") >= threshold)
     own = ["verse_id", *[f"{s}_{c}" for s in "ab" for c in (*KEY[1:], "words")]]
     best = F.max(F.struct("score", (-F.col("a_reading_idx")).alias("i"), (-F.col("b_reading_idx")).alias("j"), F.col("columns").alias("length"), "informative")).alias("m")
