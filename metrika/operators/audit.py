@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metrika.functions import tables as T
+from metrika.operators.components import settled
 
 # Log-odds of vowel pairs in rap rhymes (Hirjee and Brown 2009, table 1), row i from column i on.
 VOWEL_LOG_ODDS = """
@@ -53,10 +54,37 @@ def pair_combinations(symbols: DataFrame) -> DataFrame:
     return x.join(y, F.col("i") < F.col("j")).withColumn("pair_idx", (F.row_number().over(Window.orderBy("i", "j")) - 1)).select("pair_idx", "a", "b")
 
 
+SALTS = 16
+
+
 def ranks(df: DataFrame, column: str, name: str, *keys: str) -> DataFrame:
-    """df with `name`: rank 1 for the largest, equal values sharing their mean rank. keys: ranks within these."""
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return df.withColumn(name, F.rank().over(group.orderBy(F.col(column).desc())) + (F.count("*").over((Window.partitionBy(*keys, column))) - 1) / 2)
+    """df with `name`: rank 1 for the largest, equal values sharing their mean rank; null for a null value. keys: ranks within these.
+
+    Values are counted, sorted by ranges, and summed up range by range and inside each; no range
+    has all rows, and no value's rows are dealt to one task.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    order = [*keys, F.desc(column)]
+    placed = settled(counts.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part", *keys).orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    # what earlier ranges hold of the same keys; a row a range and key
+    totals = placed.groupBy(*keys, "__part").agg(F.sum("__n").alias("__all"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    if keys:
+        totals = totals.withColumn("__earlier", F.coalesce(F.sum("__all").over(earlier), F.lit(0)))
+    else:
+        sums, rows = 0, []
+        for r in totals.orderBy("__part").collect():  # a row a range
+            rows.append((r["__part"], sums))
+            sums += r["__all"]
+        totals = F.broadcast(spark.createDataFrame(rows, "__part int, __earlier long"))
+    value = local.join(totals, [*keys, "__part"]).select(*keys, column, (F.col("__earlier") + F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
+    value = value.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(value, [*keys, column, "__salt"], "left").select(*df.columns, name)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,3 +117,32 @@ def group_mean_check(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame([(k, a, b) for k, pairs in (("nasal", NASALS), ("oral", ORALS)) for a, b in pairs], "kind string, a string, b string")
     both = rows.join(sims, ["a", "b"]).agg(F.avg(F.when(F.col("kind") == "nasal", F.col("similarity"))).alias("nasal"), F.avg(F.when(F.col("kind") == "oral", F.col("similarity"))).alias("oral"))
     return both.withColumn("captured", F.col("nasal") > F.col("oral") + 0.05)
+
+
+def log_odds(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, n, log_odds), a <= b: how much oftener than by chance the symbols of pairs (a, b; either way round) stand in one column.
+
+    The natural logarithm of a pair's share over the share that its symbols' own shares let expect.
+    Pairs seen fewer than `least` times have no row.
+    """
+    seen = pairs.where("a is not null and b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    symbols = seen.select(F.col("a").alias("s"), "n").unionByName(seen.select(F.col("b").alias("s"), "n")).groupBy("s").agg(F.sum("n").alias("k"))
+    total = seen.agg(F.sum("n").alias("total"))  # one row; symbols: a row a phoneme
+    own = lambda c: F.broadcast(symbols.select(F.col("s").alias(c), F.col("k").alias(f"k_{c}")))
+    both = seen.where(F.col("n") >= least).join(own("a"), "a").join(own("b"), "b").join(F.broadcast(total), F.lit(True))
+    # a symbol's share is k / (2 * total); two different symbols may stand either way round
+    chance = F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0) * F.col("k_a") * F.col("k_b") / (4.0 * F.col("total"))
+    return both.select("a", "b", "n", F.log(F.col("n") / chance).alias("log_odds"))
+
+
+def learned_audit(pairs: DataFrame, symbols: list[str], distances: list[float], least: int = 1) -> DataFrame:
+    """pair_idx, a, b, ours, corpus, n: similarities beside the log-odds of what stands in one column."""
+    names = F.array(*map(F.lit, symbols))
+    place = lambda c: F.array_position(names, F.col(c)).cast("int") - 1
+    flat = F.array(*[F.lit(1.0 - d) for d in distances])
+    rows = log_odds(pairs, least).withColumn("i", place("a")).withColumn("j", place("b"))
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    n = len(symbols)
+    # the pair's number among all pairs of different symbols, in the symbols' order
+    idx = low * (2 * n - 3 - low) / 2 + high - 1
+    return rows.where("i <> j").select(idx.cast("int").alias("pair_idx"), F.get(names, low).alias("a"), F.get(names, high).alias("b"), F.get(flat, low * n + high).alias("ours"), F.col("log_odds").alias("corpus"), "n")

@@ -84,8 +84,11 @@ def look_up(words: DataFrame, lexicon: DataFrame, key: Column, name: str) -> Dat
     return words.join(side, key == F.col(f"__{name}"), "left").drop(f"__{name}")
 
 
-def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
-    """Every link's result for distinct lower-cased words: word, dictionary, slang, g_drop, stem, a_for_er, letters (variants of phones)."""
+def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame, *keep: str) -> DataFrame:
+    """Every link's result for lower-cased words: word, dictionary, slang, g_drop, stem, a_for_er, letters (variants of phones), and the columns to keep.
+
+    Joins with the dictionaries only, so words may be a stream.
+    """
     lex = small(by_word(lexicon))
     w = F.col("word")
     drops = w.rlike(r"^[a-z]+in'?$")
@@ -107,7 +110,7 @@ def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
     ers = F.transform(F.filter("er", lambda v: last(v).startswith("ER")), lambda v: F.concat(front(v), F.array(F.concat(F.lit("AH"), F.substring(last(v), F.lit(3), F.length(last(v)))))))
     guess = letter_to_sound(w)
     return out.select(
-        "word", "dictionary", "slang", g_drop.alias("g_drop"), F.when(F.col("ing").isNull(), stems).alias("stem"),
+        *keep, "word", "dictionary", "slang", g_drop.alias("g_drop"), F.when(F.col("ing").isNull(), stems).alias("stem"),
         F.when(F.size(ers) > 0, ers).alias("a_for_er"), F.when(guess.isNotNull(), F.array(guess)).alias("letters"),
     )
 
@@ -124,7 +127,11 @@ def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFra
     # words are few bytes but much work: a fixed number of partitions, which adaptive execution doesn't take together
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct().repartition(parts, "word")
-    made = chain(distinct, lexicon, slang)
+    return voiced(chain(distinct, lexicon, slang))
+
+
+def voiced(made: DataFrame, *keep: str) -> DataFrame:
+    """chain()'s rows with the first link that gives a pronunciation: word, source, cost, prons, and the columns to keep."""
     links = []
     for name, label in SOURCES:
         link = F.struct(F.lit(label).alias("source"), F.col(name).alias("variants"))
@@ -132,11 +139,11 @@ def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFra
         if name in ("g_drop", "stem", "a_for_er"):
             has = has & F.exists(name, lambda v: F.exists(v, P.is_vowel))
         links.append(F.when(has, link))
-    out = made.select("word", F.coalesce(*links).alias("found"))
-    out = out.select("word", F.coalesce("found.source", F.lit("oov")).alias("source"), F.col("found.variants").alias("variants"))
+    out = made.select(*keep, "word", F.coalesce(*links).alias("found"))
+    out = out.select(*keep, "word", F.coalesce("found.source", F.lit("oov")).alias("source"), F.col("found.variants").alias("variants"))
     prons = F.filter(F.transform("variants", P.syllabify), lambda s: F.size(s) > 0)
     cost = F.when(F.col("source") == "letter-to-sound", GUESS_COST).otherwise(0.0)
-    return out.select("word", "source", cost.alias("cost"), F.coalesce(prons, F.array().cast(f"array<array<{P.SYLLABLE}>>")).alias("prons"))
+    return out.select(*keep, "word", "source", cost.alias("cost"), F.coalesce(prons, F.array().cast(f"array<array<{P.SYLLABLE}>>")).alias("prons"))
 
 
 def word_provenance(tokens: DataFrame, pron: DataFrame) -> DataFrame:
@@ -169,7 +176,21 @@ def pronunciations_for_span(spans: DataFrame, lexicon: DataFrame, only_first: bo
     known = pronunciations_for(each, lexicon)
     known = known.where("variant_idx = 0") if only_first else known
     lists = known.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("variant_idx", "pronunciation"))).alias("v")).select("word", F.transform("v", lambda x: x["pronunciation"]).alias("v"))
-    whole = each.join(lists, "word").groupBy("span_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("all")).where(F.size("all") == F.col("n"))
-    start = F.array(F.array().cast(f"array<{P.PRONUNCIATION}>"))
-    product = F.aggregate("all", start, lambda acc, w: F.flatten(F.transform(acc, lambda a: F.transform(w["v"], lambda v: F.concat(a, F.array(v))))))
-    return whole.select("span_id", F.posexplode(product).alias("variant_idx", "combo")).select("span_id", "variant_idx", P.concat_pronunciations(F.col("combo")).alias("pronunciation"))
+    return combinations(each, lists)
+
+
+def combinations(each: DataFrame, lists: DataFrame) -> DataFrame:
+    """span_id, variant_idx, pronunciation of spans' words (span_id, n, i, word) and words' variants (word, v: array of pronunciations).
+
+    How many combinations a span has is known before any is made; each row makes its own from
+    its number, the last word's variants being the last digit. A frequent word's variants go by
+    broadcast where they are few in all, else its rows are split by Spark's join of skewed parts.
+    """
+    whole = each.join(small(lists), "word").groupBy("span_id", "n").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("all")).where(F.size("all") == F.col("n"))
+    sizes = F.transform("all", lambda w: F.size(w["v"]).cast("long"))
+    times = lambda values: F.aggregate(values, F.lit(1).cast("long"), lambda acc, n: acc * n)
+    numbered = whole.withColumn("sizes", sizes).select("span_id", "all", "sizes", F.explode(F.sequence(F.lit(0).cast("long"), times(F.col("sizes")) - 1)).alias("variant_idx"))
+    after = lambda i: times(F.slice("sizes", i + 2, F.size("sizes")))
+    digit = lambda w, i: F.floor(F.col("variant_idx") / after(i)) % F.size(w["v"])
+    combo = F.transform("all", lambda w, i: F.get(w["v"], digit(w, i).cast("int")))
+    return numbered.select("span_id", F.col("variant_idx").cast("int").alias("variant_idx"), P.concat_pronunciations(combo).alias("pronunciation"))

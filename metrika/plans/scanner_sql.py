@@ -28,16 +28,8 @@ def readings(tokens: str, most: int = scan.MAX_SPAN_WORDS) -> str:
     ca as (select {_AT}, words, count(*)::bigint n_readings, round(min(cost), 9) min_cost from cn group by all)"""
 
 
-#: ma: the matches. Tails are aligned cell by cell, row after row; a cell keeps the best way to it.
-MATCHES = f"""{O.VOWEL_D}, {O.CONSONANT_D},
-    rt as (select {_AT}, words, idx, round(cost, 9) as cost, t[1].n nucleus, t[1].o onset, t[1].c coda, list_transform(t, lambda y, i: {{'n': y.n, 'c': y.c, 'w': i > 1 and y.n = 'AH' and len(y.c) = 0}}) t from cn),
-    tails as (select t, row_number() over (order by t) id from (select distinct t from rt)),
-    rr as (select rt.* exclude (t), tails.id from rt join tails on tails.t = rt.t),
-    near as (select a.verse_id, {", ".join(f"{s}.{c} {s}_{c}" for s in "ab" for c in ("line", "start", "n_words", "anchor", "words", "idx", "cost", "id"))}
-        from rr a join rr b on b.verse_id = a.verse_id and b.line between a.line and a.line + {scan.MAX_LINE_GAP} and (b.line > a.line or b.start >= a.start + a.n_words)
-        join vd on vd.a = a.nucleus and vd.b = b.nucleus and 1.0::DOUBLE - vd.d >= {scan.SEED}
-        where not (a.nucleus = b.nucleus and a.onset = b.onset and a.coda = b.coda)),
-    prs as (select distinct a_id, b_id from near),
+#: fin: the alignments of `near`'s pairs of `tails`, cell by cell, row after row; a cell keeps the best way to it.
+ALIGNED = f"""prs as (select distinct a_id, b_id from near),
     sy as (select id, unnest(t) s, unnest(range(len(t))) pos from tails),
     us as (select distinct s.n n, s.c c from sy),
     cd2 as (select ac, bc, case when greatest(len(ac), len(bc)) = 0 then 1.0::DOUBLE else coalesce((select sum(1.0::DOUBLE - cd.d) from range(1, least(len(ac), len(bc)) + 1) r(i) join cd on cd.a = ac[i] and cd.b = bc[i]), 0) / greatest(len(ac), len(bc)) end co
@@ -46,17 +38,28 @@ MATCHES = f"""{O.VOWEL_D}, {O.CONSONANT_D},
         from prs p join tails tb on tb.id = p.b_id join sy x on x.id = p.a_id join sy y on y.id = p.b_id join vd on vd.a = x.s.n and vd.b = y.s.n join cd2 on cd2.ac = x.s.c and cd2.bc = y.s.c),
     gr as (select a_id, b_id, n, count(*) cells, list({{'d': d, 'sc': sc, 'w': w}} order by k) g from ce group by a_id, b_id, n),
     dp as (
-        select a_id, b_id, n, cells, g, 0::bigint k, list_transform(range(n + 1), lambda j: {{'cost': 0.6::DOUBLE * j, 'total': 0::DOUBLE, 'cols': j::bigint, 'inf': 0::bigint}}) up, [{{'cost': 0.6::DOUBLE, 'total': 0::DOUBLE, 'cols': 1::bigint, 'inf': 0::bigint}}] cur from gr
+        select a_id, b_id, n, cells, g, 0::bigint k, list_transform(range(n + 1), lambda j: {{'cost': 0.6::DOUBLE * j, 'total': 0::DOUBLE, 'cols': j::bigint, 'inf': 0::bigint, 'p': repeat('b', j::bigint)}}) up, [{{'cost': 0.6::DOUBLE, 'total': 0::DOUBLE, 'cols': 1::bigint, 'inf': 0::bigint, 'p': 'a'}}] cur from gr
         union all
         select a_id, b_id, n, cells, g, k + 1, case when (k + 1) % n = 0 then new else up end,
-            case when (k + 1) % n = 0 then [{{'cost': 0.6::DOUBLE * ((k + 1) // n + 1), 'total': 0::DOUBLE, 'cols': ((k + 1) // n + 1)::bigint, 'inf': 0::bigint}}] else new end
+            case when (k + 1) % n = 0 then [{{'cost': 0.6::DOUBLE * ((k + 1) // n + 1), 'total': 0::DOUBLE, 'cols': ((k + 1) // n + 1)::bigint, 'inf': 0::bigint, 'p': repeat('a', (k + 1) // n + 1)}}] else new end
         from (select a_id, b_id, n, cells, g, k, up, list_append(cur, case
-                when lc < (case when uc < dc - 1e-12 then uc else dc end) - 1e-12 then {{'cost': lc, 'total': le.total, 'cols': le.cols + 1, 'inf': le.inf}}
-                when uc < dc - 1e-12 then {{'cost': uc, 'total': ab.total, 'cols': ab.cols + 1, 'inf': ab.inf}}
-                else {{'cost': dc, 'total': co.total + h.sc, 'cols': co.cols + 1, 'inf': co.inf + case when h.w then 0 else 1 end}} end) new
+                when lc < (case when uc < dc - 1e-12 then uc else dc end) - 1e-12 then {{'cost': lc, 'total': le.total, 'cols': le.cols + 1, 'inf': le.inf, 'p': le.p || 'b'}}
+                when uc < dc - 1e-12 then {{'cost': uc, 'total': ab.total, 'cols': ab.cols + 1, 'inf': ab.inf, 'p': ab.p || 'a'}}
+                else {{'cost': dc, 'total': co.total + h.sc, 'cols': co.cols + 1, 'inf': co.inf + case when h.w then 0 else 1 end, 'p': co.p || 'd'}} end) new
             from (select *, co.cost + h.d dc, ab.cost + 0.6::DOUBLE uc, le.cost + 0.6::DOUBLE lc
                 from (select *, up[k % n + 1] co, up[k % n + 2] ab, cur[len(cur)] le, g[k + 1] h from dp where k < cells)))),
-    fin as (select a_id, b_id, round(up[n + 1].total / up[n + 1].cols, 9) plain, up[n + 1].cols as cols, up[n + 1].inf inf from dp where k = cells),
+    fin as (select a_id, b_id, round(up[n + 1].total / up[n + 1].cols, 9) plain, up[n + 1].cols as cols, up[n + 1].inf inf, up[n + 1].p path from dp where k = cells)"""
+
+#: ma: the matches.
+MATCHES = f"""{O.VOWEL_D}, {O.CONSONANT_D},
+    rt as (select {_AT}, words, idx, round(cost, 9) as cost, t[1].n nucleus, t[1].o onset, t[1].c coda, list_transform(t, lambda y, i: {{'n': y.n, 'c': y.c, 'w': i > 1 and y.n = 'AH' and len(y.c) = 0}}) t from cn),
+    tails as (select t, row_number() over (order by t) id from (select distinct t from rt)),
+    rr as (select rt.* exclude (t), tails.id from rt join tails on tails.t = rt.t),
+    near as (select a.verse_id, {", ".join(f"{s}.{c} {s}_{c}" for s in "ab" for c in ("line", "start", "n_words", "anchor", "words", "idx", "cost", "id"))}
+        from rr a join rr b on b.verse_id = a.verse_id and b.line between a.line and a.line + {scan.MAX_LINE_GAP} and (b.line > a.line or b.start >= a.start + a.n_words)
+        join vd on vd.a = a.nucleus and vd.b = b.nucleus and 1.0::DOUBLE - vd.d >= {scan.SEED}
+        where not (a.nucleus = b.nucleus and a.onset = b.onset and a.coda = b.coda)),
+    {ALIGNED},
     hits as (select near.*, round(plain - a_cost - b_cost, 9) score, cols, inf from near join fin using (a_id, b_id) where plain >= 0.75),
     ma as (select verse_id, {", ".join(f"{s}_{c}" for s in "ab" for c in ("line", "start", "n_words", "anchor", "words"))}, score, cols::int length, inf::int informative_length from hits where score >= 0.75
         qualify row_number() over (partition by verse_id, {", ".join(f"{s}_{c}" for s in "ab" for c in ("line", "start", "n_words", "anchor", "words"))} order by score desc, a_idx, b_idx) = 1)"""
