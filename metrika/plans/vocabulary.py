@@ -59,14 +59,15 @@ def benchmark_rhyme_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_ends(verse_table: DataFrame, max_line_gap: int = scan.MAX_LINE_GAP) -> DataFrame:
     """w1 < w2: distinct pairs of different last words (lower case) of lines that are at most max_line_gap apart."""
     ends = F.transform(tokenize.lines_of(F.col("text")), lambda raw: F.lower(F.try_element_at(tokenize.words_of(raw), F.lit(-1))))
-    with_next = F.transform("ends", lambda w, i: F.struct(w.alias("w"), F.slice("ends", i + 2, max_line_gap).alias("next")))
-    rows = verse_table.select(ends.alias("ends")).select(F.explode(with_next).alias("e")).select("e.w", F.explode("e.next").alias("v"))
+    with_next = P.let(ends, lambda e: F.transform(e, lambda w, i: F.struct(w.alias("w"), F.slice(e, i + 2, max_line_gap).alias("next"))))
+    rows = verse_table.select(F.explode(with_next).alias("e")).select("e.w", F.explode("e.next").alias("v"))
     return rows.where("w <> v").select(F.least("w", "v").alias("w1"), F.greatest("w", "v").alias("w2")).distinct()
 
 
-_ENDS = f"""{C._SYL}, {C._tokens("documents", "doc_id")}, {_TAILS}, {O.VOWEL_D}, {O.CONSONANT_D},
+_ENDS = f"""{C._SYL}, {C._tokens("documents", "doc_id")},
     en as (select verse_id, line, lower(w[len(w)]) e from (select verse_id, line, regexp_extract_all(raw, '[a-zA-Z'']+') w from li) where len(w) > 0),
     wp as (select distinct least(x.e, y.e) w1, greatest(x.e, y.e) w2 from en x join en y on y.verse_id = x.verse_id and y.line between x.line + 1 and x.line + 2 where x.e <> y.e),
+    {_TAILS.replace("from sy3 where", "from sy3 where word in (select e from en) and")}, {O.VOWEL_D}, {O.CONSONANT_D},
     near as (select w1, w2, x.id a_id, y.id b_id, x.variant_idx a_idx, y.variant_idx b_idx from wp join vv x on x.word = w1 join vv y on y.word = w2), {S.ALIGNED}"""
 
 
