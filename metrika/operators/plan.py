@@ -153,6 +153,20 @@ def tooltip(cell) -> str:
     return "\n".join(out + ([f"pronunciation guessed ({cell['guessed']})"] if cell["guessed"] else []))
 
 
+def tooltip_texts(cells: DataFrame) -> DataFrame:
+    """verse_id, line, word_idx, tooltip of the words of plan_verse() that have one."""
+    kind = cells.schema["verse_id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            texts = [tooltip(c) for c in pdf[["oov", "guessed", "receipts"]].to_dict("records")]
+            own = pdf[["verse_id", "line", "word_idx"]].assign(tooltip=texts)
+            yield own[own["tooltip"] != ""]
+
+    words = cells.where("is_word").select("verse_id", "line", "word_idx", "oov", "guessed", "receipts")
+    return words.mapInPandas(run, f"verse_id {kind}, line int, word_idx int, tooltip string")
+
+
 def html_word(cell, slots: dict) -> str:
     text = html.escape(cell["text"])
     title = html.escape(tooltip(cell)).replace("\n", "&#10;")
