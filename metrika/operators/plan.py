@@ -96,7 +96,7 @@ def plan_verse(scan: VerseScan) -> DataFrame:
     covering = word_covering(scan.groups, best)
     cells = tokenize.verse_cells(scan.verses)
     seen = Window.partitionBy("verse_id", "line").orderBy("cell_idx")
-    cells = cells.withColumn("word_idx", F.when(F.col("is_word"), F.sum(F.col("is_word").cast("int")).over(seen) - 1))
+    cells = cells.withColumn("word_idx", F.when(F.col("is_word"), F.sum(F.col("is_word").cast("int")).over(seen) - 1).cast("int"))
     at = ["verse_id", "line", "word_idx"]
     source = scan.provenance.select("verse_id", F.lower("word").alias("key"), "source")
     out = cells.join(word_fill(covering), at, "left").join(compound_rules(scan.compounds), at, "left").join(tooltips(covering), at, "left")
