@@ -5,21 +5,27 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset in local mode."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="metrika-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder: short lineage that survives lost executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            path = "file://" + tempfile.mkdtemp(prefix="metrika-")
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     # a checkpoint alone would compute df twice
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = kept.checkpoint()

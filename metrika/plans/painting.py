@@ -5,13 +5,16 @@ They join the catalogue's queries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metrika.operators import plan
+from metrika.operators import components, plan
 from metrika.plans import catalogue as C
 from metrika.plans import scanner_sql as S
 from metrika.plans.catalogue import query
+from metrika.sources import rendered
 
 #: pc: a row a cell with all that is painted on it; its rule goes on between two words that both have it.
 _PAINTED = f"""{C._COVERED}, {S.CHAINS}, {S.RULES},
@@ -46,3 +49,13 @@ def cell_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tooltip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a word's tooltip says: its matches, best first, and doubts about its sound."""
     return plan.tooltip_texts(plan.plan_verse(C._scan(spark, sf_dir)))
+
+
+@query(C.ORACLE_SQL["write_annotations"].replace("select item_id verse_id,", "select item_id::varchar verse_id,"))
+def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's annotation, written as a file of its own in the shared folder and read again."""
+    rendered.register(spark)
+    path = f"{components.shared_folder(spark)}/annotations-{uuid.uuid4().hex}"
+    texts = C.write_annotations(spark, sf_dir).select(F.col("verse_id").cast("string").alias("verse_id"), F.col("annotation").alias("text"))
+    texts.write.format("verse_files").mode("append").save(path)
+    return spark.read.format("verse_files").load(path).withColumnRenamed("text", "annotation")
