@@ -226,20 +226,26 @@ def compound_text(chained: DataFrame) -> DataFrame:
 class VerseScan:
     """What a scan of a table of verses (verse_id, text) finds; tables are made when asked for.
 
-    What several tables are made from is kept once it is made, until close(); a lost executor's
-    part is made again.
+    What several tables are made from is written to the checkpoint folder once it is made; nothing
+    is kept on executors, and no scan uses another's.
     """
 
     def __init__(self, verses: DataFrame, lexicon: DataFrame, slang: DataFrame, max_span_words: int = MAX_SPAN_WORDS, threshold: float = kernel.THRESHOLD, seed_threshold: float = SEED, max_line_gap: int = MAX_LINE_GAP):
-        self.verses = verses
+        self.verses, self.dictionaries = verses, (lexicon, slang)
+        self.max_span_words, self.match_knobs = max_span_words, (threshold, seed_threshold, max_line_gap)
         self.tokens = tokenize.tokenize_verse(verses)
-        self.pron = g2p.pronounce(self.tokens.select("word"), lexicon, slang).persist()
-        self.readings = anchored_readings(self.tokens, self.pron, max_span_words)
-        self.matches = find_matches(self.readings, threshold, seed_threshold, max_line_gap).persist()
 
-    def close(self) -> None:
-        self.matches.unpersist()
-        self.pron.unpersist()
+    @functools.cached_property
+    def pron(self) -> DataFrame:
+        return components.settled(g2p.pronounce(self.tokens.select("word"), *self.dictionaries))
+
+    @property
+    def readings(self) -> DataFrame:
+        return anchored_readings(self.tokens, self.pron, self.max_span_words)
+
+    @functools.cached_property
+    def matches(self) -> DataFrame:
+        return components.settled(find_matches(self.readings, *self.match_knobs))
 
     @functools.cached_property
     def selected(self) -> DataFrame:

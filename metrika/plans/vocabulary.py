@@ -178,7 +178,6 @@ def grouping_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = C._scan(spark, sf_dir)
     at = lambda x: F.struct(*[F.col(f"{x}_{c}").alias(c) for c in scan.KEY[1:]])
     edges = components.settled(s.matches.select(F.col("verse_id").alias("scope"), at("a").alias("a"), at("b").alias("b"), "score"))
-    s.close()
     forest = components.spanning_forest(edges)
     cuts = F.explode(F.array(*map(F.lit, _CUTS))).alias("cut")
     whole = lambda df, *c: df.select("scope", cuts, *c)

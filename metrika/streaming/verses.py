@@ -37,10 +37,6 @@ def scan_stream(verses: DataFrame, lexicon: DataFrame, slang: DataFrame, path: s
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        found = scan.scan_verse(batch, lexicon, slang, **knobs)
-        try:
-            found.selected.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        finally:
-            found.close()
+        scan.scan_verse(batch, lexicon, slang, **knobs).selected.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return verses.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
