@@ -14,8 +14,8 @@ The sketch table and the found documents' keys are broadcast if their bytes are
 within BROADCAST, else joined by shuffle. Defined cases: null or empty text and items
 without words are never contained; an item of fewer than five words is one shingle, which
 only documents of just those words have; the texts of a repeated item_id are one item with
-the shingles of all, while each text without an id is an item of its own; repeated documents
-each count; null ids are kept as null; empty tables give no rows; other columns are ignored.
+the shingles of all, while each text without an id is an item of its own; rows of equal id
+and text come out once; null ids are kept as null; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -308,7 +308,7 @@ class Regions:
 
 
 class Join:
-    """The state of one join; every step's table is written to the shared folder and removed when the next has read it."""
+    """The state of one join; every step's table is written to the shared folder; the largest, of frequent shingles, is removed when the next has read it, the others stay there."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, often: int = OFTEN, hot: int = HOT, block: int = BLOCK):
         self.spark, self.percent, self.often, self.hot, self.block = spark, percent, often, hot, block

@@ -19,7 +19,8 @@ length comes from counters of the task that made it and a running sum over tasks
 task and not the driver ever sees all pieces. Equal lengths are interchangeable.
 
 Defined cases: null text is empty and still has its end id; repeated rows are separate
-documents; an empty table gives no rows.
+documents, also those of equal or null ids; pieces of one length may change places, so ties
+don't matter; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the union of the rules. A stratum without an admissible useful cutoff has no rul
 
 Defined cases: null text counts as no words (base fails); a null or unseen stratum has no
 rules; documents without a label never calibrate; several labels of a doc_id count as one
-(the lowest); an empty table gives no rows. Calibration covers all labelled rows and is
+(the lowest); texts of any length are counted whole; equal gains go to the higher cutoff, then to
+the rule first by name; an empty table gives no rows. Calibration covers all labelled rows and is
 gathered as counts on a fixed grid, so what reaches the driver doesn't grow with the data.
 """
 
@@ -113,21 +114,40 @@ def base_failed():
     return (n < 20) | (100 * F.col(PRIVATE + "n_repeat_words") > 30 * n)
 
 
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method; for x below about its mean."""
+    tiny, c = 1e-300, 1.0
+    d = 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 10_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + term * d, 1.0 + term / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return h
+
+
+def at_most(k: int, n: int, p: float) -> float:
+    """Probability that at most k of n happen, each with probability p: an incomplete beta function, whatever k is."""
+    a, b, x = float(n - k), k + 1.0, 1.0 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(p))
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_fraction(x, a, b) / a
+    return 1.0 - front * _beta_fraction(p, b, a) / b
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
     """Clopper-Pearson: the largest p for which at most k of n happens with a probability over `level`."""
     if n == 0 or k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
-
-    def tail(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     low, high = k / n, 1.0 - 1e-12
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if mid > 0 and tail(mid) > level else ((low, mid) if mid > 0 else (mid, high))
+        low, high = (mid, high) if mid > 0 and at_most(k, n, mid) > level else ((low, mid) if mid > 0 else (mid, high))
     return high
 
 
@@ -145,7 +165,8 @@ def choose(counts: dict, risk: float, delta: float, good_weight: float) -> dict:
         for j in range(len(RULES[rule])):
             g, b = int(over_good[j + 1]), int(over_bad[j + 1])
             gain = b / max(1, n_bad) - good_weight * g / max(1, n_good)
-            if b and gain >= 0 and (bound := upper_bound(g, n_good, delta / tests)) <= risk:
+            # the bound is never below the share itself
+            if b and gain >= 0 and g <= risk * n_good and (bound := upper_bound(g, n_good, delta / tests)) <= risk:
                 tried.setdefault(stratum, []).append((gain, j, rule, bound))
     out = {}
     for stratum, all_ in tried.items():

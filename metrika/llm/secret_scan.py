@@ -14,6 +14,8 @@ pairs on, so there are at most WORD_BOUND of them however large the corpus is.
 Defined cases: null or empty text has no spans; texts are scanned whole; spans are in code
 points, end exclusive; several spans at one start are in the order of KINDS. Values of any
 length work: a segment's cost is bounded by its characters, so time is linear in the length.
+Repeated rows are scanned each; of words in equally many documents the first by code points
+ranks higher; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 Writing: one gzip member a record, one file a task, renamed when whole. Payloads of at least
 `least` bytes that are equal (SHA-1 and length) become one response, that of the largest id,
-and revisit records that name it. The digests are found first, so the payloads themselves
-are never shuffled.
+and revisit records that name it. Digests are compared without payloads; a row's payload is
+shuffled once, to the join that tells it whether it is a revisit.
 
 Reading: files are cut into byte ranges. A task looks for gzip's magic bytes in its range,
 takes a place as a member only if it inflates to a WARC version line and a header block,
@@ -13,7 +13,8 @@ a record already read is never looked at. Records without a digest get it from t
 
 Defined cases: null html is an empty payload; ids must not be null to be named by revisits
 (rows with a null id are responses); repeated ids with equal payloads: the row itself is
-the response, as it holds the largest id; an empty table gives files without records.
+the response, as it holds the largest id; payloads of any length are written and inflated in
+chunks of a bounded read window; an empty table gives files without records.
 """
 
 from __future__ import annotations
