@@ -205,3 +205,63 @@ def adjacent_span_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = components.settled(lists.select("word", F.transform("variants", lambda s: F.struct(s.alias("syllables"), F.col("word").alias("text"))).alias("v")))
     out = g2p.combinations(each, lists)
     return out.select(F.col("span_id").alias("span"), "variant_idx", P.pronunciation_text(F.col("pronunciation")).alias("pronunciation"))
+
+
+def _end_tails(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ends (w1, w2), and the tails (word, idx, t) of all ends' variants."""
+    pairs = components.settled(line_ends(verses.documents(spark, sf_dir)))
+    words = pairs.select(F.col("w1").alias("word")).unionByName(pairs.select(F.col("w2").alias("word"))).distinct()
+    variants = _voiced(spark, words).select("word", F.posexplode("variants").alias("idx", "v"))
+    return pairs, components.settled(variants.select("word", "idx", kernel.coded(P.rhyme_tail(F.col("v"))).alias("t")))
+
+
+@query(f"""{_ENDS} select w1, a_idx::int i1, w2, b_idx::int i2, round(plain, 6) score, cols::int n_cols, length(replace(path, 'd', ''))::int n_gaps, path from near join fin using (a_id, b_id)""")
+def end_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of all variants of the documents' neighbouring ends; path: d both, a or b alone. Equal pairs of tails are aligned once."""
+    pairs, tails = _end_tails(spark, sf_dir)
+    side = lambda k, t: tails.select(F.col("word").alias(f"w{k}"), F.col("idx").alias(f"i{k}"), F.col("t").alias(t))
+    both = components.settled(pairs.join(side(1, "a"), "w1").join(side(2, "b"), "w2"))
+    aligned = kernel.score_tails(both.select("a", "b").distinct(), "a", "b")
+    out = both.join(aligned, ["a", "b"])
+    return out.select("w1", "i1", "w2", "i2", F.round("score", 6).alias("score"), F.col("alignment.columns").alias("n_cols"), F.col("alignment.gaps").alias("n_gaps"), F.col("alignment.path").alias("path"))
+
+
+@query(f"""{_LEARNED}, ds as (select 'vowel' kind, * from vd union all select 'consonant', * from cd)
+    select se.kind, se.a, se.b, n::bigint n, round(d, 9) distance, round(1 - d, 9) similarity from se join ds on ds.kind = se.kind and ds.a = se.a and ds.b = se.b""")
+def column_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two phonemes stand in one column of the documents' rhyming ends, and how far apart they are."""
+    seen = _learned(spark, sf_dir).groupBy("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    of = lambda v, c: F.round(F.when(F.col("kind") == "vowel", v(a, b)).otherwise(c(a, b)), 9)
+    return seen.select("kind", "a", "b", "n", of(P.vowel_distance, P.consonant_distance).alias("distance"), of(P.vowel_similarity, P.consonant_similarity).alias("similarity"))
+
+
+_CLUSTERS = f"""{C._SYL}, cu as (select list_concat(s[i].c, s[i + 1].o) c from (select s, unnest(range(1, len(s))) i from sy3)), cn as (select c, count(*) n from cu group by 1),
+    k as (select c, n, {O._onset_length("c")} k from cn)
+    select array_to_string(c, ' ') as cluster, n::bigint n, k = len(c) legal, array_to_string(c[1:len(c) - k], ' ') coda, array_to_string(c[len(c) - k + 1:len(c)], ' ') onset from k"""
+
+
+@query(_CLUSTERS)
+def consonant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of consonants between vowels in the documents' words: how many, whether a run is a legal onset, and how it is split."""
+    s = C._variants(spark, sf_dir).select(F.transform(F.slice("s", F.lit(2), F.size("s")), lambda x, i: F.concat(F.get("s", i)["coda"], x["onset"])).alias("c"))
+    runs = s.select(F.explode("c").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    split = P.split_consonants(F.col("c"))
+    return runs.select(F.array_join("c", " ").alias("cluster"), "n", P.is_legal_onset(F.col("c")).alias("legal"), F.array_join(split["coda"], " ").alias("coda"), F.array_join(split["onset"], " ").alias("onset"))
+
+
+@query(_BIGRAMS.replace("select w1 || ' ' || w2 span, (a.v * b.nv + b.v)::int variant_idx,", "select w1 || ' ' || w2 span,") + " where a.v = 0 and b.v = 0")
+def adjacent_span_pronunciation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reading of every distinct pair of neighbouring words of the documents."""
+    return adjacent_span_pronunciations(spark, sf_dir).where("variant_idx = 0").drop("variant_idx")
+
+
+_GROUP_MEANS = " , ".join(f"(select avg(v) from lo where kind = 'consonant' and (a, b) in ({', '.join(str(tuple(sorted(p))) for p in pairs)})) {name}" for name, pairs in (("nasal", audit.NASALS), ("oral", audit.ORALS)))
+
+
+@query(f"{_LEARNED}, m as (select {_GROUP_MEANS}) select round(nasal, 6) nasal, round(oral, 6) oral, nasal > oral captured from m")
+def learned_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean learned log-odds of nasals and of oral stops in different places; null for a group that is never seen."""
+    found = audit.log_odds(_learned(spark, sf_dir).where("kind = 'consonant'"))
+    mean = lambda pairs: F.round(F.avg(F.when(F.struct("a", "b").isin([F.struct(*map(F.lit, sorted(p))) for p in pairs]), F.col("log_odds"))), 6)
+    return found.agg(mean(audit.NASALS).alias("nasal"), mean(audit.ORALS).alias("oral")).withColumn("captured", F.col("nasal") > F.col("oral"))
