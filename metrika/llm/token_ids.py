@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STORE = 200_000
+STORE = 60_000
 _MARKS = frozenset(",.;:!?)")
 #: Any white space but a space or newline; texts with it are encoded whole.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
