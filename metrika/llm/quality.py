@@ -1,29 +1,36 @@
 """Quality rules with risk-controlled cutoffs.
 
 Base counts are made for every whole text; from them come rule scores (higher is worse).
-For each stratum (language) and rule, labelled documents form a holdout. Each cutoff gets the
-exact (Clopper-Pearson) upper bound on the share of good documents it rejects, at confidence
-1 - delta corrected (Bonferroni) over all strata, rules and cutoffs that are tried. A stratum's
-cutoffs are taken by the best balance of rejected bad and good documents, at most one a rule,
-as long as their bounds add up to at most `risk`: the guarantee holds for the joint verdict,
-the union of the rules. A stratum without an admissible useful cutoff has no rule beyond the base.
+For each stratum (language) the labelled documents that pass the base are split by crc32 of
+doc_id: good ones of one part in TUNE, and all bad ones, propose a sequence of verdicts; the
+other good ones test it. Each verdict of the sequence is a union of rules at cutoffs and rejects
+what the one before rejects and more, beginning with the cutoffs that met fewest good documents.
+The share of good documents that a whole verdict rejects has the exact (Clopper-Pearson) upper
+bound at confidence 1 - delta / strata; the verdicts are tested in order and the last before the
+first whose bound is over `risk` is taken. As the sequence doesn't depend on the documents that
+test it, all its tests together need no further correction (fixed-sequence testing), and
+Bonferroni holds over the strata. A stratum whose first verdict fails has no rule beyond the base:
+with 2 %, 95 % and four strata at least 219 testing documents must be there.
 
 Defined cases: null text counts as no words (base fails); a null or unseen stratum has no
 rules; documents without a label never calibrate; several labels of a doc_id count as one
-(the lowest); texts of any length are counted whole; equal gains go to the higher cutoff, then to
-the rule first by name; an empty table gives no rows. Calibration covers all labelled rows and is
-gathered as counts on a fixed grid, so what reaches the driver doesn't grow with the data.
+(the lowest); texts of any length are counted whole; of steps that met equally many good
+documents that with more bad ones comes first, then the rule first by name; an empty table
+gives no rows. Calibration covers all labelled rows and is gathered as counts on a fixed grid,
+so what reaches the driver doesn't grow with the data.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts, stored, table
+from .common import crc_mod, dropped, map_texts, stored, table
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -38,6 +45,8 @@ RULES = {
     "same_next_word_share": np.linspace(0.025, 1.0, 40),
     "long_word_mean": np.linspace(6.0, 25.5, 40),
 }
+#: Labelled documents with crc32(doc_id) divisible by TUNE propose verdicts, the others test them.
+TUNE = 4
 PRIVATE = "__quality_"  # begins the names of working columns, so that columns of the table can't clash
 
 
@@ -151,50 +160,74 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def choose(counts: dict, risk: float, delta: float, good_weight: float) -> dict:
-    """{(stratum, rule): index of its cutoff} from {(stratum, rule): (good by bin, bad by bin)}; bin b: over b cutoffs.
+def proposed(counts: dict, good_weight: float) -> dict:
+    """{stratum: [(rule, index of a cutoff), ...]} from {(stratum, rule): (good by bin, bad by bin)}; bin b: over b cutoffs.
 
-    All bounds hold at once, so the bounds of a stratum's chosen cutoffs may be added: their sum,
-    a bound for the union of its rules, is at most `risk`, however they are chosen.
+    A rule's cutoffs come from the highest down, where they meet more bad documents and enough
+    to outweigh the good ones; of the rules' next cutoffs that which met fewest good documents.
     """
-    tests = sum(len(RULES[r]) for _, r in counts) or 1
-    tried: dict = {}
+    chains: dict = {}
     for (stratum, rule), (good, bad) in counts.items():
         over_good, over_bad = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-        n_good, n_bad = int(good.sum()), int(bad.sum())
-        for j in range(len(RULES[rule])):
+        n_good, n_bad, before = int(good.sum()), int(bad.sum()), 0
+        for j in reversed(range(len(RULES[rule]))):
             g, b = int(over_good[j + 1]), int(over_bad[j + 1])
-            gain = b / max(1, n_bad) - good_weight * g / max(1, n_good)
-            # the bound is never below the share itself
-            if b and gain >= 0 and g <= risk * n_good and (bound := upper_bound(g, n_good, delta / tests)) <= risk:
-                tried.setdefault(stratum, []).append((gain, j, rule, bound))
-    out = {}
-    for stratum, all_ in tried.items():
-        left = risk
-        # the rule of most gain first; of equally good cutoffs the highest, which rejects least
-        for _, j, rule, bound in sorted(all_, key=lambda x: (-x[0], -x[1], x[2])):
-            if (stratum, rule) not in out and bound <= left:
-                out[stratum, rule] = j
-                left -= bound
+            if b > before and b / max(1, n_bad) >= good_weight * g / max(1, n_good):
+                before = b
+                chains.setdefault(stratum, {}).setdefault(rule, []).append((g, -b, rule, j))
+    # merged, not sorted: a chain's own order stays
+    return {s: [(rule, j) for *_, rule, j in heapq.merge(*of.values(), key=lambda x: (x[0], x[1], x[2]))] for s, of in chains.items()}
+
+
+def first_steps(path: list) -> list[list[int]]:
+    """For each of RULES and each level the number (from 1) of the first step that rejects it, len(path) + 1 if none does."""
+    out = [[len(path) + 1] * (len(grid) + 1) for grid in RULES.values()]
+    at = {rule: k for k, rule in enumerate(RULES)}
+    for step, (rule, j) in reversed(list(enumerate(path, 1))):
+        of = out[at[rule]]
+        of[j + 1 :] = [min(step, x) for x in of[j + 1 :]]
+    return out
+
+
+def accepted(path: list, good_by_step: dict, risk: float, level: float) -> dict:
+    """{rule: index of its cutoff} of the last verdict before the first that fails; good_by_step: testing documents by first step."""
+    n, over, out = sum(good_by_step.values()), 0, {}
+    for step, (rule, j) in enumerate(path, 1):
+        over += good_by_step.get(step, 0)
+        # the bound is never below the share itself
+        if over > risk * n or upper_bound(over, n, level) > risk:
+            break
+        out[rule] = min(j, out.get(rule, j))
     return out
 
 
 def calibrate(scores: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.02, delta: float = 0.05, good_weight: float = 20.0) -> dict:
     """Indices of cutoffs by (stratum, rule) from all labelled documents; scores: counted() with doc_id and the stratum."""
+    spark = scores.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__good"))
     scores = scores.where(~base_failed() & F.col(stratum).isNotNull() & F.col("doc_id").isNotNull())
-    bins = [F.struct(F.lit(r).alias("rule"), F.col(PRIVATE + r).alias("bin")) for r in RULES]
-    rows = (
-        scores.select("doc_id", F.col(stratum).alias("__s"), F.array(*bins).alias("bins"))
-        .join(known, F.col("doc_id") == F.col("__id"))
-        .select("__s", "__good", F.explode("bins").alias("b"))
-        .groupBy("__s", "b.rule", "b.bin", "__good").count().collect()
-    )
+    levels = [F.col(PRIVATE + r).cast("int").alias(r) for r in RULES]
+    marked = scores.join(known, F.col("doc_id") == F.col("__id")).select(F.col(stratum).alias("s"), (F.col("__good") != 0).alias("good"), (crc_mod("doc_id", TUNE) == 0).alias("tune"), *levels)
+    marked = stored(spark, marked, "marked")
+    bins = [F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES]
+    rows = marked.where("tune or not good").select("s", "good", F.explode(F.array(*bins)).alias("b")).groupBy("s", "b.rule", "b.bin", "good").count().collect()
     counts: dict = {}
     for s, rule, b, good, n in rows:
         both = counts.setdefault((s, rule), (np.zeros(len(RULES[rule]) + 1, np.int64), np.zeros(len(RULES[rule]) + 1, np.int64)))
         both[0 if good else 1][b] += n
-    return choose(counts, risk, delta, good_weight)
+    paths = proposed(counts, good_weight)
+    out = {}
+    if paths:
+        strata = marked.select("s").distinct().count()
+        steps = spark.createDataFrame([(s, first_steps(p)) for s, p in paths.items()], T.StructType([marked.schema["s"], T.StructField("steps", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+        first = F.least(*[F.get(F.get("steps", F.lit(k)), F.col(r)) for k, r in enumerate(RULES)])
+        tested: dict = {}  # the steps are a row a stratum, which the driver has made
+        for s, step, n in marked.where("good and not tune").join(F.broadcast(steps), "s").groupBy("s", first.alias("step")).count().collect():
+            tested.setdefault(s, {})[step] = n
+        for s, path in paths.items():
+            out |= {(s, rule): j for rule, j in accepted(path, tested.get(s, {}), risk, delta / strata).items()}
+    dropped(spark, marked)
+    return out
 
 
 def rejected(cutoffs: dict, stratum: str):

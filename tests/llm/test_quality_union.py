@@ -6,10 +6,16 @@ from metrika.llm import quality
 
 
 def chosen(levels, good):
+    """The verdict from levels of the rules in columns: every fourth document proposes, the others test."""
+    tune = np.arange(len(good)) % 4 == 0
     counts = {}
     for k, (rule, grid) in enumerate(quality.RULES.items()):
-        counts["x", rule] = tuple(np.bincount(levels[good == g, k], minlength=len(grid) + 1) for g in (1, 0))
-    cutoffs = quality.choose(counts, 0.02, 0.05, 20.0)
+        counts["x", rule] = tuple(np.bincount(levels[keep, k], minlength=len(grid) + 1) for keep in ((good == 1) & tune, good == 0))
+    path = quality.proposed(counts, 20.0).get("x", [])
+    steps = quality.first_steps(path)
+    first = np.min([np.array(steps[k])[levels[:, k]] for k in range(len(steps))], axis=0)
+    by_step = dict(zip(*np.unique(first[(good == 1) & ~tune], return_counts=True)))
+    cutoffs = {("x", r): j for r, j in quality.accepted(path, by_step, 0.02, 0.05).items()}
     hit = np.zeros(len(good), bool)
     for k, rule in enumerate(quality.RULES):
         if ("x", rule) in cutoffs:
@@ -58,3 +64,32 @@ def test_the_guarantee_over_many_draws():
         true = sum(rates[k] for k, rule in enumerate(quality.RULES) if ("x", rule) in cutoffs and cutoffs["x", rule] < 30)
         over += true > 0.02
     assert some and over <= 0.05 * draws
+
+
+def test_first_steps_are_those_of_the_verdicts():
+    """Each document's first step against the verdicts' definition, step by step; every verdict rejects what those before it reject."""
+    rng = np.random.default_rng(3)
+    rules = list(quality.RULES)
+    counts = {("x", r): (rng.integers(0, 3, 41), rng.integers(0, 30, 41)) for r in rules}
+    path = quality.proposed(counts, 0.5)["x"]
+    assert len(path) > 40
+    for r in rules:
+        own = [j for rule, j in path if rule == r]
+        assert own == sorted(own, reverse=True)
+    steps = quality.first_steps(path)
+    for levels in rng.integers(0, 41, (200, len(rules))):
+        want = next((i for i, (rule, j) in enumerate(path, 1) if levels[rules.index(rule)] > j), len(path) + 1)
+        assert min(steps[k][x] for k, x in enumerate(levels)) == want
+
+
+def test_few_hundred_documents_suffice_for_several_rules():
+    """330 good documents, of which 247 test: three rules that meet none of them reject together."""
+    n, rules = 330, len(quality.RULES)
+    good = np.r_[np.ones(n, int), np.zeros(30, int)]
+    levels = np.zeros((len(good), rules), int)
+    for k in range(3):
+        levels[n + 10 * k : n + 10 * (k + 1), k] = 30
+    cutoffs, hit = chosen(levels, good)
+    assert len(cutoffs) == 3 and hit[good == 0].all() and not hit[good == 1].any()
+    few = np.r_[0:150, n : n + 30]
+    assert chosen(levels[few], good[few])[0] == {}
