@@ -7,15 +7,24 @@ brute-force spans, and the cheapest segmentation's log10 of guesses decides. Bas
 always stay; an added span never overlaps one.
 
 The dictionary is the list of common passwords and, behind it, the corpus's own words by
-document frequency, counted over all documents but not in values of a credential context. A
-word is kept from LEAST_DOCS documents on and from a WORD_BOUND-th of all (document, word)
-pairs on, so there are at most WORD_BOUND of them however large the corpus is.
+document frequency, counted over all documents but not in values of a credential context.
+Words of LEAST_DOCS documents or more are kept, and of those the WORD_BOUND in most documents:
+the frequency from which on there are at most that many is found from counts of frequencies
+(exact up to 4,095, with 12 leading bits above), so words of one frequency stay or go together.
+
+In prose ("the password is unbelievable") a value that the dictionary doesn't know may still be
+a word: one or more runs of up to PROSE letters, joined by hyphens or apostrophes, each in lower,
+upper or title case, whose letters follow each other in the corpus's words at least half as often
+as if drawn evenly, on geometric average. Such a value is no secret (at sf0.1 neither are 10 % of
+strings of ten letters drawn evenly). The pairs' counts cover all words; values after ":" or
+"=" and values with digits, symbols or mixed case go by their guess cost alone.
 
 Defined cases: null or empty text has no spans; texts are scanned whole; spans are in code
 points, end exclusive; several spans at one start are in the order of KINDS. Values of any
 length work: a segment's cost is bounded by its characters, so time is linear in the length.
 Repeated rows are scanned each; of words in equally many documents the first by code points
-ranks higher; other columns are ignored; an empty table gives no rows.
+ranks higher; letters beyond a to z say nothing about a word; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +33,13 @@ import hashlib
 import math
 import re
 from collections import Counter
+from string import ascii_lowercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, map_texts, stored, table
+from .common import dropped, lean, map_texts, stored, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: What the query's contract states.
@@ -40,7 +50,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 _CREDENTIAL = r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?"""
 #: Names may be glued (PGPASSWORD=, dbpwd:); in prose ("... is ...") the credential must be a word of its own.
-CONTEXT = re.compile(rf"""(?:{_CREDENTIAL}\x20*[:=]\x20*|(?<![A-Za-z0-9]){_CREDENTIAL}\x20+(?i:is)\x20+)["']?([^\s"'<>,;]{{6,}})""", re.ASCII)
+CONTEXT = re.compile(rf"""(?:{_CREDENTIAL}\x20*[:=]\x20*|(?<![A-Za-z0-9]){_CREDENTIAL}\x20+((?i:is))\x20+)["']?([^\s"'<>,;]{{6,}})""", re.ASCII)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 
 #: Common passwords and their parts, commonest first; the rank is a word's number of guesses.
@@ -58,6 +68,10 @@ GUESS_LIMIT = 10.0
 
 #: Documents that hold a word of the corpus's dictionary, at least; how many words it has, at most; their letters.
 LEAST_DOCS, WORD_BOUND, LETTERS = 5, 200_000, range(3, 25)
+#: Letters of a word in prose at most; a longer run may be words glued together.
+PROSE = 16
+#: log10 of how likely a word's letter is against even draws, on average and at least: a half.
+WORD_LIKE = math.log10(1 / 2)
 _EDGES = ".,;:!?()[]{}\"'`*_-"
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -140,7 +154,27 @@ def guess_cost(value: str, ranks: dict = _RANK) -> float:
     return best[n]
 
 
-def scan(text: str | None, limit: float = GUESS_LIMIT, ranks: dict = _RANK) -> list[tuple[int, int, str]]:
+def pair_weights(counts: dict) -> dict:
+    """log10 of how much likelier a letter follows another in words than in even draws, from counts of pairs; "^" begins a word.
+
+    No pair weighs less than -1, which is also the weight of pairs that no word has.
+    """
+    firsts = Counter()
+    for pair, n in counts.items():
+        firsts[pair[0]] += n
+    return {p: max(-1.0, math.log10(26 * counts[p] / firsts[a])) if counts.get(p) else -1.0 for a in "^" + ascii_lowercase for b in ascii_lowercase for p in [a + b]}
+
+
+def like_word(value: str, weights: dict) -> bool:
+    """Whether a value looks like a word of prose; without weights none does."""
+    parts = re.split(r"[-'\u2019]", value)
+    if not all(p.isalpha() and len(p) <= PROSE and p in (p.lower(), p.upper(), p.title()) for p in parts):
+        return False
+    known = [weights[pair] for p in parts for pair in map("".join, zip("^" + p.lower(), p.lower())) if pair in weights]
+    return bool(known) and sum(known) / len(known) > WORD_LIKE
+
+
+def scan(text: str | None, limit: float = GUESS_LIMIT, ranks: dict = _RANK, weights: dict | None = None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind."""
     if not text:
         return []
@@ -154,9 +188,11 @@ def scan(text: str | None, limit: float = GUESS_LIMIT, ranks: dict = _RANK) -> l
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted(out)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".)]}!?")
-            s, e = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < e and s < b for a, b, _ in base) and guess_cost(value, ranks) >= limit:
+            value = m[2].rstrip(".)]}!?")
+            s, e = m.start(2), m.start(2) + len(value)
+            if len(value) < 6 or any(a < e and s < b for a, b, _ in base) or m[1] and like_word(value, weights or {}):
+                continue
+            if guess_cost(value, ranks) >= limit:
                 out.append((s, e, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -168,8 +204,8 @@ def as_text(spans) -> str:
 FIELDS = [("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string"), ("n_guess", "bigint")]
 
 
-def digest(text: str | None, ranks: dict = _RANK) -> tuple:
-    spans = scan(text, ranks=ranks)
+def digest(text: str | None, ranks: dict = _RANK, weights: dict | None = None) -> tuple:
+    spans = scan(text, ranks=ranks, weights=weights)
     n = {k: sum(x[2] == k for x in spans) for k in KINDS}
     base = as_text(x for x in spans if x[2] != "guess")
     return n["assign"], n["access"], n["hex"], hashlib.sha256(base.encode()).hexdigest(), as_text(spans), n["guess"]
@@ -183,8 +219,23 @@ def words_of(text: str | None) -> set:
     return {w for w in (x if x.isalpha() else x.strip(_EDGES) for x in set(low.split())) if len(w) in LETTERS and w.isalpha()}
 
 
-def word_ranks(docs: DataFrame, text: str = "text") -> dict:
-    """Ranks of common passwords, then of the words of docs by document frequency."""
+def frequent_from(counts: DataFrame, bound: int) -> int:
+    """The least document frequency, LEAST_DOCS at least, from which on there are at most `bound` words."""
+    shift = F.greatest(F.length(F.bin("n")) - 12, F.lit(0))
+    level = F.expr("shiftleft(shiftright(n, shift), shift)")
+    # at most 4,096 levels and 2,048 for each further bit
+    rows = counts.where(F.col("n") >= LEAST_DOCS).withColumn("shift", shift).groupBy(level.alias("level")).count().collect()
+    total, out = 0, None
+    for at, n in sorted(rows, reverse=True):
+        total += n
+        if total > bound:
+            return out or at + (1 << max(at.bit_length() - 12, 0))
+        out = at
+    return LEAST_DOCS
+
+
+def learned(docs: DataFrame, text: str = "text") -> tuple[dict, dict]:
+    """Ranks of common passwords, then of the words of docs by document frequency; weights of pairs of letters."""
 
     def run(batches):
         for batch in batches:
@@ -195,26 +246,28 @@ def word_ranks(docs: DataFrame, text: str = "text") -> dict:
 
     made = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(lean(run), "word string, n long")
     counts = stored(docs.sparkSession, made.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # words that are in t documents or more are at most (all pairs) / t
-    pairs = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST_DOCS, -(-pairs // WORD_BOUND))).collect()
+    rows = counts.where(F.col("n") >= frequent_from(counts, WORD_BOUND)).collect()
     own = [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0])) if w not in _RANK]
-    return _RANK | {w: len(_RANK) + i + 1 for i, w in enumerate(own)}
+    begun = F.concat(F.lit("^"), "word")
+    pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(begun, i, F.lit(2)))).alias("pair"))
+    pairs = pairs.where(F.col("pair").rlike("^[\\^a-z][a-z]$")).groupBy("pair").agg(F.sum("n")).collect()  # 702 rows at most
+    dropped(docs.sparkSession, counts)
+    return _RANK | {w: len(_RANK) + i + 1 for i, w in enumerate(own)}, pair_weights(dict(map(tuple, pairs)))
 
 
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Kept columns and what digest() gives for each text."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
+    known = docs.sparkSession.sparkContext.broadcast(learned(docs, text))
 
     def make():
-        return lambda texts: list(zip(*(digest(t, ranks.value) for t in texts))) if texts else [[] for _ in FIELDS]
+        return lambda texts: list(zip(*(digest(t, *known.value) for t in texts))) if texts else [[] for _ in FIELDS]
 
     return map_texts(docs, keep, text, FIELDS, make)
 
 
-def masked(text: str | None, mark: str = "[SECRET]", ranks: dict = _RANK) -> str | None:
+def masked(text: str | None, mark: str = "[SECRET]", ranks: dict = _RANK, weights: dict | None = None) -> str | None:
     """text with every span replaced; spans that touch or overlap become one mark."""
-    spans = scan(text, ranks=ranks)
+    spans = scan(text, ranks=ranks, weights=weights)
     if not spans:
         return text
     parts, end, cut = [], 0, -1
@@ -227,10 +280,11 @@ def masked(text: str | None, mark: str = "[SECRET]", ranks: dict = _RANK) -> str
 
 def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with secrets masked; the columns stay, and the length column follows the text if there is one."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))
+    known = docs.sparkSession.sparkContext.broadcast(learned(docs, text))
 
     def make():
-        return lambda texts: [[masked(t, ranks=ranks.value) for t in texts]]
+        ranks, weights = known.value
+        return lambda texts: [[masked(t, ranks=ranks, weights=weights) for t in texts]]
 
     out = map_texts(docs, docs.columns, text, [("__masked", "string")], make)
     columns = []
