@@ -11,13 +11,16 @@ from .test_odd_tables import CLASH, DOCS, clashing
 from .test_operators import prose
 
 PAGES = "page_id long, url string, html string"
+CLICKS = "click_id long, ts timestamp, arrived_at timestamp, client_id long, kind string, value double, props string"
+EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 
 def write(spark, folder, documents, items=(), labels=()):
     documents.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([], PAGES).write.parquet(f"{folder}/pages.parquet")
+    for name, columns in (("pages", PAGES), ("clicks", CLICKS), ("embeddings", EMBEDDINGS)):
+        spark.createDataFrame([], columns).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
