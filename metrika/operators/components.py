@@ -119,19 +119,25 @@ def group_by_threshold(nodes: DataFrame, scores: DataFrame, threshold: float) ->
 def group_rhymes(words: DataFrame, threshold: float = 0.75, **weights) -> DataFrame:
     """(word, idx, component): words that rhyme, over all pairs and the best of their variants; a word without variants is alone.
 
-    words: word, idx (its place), variants. Words of one tail are linked in a star; distinct
-    tails are linked by rhymes.tail_links(), which compares no pairs inside a group.
+    words: word, idx (its place), variants. Distinct tails are grouped by rhymes.tail_groups(),
+    which compares no pairs inside a group; a word belongs to its tail's group, and one with
+    tails of several groups joins them.
     """
     from metrika.functions import phonology as P
     from metrika.operators import kernel, rhymes
 
+    if threshold > 1:  # equal tails score 1
+        return words.select("word", "idx", F.col("idx").alias("component"))
     tails = words.select("idx", F.explode("variants").alias("v")).select("idx", kernel.coded(P.rhyme_tail(F.col("v"))).alias("t")).where(F.size("t") > 0)
+    tails = settled(tails)
     heads = settled(tails.groupBy("t").agg(F.min("idx").alias("head")).withColumn("id", F.monotonically_increasing_id()))
-    links = rhymes.tail_links(heads.select("id", "t"), threshold, **weights)
-    # equal tails score 1
-    star = tails.join(heads, "t").select(F.col("idx").alias("a"), F.col("head").alias("b")) if threshold <= 1 else tails.limit(0).select(F.col("idx").alias("a"), F.col("idx").alias("b"))
-    end = lambda c: heads.select(F.col("id").alias(c), F.col("head").alias(f"{c}_head"))
-    between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    groups = rhymes.tail_groups(heads.select("id", "t"), threshold, **weights)
+    own = settled(tails.join(heads.select("t", "id"), "t").join(groups, "id").select("idx", F.col("component").alias("node")).distinct())
+    least = own.groupBy("idx").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("idx", "a")
     scope = F.lit(0).alias("scope")
-    found = connected_components(words.select(scope, F.col("idx").alias("node")), star.unionByName(between).select(scope, "a", "b"))
-    return words.select("word", "idx").join(found.select(F.col("node").alias("idx"), "component"), "idx").select("word", "idx", "component")
+    across = own.join(least, "idx").select(scope, "a", F.col("node").alias("b"))
+    label = connected_components(groups.select(scope, F.col("component").alias("node")), across).select("node", F.col("component").alias("label"))
+    first = heads.select("id", "head").join(groups.select("id", F.col("component").alias("node")), "id").join(label, "node")
+    first = first.groupBy("label").agg(F.min("head").alias("component"))
+    found = own.groupBy("idx").agg(F.min("node").alias("node")).join(label.join(first, "label").select("node", "component"), "node")
+    return words.select("word", "idx").join(found.select("idx", "component"), "idx", "left").select("word", "idx", F.coalesce("component", "idx").alias("component"))

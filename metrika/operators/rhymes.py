@@ -40,17 +40,31 @@ def block_keys(t: Column) -> Column:
     return F.array_distinct(F.concat(*kinds))
 
 
+#: By turn: a number that ids are combined with, so that another member of a block is the least.
+MASKS = [0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D]
+
+
 def offers(tails: DataFrame, turn: int) -> DataFrame:
-    """Pairs a, b (ids) and their tails t1, t2 of different groups: each open tail and two of each of its blocks.
+    """Pairs a, b (ids) and their tails t1, t2 of different groups: each open tail and two of each of its blocks, in the first turn one.
 
-    tails: id, t, component, open. turn: which members a block offers.
+    tails: id, t, component, open. turn: which members a block offers. Only ids are dealt out by
+    block; a pair gets its tails when it is known once.
     """
-    keyed = tails.select("id", "t", "component", "open", F.explode(block_keys(F.col("t"))).alias("key"))
-    order = F.xxhash64("id", F.lit(turn))
-    one = lambda f: f(F.struct(F.col("id").alias("b"), F.col("t").alias("t2"), F.col("component").alias("other")), order)
-    members = keyed.groupBy("key").agg(F.array(one(F.min_by), one(F.max_by)).alias("offered"))
-    pairs = keyed.where("open").join(members, "key").select(F.col("id").alias("a"), F.col("t").alias("t1"), "component", F.explode("offered").alias("o"))
-    return pairs.select("a", "t1", "component", "o.*").where("component <> other").dropDuplicates(["a", "other"])
+    mixed = F.col("id").bitwiseXOR(F.lit(MASKS[turn % len(MASKS)]))
+    keyed = tails.select("open", mixed.alias("a"), F.explode(block_keys(F.col("t"))).alias("key"))
+    members = keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+    offered = F.explode(F.array("least", "most")) if turn else F.col("least")
+    pairs = keyed.where("open").join(members, "key").select("a", offered.alias("b")).where("a <> b").distinct()
+    back = lambda c: F.col(c).bitwiseXOR(F.lit(MASKS[turn % len(MASKS)])).alias(c)
+    end = lambda c, t, g: tails.select(F.col("id").alias(c), F.col("t").alias(t), F.col("component").alias(g))
+    return pairs.select(back("a"), back("b")).join(end("a", "t1", "component"), "a").join(end("b", "t2", "other"), "b").where("component <> other")
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Of the links (a, b, component, other) of each a those with the least and the largest b."""
+    ends = links.groupBy("a", "component").agg(F.min("b").alias("b0"), F.min_by("other", "b").alias("o0"), F.max("b").alias("b1"), F.max_by("other", "b").alias("o1"))
+    both = F.explode(F.array(F.struct(F.col("b0").alias("b"), F.col("o0").alias("other")), F.struct(F.col("b1").alias("b"), F.col("o1").alias("other"))))
+    return ends.select("a", "component", both.alias("e")).select("a", "e.b", "component", "e.other").distinct()
 
 
 def most_gaps(m: Column, n: Column, threshold: float) -> Column:
@@ -135,13 +149,36 @@ def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, w
     return total / np.maximum(columns, 1), columns, informative
 
 
+def _codas(lists: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For columns of codas: the place of each in coda_table(), and that table of the different ones."""
+    base, numbers = len(T.CONSONANTS) + 1, []
+    for c in lists:
+        length = c.value_lengths().to_numpy()
+        if length.max(initial=0) > 12:  # more digits than an integer holds
+            coded: dict = {}
+            return [np.array([coded.setdefault(x, len(coded)) for x in map(tuple, s.to_pylist())], np.int64) for s in lists], coda_table([list(x) for x in coded])
+        flat, start = c.flatten().to_numpy().astype(np.int64), np.cumsum(length) - length
+        number = np.zeros(len(length), np.int64)
+        for k in range(int(length.max(initial=0))):
+            at = np.flatnonzero(length > k)
+            number[at] = number[at] * base + flat[start[at] + k] + 1
+        numbers.append(number)
+    kinds, place = np.unique(np.concatenate(numbers), return_inverse=True)
+    codas = []
+    for number in kinds.tolist():
+        digits = []
+        while number:
+            number, d = divmod(number, base)
+            digits.append(d - 1)
+        codas.append(digits[::-1])
+    return np.split(place.reshape(-1), [len(numbers[0])]), coda_table(codas)
+
+
 def _scores(t1: pa.Array, t2: pa.Array, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
     """Scores, columns and informative columns of two columns of tails."""
     n1, n2 = (t.value_lengths().to_numpy() for t in (t1, t2))
     syllables = [t.flatten() for t in (t1, t2)]
-    coded: dict = {}
-    places = [np.array([coded.setdefault(c, len(coded)) for c in map(tuple, s.field("c").to_pylist())], np.int64) for s in syllables]
-    table = coda_table([list(c) for c in coded])
+    places, table = _codas([s.field("c") for s in syllables])
     nuclei = [s.field("v").to_numpy() for s in syllables]
     bare = [s.field("w").to_numpy(zero_copy_only=False) for s in syllables]
     start = [np.cumsum(n) - n for n in (n1, n2)]
@@ -204,14 +241,16 @@ def grouped(tails: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     return settled(state.select("id", "t", "component", ((F.col("component") != F.col("main")) | F.coalesce("clash", F.lit(False))).alias("open")))
 
 
-def tail_links(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights) -> DataFrame:
-    """(a, b): links of tails (id, t; distinct) that reach the threshold and join what all such links would join."""
-    if threshold > 1:
-        return tails.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+def _joined(tails: DataFrame, threshold: float, weights: dict) -> tuple[list, DataFrame, DataFrame]:
+    """Links (a, b) of the rounds of offers, what they make (grouped()), and (a, component, b): a link of each open tail to each group that it rhymes with.
+
+    Any part of the links will do in a round: what it leaves apart is open, and all that an open tail rhymes with is looked up.
+    """
     state = settled(tails.select("id", "t", F.col("id").alias("component"), F.lit(True).alias("open")))
     links = []
     for turn in range(ROUNDS):
-        made = settled(reaching(offers(state, turn), threshold, **weights).select("a", "b", "component", "other"))
+        made = reaching(offers(state, turn), threshold, **weights).select("a", "b", "component", "other")
+        made = settled(made if turn else thinned(made))
         if made.isEmpty():
             break
         links.append(made.select("a", "b"))
@@ -219,8 +258,27 @@ def tail_links(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights)
     rest = rhyming_pairs(state.where("open").select("id", "t"), tails, threshold, **weights)
     # one link a tail and group is enough
     at = state.select(F.col("id").alias("b"), "component")
-    links.append(settled(rest.join(at, "b").groupBy("a", "component").agg(F.min("b").alias("b")).select("a", "b")))
-    out = links[0]
-    for more in links[1:]:
+    return links, state, settled(rest.join(at, "b").groupBy("a", "component").agg(F.min("b").alias("b")))
+
+
+def tail_links(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights) -> DataFrame:
+    """(a, b): links of tails (id, t; distinct) that reach the threshold and join what all such links would join."""
+    if threshold > 1:
+        return tails.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    links, _, rest = _joined(tails, threshold, weights)
+    out = rest.select("a", "b")
+    for more in links:
         out = out.unionByName(more)
     return out
+
+
+def tail_groups(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights) -> DataFrame:
+    """(id, component): groups that all links of tails (id, t; distinct) would make; the last links are joined between groups, which are few."""
+    if threshold > 1:
+        return tails.select("id", F.col("id").alias("component"))
+    _, state, rest = _joined(tails, threshold, weights)
+    own = state.select(F.col("id").alias("a"), F.col("component").alias("own"))
+    scope = F.lit(0).alias("scope")
+    between = rest.join(own, "a").select(scope, F.col("own").alias("a"), F.col("component").alias("b"))
+    found = connected_components(state.select(scope, F.col("component").alias("node")), between)
+    return settled(state.select("id", F.col("component").alias("node")).join(found.select("node", "component"), "node").select("id", "component"))

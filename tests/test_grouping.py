@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from metrika.functions import phonology as P
 from metrika.functions import tables as T
 from metrika.operators import components, kernel, rhymes
 
@@ -149,3 +152,41 @@ def test_words_without_variants_and_above_all_scores(spark):
     assert {r.word: r.component for r in components.group_rhymes(words).collect()} == {"cat": 1, "hat": 1, "brr": 3, "zzz": 4, "": 5}
     assert {r.component for r in components.group_rhymes(words, 1.5).collect()} == {1, 2, 3, 4, 5}
     assert components.group_rhymes(words.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tail_groups_are_what_all_links_make(spark, seed):
+    tails = tail_table(spark, made_up_tails(seed + 7, 80))
+    ids = [r.id for r in tails.select("id").collect()]
+    links = [(r.a, r.b) for r in rhymes.rhyming_pairs(tails, tails, 0.75).collect()]
+    got = {}
+    for r in rhymes.tail_groups(tails, 0.75).collect():
+        got.setdefault(r.component, set()).add(r.id)
+    want = {}
+    for node, root in reached(ids, links).items():
+        want.setdefault(root, set()).add(node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_the_first_offers_are_one_a_block(spark):
+    tails = tail_table(spark, made_up_tails(5, 80)).select("id", "t", F.col("id").alias("component"), F.lit(True).alias("open"))
+    made = [(r.a, r.b) for r in rhymes.offers(tails, 0).select("a", "b").collect()]
+    keys = tails.select(F.size(rhymes.block_keys(F.col("t"))).alias("k")).agg(F.sum("k")).first()[0]
+    assert 0 < len(made) == len(set(made)) <= keys and all(a > b for a, b in made)
+
+
+def test_a_word_joins_the_groups_of_its_variants(spark):
+    say = lambda *s: [{"onset": [], "nucleus": v, "coda": list(c), "stress": int(i == 0)} for i, (v, *c) in enumerate(s)]
+    rows = [("d", 4, [say(("IY", "T"))]), ("c", 3, [say(("AA", "K")), say(("IY", "T"))]), ("b", 2, [say(("AA", "K"))]), ("a", 1, [say(("UW",))]), ("e", 5, [])]
+    words = spark.createDataFrame(rows, f"word string, idx int, variants array<array<{P.SYLLABLE}>>")
+    assert {r.word: r.component for r in components.group_rhymes(words).collect()} == {"a": 1, "b": 2, "c": 2, "d": 2, "e": 5}
+
+
+def test_codas_of_any_length():
+    lists = [[[], [0], [23, 0], [0, 23]], [[0], [], list(range(11)), [23] * 12]]
+    for more in ([], [[5] * 13, [5] * 14]):
+        columns = [pa.array(x + more, pa.list_(pa.int32())) for x in lists]
+        places, table = rhymes._codas(columns)
+        plain = rhymes.coda_table([c for x in lists for c in x + more])
+        at = np.concatenate(places)
+        assert (table[at[:, None], at[None, :]] == plain).all()
