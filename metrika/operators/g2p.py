@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from metrika.functions import phonology as P
 from metrika.functions import tables as T
+from metrika.operators import tokenize
+from metrika.operators.components import settled
 
 GUESS_COST = 0.1
 #: A lexicon of more rows than this is joined by shuffle.
@@ -41,31 +43,30 @@ def cleaned(word: Column) -> Column:
     return F.regexp_replace(s, r"^(.+[^aeouy])e$", "$1")
 
 
-def letter_to_sound(word: Column) -> Column:
-    """Phones guessed from a spelling; null without a vowel or with anything but letters and apostrophes."""
-    table = F.create_map(*[x for k, v in SOUNDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def only_letters(word: Column) -> Column:
+    return F.replace(F.lower(word), F.lit("'"), F.lit("")).rlike(r"^\p{L}+$")
+
 
-    def phones_of(parts):
-        def sound(t, i):
-            last = i == F.size(parts) - 1
-            soft = F.coalesce(F.substring(F.get(parts, i + 1), 1, 1).isin("e", "i", "y"), F.lit(False))
-            by_place = (
-                F.when(t == "c", F.when(soft, F.array(F.lit("S"))).otherwise(F.array(F.lit("K"))))
-                .when(t == "y", F.when(i == 0, F.array(F.lit("Y"))).when(last, F.array(F.lit("IY"))).otherwise(F.array(F.lit("IH"))))
-                .when((t == "i") & last, F.array(F.lit("IY")))
-            )
-            return F.coalesce(by_place, F.element_at(table, t), P.no_strings())
+def can_be_guessed(word: Column) -> Column:
+    """Whether letter_to_sound() gives phones: a vowel is any of a, e, i, o, u but that of qu, and y but in the first place."""
+    return only_letters(word) & F.replace(cleaned(word), F.lit("qu"), F.lit("q")).rlike("[aeiou]|.y")
 
-        return F.flatten(F.transform(parts, sound))
 
-    def stressed(phones):
-        first = F.array_min(F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), i)))
-        digits = lambda k: F.transform(phones, lambda p, i: F.when(p.isin(T.VOWELS), F.concat(p, F.when(i == k, "1").otherwise("0"))).otherwise(p))
-        return P.let(first, lambda k: F.when(k.isNotNull(), digits(k)))
+def letter_to_sound(word: Column) -> Column:
+    """Phones guessed from a spelling; null without a vowel or with anything but letters and apostrophes.
 
-    parts = F.regexp_extract_all(cleaned(word), F.lit(f"({PATTERN}|.)"), 1)
-    letters = F.replace(F.lower(word), F.lit("'"), F.lit("")).rlike(r"^\p{L}+$")
-    return F.when(letters, P.let(P.let(parts, phones_of), stressed))
+    The ends are marked ^ and $, and a soft c is C, so that each part has its sounds by itself; only
+    the look-up of parts is a lambda, the rest is made on strings.
+    """
+    by_place = {"c": ["K"], "C": ["S"], "^y": ["Y"], "y$": ["IY"], "y": ["IH"], "i$": ["IY"]}
+    sounds = LETTERS | by_place | GROUPS
+    spelt = lambda v: " ".join(p + "0" * (p in T.VOWELS) for p in v)
+    table = F.create_map(*[F.lit(x) for k, v in sounds.items() for x in (k, spelt(v))])
+    marked = F.concat(F.lit("^"), F.regexp_replace(cleaned(word), "c(?=[eiy])", "C"), F.lit("$"))
+    parts = F.regexp_extract_all(marked, F.lit(rf"({PATTERN}|\^y|[iy]\$|[^^$])"), 1)
+    phones = F.array_join(F.transform(parts, lambda t: F.element_at(table, t)), " ")
+    # the first vowel is stressed
+    return F.when(only_letters(word), P.let(phones, lambda p: F.when(p.contains("0"), F.split(F.regexp_replace(p, "^([^0]*)0", "$11"), " "))))
 
 
 def by_word(lexicon: DataFrame) -> DataFrame:
@@ -84,11 +85,8 @@ def look_up(words: DataFrame, lexicon: DataFrame, key: Column, name: str) -> Dat
     return words.join(side, key == F.col(f"__{name}"), "left").drop(f"__{name}")
 
 
-def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame, *keep: str) -> DataFrame:
-    """Every link's result for lower-cased words: word, dictionary, slang, g_drop, stem, a_for_er, letters (variants of phones), and the columns to keep.
-
-    Joins with the dictionaries only, so words may be a stream.
-    """
+def known(words: DataFrame, lexicon: DataFrame, slang: DataFrame, *keep: str) -> DataFrame:
+    """What the dictionaries give for lower-cased words: word, dictionary, slang, g_drop, stem, a_for_er (variants of phones), and the columns to keep."""
     lex = small(by_word(lexicon))
     w = F.col("word")
     drops = w.rlike(r"^[a-z]+in'?$")
@@ -108,26 +106,46 @@ def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame, *keep: str) ->
     g_drop = F.transform("ing", lambda v: F.when(last(v) == "NG", F.concat(front(v), F.array(F.lit("N")))).otherwise(v))
     stems = F.transform(F.coalesce("stem0", "stem1", "stem2"), lambda v: F.concat(v, F.array(F.lit("IH0"), F.lit("N"))))
     ers = F.transform(F.filter("er", lambda v: last(v).startswith("ER")), lambda v: F.concat(front(v), F.array(F.concat(F.lit("AH"), F.substring(last(v), F.lit(3), F.length(last(v)))))))
-    guess = letter_to_sound(w)
     return out.select(
         *keep, "word", "dictionary", "slang", g_drop.alias("g_drop"), F.when(F.col("ing").isNull(), stems).alias("stem"),
-        F.when(F.size(ers) > 0, ers).alias("a_for_er"), F.when(guess.isNotNull(), F.array(guess)).alias("letters"),
+        F.when(F.size(ers) > 0, ers).alias("a_for_er"),
     )
 
 
+def chain(words: DataFrame, lexicon: DataFrame, slang: DataFrame, *keep: str) -> DataFrame:
+    """Every link's result: known() and letters, variants of phones.
+
+    Joins with the dictionaries only, so words may be a stream.
+    """
+    guessed = P.let(letter_to_sound(F.col("word")), lambda g: F.when(g.isNotNull(), F.array(g)))
+    return known(words, lexicon, slang, *keep).withColumn("letters", guessed)
+
+
 SOURCES = [("dictionary", "dictionary"), ("slang", "lexicon"), ("g_drop", "g-drop"), ("stem", "stem+-in'"), ("a_for_er", "-a-for-er"), ("letters", "letter-to-sound")]
 
 
+def fits(name: str) -> Column:
+    """Whether a link has a result; that of a rule must have a vowel."""
+    has = F.col(name).isNotNull()
+    return has & F.exists(name, lambda v: F.exists(v, P.is_vowel)) if name in ("g_drop", "stem", "a_for_er") else has
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows that are few bytes but much work, in a fixed number of partitions, which adaptive execution doesn't take together.
+
+    They are dealt in turn: rows already dealt by a key would not be dealt by it again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pronounce(words: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
     """word (distinct, lower-case), source, cost, prons (array of arrays of syllables; none: the word can't be voiced).
 
     A dictionary or slang word keeps its source even if no variant has a vowel; a rule whose
     variants have none gives way to the next.
     """
-    # words are few bytes but much work: a fixed number of partitions, which adaptive execution doesn't take together
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct().repartition(parts, "word")
-    return voiced(chain(distinct, lexicon, slang))
+    distinct = words.select(F.lower("word").alias("word")).where("word is not null").distinct()
+    return voiced(chain(spread(distinct), lexicon, slang))
 
 
 def voiced(made: DataFrame, *keep: str) -> DataFrame:
@@ -135,10 +153,7 @@ def voiced(made: DataFrame, *keep: str) -> DataFrame:
     links = []
     for name, label in SOURCES:
         link = F.struct(F.lit(label).alias("source"), F.col(name).alias("variants"))
-        has = F.col(name).isNotNull()
-        if name in ("g_drop", "stem", "a_for_er"):
-            has = has & F.exists(name, lambda v: F.exists(v, P.is_vowel))
-        links.append(F.when(has, link))
+        links.append(F.when(fits(name), link))
     out = made.select(*keep, "word", F.coalesce(*links).alias("found"))
     out = out.select(*keep, "word", F.coalesce("found.source", F.lit("oov")).alias("source"), F.col("found.variants").alias("variants"))
     prons = F.filter(F.transform("variants", P.syllabify), lambda s: F.size(s) > 0)
@@ -154,6 +169,33 @@ def word_provenance(tokens: DataFrame, pron: DataFrame) -> DataFrame:
     return own.select("verse_id", F.col("at.word").alias("word"), "source", F.col("at.line").alias("line"), F.col("at.word_idx").alias("word_idx"))
 
 
+def first_words(verses: DataFrame) -> DataFrame:
+    """verse_id, key, line, word_idx, word: the first place of each lower-cased word of a row's text, found inside the row."""
+    places = F.transform(tokenize.lines_of(F.col("text")), lambda raw, line: F.transform(tokenize.words_of(raw), lambda w, i: F.struct(F.lower(w).alias("key"), line.alias("line"), i.alias("word_idx"), w.alias("word"))))
+    firsts = P.let(F.array_sort(F.flatten(places)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    return verses.select("verse_id", F.explode(firsts).alias("x")).select("verse_id", "x.*")
+
+
+def provenance(verses: DataFrame, lexicon: DataFrame, slang: DataFrame) -> DataFrame:
+    """As word_provenance(), of verses (verse_id, text), without dealing out words.
+
+    A row's words are told apart inside the row; rows of a verse_id that comes again are brought
+    together. Sources are found for distinct words, and only those of words that are not read
+    from their letters are joined, by broadcast where they are few.
+    """
+    again = verses.groupBy("verse_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("verse_id").alias("__v"))
+    same = F.col("verse_id").eqNullSafe(F.col("__v"))
+    place = F.struct("line", "word_idx", "word")
+    merged = first_words(verses.join(again, same, "left_semi")).groupBy("verse_id", "key").agg(F.min(place).alias("at")).select("verse_id", "key", "at.*")
+    firsts = first_words(verses.join(again, same, "left_anti")).unionByName(merged)
+    words = verses.select(F.explode(tokenize.words_of(F.col("text"))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    has = {name: fits(name) if name != "letters" else can_be_guessed(F.col("word")) for name, _ in SOURCES}
+    source = F.coalesce(*[F.when(has[name], F.lit(label)) for name, label in SOURCES], F.lit("oov"))
+    others = settled(known(spread(words), lexicon, slang).select(F.col("word").alias("key"), source.alias("source")).where(F.col("source") != SOURCES[-1][1]))
+    found = firsts.join(small(others), "key", "left").withColumn("source", F.coalesce("source", F.lit(SOURCES[-1][1])))
+    return found.where("source <> 'dictionary'").select("verse_id", "word", "source", "line", "word_idx")
+
+
 def pronunciations_for(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """word, variant_idx, pronunciation of every dictionary variant (also without a vowel); words that it lacks give no row."""
     own = words.select("word").distinct()
@@ -194,3 +236,14 @@ def combinations(each: DataFrame, lists: DataFrame) -> DataFrame:
     digit = lambda w, i: F.floor(F.col("variant_idx") / after(i)) % F.size(w["v"])
     combo = F.transform("all", lambda w, i: F.get(w["v"], digit(w, i).cast("int")))
     return numbered.select("span_id", F.col("variant_idx").cast("int").alias("variant_idx"), P.concat_pronunciations(combo).alias("pronunciation"))
+
+
+def pair_readings(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """w1, w2, variant_idx, v1, v2: combinations() of two words, numbered as there; lists: word, v (array of any kind).
+
+    A pair is joined with each of its words and never gathered.
+    """
+    side = lambda k: small(lists).select(F.col("word").alias(f"w{k}"), F.col("v").alias(f"all{k}"))
+    both = pairs.select("w1", "w2").join(side(1), "w1").join(side(2), "w2").select("w1", "w2", F.posexplode("all1").alias("i", "v1"), "all2")
+    each = both.select("w1", "w2", "i", "v1", F.size("all2").alias("n"), F.posexplode("all2").alias("j", "v2"))
+    return each.select("w1", "w2", (F.col("i") * F.col("n") + F.col("j")).alias("variant_idx"), "v1", "v2")

@@ -70,8 +70,10 @@ def verse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL_WORDS} select word, array_to_string(phones, ' ') phones from lts")
 def g2p_letter_to_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _words(spark, sf_dir).withColumn("phones", F.array_join(g2p.letter_to_sound(F.col("word")), " "))
-    return out.where("phones is not null").select("word", "phones")
+    phones = F.array_join(g2p.letter_to_sound(F.col("word")), " ")
+    # an outer explode, as a filter on the phones themselves would make them twice
+    out = g2p.spread(_words(spark, sf_dir)).select("word", F.explode_outer(F.array(phones)).alias("phones"))
+    return out.where("phones is not null")
 
 
 #: Words that the rare links of the chain know, as the documents' words may not reach them.

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrika.functions import tables as T
-from metrika.operators import audit, g2p, kernel, scan
-from metrika.plans import vocabulary
+from metrika.operators import audit, g2p, kernel, scan, tokenize
+from metrika.plans import catalogue, vocabulary
 from metrika.sources import lexicon
 
 
@@ -109,3 +109,47 @@ def test_a_long_line_is_scanned_as_its_parts_say(spark):
     assert {(x.a_words, x.b_words): x.n for x in got} == want and len(want) > 5
     plan = scan.span_ngrams(spark.createDataFrame([(1, 0, 0, "a")], "verse_id long, line int, word_idx int, word string"))._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_guesses_are_made_once_and_in_many_tasks(spark, tmp_path):
+    spark.createDataFrame([(1, "Brrr, a cat\nwho's who", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.QUERIES["g2p_letter_to_sound"](spark, str(tmp_path))
+    assert {r.word: r.phones for r in df.collect()} == {"a": "AE1", "cat": "K AE1 T", "who": "W AA1", "who's": "W AA1 S"}
+    plan = catalogue.QUERIES["g2p_letter_to_sound"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("igh|tch") <= 1
+
+
+def test_what_can_be_guessed_is_what_has_phones(spark):
+    r = random.Random(3)
+    words = ["y", "i", "quy", "qu", "yy", "y'", "brr", "", "'", "x1", "naïve", "be", "ice", None] + ["".join(r.choice("aeiouyqcghtwr'") for _ in range(r.randrange(1, 6))) for _ in range(500)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.coalesce(g2p.can_be_guessed(F.col("w")), F.lit(False)).alias("can"), g2p.letter_to_sound(F.col("w")).isNotNull().alias("does"))
+    assert df.where("can <> does").collect() == []
+
+
+def test_provenance_inside_rows(spark):
+    rows = [(1, "The Coogi brrr\ncoogi Thinkin' thinkin'"), (2, "cat sofa"), (2, "Sofa xx\nday xX"), (3, None), (4, ""), (None, "gas xx"), (None, "Xx gas")]
+    table = spark.createDataFrame(rows, "verse_id long, text string")
+    dictionaries = lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark)
+    tokens = tokenize.tokenize_verse(table)
+    want = g2p.word_provenance(tokens, g2p.pronounce(tokens.select("word"), *dictionaries)).collect()
+    found = g2p.provenance(table, *dictionaries)
+    assert sorted(map(str, found.select("verse_id", "word", "source", "line", "word_idx").collect())) == sorted(map(str, want))
+    plan = g2p.provenance(table.where("verse_id is not null"), *dictionaries)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [verse_id") <= 3  # ids that come again (in both branches), and the words of these
+
+
+def test_readings_of_pairs_are_numbered_as_combinations(spark):
+    lists = spark.createDataFrame([("a", ["p", "q"]), ("b", ["x", "y", "z"]), ("c", ["k"])], "word string, v array<string>")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "a"), ("a", "none")], "w1 string, w2 string")
+    got = sorted(tuple(r) for r in g2p.pair_readings(pairs, lists).collect())
+    assert [(r[2], r[3] + r[4]) for r in got if r[:2] == ("a", "b")] == list(enumerate(["px", "py", "pz", "qx", "qy", "qz"]))
+    assert len(got) == 6 + 9 + 2 and [r[2] for r in got if r[:2] == ("b", "b")] == list(range(9))
+
+
+def test_only_rhyming_tails_are_aligned(spark, tmp_path, monkeypatch):
+    text = "cat\nhat\nday\nknees\nsky\nspaghetti\nconfetti"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain, seen = kernel.score_tails, []
+    monkeypatch.setattr(kernel, "score_tails", lambda pairs, *a, **k: seen.append(plain(pairs, *a, **k)) or seen[-1])
+    rows = catalogue.QUERIES["column_distances"](spark, str(tmp_path)).collect()
+    assert rows and seen and all(r.score >= kernel.THRESHOLD for r in seen[0].collect())
