@@ -149,8 +149,7 @@ def top_rhyme_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select distinct word, source from pron)
     select verse_id, m[3] word, coalesce(source, 'oov') source, m[1]::int line, m[2]::int word_idx from f left join s on s.word = f.key where coalesce(source, 'oov') <> 'dictionary'""")
 def word_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = tokenize.tokenize_verse(verses.documents(spark, sf_dir))
-    return g2p.word_provenance(tokens, _pron(spark, sf_dir))
+    return g2p.provenance(verses.documents(spark, sf_dir), lexicon.seed_lexicon(spark), lexicon.slang_lexicon(spark))
 
 
 _CLUSTERS = f"""with ph(a) as (select unnest([{O.quoted(T.CONSONANTS)}])), cl as (select []::varchar[] c union all select [a] from ph union all select [x.a, y.a] from ph x, ph y union all select [x.a, y.a, z.a] from ph x, ph y, ph z),
