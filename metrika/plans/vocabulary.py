@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from metrika.functions import phonology as P
 from metrika.functions import tables as T
-from metrika.operators import audit, components, g2p, kernel, scan, tokenize
+from metrika.operators import audit, components, g2p, kernel, rhymes, scan, tokenize
 from metrika.plans import catalogue as C
 from metrika.plans import oracle as O
 from metrika.plans import scanner_sql as S
@@ -96,13 +96,22 @@ def aligned_symbols(aligned: DataFrame) -> DataFrame:
 
 
 def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind, a, b of the columns of the documents' rhyming ends, a pair of tails once."""
-    pairs = line_ends(verses.documents(spark, sf_dir))
+    """kind, a, b of the columns of the documents' rhyming ends, a pair of tails once.
+
+    Pairs go by the numbers of their tails; those that may rhyme are found in arrays, and only they are aligned with a path.
+    """
+    pairs = components.settled(line_ends(verses.documents(spark, sf_dir)))
     words = pairs.select(F.col("w1").alias("word")).unionByName(pairs.select(F.col("w2").alias("word"))).distinct()
-    tails = components.settled(_voiced(spark, words).select("word", F.explode("variants").alias("v")).select("word", kernel.coded(P.rhyme_tail(F.col("v"))).alias("t")))
-    side = lambda k, t: tails.select(F.col("word").alias(f"w{k}"), F.col("t").alias(t))
+    # an outer explode, as for an inner one a filter is inferred that would make every pronunciation twice
+    variants = _voiced(spark, words).select("word", F.explode_outer("variants").alias("v")).where("v is not null")
+    spelt = components.settled(variants.select("word", kernel.coded(P.rhyme_tail(F.col("v"))).alias("t")))
+    tails = components.settled(spelt.select("t").distinct().select(F.monotonically_increasing_id().alias("id"), "t"))
+    ids = spelt.join(tails, "t").select("word", "id").distinct()
+    side = lambda k, c: ids.select(F.col("word").alias(f"w{k}"), F.col("id").alias(c))
     both = pairs.join(side(1, "a"), "w1").join(side(2, "b"), "w2").select("a", "b").distinct()
-    return components.settled(aligned_symbols(kernel.score_tails(both, "a", "b").where(F.col("score") >= kernel.THRESHOLD)))
+    near = rhymes.reaching(rhymes.with_tails(both, tails), kernel.THRESHOLD - 1e-6).select("a", "b")
+    near = g2p.spread(rhymes.with_tails(near, tails).select(F.col("t1").alias("a"), F.col("t2").alias("b")))
+    return components.settled(aligned_symbols(components.settled(kernel.score_tails(near, "a", "b")).where(F.col("score") >= kernel.THRESHOLD)))
 
 
 _LEARNED = f"""{_ENDS}, rp as (select x.t a, y.t b, path, unnest(range(1, len(path) + 1)) k from fin join tails x on x.id = a_id join tails y on y.id = b_id where plain >= 0.75),
