@@ -203,17 +203,23 @@ _BIGRAMS = f"""{C._SYL}, {C._tokens("documents", "doc_id")},
     from bg join vr a on a.word = w1 join vr b on b.word = w2"""
 
 
+def _adjacent(spark: SparkSession, sf_dir: str, only_first: bool = False) -> DataFrame:
+    """span, variant_idx, pronunciation of neighbouring words; each word's variants are spelt once, and pairs join the spellings."""
+    lines = tokenize.verse_lines(verses.documents(spark, sf_dir)).select(tokenize.words_of(F.lower("raw")).alias("ws"))
+    pairs = F.transform(F.slice("ws", F.lit(2), F.size("ws")), lambda w, i: F.struct(F.get("ws", i).alias("w1"), w.alias("w2")))
+    spans = components.settled(lines.select(F.explode(pairs).alias("p")).select("p.*").distinct())
+    words = spans.select(F.col("w1").alias("word")).distinct().unionByName(spans.select(F.col("w2").alias("word")).distinct())
+    variants = F.slice("variants", 1, 1) if only_first else F.col("variants")
+    lists = components.settled(_voiced(spark, words).select("word", F.transform(variants, P.syllables_text).alias("v"))).where(F.size("v") > 0)
+    out = g2p.pair_readings(spans, lists)
+    span = F.concat_ws(" ", "w1", "w2")
+    return out.select(span.alias("span"), "variant_idx", F.concat(span, F.lit(": "), "v1", F.lit(" . "), "v2").alias("pronunciation"))
+
+
 @query(_BIGRAMS)
 def adjacent_span_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readings of every distinct pair of neighbouring words of the documents; a pair with a word that can't be voiced has none."""
-    lines = tokenize.verse_lines(verses.documents(spark, sf_dir)).select(tokenize.words_of(F.lower("raw")).alias("ws"))
-    pairs = F.transform(F.slice("ws", F.lit(2), F.size("ws")), lambda w, i: F.struct(F.get("ws", i).alias("w1"), w.alias("w2")))
-    spans = components.settled(lines.select(F.explode(pairs).alias("p")).select("p.*").distinct().select(F.concat_ws(" ", "w1", "w2").alias("span_id"), F.array("w1", "w2").alias("words")))
-    each = spans.select("span_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    lists = _voiced(spark, each.select("word")).where(F.size("variants") > 0)
-    lists = components.settled(lists.select("word", F.transform("variants", lambda s: F.struct(s.alias("syllables"), F.col("word").alias("text"))).alias("v")))
-    out = g2p.combinations(each, lists)
-    return out.select(F.col("span_id").alias("span"), "variant_idx", P.pronunciation_text(F.col("pronunciation")).alias("pronunciation"))
+    return _adjacent(spark, sf_dir)
 
 
 def _end_tails(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +268,7 @@ def consonant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BIGRAMS.replace("select w1 || ' ' || w2 span, (a.v * b.nv + b.v)::int variant_idx,", "select w1 || ' ' || w2 span,") + " where a.v = 0 and b.v = 0")
 def adjacent_span_pronunciation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first reading of every distinct pair of neighbouring words of the documents."""
-    return adjacent_span_pronunciations(spark, sf_dir).where("variant_idx = 0").drop("variant_idx")
+    return _adjacent(spark, sf_dir, only_first=True).drop("variant_idx")
 
 
 _GROUP_MEANS = " , ".join(f"(select avg(v) from lo where kind = 'consonant' and (a, b) in ({', '.join(str(tuple(sorted(p))) for p in pairs)})) {name}" for name, pairs in (("nasal", audit.NASALS), ("oral", audit.ORALS)))
