@@ -5,15 +5,20 @@ order 1 each put all their probability on the id that followed the last two ids,
 one; order 0 is the distribution of the block's ids so far, renewed when the block has REBUILD
 ids, with a share for ids that it lacks. The three distributions are mixed: an id's interval
 is its order-0 share times that model's weight, widened by the weights of the other models that
-name it, wherever it stands in the order. A weight, one for each pair of confidences of the two
-naming models, moves towards the model's part in the probability of the id that came. An id that
-no model has costs the order-0 model's escape and 16 plain bits. A carryless 64-bit range
+name it, wherever it stands in the order. The weights are those of the pair of confidences of
+the two naming models and of whether they name the same id; they are how often such models
+named the id that came, counted over the block and renewed when it has RENEW ids. An id that no
+model has costs the order-0 model's escape and 16 plain bits beside the code. A 64-bit range
 coder writes 32-bit words.
 
-Blocks don't depend on each other, so numpy codes many at once, one lane each, with the same
-model code in both directions, all in integers. Ids must be below 65,536.
+Blocks don't depend on each other, so numpy codes many at once, one lane each, all in integers.
+What the models say depends on the ids alone, so a writer finds it for whole blocks, by sorting
+places by context; only the coder's ranges go id by id, and the code is the sum of what they
+leave out. A reader learns id by id; its contexts keep the place in order 0 beside the id. Ids
+must be below 65,536.
 
-File: MAGIC; blocks (n ids, bytes, crc32 of the bytes, crc32 of the ids; then the bytes); the
+File: MAGIC; blocks (n ids, bytes, crc32 of the bytes, crc32 of the ids; then the bytes: the
+number of plain ids, these in 16 bits, the code's words from the highest); the
 tables (zlib: documents' ids and numbers of ids; blocks' numbers of ids and bytes); a trailer
 (tables' offset, bytes, crc32, MAGIC). The tables let a reader begin at any block.
 """
@@ -25,98 +30,70 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"MIDC2\n"
+MAGIC = b"MIDC3\n"
 BLOCK = 8192
-LANES = 512
+LANES = 2048  # that a reader decodes at once, at most
+_WIDE = 1024  # lanes whose ranges a writer follows at once
 REBUILD = (16, 64, 160, 384, 896, 2048, 4096, 6144)
+RENEW = (32, 64, 128, 256, 512, 1024, 2048, 3072, 4096, 5120, 6144, 7168)
 _SLOTS = 4096  # of order-0 frequencies, and of the weights
 _BITS = 24  # of an interval
 _CONTEXTS = 4096  # of ids that order 1 and order 2 keep, by hash
+_GROUP = 32  # lanes whose tables of all ids are in use at once
+_PLACE = BLOCK.bit_length() - 1  # bits of a place in a block
+_NONE = 1 << 16  # an escape's id
+_NEW = 0x1FFFF  # the id of a context that had none yet
 _HEAD = struct.Struct("<IIII")
 _TAIL = struct.Struct("<QII6s")
 U = np.uint64
 
 
-class Model:
-    """Predictions and weights of all lanes."""
-
-    def __init__(self, lanes: int, width: int):
-        self.lane, self.width = np.arange(lanes), width
-        self.base, self.row, self.slot0 = self.lane * _CONTEXTS, self.lane * (width + 1), self.lane * _SLOTS
-        self.one = np.zeros(lanes * _CONTEXTS, np.int32)  # id + confidence << 16
-        self.two = np.zeros(lanes * _CONTEXTS, np.int32)
-        self.p_two = np.full(lanes * 16, 1 << 12, np.int64)  # weights out of 65,536; of order 1: out of what order 2 leaves
-        self.p_one = np.full(lanes * 16, 1 << 12, np.int64)
-        self.a = np.zeros(lanes, np.int64)  # the last id and the one before
-        self.b = np.zeros(lanes, np.int64)
-        self.table = np.zeros(lanes * (width + 1), np.uint32)  # order 0: first slot << 16 | slots, by lane and id; the id `width` is never known
-        self.escape = np.zeros(lanes, np.int64)  # first slot of the escape
-        self.touched: np.ndarray | None = None
-
-    def renew(self, ids: np.ndarray) -> Zero:
-        """Order 0 from the block so far."""
-        if self.touched is not None:
-            self.table[self.touched] = 0
-        zero = Zero(ids)
-        self.touched = zero.lane * (self.width + 1) + zero.id
-        self.table[self.touched] = (zero.first << 16 | zero.slots).astype(np.uint32)
-        self.escape = zero.escape
-        return zero
-
-    def predict(self) -> None:
-        self.k1 = self.base + ((self.a * 40503 >> 4) & (_CONTEXTS - 1))
-        self.k2 = self.base + ((self.a * 40503 + self.b * 60493 >> 5) & (_CONTEXTS - 1))
-        e1, e2 = self.one[self.k1].astype(np.int64), self.two[self.k2].astype(np.int64)
-        self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.c1, self.c2 = e1 >> 16, e2 >> 16
-        self.context = (self.lane << 4) + (self.c2 << 2) + self.c1
-        self.f2 = self.p_two[self.context] >> 4
+def _context2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order 2's context of the last id and the one before (uint32)."""
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(20)
+
+
+def _followers(ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[lane, place]: the id that came after a place's context last, and a confidence: 0 new, 1 to 3 by how often it came again."""
+    lanes, n = ids.shape
+    keys = np.sort(context << np.uint32(_PLACE) | np.arange(n, dtype=np.uint32), axis=1)
+    at = (keys & np.uint32(BLOCK - 1)).astype(np.int64) + np.arange(lanes)[:, None] * n
+    own = ids.ravel().take(at)
+    keys >>= np.uint32(_PLACE)
+    same = np.zeros((lanes, n), bool)
+    same[:, 1:] = keys[:, 1:] == keys[:, :-1]
+    named = np.zeros((lanes, n), np.int32)
+    named[:, 1:] = own[:, :-1]
+    named *= same
+    hit = same & (named == own)
+    sure = same.astype(np.int32)
+    sure[:, 1:] += hit[:, :-1]
+    sure[:, 2:] += hit[:, :-2] & hit[:, 1:-1]
+    sure *= same
+    out = np.empty(lanes * n, np.int32)
+    out[at.ravel()] = (named | sure << 16).ravel()
+    out = out.reshape(lanes, n)
+    return out & 0xFFFF, out >> 16
+
+
+class Weights:
+    """Weights of order 2 and order 1 out of _SLOTS, by lane and state: their confidences (2 bits each), and whether they agree."""
+
+    told2, told1 = np.arange(32) >> 3 > 0, (np.arange(32) >> 1 & 3) > 0  # a new context says nothing
+
+    def __init__(self, lanes: int):
+        self.seen = np.zeros((lanes, 4, 32), np.int64)
+        self.base = np.arange(lanes)[:, None] * 128
+        self.renew(np.zeros((lanes, 0), np.uint8))
+
+    def renew(self, events: np.ndarray) -> None:
+        """events [lane, place] since the last time: state | 32 if order 2 named the id that came, or else | 64 if order 1 did."""
+        self.seen += np.bincount((self.base + events).ravel(), minlength=self.seen.size).reshape(self.seen.shape)
+        n = self.seen.sum(axis=1) + 2
         # a model that names an id gives it something, as the others may lack it
-        self.f1 = np.maximum((_SLOTS - self.f2) * self.p_one[self.context] >> 16, 1)
-        self.rest = _SLOTS - self.f2 - self.f1
-        self.at1, self.at2 = self.places(self.id1)[0], self.places(self.id2)[0]
-
-    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first slot, slots) of an id of each lane in order 0; an unknown one has none, at the escape."""
-        entry = self.table[self.row + ids].astype(np.int64)
-        slots = entry & 0xFFFF
-        return np.where(slots > 0, entry >> 16, self.escape), slots
-
-    def interval(self, ids: np.ndarray, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, size, escaped) of each lane's id, mixed: what stands before it, and all that the models give it."""
-        self.hit2, self.hit1 = ids == self.id2, ids == self.id1
-        escaped = (slots == 0) & ~self.hit2 & ~self.hit1
-        two, one = self.f2 << 12, self.f1 << 12
-        before2 = ~self.hit2 & (self.at2 <= at)
-        before1 = ~self.hit1 & ((self.at1 < at) | (self.at1 == at) & ~self.hit2)
-        begin = at * self.rest + two * before2 + one * before1
-        size = np.where(escaped, _SLOTS - self.escape, slots) * self.rest + two * self.hit2 + one * self.hit1
-        return begin, size, escaped
-
-    def find(self, v: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, escaped) of the lane whose interval holds v; slots: by_slot() of order 0."""
-        swap = self.at1 < self.at2
-        at_a, at_b = np.minimum(self.at1, self.at2) * self.rest, np.maximum(self.at1, self.at2) * self.rest
-        wide_a, wide_b = np.where(swap, self.f1, self.f2) << 12, np.where(swap, self.f2, self.f1) << 12
-        in_a = (v >= at_a) & (v < at_a + wide_a)
-        w = np.where(v >= at_a + wide_a, v - wide_a, v)
-        in_b = ~in_a & (w >= at_b) & (w < at_b + wide_b)
-        w = np.where(~in_a & (w >= at_b + wide_b), w - wide_b, w)
-        slot = np.minimum(w // self.rest, _SLOTS - 1)
-        found = slots[self.slot0 + slot]
-        ids = np.where(in_a, np.where(swap, self.id1, self.id2), np.where(in_b, np.where(swap, self.id2, self.id1), found))
-        return ids.astype(np.int64), ~in_a & ~in_b & (found < 0)
-
-    def learn(self, ids: np.ndarray, size: np.ndarray) -> None:
-        """size: of the interval that came; the models' parts in it move the weights."""
-        part2, part1 = (self.f2 << 28) // size * self.hit2, (self.f1 << 28) // size * self.hit1
-        p, q = self.p_two[self.context], self.p_one[self.context]
-        self.p_two[self.context] = np.minimum(np.maximum(p + ((part2 - p) >> 4), 64), 60000)
-        self.p_one[self.context] = np.minimum(np.maximum(q + ((part1 - (((65536 - part2) * q) >> 16)) >> 4), 64), 60000)
-        # an escaped id is no model's, so interval()'s hits hold for it too
-        self.two[self.k2] = ids + (np.minimum(self.c2 + 1, 3) << 16) * self.hit2
-        self.one[self.k1] = ids + (np.minimum(self.c1 + 1, 3) << 16) * self.hit1
-        self.b, self.a = self.a, ids
+        two = np.clip((self.seen[:, 1] * _SLOTS + 512) // n, 1, 3700) * self.told2
+        one = np.clip((self.seen[:, 2] * _SLOTS + 512) // n, 1, 3960 - two) * self.told1
+        self.both = (two | one << 16).astype(np.int32).ravel()
 
 
 class Zero:
@@ -132,7 +109,7 @@ class Zero:
         lanes, n = ids.shape
         ordered = np.sort(ids, axis=1, kind="stable").ravel()
         new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
         new[::n] = True
         starts = np.flatnonzero(new)
         count = np.diff(np.append(starts, len(ordered)))
@@ -150,135 +127,244 @@ class Zero:
         self.escape = total[begin[1:]] - total[begin[:-1]]  # first slot of the escape
 
     def by_slot(self) -> np.ndarray:
-        """[lane * _SLOTS + slot] -> id, or -1 for the escape."""
-        out = np.full(len(self.escape) * _SLOTS, -1, np.int32)
-        at = np.repeat(self.lane * _SLOTS + self.first, self.slots) + _ramp(self.slots)
-        out[at] = np.repeat(self.id, self.slots)
-        return out
-
-
-def _ramp(sizes: np.ndarray) -> np.ndarray:
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
-class Writer:
-    def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-        self.words, self.n = np.zeros((lanes, steps + 64), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(self, at, first: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """Narrow the ranges of lanes `at` to [first, first + size) of 1 << bits."""
-        r = self.range[at] >> U(bits)
-        low, r_new = self.low[at] + r * first.astype(U), r * size.astype(U)
-        self.low[at], self.range[at] = low, r_new
-        if isinstance(at, slice):
-            due = np.flatnonzero(r_new < U(1 << 32))
-        else:
-            due = at[r_new < U(1 << 32)]
-        if len(due):
-            out = _settle(self.low, self.range, due)
-            if len(out):
-                self.words[out, self.n[out]] = (self.low[out] >> U(32)).astype(np.uint32)
-                self.n[out] += 1
-                self.low[out] <<= U(32)
-                self.range[out] <<= U(32)
-
-    def finish(self) -> list[bytes]:
-        for shift in (32, 0):
-            self.words[np.arange(len(self.n)), self.n] = (self.low >> U(shift)).astype(np.uint32)
-            self.n += 1
-        return [self.words[i, : self.n[i]].astype("<u4").tobytes() for i in range(len(self.n))]
-
-
-def _settle(low: np.ndarray, rng: np.ndarray, due: np.ndarray) -> np.ndarray:
-    """Lanes of `due` whose upper word is settled, or is made so by cutting a range that became too small."""
-    l, r = low[due], rng[due]
-    open_ = (l >> U(32)) != ((l + r - U(1)) >> U(32))
-    small = open_ & (r < U(1 << 28))
-    if small.any():
-        rng[due[small]] = U(1 << 32) - (l[small] & U(0xFFFFFFFF))
-    return due[~open_ | small]
-
-
-class Reader:
-    def __init__(self, parts: list[bytes]):
-        lanes = len(parts)
-        width = max(map(len, parts)) // 4 + 4
-        self.words = np.zeros((lanes, width), np.uint32)
-        for i, p in enumerate(parts):
-            self.words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-        self.code = (self.words[:, 0].astype(U) << U(32)) | self.words[:, 1].astype(U)
-        self.n = np.full(lanes, 2)
-
-    def value(self, at, bits: int) -> np.ndarray:
-        """Where the code of lanes `at` is, out of 1 << bits."""
-        r = self.range[at] >> U(bits)
-        return np.minimum((self.code[at] - self.low[at]) // r, U((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, at, first: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> U(bits)
-        r_new = r * size.astype(U)
-        self.low[at] += r * first.astype(U)
-        self.range[at] = r_new
-        due = np.flatnonzero(r_new < U(1 << 32)) if isinstance(at, slice) else at[r_new < U(1 << 32)]
-        if len(due):
-            out = _settle(self.low, self.range, due)
-            if len(out):
-                following = self.words[out, np.minimum(self.n[out], self.words.shape[1] - 1)]
-                self.code[out] = (self.code[out] << U(32)) | following.astype(U)
-                self.n[out] += 1
-                self.low[out] <<= U(32)
-                self.range[out] <<= U(32)
-
-
-_ALL = slice(None)
+        """[lane, slot] -> id | first slot << 17 | slots << 30 of its run; the escape's has _NONE."""
+        last = np.cumsum(np.bincount(self.lane, minlength=len(self.escape)))
+        entry = np.insert(self.id | self.first << 17 | self.slots << 30, last, _NONE | self.escape << 17 | (_SLOTS - self.escape) << 30)
+        return np.repeat(entry, np.insert(self.slots, last, _SLOTS - self.escape)).reshape(-1, _SLOTS)
+
+
+class Places:
+    """Where the ids of a group of lanes stand in order 0."""
+
+    def __init__(self, lanes: int, width: int):
+        self.row = (np.arange(lanes) * width)[:, None]
+        self.width, self.table, self.touched = width, np.zeros(lanes * width, np.int32), None
+        self.escape = np.zeros((lanes, 1), np.int32)
+
+    def renew(self, zero: Zero) -> None:
+        if self.touched is not None:
+            self.table[self.touched] = 0
+        self.touched = zero.lane * self.width + zero.id
+        self.table[self.touched] = zero.first << 16 | zero.slots
+        self.escape = zero.escape.astype(np.int32)[:, None]
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first slot, slots) of ids [lane, any]; an unknown one has none, at the escape."""
+        entry = self.table.take(self.row[: len(ids)] + ids)
+        slots = entry & 0xFFFF
+        return np.where(slots > 0, entry >> 16, self.escape), slots
+
+    def mark(self, last: np.ndarray) -> None:
+        """Renew the first slots beside the ids that contexts [lane, context] keep."""
+        kept = np.flatnonzero(last != _NEW)
+        lane = kept // _CONTEXTS
+        own = last.ravel().take(kept)
+        entry = self.table.take(lane * self.width + (own & 0x1FFFF))
+        last.reshape(-1)[kept] = own & 0x7FFFF | np.where(entry > 0, entry >> 16, self.escape[:, 0].take(lane)) << 19
+
+
+def _intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, size, escaped) of all ids [lane, place] of a group: what stands before an id, and all that the mixed models give it."""
+    lanes, steps = ids.shape
+    a, b = np.zeros((2, lanes, steps), np.uint32)
+    a[:, 1:], b[:, 2:] = ids[:, :-1], ids[:, :-2]
+    id1, c1 = _followers(ids, a & np.uint32(_CONTEXTS - 1))
+    id2, c2 = _followers(ids, _context2(a, b))
+    told1, told2 = c1 > 0, c2 > 0
+    hit1, hit2 = (id1 == ids) & told1, (id2 == ids) & told2
+    state = c2 << 3 | c1 << 1 | ((id1 == id2) & (told1 == told2))
+    events = (state | hit2 << 5 | (hit1 & ~hit2) << 6).astype(np.uint8)
+    both, weights = np.empty((lanes, steps), np.int32), Weights(lanes)
+    base, own = np.arange(lanes)[:, None] * 32, [0, *(t for t in RENEW if t < steps), steps]
+    for x, y in zip(own, own[1:]):
+        both[:, x:y] = weights.both.take(base + state[:, x:y])
+        weights.renew(events[:, x:y])
+    at, slots, at1, at2 = np.empty((4, lanes, steps), np.int32)
+    places, narrow = Places(lanes, int(ids.max()) + 1), ids.astype(np.uint16)
+    own = [0, *(t for t in REBUILD if t < steps), steps]
+    for x, y in zip(own, own[1:]):
+        if x:
+            places.renew(Zero(narrow[:, :x]))
+        at[:, x:y], slots[:, x:y] = places.of(ids[:, x:y])
+        at1[:, x:y], at2[:, x:y] = places.of(id1[:, x:y])[0], places.of(id2[:, x:y])[0]
+    at1 *= told1
+    at2 *= told2
+    f2, f1 = both & 0xFFFF, both >> 16
+    rest = _SLOTS - f2 - f1
+    f2 <<= 12
+    f1 <<= 12
+    escaped = (slots == 0) & ~hit2 & ~hit1
+    np.copyto(slots, _SLOTS - at, where=escaped)  # an unknown id is at the escape
+    before1 = ~hit1 & ((at1 < at) | (at1 == at) & ~hit2)
+    begin = at * rest + f2 * (~hit2 & (at2 <= at)) + f1 * before1
+    return begin, slots * rest + f2 * hit2 + f1 * hit1, escaped
+
+
+def _ranges(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[place, lane] of sizes out of 1 << _BITS: what a slot of each is worth, and whether a word is written after it."""
+    worth, due = np.empty(size.shape, U), np.empty(size.shape, bool)
+    left, short, word = np.full(size.shape[1], 2**64 - 1, U), U(1 << 32), U(32)
+    for r, n, d in zip(worth, size, due):
+        np.right_shift(left, U(_BITS), out=r)
+        np.multiply(r, n, out=left)
+        np.less(left, short, out=d)
+        np.left_shift(left, word, out=left, where=d)
+    return worth, due
+
+
+def _words(added: np.ndarray, due: np.ndarray) -> list[bytes]:
+    """The code of each lane: the sum of `added` [lane, place], a word lower after each that is due."""
+    first = np.ones(due.shape, bool)
+    first[:, 1:] = due[:, :-1]
+    lane_words = first.sum(axis=1) + 1
+    ends = np.cumsum(lane_words)
+    starts, mask, word = np.flatnonzero(first.ravel()), U(0xFFFFFFFF), U(32)
+    added = added.ravel()
+    high = np.arange(len(starts)) + np.repeat(np.arange(len(ends)), lane_words - 1)
+    words = np.zeros(int(ends[-1]), U)
+    words[high] = np.add.reduceat(added >> word, starts)
+    words[high + 1] += np.add.reduceat(added & mask, starts)
+    while True:
+        carry = words >> word
+        if not carry.any():
+            break
+        words &= mask
+        words[:-1] += carry[1:]  # a lane's first word has none
+    words = words.astype("<u4")
+    return [words[e - n : e].tobytes() for e, n in zip(ends.tolist(), lane_words.tolist())]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code words of each block (uint16 ids, any lengths; shorter ones are padded within their lane)."""
+    """The bytes of each block (uint16 ids, any lengths up to BLOCK; shorter ones are padded within their lane)."""
+    return [b for i in range(0, len(blocks), _WIDE) for b in _encode(blocks[i : i + _WIDE])]
+
+
+def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks))
-    ids = np.zeros((lanes, steps), np.uint16)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-    model, out = Model(lanes, int(ids.max()) + 1), Writer(lanes, 2 * steps)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
-    for t in range(steps):
-        if t in REBUILD:
-            model.renew(ids[:, :t])
-        now = columns[t]
-        model.predict()
-        begin, size, escaped = model.interval(now, *model.places(now))
-        out.put(_ALL, begin, size, _BITS)
-        rest = np.flatnonzero(escaped)
-        if len(rest):
-            out.put(rest, now[rest], np.ones(len(rest), np.int64), 16)
-        model.learn(now, size)
-    return out.finish()
+    begin, size = np.empty((lanes, steps), np.uint32), np.empty((steps, lanes), np.uint32)
+    groups = [slice(lo, min(lo + _GROUP, lanes)) for lo in range(0, lanes, _GROUP)]
+    plain = []
+    for g in groups:
+        ids = np.zeros((g.stop - g.start, steps), np.int32)
+        for i, b in enumerate(blocks[g]):
+            ids[i, : len(b)] = b
+        begin[g], own, escaped = _intervals(ids)
+        size[:, g] = own.T
+        cut = np.cumsum(escaped.sum(axis=1))[:-1]
+        plain += [struct.pack("<I", len(x)) + x.tobytes() for x in np.split(ids[escaped].astype("<u2"), cut)]
+    worth, due = _ranges(size)
+    out = []
+    for g in groups:
+        out += _words(np.ascontiguousarray(worth[:, g].T) * begin[g], np.ascontiguousarray(due[:, g].T))
+    return [x + y for x, y in zip(plain, out)]
 
 
 def decode(parts: list[bytes], sizes: list[int], width: int = 1 << 16) -> list[np.ndarray]:
-    """The blocks of encode()."""
+    """The blocks of encode(); ids are below width."""
     lanes, steps = len(parts), max(sizes)
-    ids = np.zeros((lanes, steps), np.uint16)
-    model, source = Model(lanes, width), Reader(parts)
-    slots = np.full(lanes * _SLOTS, -1, np.int32)
+    lane = np.arange(lanes)
+    n_plain = [struct.unpack_from("<I", p)[0] for p in parts]
+    # the lanes' plain ids and words, one lane's after another's; words of 0 follow the last
+    plain = np.frombuffer(b"".join(p[4 : 4 + 2 * n] for p, n in zip(parts, n_plain)) + b"\0\0", "<u2")
+    words = np.frombuffer(b"".join(p[4 + 2 * n :] + bytes(8) for p, n in zip(parts, n_plain)), "<u4").astype(U)
+    at_plain = np.concatenate([[0], np.cumsum(n_plain)])[:-1]
+    at_word = np.concatenate([[0], np.cumsum([(len(p) - 4 - 2 * n) // 4 + 2 for p, n in zip(parts, n_plain)])])
+    last_word, at_word = at_word[1:] - 1, at_word[:-1] + 2
+    code, left = words[at_word - 2] << U(32) | words[at_word - 1], np.full(lanes, 2**64 - 1, U)
+
+    ids, states, hits = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.uint8), np.zeros((steps, 2, lanes), bool)
+    weights, seen, places = Weights(lanes), 0, Places(min(lanes, _GROUP), width)
+    # rows 0 and 1 are of order 2 and order 1; what came last: id | confidence << 17 | its first slot in order 0 << 19
+    last = np.full((2, lanes, _CONTEXTS), _NEW, np.int32)
+    slots = np.full((lanes, _SLOTS), _NONE | _SLOTS << 30, np.int64)
+    flat, flat_slots = last.reshape(-1), slots.reshape(-1)
+    base, base_slot, base_state = np.arange(2 * lanes).reshape(2, lanes) * _CONTEXTS, lane * _SLOTS, lane * 32
+    context, was = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
+    most, short, bits = U((1 << _BITS) - 1), U(1 << 32), U(_BITS)
     for t in range(steps):
         if t in REBUILD:
-            slots = model.renew(ids[:, :t]).by_slot()
-        model.predict()
-        now, escaped = model.find(source.value(_ALL, _BITS), slots)
-        now[escaped] = width  # no model's id
-        begin, size, _ = model.interval(now, *model.places(now))
-        source.take(_ALL, begin, size, _BITS)
-        rest = np.flatnonzero(escaped)
-        if len(rest):
-            v = source.value(rest, 16)
-            source.take(rest, v, np.ones(len(rest), np.int64), 16)
-            now[rest] = v
-        ids[:, t] = now
-        model.learn(now, size)
-    return [ids[i, :n] for i, n in enumerate(sizes)]
+            for lo in range(0, lanes, _GROUP):
+                g = slice(lo, min(lo + _GROUP, lanes))
+                zero = Zero(np.ascontiguousarray(ids[:t, g].T))
+                places.renew(zero)
+                slots[g] = zero.by_slot()
+                places.mark(last[0, g])
+                places.mark(last[1, g])
+        if t in RENEW:
+            own = hits[seen:t]
+            weights.renew((states[seen:t] | own[:, 0] << 5 | (own[:, 1] & ~own[:, 0]) << 6).T)
+            seen = t
+        key = base + context
+        e = flat.take(key).astype(np.int64)
+        named, sure, place = e & 0x1FFFF, e >> 17 & 3, e >> 19
+        state = sure[0] << 3
+        state |= sure[1] << 1
+        state += named[0] == named[1]
+        states[t] = state
+        state += base_state
+        both = weights.both.take(state).astype(np.int64)
+        f = np.empty((2, lanes), np.int64)
+        np.bitwise_and(both, 0xFFFF, out=f[0])
+        np.right_shift(both, 16, out=f[1])
+        rest = _SLOTS - f[0]
+        rest -= f[1]
+        f <<= 12
+        begins = place * rest
+        before = (place[1] - place[0]) >> 63  # all bits where order 1's is first
+        begins[0] += f[1] & before
+        begins[1] += f[0] & ~before
+        worth = left >> bits
+        v = np.minimum(code // worth, most).view(np.int64)
+        past = v - begins
+        inside = past.view(U) < f.view(U)
+        over = np.minimum(np.maximum(past, 0), f)
+        # without what the models add, v is in its id's run, or at its beginning
+        over = over[0] + over[1]
+        own = (v - over).astype(np.int32) // rest.astype(np.int32)
+        run = flat_slots.take(own + base_slot)
+        known, first = run & 0x1FFFF, run >> 17 & 0x1FFF
+        now = known.copy()
+        np.copyto(now, named[1], where=inside[1])
+        np.copyto(now, named[0], where=inside[0])
+        hit = np.equal(named, now, out=hits[t])
+        over += first * rest
+        begin = over
+        np.copyto(begin, begins[1], where=hit[1])
+        np.copyto(begin, begins[0], where=hit[0])
+        run >>= 30
+        size = run * rest
+        np.copyto(size, 0, where=known != now)
+        f *= hit
+        size += f[0]
+        size += f[1]
+        code -= worth * begin.view(U)
+        left = worth * size.view(U)
+        due = (left < short).astype(U)
+        shift = due << U(5)
+        left <<= shift
+        code <<= shift
+        code |= words.take(at_word) * due
+        at_word += due.view(np.int64)
+        np.minimum(at_word, last_word, out=at_word)
+        escaped = np.flatnonzero(now == _NONE)
+        if len(escaped):
+            now[escaped] = plain[at_plain[escaped]]
+            at_plain[escaped] += 1
+        ids[t] = now
+        # an escaped id is no model's, so the hits hold for it too
+        told = np.empty((2, lanes), np.int64)
+        np.left_shift(first, 19, out=told[0])
+        told[0] |= now
+        told[0] += 1 << 17
+        told[1] = told[0]
+        e &= 3 << 17
+        told += np.minimum(e, 2 << 17) * hit
+        flat[key] = told
+        was += now * 0x9E3779B1
+        np.bitwise_and(was >> 20, _CONTEXTS - 1, out=context[0])
+        np.bitwise_and(now, _CONTEXTS - 1, out=context[1])
+        was = now * 0x85EBCA6B
+    return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(sizes)]
 
 
 class FileWriter:

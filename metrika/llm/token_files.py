@@ -24,6 +24,8 @@ from .token_ids import Encoder
 
 MOST_TASKS = 50_000  # that read ranges; a task may have several
 FILE = 64 << 20  # characters of the texts of a file, about
+LEAST = 32 << 20  # below which there aren't more files for more tasks, as wide blocks are coded faster
+PIECES = 200_000  # that an encoder keeps
 END = b"\0\0\0\0"
 
 
@@ -34,7 +36,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, tex
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part, encoder, out, docs_seen = context.partitionId(), Encoder(tokenizer, spaced), None, 0
+        part, encoder, out, docs_seen = context.partitionId(), Encoder(tokenizer, spaced, PIECES), None, 0
         system, path = open_folder(folder)
         name = f"part-{part:06d}.ids"
         trial = f"{path}/_{name}.{context.attemptNumber()}"
@@ -52,7 +54,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, tex
 
     source = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string").alias("text"))
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST)), -(-size // FILE))
     ranged = source.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     return sorted(ranged.mapInArrow(lean(run), "part int, name string, n_ids long, n_docs long").collect())
 

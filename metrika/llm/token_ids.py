@@ -108,11 +108,12 @@ class Encoder:
     """ids(texts) gives for each text (None: empty) its ids as little-endian unsigned 32-bit numbers.
 
     `spaced`: white space belongs to the tokens (byte-level vocabularies); else it is dropped.
+    `keep`: pieces that the store may have before it drops all.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, keep: int = STORE):
         self.tokenizer, ids = loaded(path)
-        self.spaced = spaced
+        self.spaced, self.keep = spaced, keep
         self.letters = byte_letters()
         self.parts = _Parts(self.tokenizer, ids)
         self.store = _Pieces(self)
@@ -162,7 +163,7 @@ class Encoder:
         """The ids of plain texts: each distinct word of theirs is looked up once, the rest is done on Arrow's buffers."""
         if not texts:
             return []
-        if len(self.words) > STORE:
+        if len(self.words) > self.keep:
             self.words.clear()
         words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
         coded = words.flatten().dictionary_encode()
@@ -187,9 +188,9 @@ class Encoder:
             out[i] = v
         for (i, _), v in zip(whole, self._encode([texts[i] for i, _ in whole])):
             out[i] = v
-        if len(self.store) > STORE:
+        if len(self.store) > self.keep:
             self.store.clear()
-        if len(self.parts) > STORE:
+        if len(self.parts) > self.keep:
             self.parts.clear()
         store = self.store
         first = [pieces[0] for _, pieces in split] if self.spaced else []

@@ -245,6 +245,25 @@ def test_codec_extremes():
         assert all(np.array_equal(a, b) for a, b in zip(group, id_codec.decode(id_codec.encode(group), [len(b) for b in group]), strict=True))
 
 
+def test_codec_follows_wide_groups():
+    """More blocks than a writer follows at once; codes whose sums carry over many words; contexts that are new say nothing."""
+    rng = np.random.default_rng(6)
+    blocks = [rng.zipf(1.3, 40 + i % 7).clip(0, 65535).astype(np.uint16) for i in range(id_codec._WIDE + 70)]
+    blocks[3] = np.repeat(np.arange(65500, 65536), 200).astype(np.uint16)
+    parts = id_codec.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, id_codec.decode(parts, [len(b) for b in blocks]), strict=True))
+    added = np.full((1, 9), 2**64 - 1, np.uint64)
+    code = id_codec._words(added, np.ones((1, 9), bool))[0]
+    want = sum((2**64 - 1) << 32 * (8 - k) for k in range(9)) % (1 << 32 * 10)
+    assert b"".join(code[i : i + 4][::-1] for i in range(0, len(code), 4)) == want.to_bytes(40, "big")
+
+
+def test_token_files_are_wide(spark, texts, tmp_path):
+    """A small table isn't dealt into a file a task: few wide files are coded faster than many narrow ones."""
+    parts = token_files.write(spark, table(spark, texts), f"file://{tmp_path}/wide", tokenizer_file("byte_bpe_50k.json"))
+    assert len(parts) == 1 and parts[0]["n_docs"] == len(texts)
+
+
 def test_token_files(spark, texts, tmp_path):
     path = tokenizer_file("byte_bpe_50k.json")
     folder = f"file://{tmp_path}/ids"
