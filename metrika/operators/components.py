@@ -21,14 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows for which a settled table has a partition of its own, once there is one a core.
+ROWS = 2000
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder: short lineage that survives lost executors."""
+    """df, computed once and written to the checkpoint folder: short lineage that survives lost executors.
+
+    A small table doesn't keep the partitions of the shuffles and unions that it came from, as
+    each later round would have a task for each of them.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     # a checkpoint alone would compute df twice
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint()
+    most = max(spark.sparkContext.defaultParallelism, kept.count() // ROWS + 1)
+    out = (kept.coalesce(most) if most < kept.rdd.getNumPartitions() else kept).checkpoint()
     kept.unpersist()
     return out
 

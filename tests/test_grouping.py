@@ -190,3 +190,18 @@ def test_codas_of_any_length():
         plain = rhymes.coda_table([c for x in lists for c in x + more])
         at = np.concatenate(places)
         assert (table[at[:, None], at[None, :]] == plain).all()
+
+
+def test_settled_tables_keep_few_partitions(spark):
+    """A small table in rounds of unions has no more partitions than cores, whatever the shuffles'; a large one keeps its own."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        small = components.settled(spark.range(500).groupBy((F.col("id") % 50).alias("k")).count())
+        both = components.settled(small.unionByName(small).unionByName(small))
+        large = components.settled(spark.range(40 * components.ROWS).repartition(40, "id"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    cores = spark.sparkContext.defaultParallelism
+    assert small.rdd.getNumPartitions() <= cores and both.rdd.getNumPartitions() <= cores and both.count() == 150
+    assert large.rdd.getNumPartitions() == 40
