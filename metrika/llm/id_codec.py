@@ -1,26 +1,26 @@
-"""Token-id files: an adaptive context-mixing range coder over independent, checksummed blocks.
-
-A block of up to BLOCK ids starts from nothing. For each id three models predict: order 2 and
-order 1 each put all their probability on the id that followed the last two ids, or the last
-one; order 0 is the distribution of the block's ids so far, renewed when the block has REBUILD
-ids, with a share for ids that it lacks. The three distributions are mixed: an id's interval
-is its order-0 share times that model's weight, widened by the weights of the other models that
-name it, wherever it stands in the order. The weights are those of the pair of confidences of
-the two naming models and of whether they name the same id; they are how often such models
-named the id that came, counted over the block and renewed when it has RENEW ids. An id that no
-model has costs the order-0 model's escape and 16 plain bits beside the code. A 64-bit range
-coder writes 32-bit words.
-
-Blocks don't depend on each other, so numpy codes many at once, one lane each, all in integers.
-What the models say depends on the ids alone, so a writer finds it for whole blocks, by sorting
-places by context; only the coder's ranges go id by id, and the code is the sum of what they
-leave out. A reader learns id by id; its contexts keep the place in order 0 beside the id. Ids
-must be below 65,536.
-
-File: MAGIC; blocks (n ids, bytes, crc32 of the bytes, crc32 of the ids; then the bytes: the
-number of plain ids, these in 16 bits, the code's words from the highest); the
-tables (zlib: documents' ids and numbers of ids; blocks' numbers of ids and bytes); a trailer
-(tables' offset, bytes, crc32, MAGIC). The tables let a reader begin at any block.
+"""Token-id files: a context-mixing range coder over checksummed blocks in frames.
+
+A frame of up to LANES blocks of up to BLOCK ids begins with tables: its ids by falling number,
+their shares (slots), and the models' weights. Ids are coded by their ranks in the first. For
+each id three models predict: order 2 and order 1 each put all their probability on the id that
+followed the last two ids, or the last one, in the block so far; order 0 is the distribution of
+the frame's ids. The three distributions are mixed: an id's interval is its order-0 share times
+that model's weight, widened by the weights of the other models that name it, wherever it stands
+in the order. The weights are those of the pair of confidences of the two naming models and of
+whether they name the same id; they are how often such models named the id that came, over the
+frame. A 64-bit range coder writes 32-bit words.
+
+Blocks of a frame need its tables but not each other, so numpy codes many at once, one lane each,
+all in integers. What the models say depends on the ids alone, so a writer finds it for whole
+blocks, by sorting places by context; only the coder's ranges go id by id, and the code is the
+sum of what they leave out. A reader learns id by id what follows a context. Ids must be below
+65,536.
+
+File: MAGIC; frames (bytes and crc32 of the tables, the tables by zlib, then blocks: n ids, bytes,
+crc32 of the bytes, crc32 of the ids, and the code's words from the highest); the index (zlib:
+documents' ids and numbers of ids; blocks' numbers of ids and bytes; frames' tables' bytes); a
+trailer (index's offset, bytes, crc32, MAGIC). All frames but the last have LANES blocks. The
+index lets a reader begin at any block.
 """
 
 from __future__ import annotations
@@ -30,20 +30,19 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"MIDC3\n"
+MAGIC = b"MIDC4\n"
 BLOCK = 8192
-LANES = 2048  # that a reader decodes at once, at most
-_WIDE = 1024  # lanes whose ranges a writer follows at once
-REBUILD = (16, 64, 160, 384, 896, 2048, 4096, 6144)
-RENEW = (32, 64, 128, 256, 512, 1024, 2048, 3072, 4096, 5120, 6144, 7168)
-_SLOTS = 4096  # of order-0 frequencies, and of the weights
-_BITS = 24  # of an interval
+LANES = 2048  # of a frame, at most; that a reader decodes at once
+_WIDE = 512  # lanes whose ranges a writer follows at once
+_SHARE = 17  # bits of order-0 slots, of which every id of a frame has one at least
+_WEIGHT = 12  # bits of weights
+_BITS = _SHARE + _WEIGHT  # of an interval
+_STATES = 32  # the models' confidences (2 bits each), and whether they agree
 _CONTEXTS = 4096  # of ids that order 1 and order 2 keep, by hash
-_GROUP = 32  # lanes whose tables of all ids are in use at once
+_GROUP = 32  # lanes whose models a writer finds at once
 _PLACE = BLOCK.bit_length() - 1  # bits of a place in a block
-_NONE = 1 << 16  # an escape's id
-_NEW = 0x1FFFF  # the id of a context that had none yet
 _HEAD = struct.Struct("<IIII")
+_FRAME = struct.Struct("<II")
 _TAIL = struct.Struct("<QII6s")
 U = np.uint64
 
@@ -76,128 +75,79 @@ def _followers(ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.nda
     return out & 0xFFFF, out >> 16
 
 
-class Weights:
-    """Weights of order 2 and order 1 out of _SLOTS, by lane and state: their confidences (2 bits each), and whether they agree."""
-
-    told2, told1 = np.arange(32) >> 3 > 0, (np.arange(32) >> 1 & 3) > 0  # a new context says nothing
-
-    def __init__(self, lanes: int):
-        self.seen = np.zeros((lanes, 4, 32), np.int64)
-        self.base = np.arange(lanes)[:, None] * 128
-        self.renew(np.zeros((lanes, 0), np.uint8))
-
-    def renew(self, events: np.ndarray) -> None:
-        """events [lane, place] since the last time: state | 32 if order 2 named the id that came, or else | 64 if order 1 did."""
-        self.seen += np.bincount((self.base + events).ravel(), minlength=self.seen.size).reshape(self.seen.shape)
-        n = self.seen.sum(axis=1) + 2
-        # a model that names an id gives it something, as the others may lack it
-        two = np.clip((self.seen[:, 1] * _SLOTS + 512) // n, 1, 3700) * self.told2
-        one = np.clip((self.seen[:, 2] * _SLOTS + 512) // n, 1, 3960 - two) * self.told1
-        self.both = (two | one << 16).astype(np.int32).ravel()
-
-
-class Zero:
-    """Order-0 runs of all lanes: ids, first slots and slots; what is over in a lane is its escape.
-
-    A lane with more than MANY ids keeps those that it has met twice, so that slots suffice.
-    """
-
-    MANY = 2560
-
-    def __init__(self, ids: np.ndarray):
-        """ids: [lane, position], the block so far."""
-        lanes, n = ids.shape
-        ordered = np.sort(ids, axis=1, kind="stable").ravel()
-        new = np.ones(len(ordered), bool)
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        new[::n] = True
-        starts = np.flatnonzero(new)
-        count = np.diff(np.append(starts, len(ordered)))
-        lane = starts // n
-        single = np.bincount(lane, count == 1, lanes).astype(np.int64)
-        keep = (count > 1) | (np.bincount(lane, minlength=lanes) <= self.MANY)[lane]
-        self.lane, self.id, count = lane[keep], ordered[starts[keep]].astype(np.int64), count[keep]
-        distinct = np.bincount(self.lane, minlength=lanes)
-        # distinct is at most MANY or n / 2, so some slots are left over for both
-        escape = np.minimum(np.clip(_SLOTS * single // n, 64, 1536), (_SLOTS - distinct) // 2)
-        self.slots = 1 + count * (_SLOTS - escape - distinct)[self.lane] // n
-        total = np.concatenate([[0], np.cumsum(self.slots)])
-        begin = np.concatenate([[0], np.cumsum(distinct)])  # of the lanes' runs
-        self.first = total[:-1] - total[begin[:-1]][self.lane]
-        self.escape = total[begin[1:]] - total[begin[:-1]]  # first slot of the escape
-
-    def by_slot(self) -> np.ndarray:
-        """[lane, slot] -> id | first slot << 17 | slots << 30 of its run; the escape's has _NONE."""
-        last = np.cumsum(np.bincount(self.lane, minlength=len(self.escape)))
-        entry = np.insert(self.id | self.first << 17 | self.slots << 30, last, _NONE | self.escape << 17 | (_SLOTS - self.escape) << 30)
-        return np.repeat(entry, np.insert(self.slots, last, _SLOTS - self.escape)).reshape(-1, _SLOTS)
-
-
-class Places:
-    """Where the ids of a group of lanes stand in order 0."""
-
-    def __init__(self, lanes: int, width: int):
-        self.row = (np.arange(lanes) * width)[:, None]
-        self.width, self.table, self.touched = width, np.zeros(lanes * width, np.int32), None
-        self.escape = np.zeros((lanes, 1), np.int32)
-
-    def renew(self, zero: Zero) -> None:
-        if self.touched is not None:
-            self.table[self.touched] = 0
-        self.touched = zero.lane * self.width + zero.id
-        self.table[self.touched] = zero.first << 16 | zero.slots
-        self.escape = zero.escape.astype(np.int32)[:, None]
-
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first slot, slots) of ids [lane, any]; an unknown one has none, at the escape."""
-        entry = self.table.take(self.row[: len(ids)] + ids)
-        slots = entry & 0xFFFF
-        return np.where(slots > 0, entry >> 16, self.escape), slots
-
-    def mark(self, last: np.ndarray) -> None:
-        """Renew the first slots beside the ids that contexts [lane, context] keep."""
-        kept = np.flatnonzero(last != _NEW)
-        lane = kept // _CONTEXTS
-        own = last.ravel().take(kept)
-        entry = self.table.take(lane * self.width + (own & 0x1FFFF))
-        last.reshape(-1)[kept] = own & 0x7FFFF | np.where(entry > 0, entry >> 16, self.escape[:, 0].take(lane)) << 19
-
-
-def _intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, size, escaped) of all ids [lane, place] of a group: what stands before an id, and all that the mixed models give it."""
-    lanes, steps = ids.shape
-    a, b = np.zeros((2, lanes, steps), np.uint32)
-    a[:, 1:], b[:, 2:] = ids[:, :-1], ids[:, :-2]
-    id1, c1 = _followers(ids, a & np.uint32(_CONTEXTS - 1))
-    id2, c2 = _followers(ids, _context2(a, b))
-    told1, told2 = c1 > 0, c2 > 0
-    hit1, hit2 = (id1 == ids) & told1, (id2 == ids) & told2
-    state = c2 << 3 | c1 << 1 | ((id1 == id2) & (told1 == told2))
-    events = (state | hit2 << 5 | (hit1 & ~hit2) << 6).astype(np.uint8)
-    both, weights = np.empty((lanes, steps), np.int32), Weights(lanes)
-    base, own = np.arange(lanes)[:, None] * 32, [0, *(t for t in RENEW if t < steps), steps]
-    for x, y in zip(own, own[1:]):
-        both[:, x:y] = weights.both.take(base + state[:, x:y])
-        weights.renew(events[:, x:y])
-    at, slots, at1, at2 = np.empty((4, lanes, steps), np.int32)
-    places, narrow = Places(lanes, int(ids.max()) + 1), ids.astype(np.uint16)
-    own = [0, *(t for t in REBUILD if t < steps), steps]
-    for x, y in zip(own, own[1:]):
-        if x:
-            places.renew(Zero(narrow[:, :x]))
-        at[:, x:y], slots[:, x:y] = places.of(ids[:, x:y])
-        at1[:, x:y], at2[:, x:y] = places.of(id1[:, x:y])[0], places.of(id2[:, x:y])[0]
-    at1 *= told1
-    at2 *= told2
-    f2, f1 = both & 0xFFFF, both >> 16
-    rest = _SLOTS - f2 - f1
-    f2 <<= 12
-    f1 <<= 12
-    escaped = (slots == 0) & ~hit2 & ~hit1
-    np.copyto(slots, _SLOTS - at, where=escaped)  # an unknown id is at the escape
-    before1 = ~hit1 & ((at1 < at) | (at1 == at) & ~hit2)
-    begin = at * rest + f2 * (~hit2 & (at2 <= at)) + f1 * before1
-    return begin, slots * rest + f2 * hit2 + f1 * hit1, escaped
+class Tables:
+    """A frame's ids by rank, each one's first slot and slots, and order 2's and order 1's weights by state."""
+
+    told2, told1 = np.arange(_STATES) >> 3 > 0, (np.arange(_STATES) >> 1 & 3) > 0  # a new context says nothing
+
+    def __init__(self, ids: np.ndarray, slots: np.ndarray, two: np.ndarray, one: np.ndarray):
+        self.ids, self.slots = ids, slots.astype(np.int32)
+        self.first = (np.cumsum(self.slots) - self.slots).astype(np.int32)
+        self.weigh(two, one)
+
+    @classmethod
+    def of(cls, blocks: list[np.ndarray]) -> Tables:
+        """Order 0 of all ids of a frame; the weights are nothing yet."""
+        count = np.zeros(1 << 16, np.int64)
+        for lo in range(0, len(blocks), _GROUP):
+            count += np.bincount(np.concatenate(blocks[lo : lo + _GROUP]), minlength=len(count))
+        own = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+        count = count[own]
+        slots = 1 + count * ((1 << _SHARE) - len(own)) // max(1, count.sum())
+        slots[:1] += (1 << _SHARE) - slots.sum()
+        return cls(own.astype(np.uint16), slots, np.zeros(_STATES, int), np.zeros(_STATES, int))
+
+    def weigh(self, two: np.ndarray, one: np.ndarray) -> None:
+        self.two, self.one = two.astype(np.int32), one.astype(np.int32)
+        self.rest = (1 << _WEIGHT) - self.two - self.one
+
+    def count(self, seen: np.ndarray) -> None:
+        """seen [order 2 named the id that came, or else order 1 did, or else none; state]: how often."""
+        n = seen.sum(axis=0) + 2
+        # a model that names an id gives it something, as the frame may have it nowhere else
+        two = np.clip(((seen[0] << _WEIGHT) + 512) // n, 1, 3700) * self.told2
+        self.weigh(two, np.clip(((seen[1] << _WEIGHT) + 512) // n, 1, 3960 - two) * self.told1)
+
+    def ranks(self) -> np.ndarray:
+        """[id]: its rank."""
+        out = np.zeros(1 << 16, np.uint16)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
+
+    def pack(self) -> bytes:
+        return zlib.compress(b"".join(x.tobytes() for x in (self.two.astype("<u2"), self.one.astype("<u2"), self.ids.astype("<u2"), self.slots.astype("<u4"))))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Tables:
+        data = zlib.decompress(data)
+        n = (len(data) - 4 * _STATES) // 6
+        two, one = np.frombuffer(data, "<u2", 2 * _STATES).reshape(2, -1)
+        return cls(np.frombuffer(data, "<u2", n, 4 * _STATES), np.frombuffer(data, "<u4", n, 4 * _STATES + 2 * n), two, one)
+
+
+def _named(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[lane, place]: what the models name (order 2's | order 1's << 16), and their state."""
+    a, b = np.zeros((2, *ranks.shape), np.uint32)
+    a[:, 1:], b[:, 2:] = ranks[:, :-1], ranks[:, :-2]
+    id1, c1 = _followers(ranks, a & np.uint32(_CONTEXTS - 1))
+    id2, c2 = _followers(ranks, _context2(a, b))
+    return (id2 | id1 << 16).view(np.uint32), (c2 << 3 | c1 << 1 | (id1 == id2)).astype(np.uint8)
+
+
+def _events(ranks: np.ndarray, named: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """How often, by state, order 2 named the id that came, or else order 1 did, or else none."""
+    hit2, hit1 = (named & 0xFFFF == ranks) & Tables.told2[state], (named >> 16 == ranks) & Tables.told1[state]
+    kind = np.where(hit2, 0, np.where(hit1, _STATES, 2 * _STATES)).astype(np.uint8) + state
+    return np.bincount(kind.ravel(), minlength=3 * _STATES).reshape(3, _STATES)
+
+
+def _intervals(tables: Tables, ranks: np.ndarray, named: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, size): what stands before an id, and all that the mixed models give it."""
+    id2, id1 = (named & 0xFFFF).astype(np.int32), (named >> 16).astype(np.int32)
+    at, at2, at1 = tables.first.take(ranks), tables.first.take(id2), tables.first.take(id1)
+    f2, f1, rest = (tables.two << _SHARE).take(state), (tables.one << _SHARE).take(state), tables.rest.take(state)
+    begin = at * rest + f2 * (at2 < at) + f1 * (at1 < at)
+    return begin, tables.slots.take(ranks) * rest + f2 * (id2 == ranks) + f1 * (id1 == ranks)
 
 
 def _ranges(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,143 +185,123 @@ def _words(added: np.ndarray, due: np.ndarray) -> list[bytes]:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The bytes of each block (uint16 ids, any lengths up to BLOCK; shorter ones are padded within their lane)."""
-    return [b for i in range(0, len(blocks), _WIDE) for b in _encode(blocks[i : i + _WIDE])]
-
-
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
+    """A frame's tables, then the bytes of each block (uint16 ids, any lengths up to BLOCK; shorter ones are padded within their lane)."""
     lanes, steps = len(blocks), max(map(len, blocks))
-    begin, size = np.empty((lanes, steps), np.uint32), np.empty((steps, lanes), np.uint32)
-    groups = [slice(lo, min(lo + _GROUP, lanes)) for lo in range(0, lanes, _GROUP)]
-    plain = []
-    for g in groups:
-        ids = np.zeros((g.stop - g.start, steps), np.int32)
-        for i, b in enumerate(blocks[g]):
-            ids[i, : len(b)] = b
-        begin[g], own, escaped = _intervals(ids)
-        size[:, g] = own.T
-        cut = np.cumsum(escaped.sum(axis=1))[:-1]
-        plain += [struct.pack("<I", len(x)) + x.tobytes() for x in np.split(ids[escaped].astype("<u2"), cut)]
-    worth, due = _ranges(size)
-    out = []
-    for g in groups:
-        out += _words(np.ascontiguousarray(worth[:, g].T) * begin[g], np.ascontiguousarray(due[:, g].T))
-    return [x + y for x, y in zip(plain, out)]
-
-
-def decode(parts: list[bytes], sizes: list[int], width: int = 1 << 16) -> list[np.ndarray]:
-    """The blocks of encode(); ids are below width."""
+    tables = Tables.of(blocks)
+    rank_of = tables.ranks()
+    ranks, named, state = np.zeros((lanes, steps), np.uint16), np.empty((lanes, steps), np.uint32), np.empty((lanes, steps), np.uint8)
+    seen = np.zeros((3, _STATES), np.int64)
+    for i, b in enumerate(blocks):
+        ranks[i, : len(b)] = rank_of.take(b)
+    for lo in range(0, lanes, _GROUP):
+        g = slice(lo, lo + _GROUP)
+        named[g], state[g] = _named(ranks[g].astype(np.int32))
+        seen += _events(ranks[g], named[g], state[g])
+    tables.count(seen)
+    out = [tables.pack()]
+    for lo in range(0, lanes, _WIDE):
+        n = min(_WIDE, lanes - lo)
+        begin, size = np.empty((n, steps), np.uint32), np.empty((steps, n), np.uint32)
+        for at in range(0, n, _GROUP):
+            own, g = slice(at, min(at + _GROUP, n)), slice(lo + at, min(lo + at + _GROUP, lo + n))
+            begin[own], sizes = _intervals(tables, ranks[g].astype(np.int32), named[g], state[g])
+            size[:, own] = sizes.T
+        worth, due = _ranges(size)
+        for at in range(0, n, _GROUP):
+            own = slice(at, at + _GROUP)
+            out += _words(np.ascontiguousarray(worth[:, own].T) * begin[own], np.ascontiguousarray(due[:, own].T))
+    return out
+
+
+def decode(parts: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """Blocks of encode(): parts are a frame's tables, then the bytes of any of its blocks."""
+    tables, parts = Tables.unpack(parts[0]), parts[1:]
     lanes, steps = len(parts), max(sizes)
-    lane = np.arange(lanes)
-    n_plain = [struct.unpack_from("<I", p)[0] for p in parts]
-    # the lanes' plain ids and words, one lane's after another's; words of 0 follow the last
-    plain = np.frombuffer(b"".join(p[4 : 4 + 2 * n] for p, n in zip(parts, n_plain)) + b"\0\0", "<u2")
-    words = np.frombuffer(b"".join(p[4 + 2 * n :] + bytes(8) for p, n in zip(parts, n_plain)), "<u4").astype(U)
-    at_plain = np.concatenate([[0], np.cumsum(n_plain)])[:-1]
-    at_word = np.concatenate([[0], np.cumsum([(len(p) - 4 - 2 * n) // 4 + 2 for p, n in zip(parts, n_plain)])])
-    last_word, at_word = at_word[1:] - 1, at_word[:-1] + 2
-    code, left = words[at_word - 2] << U(32) | words[at_word - 1], np.full(lanes, 2**64 - 1, U)
-
-    ids, states, hits = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.uint8), np.zeros((steps, 2, lanes), bool)
-    weights, seen, places = Weights(lanes), 0, Places(min(lanes, _GROUP), width)
-    # rows 0 and 1 are of order 2 and order 1; what came last: id | confidence << 17 | its first slot in order 0 << 19
-    last = np.full((2, lanes, _CONTEXTS), _NEW, np.int32)
-    slots = np.full((lanes, _SLOTS), _NONE | _SLOTS << 30, np.int64)
-    flat, flat_slots = last.reshape(-1), slots.reshape(-1)
-    base, base_slot, base_state = np.arange(2 * lanes).reshape(2, lanes) * _CONTEXTS, lane * _SLOTS, lane * 32
-    context, was = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
-    most, short, bits = U((1 << _BITS) - 1), U(1 << 32), U(_BITS)
+    # the lanes' words, one lane's after another's; words of 0 follow the last
+    words = np.frombuffer(b"".join(p + bytes(8) for p in parts), "<u4")
+    at_word = np.cumsum([2] + [len(p) // 4 + 2 for p in parts])[:-1]
+    code, left = words[at_word - 2].astype(U) << U(32) | words[at_word - 1], np.full(lanes, 2**64 - 1, U)
+
+    ranks = np.zeros((steps, lanes), np.uint16)
+    of_slot = np.repeat(np.arange(len(tables.ids), dtype=np.uint16), tables.slots)
+    first, slots, rests = tables.first, tables.slots, tables.rest
+    two, one = tables.two << _SHARE, tables.one << _SHARE
+    # rows 0 and 1 are of order 2 and order 1; what came last [row, context, lane]: rank | confidence << 16
+    last = np.zeros(2 * _CONTEXTS * lanes, np.int32)
+    base = np.arange(2)[:, None] * (_CONTEXTS * lanes) + np.arange(lanes)
+    key, was = base.copy(), np.zeros(lanes, np.uint32)
+    most, short, bits, word = U((1 << _BITS) - 1), U(1 << 32), U(_BITS), U(32)
+    by_last, by_both, top = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(20)
+    context = np.empty((2, lanes), np.uint32)
     for t in range(steps):
-        if t in REBUILD:
-            for lo in range(0, lanes, _GROUP):
-                g = slice(lo, min(lo + _GROUP, lanes))
-                zero = Zero(np.ascontiguousarray(ids[:t, g].T))
-                places.renew(zero)
-                slots[g] = zero.by_slot()
-                places.mark(last[0, g])
-                places.mark(last[1, g])
-        if t in RENEW:
-            own = hits[seen:t]
-            weights.renew((states[seen:t] | own[:, 0] << 5 | (own[:, 1] & ~own[:, 0]) << 6).T)
-            seen = t
-        key = base + context
-        e = flat.take(key).astype(np.int64)
-        named, sure, place = e & 0x1FFFF, e >> 17 & 3, e >> 19
-        state = sure[0] << 3
-        state |= sure[1] << 1
+        e = last.take(key)
+        named = e & 0xFFFF
+        e >>= 16
+        state = e[0] << 3
+        state |= e[1] << 1
         state += named[0] == named[1]
-        states[t] = state
-        state += base_state
-        both = weights.both.take(state).astype(np.int64)
-        f = np.empty((2, lanes), np.int64)
-        np.bitwise_and(both, 0xFFFF, out=f[0])
-        np.right_shift(both, 16, out=f[1])
-        rest = _SLOTS - f[0]
-        rest -= f[1]
-        f <<= 12
+        state = state.astype(np.int64)
+        f, rest = np.array([two[state], one[state]]), rests[state]
+        place = first.take(named)
         begins = place * rest
-        before = (place[1] - place[0]) >> 63  # all bits where order 1's is first
-        begins[0] += f[1] & before
-        begins[1] += f[0] & ~before
+        before = place[1] < place[0]
+        begins[0] += f[1] * before
+        begins[1] += f[0] * ~before
         worth = left >> bits
-        v = np.minimum(code // worth, most).view(np.int64)
+        v = np.minimum(code // worth, most).astype(np.int32)
         past = v - begins
-        inside = past.view(U) < f.view(U)
+        inside = past.view(np.uint32) < f.view(np.uint32)
         over = np.minimum(np.maximum(past, 0), f)
         # without what the models add, v is in its id's run, or at its beginning
-        over = over[0] + over[1]
-        own = (v - over).astype(np.int32) // rest.astype(np.int32)
-        run = flat_slots.take(own + base_slot)
-        known, first = run & 0x1FFFF, run >> 17 & 0x1FFF
-        now = known.copy()
+        v -= over[0]
+        v -= over[1]
+        now = of_slot.take(v.view(np.uint32) // rest.view(np.uint32)).astype(np.int32)
         np.copyto(now, named[1], where=inside[1])
         np.copyto(now, named[0], where=inside[0])
-        hit = np.equal(named, now, out=hits[t])
-        over += first * rest
-        begin = over
-        np.copyto(begin, begins[1], where=hit[1])
-        np.copyto(begin, begins[0], where=hit[0])
-        run >>= 30
-        size = run * rest
-        np.copyto(size, 0, where=known != now)
+        ranks[t] = now
+        at = first.take(now)
+        past = f * (place < at)
+        at *= rest
+        at += past[0]
+        at += past[1]
+        hit = named == now
         f *= hit
-        size += f[0]
-        size += f[1]
-        code -= worth * begin.view(U)
-        left = worth * size.view(U)
-        due = (left < short).astype(U)
-        shift = due << U(5)
-        left <<= shift
-        code <<= shift
-        code |= words.take(at_word) * due
-        at_word += due.view(np.int64)
-        np.minimum(at_word, last_word, out=at_word)
-        escaped = np.flatnonzero(now == _NONE)
-        if len(escaped):
-            now[escaped] = plain[at_plain[escaped]]
-            at_plain[escaped] += 1
-        ids[t] = now
-        # an escaped id is no model's, so the hits hold for it too
-        told = np.empty((2, lanes), np.int64)
-        np.left_shift(first, 19, out=told[0])
-        told[0] |= now
-        told[0] += 1 << 17
-        told[1] = told[0]
-        e &= 3 << 17
-        told += np.minimum(e, 2 << 17) * hit
-        flat[key] = told
-        was += now * 0x9E3779B1
-        np.bitwise_and(was >> 20, _CONTEXTS - 1, out=context[0])
-        np.bitwise_and(now, _CONTEXTS - 1, out=context[1])
-        was = now * 0x85EBCA6B
-    return [np.ascontiguousarray(ids[:n, i]) for i, n in enumerate(sizes)]
+        rest *= slots.take(now)
+        rest += f[0]
+        rest += f[1]
+        code -= worth * at.view(np.uint32)
+        left = worth * rest.view(np.uint32)
+        due = np.flatnonzero(left < short)
+        if len(due):
+            left[due] <<= word
+            own = at_word[due]
+            code[due] = code[due] << word | words[own]
+            at_word[due] = own + 1
+        np.minimum(e, 2, out=e)
+        e *= hit
+        e += 1
+        e <<= 16
+        e |= now
+        last[key] = e
+        now = now.view(np.uint32)
+        np.multiply(now, by_last, out=context[0])
+        context[0] += was
+        context[0] >>= top
+        np.bitwise_and(now, np.uint32(_CONTEXTS - 1), out=context[1])
+        np.multiply(context, lanes, out=key)
+        key += base
+        was = now * by_both
+    out = []
+    for lo in range(0, lanes, _GROUP):
+        out += list(tables.ids.take(np.ascontiguousarray(ranks[:, lo : lo + _GROUP].T)))
+    return [x[:n] for x, n in zip(out, sizes)]
 
 
 class FileWriter:
     """Documents' ids into an open binary stream."""
 
     def __init__(self, stream):
-        self.stream, self.docs, self.blocks, self.waiting, self.held = stream, [], [], [], 0
+        self.stream, self.docs, self.blocks, self.frames, self.waiting, self.held = stream, [], [], [], [], 0
         self.at = stream.write(MAGIC) or len(MAGIC)
         self.n_ids = 0
 
@@ -390,7 +320,10 @@ class FileWriter:
         while len(flat) >= max(1, n):
             part, flat = flat[: LANES * BLOCK], flat[LANES * BLOCK :]
             blocks = [part[i : i + BLOCK] for i in range(0, len(part), BLOCK)]
-            for ids, body in zip(blocks, encode(blocks)):
+            tables, *bodies = encode(blocks)
+            self.frames.append(len(tables))
+            self._write(_FRAME.pack(len(tables), zlib.crc32(tables)) + tables)
+            for ids, body in zip(blocks, bodies, strict=True):
                 self.blocks.append((len(ids), len(body)))
                 self._write(_HEAD.pack(len(ids), len(body), zlib.crc32(body), zlib.crc32(ids.astype("<u2").tobytes())) + body)
         self.waiting, self.held = [flat], len(flat)
@@ -403,7 +336,7 @@ class FileWriter:
         """Write the rest and the trailer; the file's length."""
         self._flush(1)
         nulls = b"".join(b"\1" if d is None else b"\0" for d, _ in self.docs)
-        columns = [np.array([d or 0 for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<u4"), np.array(self.blocks, "<u4")]
+        columns = [np.array([d or 0 for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<u4"), np.array(self.blocks, "<u4"), np.array(self.frames, "<u4")]
         table = zlib.compress(struct.pack("<QQ", len(self.docs), len(self.blocks)) + nulls + b"".join(c.tobytes() for c in columns), 1)
         start = self.at
         self._write(table)
@@ -411,8 +344,8 @@ class FileWriter:
         return self.at
 
 
-def index(stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(whether a document's id is null, ids, numbers of ids; blocks as rows of ids and bytes) of a seekable stream; ValueError if damaged."""
+def index(stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a document's id is null, ids, numbers of ids; blocks as rows of ids and bytes; frames' tables' bytes) of a seekable stream; ValueError if damaged."""
     stream.seek(0)
     if stream.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token-id file")
@@ -427,7 +360,8 @@ def index(stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     table = zlib.decompress(table)
     n, m = struct.unpack_from("<QQ", table)
     nulls, ids = np.frombuffer(table, np.uint8, n, 16), np.frombuffer(table, "<i8", n, 16 + n)
-    return nulls, ids, np.frombuffer(table, "<u4", n, 16 + 9 * n).astype(np.int64), np.frombuffer(table, "<u4", 2 * m, 16 + 13 * n).reshape(-1, 2).astype(np.int64)
+    sizes, blocks, frames = (np.frombuffer(table, "<u4", k, at).astype(np.int64) for k, at in ((n, 16 + 9 * n), (2 * m, 16 + 13 * n), (-(-m // LANES), 16 + 13 * n + 8 * m)))
+    return nulls, ids, sizes, blocks.reshape(-1, 2), frames
 
 
 def read_file(stream, first: int = 0, end: int | None = None):
@@ -435,9 +369,10 @@ def read_file(stream, first: int = 0, end: int | None = None):
 
     ValueError if a checksum fails. What a document has in later blocks is read too.
     """
-    nulls, names, sizes, blocks = index(stream)
+    nulls, names, sizes, blocks, frames = index(stream)
     places = np.concatenate([[0], np.cumsum(blocks[:, 0])])  # of the blocks' first ids
-    offsets = len(MAGIC) + np.concatenate([[0], np.cumsum(blocks[:, 1] + _HEAD.size)])
+    # of the blocks' heads, and of the frames, each before its first block
+    offsets = len(MAGIC) + np.concatenate([[0], np.cumsum(blocks[:, 1] + _HEAD.size)])[:-1] + np.repeat(np.cumsum(frames + _FRAME.size), LANES)[: len(blocks)]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     end = len(blocks) if end is None else min(end, len(blocks))
     lo = int(np.searchsorted(starts[:-1], places[first]))
@@ -447,10 +382,15 @@ def read_file(stream, first: int = 0, end: int | None = None):
     last = int(np.searchsorted(places, starts[hi]))  # the block before this one holds the last id
 
     def run():
-        for at in range(first, last, LANES):
-            bodies, heads = [], []
+        for at in sorted({first, *range(first - first % LANES + LANES, last, LANES)}):
+            frame = at // LANES
+            stream.seek(int(offsets[frame * LANES] - frames[frame]) - _FRAME.size)
+            size, crc = _FRAME.unpack(stream.read(_FRAME.size))
+            bodies, heads = [stream.read(size)], []
+            if zlib.crc32(bodies[0]) != crc:
+                raise ValueError("a frame's tables are damaged")
             stream.seek(int(offsets[at]))
-            for _ in range(at, min(last, at + LANES)):
+            for _ in range(at, min(last, (frame + 1) * LANES)):
                 head = _HEAD.unpack(stream.read(_HEAD.size))
                 body = stream.read(head[1])
                 if zlib.crc32(body) != head[2]:

@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .token_ids import Encoder
 MOST_TASKS = 50_000  # that read ranges; a task may have several
 FILE = 64 << 20  # characters of the texts of a file, about
 LEAST = 32 << 20  # below which there aren't more files for more tasks, as wide blocks are coded faster
-PIECES = 200_000  # that an encoder keeps
+PIECES = 500_000  # that an encoder keeps
+SLICE = 4 << 20  # bytes of texts that are encoded at once, about; one text may be longer
 END = b"\0\0\0\0"
 
 
@@ -43,8 +45,10 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, tex
         with system.open_output_stream(trial) as stream:
             out = FileWriter(stream)
             for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    own = batch.slice(at, 512)
+                ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), batch.num_rows]
+                for at, end in zip(cuts, cuts[1:]):
+                    own = batch.slice(at, end - at)
                     for doc_id, ids in zip(own.column(0).to_pylist(), encoder.ids(own.column(1).to_pylist())):
                         out.add(doc_id, np.frombuffer(ids + END, "<u4"))
                         docs_seen += 1

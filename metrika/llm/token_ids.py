@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,15 @@ _MARKS = frozenset(",.;:!?)")
 #: Any white space but a space or newline; texts with it are encoded whole.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
+#: What the cuts of spaced texts, a space put before each newline, can't bear: such white space, and white space that meets white space or an end.
+_UNCUT = "\\A |  |\n | \\z|\n\\z|\\x00|" + _OTHER_SPACE.pattern
+_FIRST = "\0"  # before a text's first piece, which has no space
+
 #: Pieces of which both vocabularies make the letters one pre-token and the punctuation another;
 #: the letters are those that normalization leaves alone but for their case.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+_LETTERS, _MARKED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:-@\\[-`{-~]"
+_PLAIN = re.compile(f"({_LETTERS}*)({_MARKED}*)")
+_PLAIN_PIECE = f"\\A(?P<word>\n?{_LETTERS}+)(?P<marks>{_MARKED}*)\\z"
 
 #: Texts that normalization leaves alone but for case and white space, and the pre-tokens of their lower-case form.
 _PLAIN_TEXT = re.compile("[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -50,6 +57,10 @@ def loaded(path: str):
     return tokenizer, [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Parts(dict):
     """Pre-token -> its ids, made by the vocabulary's merges when first asked for."""
 
@@ -82,24 +93,42 @@ class _Words(dict):
         return out
 
 
+class _Spaced(dict):
+    """Letters that follow a space, or a newline that is given with them -> their ids, made by the vocabulary's merges when first asked for."""
+
+    def __init__(self, tokenizer, ids: list, letters: list[str]):
+        self.tokenize, self.ids = tokenizer.model.tokenize, ids
+        self.letters, self.space, self.line = dict(enumerate(letters)), letters[32], tokenizer.token_to_id(letters[10])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.ids
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        if word[0] == "\n":
+            out = ids[self.line] + b"".join([ids[t.id] for t in self.tokenize(shown[1:])])
+        else:
+            out = b"".join([ids[t.id] for t in self.tokenize(self.space + shown)])
+        if len(word) <= LONG:
+            self[word] = out
+        return out
+
+
 class _Pieces(dict):
-    """Piece -> its ids, made when first asked for."""
+    """Piece of a vocabulary without white space -> its ids, made when first asked for."""
 
     def __init__(self, encoder):
-        self.encoder, self.plain, self.spaced = encoder, encoder._plain, encoder.spaced
+        self.encoder, self.plain, self.parts = encoder, encoder._plain, encoder.parts
         self.tokenize, self.ids = encoder.parts.tokenize, encoder.parts.ids
-        self.space, self.parts = encoder.letters[32], encoder.parts
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece.isalpha():  # one pre-token
             ids = self.ids
-            out = b"".join([ids[t.id] for t in self.tokenize(self.space + piece if self.spaced else piece.lower())])
+            out = b"".join([ids[t.id] for t in self.tokenize(piece.lower())])
         elif piece[-1:] in _MARKS and piece[:-1].isascii() and piece[:-1].isalpha():  # two
             out = self[piece[:-1]] + self.parts[piece[-1]]
         else:
             out = self.plain(piece) if piece else b""
             if out is None:
-                out = self.encoder._encode([piece if not self.spaced or piece[0] == "\n" else " " + piece])[0]
+                out = self.encoder._encode([piece])[0]
         self[piece] = out
         return out
 
@@ -117,7 +146,7 @@ class Encoder:
         self.letters = byte_letters()
         self.parts = _Parts(self.tokenizer, ids)
         self.store = _Pieces(self)
-        self.words = _Words(self.tokenizer, ids, self.letters)
+        self.words = (_Spaced if spaced else _Words)(self.tokenizer, ids, self.letters)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -127,47 +156,55 @@ class Encoder:
 
     def _plain(self, piece: str) -> bytes | None:
         """The ids of a plain piece straight from the vocabulary's merges; None if it isn't plain."""
-        head = ""
-        if self.spaced:
-            head = self.letters[32]
-            if piece[0] == "\n":
-                head, piece = self.letters[10], piece[1:]
         found = _PLAIN.fullmatch(piece)
         if not found:
             return None
         word, marks = found.groups()
-        if not self.spaced:
-            word = word.lower()
+        word, parts = word.lower(), self.parts
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        parts = self.parts
-        if not self.spaced:
-            return (parts[word] if word else b"") + (parts[marks] if marks else b"")
-        if head == self.letters[10]:
-            return parts[head] + (parts[word] if word else b"") + (parts[marks] if marks else b"")
-        return parts[head + word] + (parts[marks] if marks else b"") if word else parts[head + marks]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces; with `spaced` the first is itself, others stand after a space or begin with a newline. None: encode whole."""
-        if "<|" in text:  # a special token's string may take part
-            return None
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if _OTHER_SPACE.search(text):
-            return None
-        pieces = text.replace("\n", " \n").split(" ")
-        # an empty piece or a lone newline: white space meets white space
-        return None if "" in pieces or "\n" in pieces else pieces
+        return (parts[word] if word else b"") + (parts[marks] if marks else b"")
+
+    def _spaced_texts(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of texts cut before white space; None: to be encoded whole."""
+        if not texts:
+            return []
+        cut = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n")
+        fit = pc.invert(pc.match_substring_regex(cut, _UNCUT))
+        first, none = pa.scalar(_FIRST, pa.large_string()), pa.scalar("", pa.large_string())
+        found = iter(self._looked_up(pc.split_pattern(pc.binary_join_element_wise(first, cut.filter(fit), none), " "), self._spaced_pieces))
+        return [next(found) if f else None for f in fit.to_pylist()]
+
+    def _spaced_pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces: of plain ones each word's, looked up once, and each mark's; others are encoded together."""
+        found = pc.extract_regex(pieces, _PLAIN_PIECE)
+        plain = found.is_valid()
+        word, marks = found.filter(plain).flatten()
+        made = pc.binary_join_element_wise(self._each(word, self.words), self._each(marks, self.parts), pa.scalar(b"", pa.large_binary()))
+        store, odd = self.store, _strings(pieces.filter(pc.invert(plain)))
+        new = [p for p in odd if p not in store]
+        store.update(zip(new, self._encode([p[1:] if p[0] == _FIRST else p if p[0] == "\n" else " " + p for p in new])))
+        made = pa.concat_arrays([made, pa.array(list(map(store.__getitem__, odd)), pa.large_binary())])
+        # where the plain and the others stand
+        plain = plain.to_numpy(zero_copy_only=False)
+        return made.take(pa.array(np.where(plain, np.cumsum(plain) - 1, np.cumsum(~plain) - 1 + np.count_nonzero(plain))))
+
+    @staticmethod
+    def _each(words: pa.Array, store: dict) -> pa.Array:
+        coded = words.dictionary_encode()
+        return pa.array(list(map(store.__getitem__, _strings(coded.dictionary))), pa.large_binary()).take(coded.indices)
 
     def _plain_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of plain texts: each distinct word of theirs is looked up once, the rest is done on Arrow's buffers."""
+        """The ids of plain texts by the words of their lower-case form."""
         if not texts:
             return []
-        if len(self.words) > self.keep:
-            self.words.clear()
-        words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        return self._looked_up(pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string())), lambda words: self._each(words, self.words))
+
+    @staticmethod
+    def _looked_up(words: pa.ListArray, look: Callable[[pa.Array], pa.Array]) -> list[bytes]:
+        """The joined ids of each list of words; `look` gives those of the distinct words, the rest is done on Arrow's buffers."""
         coded = words.flatten().dictionary_encode()
-        made = pa.array(list(map(self.words.__getitem__, coded.dictionary.to_pylist())), pa.large_binary()).take(coded.indices)
+        made = look(coded.dictionary).take(coded.indices)
         _, offsets, data = made.buffers()
         at = np.frombuffer(offsets, "<i8", len(made) + 1, 8 * made.offset)[words.offsets.to_numpy()].tolist()
         data = memoryview(data or b"")
@@ -179,25 +216,26 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not self.spaced and "<|" not in t and _PLAIN_TEXT.fullmatch(t):
+            if "<|" in t:  # a special token's string may take part
+                whole.append(i)
+            elif not self.spaced and _PLAIN_TEXT.fullmatch(t):
                 plain.append(i)
             else:
-                pieces = self._pieces(t)
-                (whole if pieces is None else split).append((i, pieces))
+                split.append(i)
+        for store in (self.words, self.store, self.parts):
+            if len(store) > self.keep:
+                store.clear()
         for i, v in zip(plain, self._plain_texts([texts[i] for i in plain])):
             out[i] = v
-        for (i, _), v in zip(whole, self._encode([texts[i] for i, _ in whole])):
+        if self.spaced:
+            for i, v in zip(split, self._spaced_texts([texts[i] for i in split])):
+                if v is None:
+                    whole.append(i)
+                else:
+                    out[i] = v
+        else:
+            for i in split:
+                out[i] = b"".join(map(self.store.__getitem__, texts[i].replace("\n", " ").split(" ")))
+        for i, v in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = v
-        if len(self.store) > self.keep:
-            self.store.clear()
-        if len(self.parts) > self.keep:
-            self.parts.clear()
-        store = self.store
-        first = [pieces[0] for _, pieces in split] if self.spaced else []
-        heads = self._encode(first)
-        for k, (i, pieces) in enumerate(split):
-            if self.spaced:
-                out[i] = heads[k] + b"".join(map(store.__getitem__, pieces[1:]))
-            else:
-                out[i] = b"".join(map(store.__getitem__, pieces))
         return out

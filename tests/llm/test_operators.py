@@ -258,6 +258,49 @@ def test_codec_follows_wide_groups():
     assert b"".join(code[i : i + 4][::-1] for i in range(0, len(code), 4)) == want.to_bytes(40, "big")
 
 
+def test_codec_shares_order_0():
+    """Blocks don't learn the ids' distribution anew: their code comes near its entropy."""
+    rng = np.random.default_rng(7)
+    ids = (rng.zipf(1.3, 6 * 2000) % 3000).astype(np.uint16)
+    count = np.unique(ids, return_counts=True)[1]
+    entropy = -(count * np.log2(count / len(ids))).sum() / 8
+    parts = id_codec.encode(np.split(ids, 6))
+    assert sum(map(len, parts[1:])) < 1.1 * entropy
+    assert np.array_equal(np.concatenate(id_codec.decode([parts[0], *parts[3:5]], [2000, 2000])), ids[4000:8000])
+
+
+def test_codec_reads_across_frames(monkeypatch):
+    monkeypatch.setattr(id_codec, "LANES", 2)
+    rng = np.random.default_rng(8)
+    docs = [rng.zipf(1.4, n) % 50000 for n in (9000, 20000, 3, 30000, 100)]
+    out = io.BytesIO()
+    writer = id_codec.FileWriter(out)
+    for i, d in enumerate(docs):
+        writer.add(i, d)
+    writer.close()
+    want = [(i, d.astype("<u4").tobytes()) for i, d in enumerate(docs)]
+    for step in (1, 2, 3, 9):
+        assert [(i, x) for k in range(0, 8, step) for i, _, x in id_codec.read_file(out, k, k + step)] == want
+    data = bytearray(out.getvalue())
+    frame = len(id_codec.MAGIC) + sum(id_codec.index(out)[3][:2, 1] + id_codec._HEAD.size) + id_codec.index(out)[4][0] + id_codec._FRAME.size
+    data[int(frame) + 20] ^= 1  # the second frame's tables
+    with pytest.raises(ValueError):
+        list(id_codec.read_file(io.BytesIO(bytes(data))))
+
+
+def test_spaced_words_are_made_once():
+    """A word's ids are kept without the punctuation and once for all its places; odd pieces are those of the whole text's encoding."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), token_ids.Encoder(path, True)
+    odd = ["\0a b", "a \0b c", "x\n-y\n\u00e9t\u00e9, (z) 12 it's \u4e2d\u6587 !! \u0130x", "one", "Zw\u00f6lf!\nZw\u00f6lf?", "a\u2003b c"]
+    assert encoder.ids(odd) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    encoder.words.clear()
+    encoder.ids(["first word, word. word word!", "then word; word?"])
+    assert set(encoder.words) == {"word"}
+
+
 def test_token_files_are_wide(spark, texts, tmp_path):
     """A small table isn't dealt into a file a task: few wide files are coded faster than many narrow ones."""
     parts = token_files.write(spark, table(spark, texts), f"file://{tmp_path}/wide", tokenizer_file("byte_bpe_50k.json"))
