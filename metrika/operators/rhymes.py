@@ -4,7 +4,8 @@ Groups of rhymes need links that join what all pairs would join, not all pairs.
 share much (all nuclei and a coda, all but one nucleus, all but the first syllable, one whole
 syllable in its place) are offered to each other, each to two of its block; what reaches the
 threshold is linked. Rounds of offers leave a few tails outside the main group of their length.
-Only for these all possible partners are looked up, by an index of nuclei in their places.
+Only for these partners are looked up, by an index of nuclei in their places: where that would
+be many pairs a tail, first in samples, which leave those that rhyme with little, then in all.
 Many pairs are scored at once, by arrays of pairs with tails of the same lengths.
 """
 
@@ -18,10 +19,14 @@ from pyspark.sql import functions as F
 from metrika.functions import tables as T
 from metrika.operators import kernel
 from metrika.operators.components import connected_components, settled
+from metrika.operators.g2p import small
 
 ROUNDS = 2
 SALTS = 8
 SLACK = 1e-9  # scores are compared after rounding to 9 digits
+SYLLABLES = 1 << 18  # of the pairs that are aligned at once
+MOST_PAIRS, SAMPLE_PAIRS = 16, 2  # for each tail of all: pairs that are looked up at once, and those of a sample
+PROBES = 20_000  # so many are joined by broadcast
 
 
 def block_keys(t: Column) -> Column:
@@ -36,6 +41,8 @@ def block_keys(t: Column) -> Column:
         F.transform(places, lambda i: F.xxhash64(F.lit("next"), but(i), i, F.get(codas, (i + 1) % F.size(t)))),
         F.transform(places, lambda i: F.xxhash64(F.lit("syllable"), F.size(t), i, F.get(nuclei, i), F.get(codas, i))),
         F.array(F.xxhash64(F.lit("end"), F.slice(nuclei, 2, F.size(t)), F.slice(codas, 2, F.size(t))), F.xxhash64(F.lit("end"), nuclei, codas)),
+        # nearly all tails of one syllable rhyme with what has the same nucleus and begins its coda with the same sound
+        F.array(F.xxhash64(F.lit("first"), nuclei, F.transform(codas, lambda c: F.get(c, F.lit(0))))),
     ]
     return F.array_distinct(F.concat(*kinds))
 
@@ -105,13 +112,15 @@ def candidates(probes: DataFrame, tails: DataFrame, threshold: float, nucleus_we
     return pairs.select("a", "b").distinct()
 
 
-def with_tails(pairs: DataFrame, tails: DataFrame) -> DataFrame:
-    end = lambda c, t: tails.select(F.col("id").alias(c), F.col("t").alias(t))
-    return pairs.join(end("a", "t1"), "a").join(end("b", "t2"), "b")
+def with_tails(pairs: DataFrame, tails: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) with their tails t1, t2. probes: those of a; few probes have many pairs each, which aren't dealt out by the probe."""
+    end = lambda df, c, t: df.select(F.col("id").alias(c), F.col("t").alias(t))
+    first = end(tails, "a", "t1") if probes is None else small(end(probes, "a", "t1"), PROBES)
+    return pairs.join(first, "a").join(end(tails, "b", "t2"), "b")
 
 
 def coda_table(codas: list[list[int]]) -> np.ndarray:
-    """Similarity of all pairs of codas."""
+    """Similarity of all pairs of codas: what Codas finds for the pairs asked for, for few codas."""
     width, n = max(map(len, codas), default=0), len(T.CONSONANTS)
     grid = np.full((len(codas), max(width, 1)), n)
     for row, c in zip(grid, codas):
@@ -126,8 +135,33 @@ def coda_table(codas: list[list[int]]) -> np.ndarray:
     return np.where(longer == 0, 1.0, total / np.maximum(longer, 1))
 
 
-def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, w1: np.ndarray, w2: np.ndarray, codas: np.ndarray, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
-    """Score, columns and informative columns of pairs of tails, a row a pair: nuclei v, places of codas c in their table, bare schwas w; as kernel.align() has them."""
+class Codas:
+    """Codas by their places in a batch, similarity of pairs of which is found when asked for.
+
+    A batch over a large vocabulary has thousands of different codas; a table of all their pairs would
+    take more memory than the batch, growing with the square of their number.
+    """
+
+    def __init__(self, flat: np.ndarray, length: np.ndarray):
+        n = len(T.CONSONANTS)
+        self.flat, self.length, self.start = flat, length, np.cumsum(length) - length
+        self.alike = np.zeros((n + 1, n + 1))
+        self.alike[:n, :n] = 1.0 - np.array(T.CONSONANT_DISTANCES).reshape(n, n)
+
+    def __getitem__(self, pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        x, y = np.broadcast_arrays(*pair)
+        both, longer = np.minimum(self.length[x], self.length[y]), np.maximum(self.length[x], self.length[y])
+        total, k, at = np.zeros(x.shape), 0, np.nonzero(both)
+        while len(at[0]):
+            total[at] += self.alike[self.flat[self.start[x[at]] + k], self.flat[self.start[y[at]] + k]]
+            k += 1
+            more = both[at] > k
+            at = tuple(i[more] for i in at)
+        return np.where(longer == 0, 1.0, total / np.maximum(longer, 1))
+
+
+def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, w1: np.ndarray, w2: np.ndarray, codas: Codas, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
+    """Score, columns and informative columns of pairs of tails, a row a pair: nuclei v, places of codas c, bare schwas w; as kernel.align() has them."""
     n = len(T.VOWELS)
     distances = np.array(T.VOWEL_DISTANCES).reshape(n, n)
     rows, width = len(v1), v2.shape[1]
@@ -149,29 +183,11 @@ def align_many(v1: np.ndarray, v2: np.ndarray, c1: np.ndarray, c2: np.ndarray, w
     return total / np.maximum(columns, 1), columns, informative
 
 
-def _codas(lists: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For columns of codas: the place of each in coda_table(), and that table of the different ones."""
-    base, numbers = len(T.CONSONANTS) + 1, []
-    for c in lists:
-        length = c.value_lengths().to_numpy()
-        if length.max(initial=0) > 12:  # more digits than an integer holds
-            coded: dict = {}
-            return [np.array([coded.setdefault(x, len(coded)) for x in map(tuple, s.to_pylist())], np.int64) for s in lists], coda_table([list(x) for x in coded])
-        flat, start = c.flatten().to_numpy().astype(np.int64), np.cumsum(length) - length
-        number = np.zeros(len(length), np.int64)
-        for k in range(int(length.max(initial=0))):
-            at = np.flatnonzero(length > k)
-            number[at] = number[at] * base + flat[start[at] + k] + 1
-        numbers.append(number)
-    kinds, place = np.unique(np.concatenate(numbers), return_inverse=True)
-    codas = []
-    for number in kinds.tolist():
-        digits = []
-        while number:
-            number, d = divmod(number, base)
-            digits.append(d - 1)
-        codas.append(digits[::-1])
-    return np.split(place.reshape(-1), [len(numbers[0])]), coda_table(codas)
+def _codas(lists: list[pa.Array]) -> tuple[list[np.ndarray], Codas]:
+    """For columns of codas: the places of each in Codas."""
+    length = np.concatenate([c.value_lengths().to_numpy() for c in lists])
+    flat = np.concatenate([c.flatten().to_numpy() for c in lists])
+    return np.split(np.arange(len(length)), [len(lists[0])]), Codas(flat, length.astype(np.int64))
 
 
 def _scores(t1: pa.Array, t2: pa.Array, nucleus_weight: float, coda_weight: float, gap: float) -> tuple:
@@ -185,9 +201,11 @@ def _scores(t1: pa.Array, t2: pa.Array, nucleus_weight: float, coda_weight: floa
     out = np.zeros(len(n1)), np.zeros(len(n1), np.int64), np.zeros(len(n1), np.int64)
     kinds = n1.astype(np.int64) * (int(n2.max(initial=0)) + 1) + n2
     for kind in np.unique(kinds):
-        at = np.flatnonzero(kinds == kind)
-        m, n = int(n1[at[0]]), int(n2[at[0]])
-        if m and n:
+        every = np.flatnonzero(kinds == kind)
+        m, n = int(n1[every[0]]), int(n2[every[0]])
+        if not m or not n:
+            continue
+        for at in np.array_split(every, len(every) * (m + n) // SYLLABLES + 1):
             x, y = start[0][at][:, None] + np.arange(m), start[1][at][:, None] + np.arange(n)
             made = align_many(nuclei[0][x], nuclei[1][y], places[0][x], places[1][y], bare[0][x], bare[1][y], table, nucleus_weight, coda_weight, gap)
             for column, values in zip(out, made):
@@ -216,9 +234,9 @@ def reaching(pairs: DataFrame, threshold: float, nucleus_weight: float = kernel.
 
 
 def rhyming_pairs(probes: DataFrame, tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights) -> DataFrame:
-    """(a, b, score): all tails that a probe rhymes with; probes and tails: id, t, the probes being among the tails."""
+    """(a, b, score): all tails that a probe rhymes with; probes and tails: id, t."""
     own = {k: v for k, v in weights.items() if k in ("nucleus_weight", "coda_weight")}
-    return reaching(with_tails(candidates(probes, tails, threshold, **own), tails), threshold, **weights).select("a", "b", "score")
+    return reaching(with_tails(candidates(probes, tails, threshold, **own), tails, probes), threshold, **weights).select("a", "b", "score")
 
 
 def grouped(tails: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
@@ -234,15 +252,31 @@ def grouped(tails: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     size = joined.groupBy("n", "component").agg(F.count("*").alias("k"))
     main = size.groupBy("n").agg(F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("m"), F.sum("k").alias("all"))
     main = settled(main.select("n", (-F.col("m.c")).alias("main"), "all"))  # a row a length
-    reach = main.select("n", "main", "all", F.explode(_lengths(F.col("n"), threshold)).alias("o"))
+    near = main.select("n", "main", "all", F.explode(_lengths(F.col("n"), threshold)).alias("o"))
     other = main.select(F.col("n").alias("o"), F.col("main").alias("other"), F.col("all").alias("rest"))
-    clash = reach.join(other, "o").where("main <> other and (all < rest or (all = rest and n < o))").select("n", F.lit(True).alias("clash")).distinct()
+    clash = near.join(other, "o").where("main <> other and (all < rest or (all = rest and n < o))").select("n", F.lit(True).alias("clash")).distinct()
     state = joined.join(F.broadcast(main.join(clash, "n", "left")), "n")
     return settled(state.select("id", "t", "component", ((F.col("component") != F.col("main")) | F.coalesce("clash", F.lit(False))).alias("open")))
 
 
+def possible(state: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many tails there are, and how many pairs the open ones make with all tails of lengths that can rhyme with theirs."""
+    size = settled(state.groupBy(F.size("t").alias("n")).agg(F.count("*").alias("all"), F.count_if("open").alias("open")))  # a row a length
+    asked = size.select("open", F.explode(_lengths(F.col("n"), threshold)).alias("n")).join(size.select("n", "all"), "n")
+    return size.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0], asked.agg(F.coalesce(F.sum(F.col("open") * F.col("all")), F.lit(0))).first()[0]
+
+
+def looked_up(state: DataFrame, among: DataFrame, threshold: float, weights: dict) -> DataFrame:
+    """(a, b, component, other): a link of each open tail to each other group with a tail of `among` that it rhymes with."""
+    probes = state.where("open")
+    found = rhyming_pairs(probes.select("id", "t"), among.select("id", "t"), threshold, **weights)
+    links = found.join(among.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").groupBy("a", "other").agg(F.min("b").alias("b"))
+    links = links.join(probes.select(F.col("id").alias("a"), "component"), "a")
+    return settled(links.where("component <> other").select("a", "b", "component", "other"))
+
+
 def _joined(tails: DataFrame, threshold: float, weights: dict) -> tuple[list, DataFrame, DataFrame]:
-    """Links (a, b) of the rounds of offers, what they make (grouped()), and (a, component, b): a link of each open tail to each group that it rhymes with.
+    """Links (a, b) of the rounds of offers and samples, what they make (grouped()), and looked_up() in all tails.
 
     Any part of the links will do in a round: what it leaves apart is open, and all that an open tail rhymes with is looked up.
     """
@@ -255,10 +289,17 @@ def _joined(tails: DataFrame, threshold: float, weights: dict) -> tuple[list, Da
             break
         links.append(made.select("a", "b"))
         state = grouped(state, made, threshold)
-    rest = rhyming_pairs(state.where("open").select("id", "t"), tails, threshold, **weights)
-    # one link a tail and group is enough
-    at = state.select(F.col("id").alias("b"), "component")
-    return links, state, settled(rest.join(at, "b").groupBy("a", "component").agg(F.min("b").alias("b")))
+    n, pairs = possible(state, threshold)
+    while pairs > MOST_PAIRS * n:
+        # most open tails rhyme with a share of all, and so with one of the sample
+        share = pairs // (SAMPLE_PAIRS * n) + 1
+        made = looked_up(state, state.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), threshold, weights)
+        links.append(made.select("a", "b"))
+        state, before = grouped(state, made, threshold), pairs
+        _, pairs = possible(state, threshold)
+        if 2 * pairs > before:
+            break
+    return links, state, looked_up(state, state, threshold, weights)
 
 
 def tail_links(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights) -> DataFrame:
@@ -277,8 +318,7 @@ def tail_groups(tails: DataFrame, threshold: float = kernel.THRESHOLD, **weights
     if threshold > 1:
         return tails.select("id", F.col("id").alias("component"))
     _, state, rest = _joined(tails, threshold, weights)
-    own = state.select(F.col("id").alias("a"), F.col("component").alias("own"))
     scope = F.lit(0).alias("scope")
-    between = rest.join(own, "a").select(scope, F.col("own").alias("a"), F.col("component").alias("b"))
+    between = rest.select(scope, F.col("component").alias("a"), F.col("other").alias("b"))
     found = connected_components(state.select(scope, F.col("component").alias("node")), between)
     return settled(state.select("id", F.col("component").alias("node")).join(found.select("node", "component"), "node").select("id", "component"))

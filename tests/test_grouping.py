@@ -205,3 +205,53 @@ def test_settled_tables_keep_few_partitions(spark):
     cores = spark.sparkContext.defaultParallelism
     assert small.rdd.getNumPartitions() <= cores and both.rdd.getNumPartitions() <= cores and both.count() == 150
     assert large.rdd.getNumPartitions() == 40
+
+
+def coded_tails(r, n, syllables):
+    kind = pa.list_(pa.struct([("v", pa.int32()), ("c", pa.list_(pa.int32())), ("w", pa.bool_())]))
+    coda = lambda: [r.randrange(len(T.CONSONANTS)) for _ in range(r.randrange(9))]
+    return pa.array([[{"v": r.randrange(len(T.VOWELS)), "c": coda(), "w": False} for _ in range(r.choice(syllables))] for _ in range(n)], kind)
+
+
+def test_a_batch_of_different_codas_takes_little_memory():
+    import tracemalloc
+
+    r = random.Random(4)
+    a, b = coded_tails(r, 1500, [2]), coded_tails(r, 1500, [2, 3])
+    tracemalloc.start()
+    rhymes._scores(a, b, 1.0, 0.35, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # a table of all pairs of some 5,000 codas has 200 MB
+
+
+def test_pairs_are_aligned_in_parts(monkeypatch):
+    r = random.Random(6)
+    a, b = coded_tails(r, 200, [0, 1, 2, 5]), coded_tails(r, 200, [0, 1, 3, 5])
+    whole = rhymes._scores(a, b, 1.0, 0.35, 0.6)
+    monkeypatch.setattr(rhymes, "SYLLABLES", 7)
+    assert all((x == y).all() for x, y in zip(whole, rhymes._scores(a, b, 1.0, 0.35, 0.6), strict=True))
+
+
+def test_first_offers_join_most_tails_of_one_syllable(spark):
+    r = random.Random(8)
+    tails = [[([], r.choice(["AE", "IY", "OW"]), [r.choice(T.CONSONANTS) for _ in range(r.randrange(2, 5))], 1)] for _ in range(400)]
+    tails = tail_table(spark, tails)
+    nodes = [x.id for x in tails.select("id").collect()]
+    start = tails.select("id", "t", F.col("id").alias("component"), F.lit(True).alias("open"))
+    links = [(x.a, x.b) for x in rhymes.reaching(rhymes.offers(start, 0), 0.75).select("a", "b").collect()]
+    assert len(set(reached(nodes, links).values())) < 100
+
+
+def test_look_ups_in_samples_lose_nothing(spark, monkeypatch):
+    """With one round of offers, tails that stay open are looked up in samples as long as this helps, and then in all."""
+    tails = tail_table(spark, made_up_tails(11, 120))
+    ids = [r.id for r in tails.select("id").collect()]
+    want = reached(ids, [(r.a, r.b) for r in rhymes.rhyming_pairs(tails, tails, 0.75).collect()])
+    asked, whole = [], rhymes.looked_up
+    monkeypatch.setattr(rhymes, "looked_up", lambda state, among, *more: [asked.append(among.count()), whole(state, among, *more)][1])
+    for name, value in (("ROUNDS", 1), ("MOST_PAIRS", 0)):
+        monkeypatch.setattr(rhymes, name, value)
+    links = [(r.a, r.b) for r in rhymes.tail_links(tails, 0.75).collect()]
+    assert len(asked) > 1 and asked[0] < asked[-1] == len(ids)
+    assert reached(ids, links) == want
